@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from kindred.llm import mixing, quality
+from kindred.llm import bpe, mixing, quality, simhash
 
 
 def queries() -> dict:
-    return {"op5_quality_rules": quality.op5_quality_rules, "op6_mix_sources": mixing.op6_mix_sources}
+    return {
+        "op2_byte_bpe": bpe.op2_byte_bpe,
+        "op3_simhash_near_dedup": simhash.op3_simhash_near_dedup,
+        "op5_quality_rules": quality.op5_quality_rules,
+        "op6_mix_sources": mixing.op6_mix_sources,
+    }
 
 
 def oracle_sql() -> dict:
