@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from kindred.llm import bpe, mixing, quality, simhash
+from kindred.llm import bpe, classifiers, mixing, quality, secrets, simhash
 
 
 def queries() -> dict:
@@ -11,6 +11,9 @@ def queries() -> dict:
         "op3_simhash_near_dedup": simhash.op3_simhash_near_dedup,
         "op5_quality_rules": quality.op5_quality_rules,
         "op6_mix_sources": mixing.op6_mix_sources,
+        "op7_quality_classifier": classifiers.op7_quality_classifier,
+        "op8_language_id": classifiers.op8_language_id,
+        "op10_secret_scans": secrets.op10_secret_scans,
     }
 
 
