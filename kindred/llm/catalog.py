@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from kindred.llm import bpe, classifiers, mixing, quality, secrets, simhash
+from kindred.llm import bpe, classifiers, html_text, mixing, quality, secrets, simhash
 
 
 def queries() -> dict:
     return {
         "op2_byte_bpe": bpe.op2_byte_bpe,
         "op3_simhash_near_dedup": simhash.op3_simhash_near_dedup,
+        "op4_html_extraction": html_text.op4_html_extraction,
         "op5_quality_rules": quality.op5_quality_rules,
         "op6_mix_sources": mixing.op6_mix_sources,
         "op7_quality_classifier": classifiers.op7_quality_classifier,
