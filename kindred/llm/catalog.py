@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from kindred.llm import bpe, classifiers, html_text, mixing, quality, secrets, simhash
+from kindred.llm import bpe, chat, classifiers, embedding_dedup, html_text, mixing, quality, secrets, simhash
 
 
 def queries() -> dict:
     return {
+        "op1_embedding_near_dedup": embedding_dedup.op1_embedding_near_dedup,
         "op2_byte_bpe": bpe.op2_byte_bpe,
         "op3_simhash_near_dedup": simhash.op3_simhash_near_dedup,
         "op4_html_extraction": html_text.op4_html_extraction,
@@ -14,9 +15,10 @@ def queries() -> dict:
         "op6_mix_sources": mixing.op6_mix_sources,
         "op7_quality_classifier": classifiers.op7_quality_classifier,
         "op8_language_id": classifiers.op8_language_id,
+        "op9_preference_pairs": chat.op9_preference_pairs,
         "op10_secret_scans": secrets.op10_secret_scans,
     }
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {"op9_preference_pairs": chat.OP9_SQL}

@@ -56,8 +56,11 @@ def repeated_words(words: Column) -> Column:
     return F.when(windows < 2, 0).otherwise(let(codes, lambda c: let(window_codes(c), count))).cast("long")
 
 
-def measures(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text, lang) to doc_id, lang and the counts that rules and base use; null text has no words."""
+def measures(docs: DataFrame, carry: bool = False) -> DataFrame:
+    """docs(doc_id, text, lang) to doc_id, lang and the counts that rules and base use; null text has no words.
+
+    carry: with the whole row of docs as struct `row`."""
+    row = [F.struct(*[docs[c] for c in docs.columns]).alias("row")] if carry else []
     text = F.coalesce(F.col("text"), F.lit(""))
     marks = F.regexp_replace(text, r"[^\p{Lu}!#*$%&|<>]+", "")  # one pass over the text; what it leaves is short
     lined = lambda ls: F.struct(F.size(ls).alias("n"), (F.size(ls) - F.size(F.array_distinct(ls))).alias("dup"))
@@ -67,13 +70,14 @@ def measures(docs: DataFrame) -> DataFrame:
         F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
         repeated_words(w).alias("n_repeat_words"),
     )
-    rows = docs.select("doc_id", "lang", let(words_of(F.col("text")), counted).alias("w"), let(lines, lined).alias("l"), marks.alias("marks"))
+    rows = docs.select("doc_id", "lang", let(words_of(F.col("text")), counted).alias("w"), let(lines, lined).alias("l"), marks.alias("marks"), *row)
     kept_chars = lambda cut: F.length(F.regexp_replace("marks", cut, "")).cast("long")
     base = (F.col("w.n_words") < 10) | (100 * F.col("w.n_repeat_words") > 20 * F.col("w.n_words"))
     return rows.select(
         "doc_id", "lang", "w.n_words", "w.word_chars", kept_chars(r"[^#*$%&|<>]+").alias("n_symbols"),
         F.col("l.dup").cast("long").alias("n_dup_lines"), "w.n_repeat_words", F.col("l.n").cast("long").alias("n_lines"),
         kept_chars("[^!]+").alias("n_exclaims"), kept_chars(r"\P{Lu}+").alias("n_upper"), base.alias("base_failed"),
+        *["row"] * carry,
     )
 
 
@@ -130,13 +134,13 @@ def cutoffs(measured: DataFrame, labels: DataFrame, risk: float = RISK, error: f
     return durable(by_rule.groupBy("lang", "n_good").agg(*last), "quality-cutoffs")
 
 
-def judge(docs: DataFrame, labels: DataFrame, risk: float = RISK, error: float = ERROR) -> DataFrame:
-    """doc_id, lang, measures, base_failed, kept for every row of docs.
+def judge(docs: DataFrame, labels: DataFrame, risk: float = RISK, error: float = ERROR, carry: bool = False) -> DataFrame:
+    """doc_id, lang, measures, base_failed, kept for every row of docs; carry: and the row itself as struct `row`.
 
     Null text counts as empty and fails the base (under 10 words). A null lang is a stratum of its own; a stratum
     without labels, like an empty labels table, applies the base rules only. Rows repeated in docs stay repeated.
     """
-    measured = durable(measures(docs), "quality-measures")
+    measured = durable(measures(docs, carry), "quality-measures")
     cuts = cutoffs(measured, labels, risk, error).withColumnRenamed("lang", "_stratum").drop("n_good")
     rows = measured.join(cuts, measured["lang"].eqNullSafe(cuts["_stratum"]), "left")
     fails = F.lit(False)
@@ -145,6 +149,11 @@ def judge(docs: DataFrame, labels: DataFrame, risk: float = RISK, error: float =
     return rows.withColumn("kept", ~F.col("base_failed") & ~fails).select(*measured.columns, "kept")
 
 
+def passing(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
+    """Rows and columns of docs that the rules keep."""
+    return judge(docs, labels, carry=True, **how).where("kept").select("row.*")
+
+
 def op5_quality_rules(spark, sf_dir: str) -> DataFrame:
     """Verdict of base rules and risk-controlled rules on every document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
