@@ -1,19 +1,51 @@
-"""Corpus pipeline: quality rules, near-duplicate removal, secret redaction, source mixing, tokenization."""
+"""Corpus pipeline: quality rules, near-duplicate removal, secret redaction, source mixing, tokenization.
+
+Each stage takes (spark, docs, sf_dir), works on all rows that its predecessor kept, and returns the columns of docs;
+the last returns one row of token and decoding digests for each row of the mix.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from kindred.llm import mixing
+from kindred.llm import bpe, mixing, quality, secrets, simhash
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep."""
+    return quality.passing(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality"))
+
+
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group."""
+    return simhash.keep_one(docs)
 
 
-def _mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, secrets replaced by a mark."""
+    return secrets.redact(docs)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of sources takes them."""
     return mixing.mixed(docs)
 
 
-STAGES = [("mix", _mix)]
+def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token and decoding digests of every row."""
+    return bpe.digests(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+STAGES = [
+    ("quality_rules", quality_stage),
+    ("simhash_near_dedup", near_dedup_stage),
+    ("secret_scans", secrets_stage),
+    ("mix_sources", mixing_stage),
+    ("byte_bpe", tokens_stage),
+]
 
-#: The stages call non-SQL operators; tests compare run() with a brute-force version.
+#: SQL has no SimHash, redaction or BPE; tests compare run() with a brute-force version.
 ORACLE_SQL = None
 
 
