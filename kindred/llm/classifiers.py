@@ -12,9 +12,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kindred.llm import subword
+from kindred.llm.common import durable
 
 #: Labelled texts that a model is fitted on: the first of each class in a fixed hash order.
 TRAIN_PER_CLASS = 2000
+#: Labels that a model can have.
+CLASSES = 1000
 #: Every so many of them are held back to calibrate probabilities and the rejection cutoff.
 HOLD_BACK = 5
 QUALITY_GRAMS, LANGUAGE_GRAMS = (3, 4), (2, 3, 4)
@@ -28,9 +31,19 @@ def remainder(doc_id: Column, modulus: int) -> Column:
 
 
 def sample(rows: DataFrame, per_class: int = TRAIN_PER_CLASS) -> DataFrame:
-    """The first per_class rows of each label in a fixed hash order of doc_id (each task passes on as many at most)."""
-    order = W.partitionBy("label").orderBy(F.xxhash64("doc_id", F.lit("sample")), "doc_id")
-    return rows.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= per_class).drop("_n")
+    """The first per_class rows of each label of rows(doc_id, label) in a fixed hash order of doc_id, as a table in
+    the shared folder: at most CLASSES * per_class rows of an id and a label, so small enough to broadcast.
+
+    Rows whose hash is beyond twice the expected place of the last one taken are left out before ranking, so a
+    frequent label doesn't meet in one task."""
+    counts = rows.groupBy("label").count().limit(CLASSES + 1).collect()
+    if len(counts) > CLASSES:
+        raise ValueError(f"more than {CLASSES} labels")
+    share = [F.lit(x) for r in counts for x in (r["label"], 2.0 * per_class / r["count"])] or [F.lit(0), F.lit(0.0)]
+    place = F.xxhash64("doc_id", F.lit("sample"))
+    near = rows.where(place / 2.0**64 + 0.5 <= F.create_map(*share)[F.col("label")])
+    order = W.partitionBy("label").orderBy(place, "doc_id")
+    return durable(near.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= per_class).drop("_n"), "sample")
 
 
 def fit(texts: DataFrame, grams: tuple[int, ...], fold: bool) -> tuple[subword.Model, list, list]:
@@ -64,7 +77,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, share_good: float | None
     prior = good / sum(counts.values()) if counts else 0.5
     if len(counts) == 2:
         chosen = sample(usable, per_class)
-        texts = docs.select("doc_id", "text").join(chosen, "doc_id").select("doc_id", "label", "text")
+        texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text")
         model, _, _ = fit(texts, QUALITY_GRAMS, fold=False)
         shift = np.log(prior / (1 - prior)) - np.log(min(good, per_class) / min(sum(counts.values()) - good, per_class))
     else:
@@ -107,8 +120,8 @@ def languages(docs: DataFrame, per_class: int = TRAIN_PER_CLASS) -> DataFrame:
     """
     letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
     usable = docs.where(F.col("lang").isNotNull() & letter & (remainder(F.col("doc_id"), 5) != 0))
-    chosen = sample(usable.select("doc_id", F.col("lang").alias("label")), per_class).dropDuplicates()
-    texts = docs.select("doc_id", "text", F.col("lang").alias("_lang")).join(chosen, "doc_id").where("_lang = label")
+    chosen = sample(usable.select("doc_id", F.col("lang").alias("label")), per_class)
+    texts = docs.select("doc_id", "text", F.col("lang").alias("_lang")).join(F.broadcast(chosen.distinct()), "doc_id").where("_lang = label")
     model, held_bags, held_labels = fit(texts.select("doc_id", "label", "text"), LANGUAGE_GRAMS, fold=True)
     cutoff = rejection_cutoff(model, held_bags, held_labels)
 
