@@ -9,13 +9,13 @@ from pyspark.sql import functions as F
 from kindred.functions import text as T
 from kindred.operators import graph
 
-#: Encodings tried in turn: the first without a replacement character in the file wins.
+#: Encodings tried in turn.
 ENCODINGS = ("UTF-8", "x-MacRoman", "ISO-8859-1")
 
 
 def encoding_of(spark: SparkSession, path: str) -> str:
     """UTF-8 if every line decodes, else MacRoman (in which every byte has a meaning)."""
-    broken = spark.read.text(path).where(F.col("value").contains("�"))
+    broken = spark.read.text(path).where(~F.is_valid_utf8("value"))
     return ENCODINGS[0] if broken.isEmpty() else ENCODINGS[1]
 
 
