@@ -9,21 +9,33 @@ from pyspark.sql import functions as F
 from kindred.functions import text as T
 from kindred.operators import graph
 
-#: Encodings tried in turn.
-ENCODINGS = ("UTF-8", "x-MacRoman", "ISO-8859-1")
+#: Encodings of record files: UTF-8 if every line is valid, else MacRoman, in which every byte has a meaning.
+UTF_8, MAC_ROMAN = "UTF-8", "mac_roman"
+#: Spark reads no MacRoman: such files are read byte for byte as Latin-1, and their upper half is put right afterwards.
+_LATIN = bytes(range(128, 256)).decode("latin-1")
+_MAC = bytes(range(128, 256)).decode("mac_roman")
 
 
 def encoding_of(spark: SparkSession, path: str) -> str:
-    """UTF-8 if every line decodes, else MacRoman (in which every byte has a meaning)."""
+    """The encoding of a text file, found from its lines."""
     broken = spark.read.text(path).where(~F.is_valid_utf8("value"))
-    return ENCODINGS[0] if broken.isEmpty() else ENCODINGS[1]
+    return UTF_8 if broken.isEmpty() else MAC_ROMAN
+
+
+def read_csv(spark: SparkSession, path: str, encoding: str | None = None, **options) -> DataFrame:
+    """A CSV in the given encoding (of Spark's, or mac_roman), by default the one that is found out."""
+    encoding = encoding or encoding_of(spark, path)
+    rows = spark.read.csv(path, encoding="ISO-8859-1" if encoding == MAC_ROMAN else encoding, **options)
+    if encoding != MAC_ROMAN:
+        return rows
+    right = str.maketrans(_LATIN, _MAC)
+    return rows.select(*[(F.translate(rows[c], _LATIN, _MAC) if k == "string" else rows[c]).alias(c.translate(right)) for c, k in rows.dtypes])
 
 
 def read_records(spark: SparkSession, path: str, encoding: str | None = None, header: bool = True, infer: bool = True) -> DataFrame:
-    """Record table of a CSV with a header; with encoding None it is found out. Adds rid, the natural id if it is
-    contiguous from 0, else the row's rank by it (by all columns without an id)."""
-    rows = spark.read.csv(path, header=header, inferSchema=infer, encoding=encoding or encoding_of(spark, path), multiLine=True, escape='"')
-    return with_rid(rows)
+    """Record table of a CSV with a header. Adds rid, the natural id if it is contiguous from 0, else the row's rank
+    by it (by all columns without an id)."""
+    return with_rid(read_csv(spark, path, encoding, header=header, inferSchema=infer, multiLine=True, escape='"'))
 
 
 def with_rid(rows: DataFrame) -> DataFrame:
@@ -56,7 +68,7 @@ def is_int_pair(a, b):
 def read_truth_pairs(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
     """(rid, cluster) by closure of a CSV's first two columns; rows that aren't two whole numbers, such as a header,
     are left out, and a pair (i, i) is a cluster of one."""
-    rows = spark.read.csv(path, header=False, inferSchema=False, encoding=encoding or encoding_of(spark, path))
+    rows = read_csv(spark, path, encoding, header=False, inferSchema=False)
     a, b = F.col(rows.columns[0]), F.col(rows.columns[1])
     pairs = rows.where(is_int_pair(a, b)).select(F.trim(a).cast("long").alias("a"), F.trim(b).cast("long").alias("b"))
     return graph.closure(pairs)
