@@ -2,7 +2,7 @@
 
 The standard library's streaming parser turns a page into lines, one per block of text, each with its number of
 characters outside links and of tags since the line before. The ratios of the two are smoothed over neighbouring
-lines, and a threshold between the two clusters of smoothed ratios tells content lines. A region, i.e. the lines of
+lines of a container, and a threshold between the two clusters of smoothed ratios tells content lines. A region, i.e. the lines of
 one container, is main text if it has content lines; then all its lines are, so short paragraphs and headings stay.
 Elements whose name, role or class says that they aren't article text never become lines.
 """
@@ -169,7 +169,9 @@ def main_text(html: str | None) -> str:
         lines = [x for x in lines if x[1]]
     if not lines:
         return ""
-    ratios = smoothed(np.array([n / (tags + 1) for _, _, n, tags, _ in lines]))
+    ratios, of = np.array([n / (tags + 1) for _, _, n, tags, _ in lines]), np.array([x[0] for x in lines])
+    for region in np.unique(of):  # lines of other containers aren't neighbours
+        ratios[of == region] = smoothed(ratios[of == region])
     content = ratios >= min(threshold(ratios), float(ratios.max()))
     size: dict[int, int] = {}
     for region, _, n, _, _ in lines:

@@ -1,0 +1,44 @@
+"""The pipeline's stages, each against a brute-force view of its own input."""
+
+import hashlib
+import os
+
+import pytest
+
+corpus_pipeline = pytest.importorskip("corpus_pipeline")
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the test tables")
+def test_stages(spark):
+    from kindred.llm import mixing, quality, secrets, simhash
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    columns, labels = docs.columns, spark.read.parquet(f"{SF}/labels.parquet")
+    seen = [docs.collect()]
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, SF)
+        rows = docs.collect()
+        if name != "byte_bpe":
+            assert docs.columns == columns
+        docs, before = (spark.createDataFrame(rows, docs.schema), docs) if rows else (docs, docs)
+        seen.append(rows)
+    ids = [[r.doc_id for r in rows] for rows in seen]
+    table = lambda k: spark.createDataFrame(seen[k], spark.read.parquet(f"{SF}/documents.parquet").schema)
+    assert sorted(ids[1]) == sorted(r.doc_id for r in quality.judge(table(0), labels).where("kept").collect())
+    assert sorted(ids[2]) == sorted({r.component_id for r in simhash.groups(table(1)).collect()})
+    assert sorted(ids[3]) == sorted(ids[2]) and not any(secrets.base_spans(r.text, r.text.lower()) for r in seen[3])
+    copies = {r.doc_id: r.copies for r in mixing.mix(table(3)).collect()}
+    assert sorted(ids[4]) == sorted(i for i, n in copies.items() for _ in range(n))
+    texts = {r.doc_id: r.text for r in seen[4]}
+    assert len(seen[5]) == len(seen[4])
+    assert all(r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest() for r in seen[5])
+
+
+def test_registered():
+    import __spark_entry__
+
+    names = __spark_entry__.queries()
+    assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
+    assert set(__spark_entry__.oracle_sql()) <= set(names)
