@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from kindred.llm import bpe, chat, classifiers, embedding_dedup, html_text, mixing, quality, secrets, simhash
+from kindred.llm import bpe, chat, classifiers, embedding_dedup, html_text, mixing, oracles, quality, secrets, simhash
 
 
 def queries() -> dict:
@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op9_preference_pairs": chat.OP9_SQL}
+    return dict(oracles.SQL)
