@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from kindred.llm import subword
 from kindred.llm.common import durable
 
-#: Labelled texts that a model is fitted on: the first of each class in a fixed hash order.
-TRAIN_PER_CLASS = 2000
+#: Labelled texts that a model is fitted on, of one class and in all: the first of each class in a fixed hash order.
+TRAIN_PER_CLASS, TRAIN_TEXTS = 2000, 8000
 #: Labels that a model can have.
 CLASSES = 1000
 #: Every so many of them are held back to calibrate probabilities and the rejection cutoff.
@@ -31,14 +31,16 @@ def remainder(doc_id: Column, modulus: int) -> Column:
 
 
 def sample(rows: DataFrame, per_class: int = TRAIN_PER_CLASS) -> DataFrame:
-    """The first per_class rows of each label of rows(doc_id, label) in a fixed hash order of doc_id, as a table in
-    the shared folder: at most CLASSES * per_class rows of an id and a label, so small enough to broadcast.
+    """The first per_class rows of each label of rows(doc_id, label), fewer if all labels together would have more
+    than TRAIN_TEXTS, in a fixed hash order of doc_id, as a table in the shared folder. It has at most
+    max(TRAIN_TEXTS, CLASSES) rows of an id and a label, so it is small enough to broadcast.
 
     Rows whose hash is beyond twice the expected place of the last one taken are left out before ranking, so a
     frequent label doesn't meet in one task."""
     counts = rows.groupBy("label").count().limit(CLASSES + 1).collect()
     if len(counts) > CLASSES:
         raise ValueError(f"more than {CLASSES} labels")
+    per_class = max(1, min(per_class, TRAIN_TEXTS // max(1, len(counts))))
     share = [F.lit(x) for r in counts for x in (r["label"], 2.0 * per_class / r["count"])] or [F.lit(0), F.lit(0.0)]
     place = F.xxhash64("doc_id", F.lit("sample"))
     near = rows.where(place / 2.0**64 + 0.5 <= F.create_map(*share)[F.col("label")])
