@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -12,14 +14,27 @@ from kindred.functions.vectors import centroids, euclidean
 from kindred.operators import graph, joins, lsh
 
 
+def _blocks(vectors: DataFrame, over: float, pairs: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(rid, cluster) by components of pairs(distinct vectors). Copies of a vector are one vertex, the least of their
+    ids, so a large group of copies makes no pairs; they share a block unless their cosine isn't over the threshold."""
+    alone = ~F.exists("embedding", lambda x: x != 0) if over < 1 else F.lit(True)
+    keyed = vectors.select("rid", "embedding", F.when(alone, F.col("rid")).alias("apart"))
+    distinct = keyed.groupBy("embedding", "apart").agg(F.min("rid").alias("least"))
+    edges = pairs(distinct.select(F.col("least").alias("rid"), "embedding")).select(F.col("u").alias("a"), F.col("v").alias("b"))
+    found = graph.components(edges).withColumnRenamed("id", "least")
+    led = distinct.join(found, "least", "left").select("embedding", "apart", F.coalesce("component", "least").alias("cluster"))
+    on = keyed["embedding"].eqNullSafe(led["embedding"]) & keyed["apart"].eqNullSafe(led["apart"])
+    return keyed.join(led, on).select("rid", "cluster")
+
+
 def exact_blocks(vectors: DataFrame, over: float) -> DataFrame:
     """(rid, cluster) by components of all pairs with a cosine over the threshold; alone where there is none."""
-    return graph.partition(vectors, joins.cosine_pairs(vectors, over).select(F.col("u").alias("a"), F.col("v").alias("b")))
+    return _blocks(vectors, over, lambda distinct: joins.cosine_pairs(distinct, over))
 
 
 def lsh_blocks(vectors: DataFrame, over: float, **how) -> DataFrame:
     """(rid, cluster) by components of the locality-sensitive join's pairs."""
-    return graph.partition(vectors, lsh.lsh_pairs(vectors, over, **how).select(F.col("u").alias("a"), F.col("v").alias("b")))
+    return _blocks(vectors, over, lambda distinct: lsh.lsh_pairs(distinct, over, **how))
 
 
 def jaccard_blocks(records: DataFrame, columns: list[str], at_least: float, by: str) -> DataFrame:

@@ -4,7 +4,6 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from pyspark.sql import functions as F
 
 from kindred.operators import blocking, clusterers, clustering, experiments, graph, guard, joins, lsh, merge, metrics, recordsets
 from kindred.plans.resolve import resolve
@@ -170,4 +169,11 @@ def test_anchor_modes(spark):
     assert [r.rid for r in blocking.central_anchors(df, 1).collect()] == [3]
     chosen = blocking.block_anchors(df, spark.createDataFrame([(i, 0) for i in range(4)], "rid long, cluster long"), 0.3).collect()
     assert len(chosen) == 2
-    assert F is not None
+
+
+def test_copies_share_a_block_without_pairs(spark):
+    df = vectors(spark, [(1, 0)] * 40 + [(0.99, 0.05), (0, 1), (0, 0), (0, 0)])
+    for blocks in (blocking.exact_blocks(df, 0.9), blocking.lsh_blocks(df, 0.9, bits=2)):
+        found = dict(blocks.collect())
+        assert {found[i] for i in range(41)} == {0} and [found[i] for i in (41, 42, 43)] == [41, 42, 43]
+    assert blocking.exact_blocks(df, 1.0).select("cluster").distinct().count() == 44
