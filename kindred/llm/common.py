@@ -1,34 +1,19 @@
-"""Helpers shared by the training-data operators: durable scratch tables, lambda-local values, components."""
+"""Helpers shared by the training-data operators: lambda-local values, words, and the core's durable tables and components."""
 
 from __future__ import annotations
 
-import os
-import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: What separates words everywhere in this subpackage: blank and \t \n \v \f \r.
-SPACE_CLASS = r"[\x20\x09-\x0D]"
-
+from kindred.operators.graph import components
+from kindred.operators.storage import durable
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that the driver and all executors share: spark.checkpoint.dir, or a local one in local mode only."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
-    return os.path.join("/tmp/checkpoints", "kindred")
+__all__ = ["SPACE_CLASS", "components", "durable", "let", "words_of"]
 
-
-def durable(df: DataFrame, label: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: What separates words everywhere in this subpackage: blank and \\t \\n \\v \\f \\r.
+SPACE_CLASS = r"[\x20\x09-\x0D]"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -39,29 +24,3 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 def words_of(text: Column) -> Column:
     """Array of the maximal runs of characters other than SPACE_CLASS; empty for null."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE_CLASS + "+"), lambda w: w != "")
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """(id, component): smallest id reachable over the undirected edges (a, b), for every id with an edge.
-
-    Alternating large-star and small-star rounds, each written to the shared folder. Every step is a
-    grouped minimum (combined before the shuffle) and an equi-join, so a hub never has to fit one task.
-    """
-    now = durable(
-        edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges"
-    )
-    before = None
-    while True:
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = durable(large.where("a <> b").distinct(), "large-star")
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b"))
-        now = durable(small.where("a <> b").distinct(), "small-star")
-        state = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if state == before:
-            break
-        before = state
-    roots = now.select(F.col("b").alias("id"), F.col("b").alias("component"))
-    return now.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(roots).distinct()
