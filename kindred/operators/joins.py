@@ -17,11 +17,13 @@ from kindred.functions import text as T
 BLOCK_ROWS = 1024
 
 
-def _matrix(rows: list) -> tuple[np.ndarray, np.ndarray]:
-    ids = np.array([r["rid"] for r in rows], np.int64)
-    unit = np.array([r["embedding"] for r in rows], np.float64)
-    length = np.linalg.norm(unit, axis=1, keepdims=True)
-    return ids, unit / np.where(length > 0, length, 1)
+def _matrix(rows: pa.ListScalar) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and unit vectors of a packed block."""
+    values = rows.values
+    ids = values.field("rid").to_numpy(zero_copy_only=False).astype(np.int64)
+    x = np.asarray(values.field("embedding").flatten(), np.float64).reshape(len(ids), -1)
+    length = np.linalg.norm(x, axis=1, keepdims=True)
+    return ids, x / np.where(length > 0, length, 1)
 
 
 def block_pairs(vectors: DataFrame, use: Callable[[np.ndarray, np.ndarray, np.ndarray, bool], pd.DataFrame], schema: str) -> DataFrame:
@@ -38,9 +40,10 @@ def block_pairs(vectors: DataFrame, use: Callable[[np.ndarray, np.ndarray, np.nd
 
     def run(batches):
         for b in batches:
-            for i, j, rows, other in zip(*[b.column(c).to_pylist() for c in ("block", "other", "rows", "other_rows")], strict=True):
+            for k in range(b.num_rows):
+                i, j, rows, other = (b.column(c)[k] for c in ("block", "other", "rows", "other_rows"))
                 (u, x), (v, y) = _matrix(rows), _matrix(other)
-                yield pa.RecordBatch.from_pandas(use(u, v, x @ y.T, i == j), preserve_index=False)
+                yield pa.RecordBatch.from_pandas(use(u, v, x @ y.T, i.as_py() == j.as_py()), preserve_index=False)
 
     return pairs.select("block", "other", "rows", "other_rows").mapInArrow(run, schema)
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kindred.operators import graph
+from kindred.operators.storage import durable
 
 
 def aligned(pred: DataFrame, truth: DataFrame) -> DataFrame:
@@ -176,7 +177,7 @@ def accuracy(table: DataFrame) -> DataFrame:
 
 def report(pred: DataFrame, truth: DataFrame) -> DataFrame:
     """One row with all metrics of pred(rid, cluster) against truth(rid, cluster)."""
-    table = contingency(aligned(pred, truth)).cache()
+    table = durable(contingency(aligned(pred, truth)), "contingency")  # read by every metric
     parts = [
         accuracy(table),
         f_purity(table),
