@@ -29,8 +29,11 @@ DROPPED_WORDS = frozenset(
     "consent gdpr notice notices alert popup modal overlay nav navbar navigation menu menus breadcrumb breadcrumbs sidebar "
     "sidebars aside footer foot masthead topbar toolbar comment comments disqus reply replies respond "
     "related recommended recommendations share sharing social newsletter subscribe subscription signup login "
-    "pagination pager complementary contentinfo".split()
+    "pagination pager complementary contentinfo adsense adbox copyright disclaimer skip".split()
 )
+#: Fixed: a `header` in class, id or role is the page's, unless one of these stands beside it.
+TITLED = frozenset("article post entry story content".split())
+HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 #: Fixed: elements that end a line before and after them.
 BLOCKS = frozenset(
     "address article blockquote body br caption center dd details div dl dt figcaption figure h1 h2 h3 h4 h5 h6 header hgroup "
@@ -44,14 +47,16 @@ CONTAINERS, ARTICLES = frozenset("body div section td article main".split()), fr
 SIGMA = 1.0
 _TOKENS = re.compile(r"[A-Za-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
+#: Says that a page part exists, or not, beside the element: has-sidebar, no-comments.
+_BESIDE = re.compile(r"\b(?:has|with|no|without)[-_]\w+", re.IGNORECASE)
 
 
 class _Lines(HTMLParser):
-    """Collects (region, in an article, characters outside links, tags, text) for each line."""
+    """Collects (region, in an article, characters outside links, tags, text, is a heading) for each line."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[int, bool, int, int, str]] = []
+        self.lines: list[tuple[int, bool, int, int, str, bool]] = []
         self.open: list[tuple[str, bool, int, bool]] = []  # tag, dropped, region, in an article
         self.counts: Counter[str] = Counter()  # of open elements, by tag
         self.dropped, self.region, self.article, self.n_regions = 0, 0, False, 0
@@ -61,7 +66,8 @@ class _Lines(HTMLParser):
         if self.text:
             text = " ".join("".join(self.text).split())
             if text:
-                self.lines.append((self.region, self.article, max(0, len(text) - self.linked), self.tags, text))
+                heading = any(self.counts[h] for h in HEADINGS)
+                self.lines.append((self.region, self.article, max(0, len(text) - self.linked), self.tags, text, heading))
                 self.tags = 0
             self.text, self.linked = [], 0
 
@@ -89,8 +95,8 @@ class _Lines(HTMLParser):
             self.pop(len(self.open) - 1)
         if tag in VOID:
             return
-        dropped = tag in DROPPED or (tag == "header" and not self.article) or (tag not in ("html", "body", "article", "main") and self.marked(attrs))
-        dropped = dropped or (tag == "article" and self.article and self.marked(attrs))
+        dropped = tag in DROPPED or (tag == "header" and not self.article) or (tag not in ("html", "body", "article", "main") and self.marked(attrs, self.article))
+        dropped = dropped or (tag == "article" and self.article and self.marked(attrs, True))
         if tag not in BLOCKS and tag != "a" and not dropped:
             return  # plain inline markup changes nothing
         self.open.append((tag, dropped, self.region, self.article))
@@ -102,10 +108,12 @@ class _Lines(HTMLParser):
             self.region, self.article = self.n_regions, tag in ARTICLES
 
     @staticmethod
-    def marked(attrs: list) -> bool:
+    def marked(attrs: list, article: bool) -> bool:
+        """Whether class, id or role say that the element isn't article text."""
         for name, value in attrs:
             if name in ("class", "id", "role") and value:
-                if any(w.lower() in DROPPED_WORDS for w in _TOKENS.findall(_CAMEL.sub(" ", value))):
+                words = {w.lower() for w in _TOKENS.findall(_CAMEL.sub(" ", _BESIDE.sub("", value)))}
+                if words & DROPPED_WORDS or ("header" in words and not article and not words & TITLED):
                     return True
             elif name == "hidden" or (name == "aria-hidden" and value == "true"):
                 return True
@@ -165,19 +173,22 @@ def main_text(html: str | None) -> str:
     parser.close()
     parser.end_line()
     lines = parser.lines
-    if any(article for _, article, _, _, _ in lines):
+    if any(x[1] for x in lines):
         lines = [x for x in lines if x[1]]
     if not lines:
         return ""
-    ratios, of = np.array([n / (tags + 1) for _, _, n, tags, _ in lines]), np.array([x[0] for x in lines])
+    ratios, of = np.array([x[2] / (x[3] + 1) for x in lines]), np.array([x[0] for x in lines])
     for region in np.unique(of):  # lines of other containers aren't neighbours
         ratios[of == region] = smoothed(ratios[of == region])
     content = ratios >= min(threshold(ratios), float(ratios.max()))
     size: dict[int, int] = {}
-    for region, _, n, _, _ in lines:
-        size[region] = size.get(region, 0) + n
+    for x in lines:
+        size[x[0]] = size.get(x[0], 0) + x[2]
     regions = {x[0] for x, c in zip(lines, content.tolist(), strict=True) if c} | {max(size, key=size.get)}
-    return " ".join(x[4] for x in lines if x[0] in regions)
+    chosen = [x[0] in regions for x in lines]
+    for i in range(len(lines) - 2, -1, -1):  # headings belong to what follows
+        chosen[i] = chosen[i] or (lines[i][5] and chosen[i + 1])
+    return " ".join(x[4] for x, c in zip(lines, chosen, strict=True) if c)
 
 
 def extract(pages: DataFrame) -> DataFrame:
