@@ -12,7 +12,7 @@ from kindred.operators.storage import durable
 
 __all__ = ["SPACE_CLASS", "components", "durable", "let", "words_of"]
 
-#: What separates words everywhere in this subpackage: blank and \\t \\n \\v \\f \\r.
+#: What separates words everywhere in this subpackage: blank, tab, line feed, vertical tab, form feed, carriage return.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 
 

@@ -99,7 +99,18 @@ def _ordered_hash(docs: DataFrame) -> Column:
     return F.xxhash64(docs["doc_id"], docs["text"])
 
 
-def mix(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, cap: int = 2) -> DataFrame:
+def _with_mix(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, cap: int = 2) -> DataFrame:
+    """docs with a struct `_mix` of size, source_size, target and copies."""
+    by = plan(docs, weights, share, cap).select(F.struct("*").alias("_plan"))
+    rows = docs.withColumns({"_hash": _ordered_hash(docs), "_size": n_words(docs["text"])})
+    rows = rows.join(by, rows["source"].eqNullSafe(by["_plan"]["source"]), "left")
+    more = F.coalesce((F.col("_hash") <= F.col("_plan.cut")).cast("int"), F.lit(0))
+    copies = F.least(F.col("_plan.copies") + more, F.lit(cap)).cast("long")
+    added = F.struct(F.col("_size").alias("size"), "_plan.source_size", "_plan.target", copies.alias("copies"))
+    return rows.select(*docs.columns, added.alias("_mix"))
+
+
+def mix(docs: DataFrame, **how) -> DataFrame:
     """docs with size, source_size, target (its source's) and copies (0 to cap): how often the mix takes each row.
 
     Needs columns doc_id, source, text; other columns pass through unless named like an added one, which is
@@ -107,21 +118,15 @@ def mix(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, cap: int = 2) ->
     doc_id and text hash alike and are taken together. Sources without words have target 0. An empty table
     gives an empty result. Reruns agree: only the rows decide, not their order or partitioning.
     """
-    by = plan(docs, weights, share, cap).withColumnRenamed("source", "_mix_source")
-    added = {"size", "source_size", "target", "copies"}
-    rows = docs.select(*[c for c in docs.columns if c not in added or c in ("doc_id", "source", "text")])
-    rows = rows.withColumns({"_mix_hash": _ordered_hash(rows), "size": n_words(rows["text"])})
-    rows = rows.join(by, rows["source"].eqNullSafe(by["_mix_source"]), "left")
-    more = F.coalesce((F.col("_mix_hash") <= F.col("cut")).cast("int"), F.lit(0))
-    copies = F.least(F.col("copies") + more, F.lit(cap)).cast("long")
-    return rows.withColumn("copies", copies).drop("_mix_hash", "_mix_source", "cut")
+    added = ("size", "source_size", "target", "copies")
+    return _with_mix(docs, **how).select(*[c for c in docs.columns if c not in added], "_mix.*")
 
 
 def mixed(docs: DataFrame, **how) -> DataFrame:
     """The mix itself: every row of docs as often as mix() takes it, with the columns of docs."""
-    taken = mix(docs, **how)
-    repeat = F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))).alias("_mix_copy")
-    return taken.select("*", repeat).select(*docs.columns)
+    taken = _with_mix(docs, **how)
+    repeat = F.explode(F.array_repeat(F.lit(0), F.col("_mix.copies").cast("int"))).alias("_mix_copy")
+    return taken.select(*docs.columns, repeat).select(*docs.columns)
 
 
 def op6_mix_sources(spark, sf_dir: str) -> DataFrame:

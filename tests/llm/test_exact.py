@@ -212,6 +212,9 @@ def test_mixing(docs, none):
     assert sorted((str(r.doc_id), r.copies) for r in got) == sorted((str(r.doc_id), r.copies) for r in again)
     out = mixing.mixed(docs)
     assert out.columns == docs.columns and out.count() == sum(r.copies for r in got)
+    assert {r.size for r in out.collect()} == {"clash"}  # a column of docs that is named like an added one
+    clash = docs.selectExpr("*", "1 as cut", "2 as copies", "3 as target")
+    assert mixing.mixed(clash).count() == out.count() and mixing.mix(clash).count() == docs.count()
     assert mixing.mix(none).count() == 0
 
 
