@@ -61,10 +61,12 @@ def selected(reply: Column, n: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), n), lambda i: F.coalesce(i == k, F.lit(False)))
 
 
-def yes_no(reply: Column) -> Column:
-    """1 for a reply with `yes`, else -1 for one with `no`, else 0."""
+def yes_no(reply: Column, logprob: Column | None = None) -> Column:
+    """1 for a reply with `yes`, else -1 for one with `no`, else 0; with the answer's log-probability, that
+    probability instead of 1."""
     low = F.lower(reply)
-    return F.when(low.contains("yes"), 1).when(low.contains("no"), -1).otherwise(0)
+    sign = F.when(low.contains("yes"), 1).when(low.contains("no"), -1).otherwise(0)
+    return sign if logprob is None else sign * F.exp(logprob)
 
 
 def price_table(spark: SparkSession, prices: tuple = PRICES) -> DataFrame:

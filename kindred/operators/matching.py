@@ -61,13 +61,14 @@ def matched_clusters(ids: DataFrame, rows: DataFrame) -> DataFrame:
     return graph.partition(ids, rows.where("is_match").select(F.col("anchor").alias("a"), F.col("candidate").alias("b")))
 
 
-def confusion(rows: DataFrame, truth: DataFrame) -> DataFrame:
-    """One row (tp, fp, fn, tn, precision, recall, f1) of is_match against equal clusters in truth(rid, cluster)."""
+def confusion(rows: DataFrame, truth: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """One row (tp, fp, fn, tn, precision, recall, f1), or one for each value of `by` (a dataset, say), of is_match
+    against equal clusters in truth(rid, cluster)."""
     of = lambda key, name: truth.select(F.col("rid").alias(key), F.col("cluster").alias(name))
     judged = rows.join(of("anchor", "x"), "anchor", "left").join(of("candidate", "y"), "candidate", "left")
     same = F.coalesce(F.col("x") == F.col("y"), F.lit(False))
     yes = F.col("is_match")
-    row = judged.agg(
+    row = judged.groupBy(*by).agg(
         F.count_if(yes & same).alias("tp"), F.count_if(yes & ~same).alias("fp"), F.count_if(~yes & same).alias("fn"), F.count_if(~yes & ~same).alias("tn")
     )
     ratio = lambda a, b: F.when(b == 0, 0.0).otherwise(a / b)
@@ -75,6 +76,11 @@ def confusion(rows: DataFrame, truth: DataFrame) -> DataFrame:
     return row.withColumn("f1", ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
 
 
+def macro_mean(reports: DataFrame) -> DataFrame:
+    """One row: mean precision, recall and f1 over the rows of confusion(by=...)."""
+    return reports.agg(*[F.avg(c).alias(c) for c in ("precision", "recall", "f1")])
+
+
 def with_cache(prompts: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(answered, open) of prompts(prompt, ...): answers found in cache(key, reply) by SHA-256 of the prompt, and the rest."""
     keyed = prompts.withColumn("key", F.sha2("prompt", 256))

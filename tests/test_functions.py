@@ -60,3 +60,4 @@ def test_replies(spark):
     assert one(spark, c=R.selected(F.lit("[0] or [4]"), F.lit(3))).c == [False] * 3
     assert one(spark, c=R.parsed_batch(F.lit('so: {"T1": [[1, 2]], "T2": [[3]]} ok'))).c == {"T1": [[1, 2]], "T2": [[3]]}
     assert [one(spark, c=R.yes_no(F.lit(x))).c for x in ("Yes.", "no", "?")] == [1, -1, 0]
+    assert one(spark, c=R.yes_no(F.lit("no"), F.lit(0.0))).c == -1.0

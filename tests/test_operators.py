@@ -5,7 +5,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from kindred.operators import blocking, clusterers, clustering, experiments, graph, guard, joins, lsh, merge, metrics, recordsets
+from kindred.operators import blocking, clusterers, clustering, experiments, graph, guard, joins, lsh, matching, merge, metrics, recordsets
 from kindred.plans.resolve import resolve
 
 
@@ -177,3 +177,15 @@ def test_copies_share_a_block_without_pairs(spark):
         found = dict(blocks.collect())
         assert {found[i] for i in range(41)} == {0} and [found[i] for i in (41, 42, 43)] == [41, 42, 43]
     assert blocking.exact_blocks(df, 1.0).select("cluster").distinct().count() == 44
+
+
+def test_reports_by_dataset(spark):
+    rows = spark.createDataFrame([("a", 0, 1, True), ("a", 0, 2, True), ("b", 3, 4, False)], "set string, anchor long, candidate long, is_match boolean")
+    truth = spark.createDataFrame([(0, 0), (1, 0), (2, 1), (3, 3), (4, 3)], "rid long, cluster long")
+    by = {r["set"]: (r.tp, r.fp, r.fn, r.tn, r.precision, r.recall) for r in matching.confusion(rows, truth, ("set",)).collect()}
+    assert by == {"a": (1, 1, 0, 0, 0.5, 1.0), "b": (0, 0, 1, 0, 0.0, 0.0)}
+    assert matching.macro_mean(matching.confusion(rows, truth, ("set",))).first().recall == 0.5
+    open_, done = spark.createDataFrame([("p",), ("q",)], "prompt string"), spark.createDataFrame([("p", "yes")], "prompt string, reply string")
+    cache = done.selectExpr("sha2(prompt, 256) as key", "reply")
+    answered, rest = matching.with_cache(open_, cache)
+    assert [r.reply for r in answered.collect()] == ["yes"] and [r.prompt for r in rest.collect()] == ["q"]
