@@ -188,19 +188,20 @@ def shard_keys(fp: Column, blocks: int, radius: int = RADIUS) -> Column:
     return F.array(*[F.struct(F.lit(i).alias("choice"), fp.bitwiseAND(F.lit(signed(m))).alias("bits")) for i, m in enumerate(chosen)])
 
 
-def linked(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(a, b): links whose components are those of all pairs of distinct fingerprints (column fp) within radius."""
-    blocks = n_blocks(fps.count(), radius)
-    sharded = fps.select("fp", F.explode(shard_keys(F.col("fp"), blocks, radius)).alias("key")).select("fp", "key.*")
+def linked(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(a, b): links between ids of distinct(fp, id) whose components are those of all fingerprints within radius;
+    b is the smallest id of the group that a shard found."""
+    blocks = n_blocks(distinct.count(), radius)
+    sharded = distinct.select("fp", "id", F.explode(shard_keys(F.col("fp"), blocks, radius)).alias("key")).select("fp", "id", "key.*")
     # Several shards share a task's Arrow group; what a group must hold is bounded by its own shards.
-    buckets = max(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1) * 4
+    buckets = max(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1) * 4
     sharded = sharded.withColumn("bucket", F.pmod(F.xxhash64("choice", "bits"), F.lit(buckets)))
 
     def links(bucket: pd.DataFrame) -> pd.DataFrame:
-        order = np.lexsort((bucket["fp"], bucket["bits"], bucket["choice"]))
-        fp, bits, choice = (bucket[c].to_numpy()[order] for c in ("fp", "bits", "choice"))
+        order = np.lexsort((bucket["id"], bucket["bits"], bucket["choice"]))
+        fp, ids, bits, choice = (bucket[c].to_numpy()[order] for c in ("fp", "id", "bits", "choice"))
         shard = np.cumsum(np.append(False, (bits[1:] != bits[:-1]) | (choice[1:] != choice[:-1])))
-        lead = np.arange(len(fp))
+        lead = np.arange(len(fp))  # the first position of a group has its smallest id
         sizes = np.bincount(shard)
         for s in np.flatnonzero(sizes > SMALL):
             of = np.flatnonzero(shard == s)
@@ -212,11 +213,15 @@ def linked(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
             if len(of):
                 lead[of] = of[link_small_shards(fp[of].view(np.uint64), shard[of], radius)]
         more = np.flatnonzero(lead != np.arange(len(fp)))
-        return pd.DataFrame({"a": fp[more], "b": fp[lead[more]]})
+        return pd.DataFrame({"a": ids[more], "b": ids[lead[more]]})
 
     return sharded.groupBy("bucket").applyInPandas(links, "a long, b long")
 
 
+#: Fingerprints of documents without an id get ids from here on, above all real ones.
+NO_ID = 1 << 62
+
+
 def groups(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(doc_id, fp, component_id) for every row of docs.
 
@@ -225,12 +230,13 @@ def groups(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     ids only has a null component_id. Rows repeated in docs stay repeated; an empty table gives no rows.
     """
     each = durable(fingerprints(docs), "simhash")
-    distinct = durable(each.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
-    found = components(linked(distinct.select("fp"), radius)).withColumnRenamed("id", "fp")
-    led = distinct.join(found, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    least = led.groupBy("component").agg(F.min("least").alias("component_id"))
-    by_fp = led.join(least, "component").select("fp", "component_id")
-    return each.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+    # A fingerprint is known by its smallest doc_id, so that components are named as asked without another grouping.
+    known = F.coalesce(F.min("doc_id"), F.lit(NO_ID) + F.col("fp").bitwiseAND(F.lit(NO_ID - 1)))
+    distinct = durable(each.groupBy("fp").agg(known.alias("id")), "simhash-distinct")
+    found = components(linked(distinct, radius))
+    led = distinct.join(found, "id", "left").select("fp", F.coalesce("component", "id").alias("component_id"))
+    led = led.withColumn("component_id", F.when(F.col("component_id") < NO_ID, F.col("component_id")))
+    return each.join(led, "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
