@@ -33,8 +33,6 @@ _CONTEXT = re.compile(
 )
 #: A context value is a secret from so many decimal digits of guesses on.
 GUESS_DIGITS = 8.0
-#: Longer values are cut into parts of so many characters, whose guesses multiply (more than enough for a secret).
-PART = 64
 
 #: Fixed: common password words, most common first; a word's guesses are its place in the list.
 COMMON = (
@@ -52,6 +50,8 @@ _LONGEST = max(map(len, _RANK))
 #: Fixed: rows of a keyboard; a walk runs along a row in either direction.
 ROWS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm")
 _PLACE = {c: (r, i) for r, row in enumerate(ROWS) for i, c in enumerate(row)}
+#: One character to one character: only A-Z fold.
+_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 #: Fixed: what look-alike characters stand for.
 _LEET = str.maketrans("04351@$7!", "oaeslasti")
 _DATE = re.compile(r"(?:19|20)\d\d[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:0[1-9]|[12]\d|3[01])|(?:0?[1-9]|[12]\d|3[01])[-/._](?:0?[1-9]|1[0-2])[-/._](?:19|20)\d\d|(?:19|20)\d\d")
@@ -81,25 +81,28 @@ def _alphabet(c: str) -> int:
     return 10 if c.isdigit() else 26 if c.isalpha() and c.isascii() else 33 if c.isascii() else 100
 
 
-def guess_digits(value: str) -> float:
-    """Decimal digits of the fewest guesses over all segmentations of value."""
-    return sum(_guess_digits(value[i : i + PART]) for i in range(0, len(value), PART))
+def guess_digits(value: str, enough: float = float("inf")) -> float:
+    """Decimal digits of the fewest guesses over all segmentations of value, or enough if it takes more.
 
-
-def _guess_digits(value: str) -> float:
-    n, low = len(value), value.lower()
+    Prefixes that already take enough aren't followed, so the work on a long value ends after a few spans, or after
+    the repeats and walks that make it cheap."""
+    n, low = len(value), value.translate(_LOWER)
     plain = low.translate(_LEET)
     best = [0.0] + [float("inf")] * n
-    dates: dict[int, list[int]] = {}
-    for i in range(n):
-        if value[i].isdigit() and (m := _DATE.match(value, i)):
-            dates.setdefault(i, []).append(m.end())
+    last = 0  # no open prefix ends after it
     for i in range(n):
         at = best[i]
+        if i > last:
+            break
+        if at >= enough:
+            continue
 
         def reach(j: int, cost: float, at: float = at) -> None:
+            nonlocal last
             if at + cost < best[j]:
                 best[j] = at + cost
+                if at + cost < enough:
+                    last = max(last, j)
 
         reach(i + 1, log10(_alphabet(value[i])))
         for j in range(i + 2, min(n, i + _LONGEST) + 1):
@@ -108,19 +111,21 @@ def _guess_digits(value: str) -> float:
                     upper = value[i:j] != low[i:j]
                     reach(j, log10(rank + 1) + extra + (0.5 if upper else 0.0))
                     break
-        for j in dates.get(i, ()):
-            reach(j, log10(365 * 120))
+        if m := _DATE.match(value, i):
+            reach(m.end(), log10(365 * 120))
         for step, start in ((_keyboard, 47), (_sequence, 60)):
             end = _run_end(low, i, step)
             for j in range(i + 3, end + 1):
                 reach(j, log10(start * 2 * (j - i)))
         for size in range(1, min(8, (n - i) // 2) + 1):
             unit, j = value[i : i + size], i + size
+            if size > 1 and unit == unit[0] * size:
+                continue  # found as a repeat of one character
             while value.startswith(unit, j):
                 j += size
             if j > i + 2 * size - 1 and j - i >= 3:
                 reach(j, log10(max(2, (j - i) // size)) + sum(log10(_alphabet(c)) for c in unit))
-    return best[n]
+    return min(best[n], enough)
 
 
 def base_spans(text: str, folded: str) -> list[tuple[int, int, int]]:
@@ -136,14 +141,15 @@ def base_spans(text: str, folded: str) -> list[tuple[int, int, int]]:
 
 def guess_spans(text: str, folded: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """(start, kind, end) of context values with a digit and a high guess cost that no base span covers."""
-    out = []
+    out, k, covered = [], 0, 0  # covered: the furthest end of the base spans that start at or before a value
     if any(k in folded for k in _CONTEXT_WORDS):
         for m in _CONTEXT.finditer(text):
             a, b = m.start(1), m.end(1)
             while b > a and text[b - 1] in ".:!?)":
                 b -= 1
-            covered = any(s <= a and b <= e for s, _, e in base)
-            if b - a >= 8 and not covered and guess_digits(text[a:b]) >= GUESS_DIGITS and any(c.isdigit() for c in text[a:b]):
+            while k < len(base) and base[k][0] <= a:
+                covered, k = max(covered, base[k][2]), k + 1
+            if b - a >= 8 and b > covered and any(c.isdigit() for c in text[a:b]) and guess_digits(text[a:b], GUESS_DIGITS) >= GUESS_DIGITS:
                 out.append((a, 3, b))
     return out
 
