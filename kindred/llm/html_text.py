@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 
 #: Fixed: elements whose content is never article text.
 DROPPED = frozenset(
-    "head script style noscript template iframe object svg canvas nav menu footer aside form button select option "
+    "head title script style noscript template iframe object svg canvas nav menu footer aside form button select option "
     "textarea label fieldset dialog audio video map".split()
 )
 #: Fixed: words of class, id or role that mark such an element.
@@ -41,6 +41,8 @@ BLOCKS = frozenset(
 ) | DROPPED
 #: Fixed: elements without an end tag.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: Fixed: elements of a page's head; any other ends it, as its end tag may be left out.
+HEAD_PARTS = frozenset("head title base link meta script style noscript template".split())
 #: Containers that make a region; inside ARTICLES only the outermost of them does.
 CONTAINERS, ARTICLES = frozenset("body div section td article main".split()), frozenset(("article", "main"))
 #: Standard deviation of the smoothing kernel, in lines.
@@ -82,6 +84,8 @@ class _Lines(HTMLParser):
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         self.tags += 1
+        if self.counts["head"] and tag not in HEAD_PARTS:
+            self.pop(next(i for i, x in enumerate(self.open) if x[0] == "head"))
         if tag in BLOCKS:
             self.end_line()
             for at in range(len(self.open) - 1, -1, -1):  # an open paragraph ends here

@@ -88,6 +88,8 @@ def test_html(spark):
 def test_html_without_article():
     page = "<body><div><a href=x>one</a> <a href=y>two</a></div><div id=main><p>" + "A long paragraph of text. " * 5 + "</p><p>Short.</p></div><div><a href=z>three</a></div>"
     assert html_text.main_text(page).endswith("Short.") and "one" not in html_text.main_text(page) and "three" not in html_text.main_text(page)
+    assert html_text.main_text("<html><head><title>T</title><meta charset=u><body><p>No end of head.") == "No end of head."
+    assert html_text.main_text("<title>T</title><p>No head.") == "No head."
     assert html_text.main_text("<b><p>" * 20000 + "x") == "x"
     page = '<div class="header">Site <b>name</b></div><div class="content has-sidebar"><h2>Story</h2><div><p>' + "Long text here. " * 9 + '</p></div></div><div class="sidebar">Side</div>'
     assert html_text.main_text(page) == "Story " + ("Long text here. " * 9).strip()
