@@ -1,6 +1,6 @@
 """Mixing sources to target weights by nested hash-threshold histograms (DataFrame functions only).
 
-Each document has a uniform 64-bit hash. For every source the words are summed per hash bucket; the running
+Each document has a uniform 60-bit hash. For every source the words are summed per hash bucket; the running
 sum shows in which bucket the word budget is reached, and only that bucket is refined, twice, down to single
 hash values. A document is taken if its hash is at or below its source's threshold, so nothing is sorted and
 the final filter needs one small row per source.
@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from kindred.llm.common import SPACE_CLASS, durable
 
-#: Hash bits of each of the two histogram levels.
-BITS = 12
+#: Bits of the hash, and of each of the two histogram levels.
+HASH_BITS, BITS = 60, 12
 
 
 def n_words(text: Column) -> Column:
@@ -63,7 +63,7 @@ def plan(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, cap: int = 2) -
     """One row per source: source, source_size, target, copies, cut (a document with ordered hash <= cut gets one more)."""
     key = docs.select("source", _ordered_hash(docs).alias("h"), n_words(docs["text"]).alias("size"))
     key = durable(key, "mix-keys")
-    key = key.withColumn("b1", F.shiftright("h", 64 - BITS)).withColumn("b2", F.shiftright("h", 64 - 2 * BITS))
+    key = key.withColumn("b1", F.shiftright("h", HASH_BITS - BITS)).withColumn("b2", F.shiftright("h", HASH_BITS - 2 * BITS))
     first = durable(key.groupBy("source", "b1").agg(F.sum("size").alias("words")), "mix-histogram")
     goal = targets(first.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, cap)
     copies = F.when(F.col("source_size") == 0, 0).otherwise(F.floor(F.col("target") / F.col("source_size")))
@@ -87,7 +87,7 @@ def plan(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, cap: int = 2) -
     # Of the boundary bucket's few hash values, the last taken is the one that ends nearest to the budget.
     order = W.partitionBy("source").orderBy("h").rowsBetween(W.unboundedPreceding, W.currentRow)
     third = third.withColumn("run", F.sum("words").over(order))
-    none = third.groupBy("source").agg(F.min_by("left", "h").alias("miss"), (F.greatest(F.min("h"), F.lit(1 - 2**63)) - 1).alias("h"))
+    none = third.groupBy("source").agg(F.min_by("left", "h").alias("miss"), (F.min("h") - 1).alias("h"))
     miss = F.abs(F.col("run") - F.col("left"))
     ends = third.select("source", "h", miss.alias("miss")).unionByName(none.select("source", "h", "miss"))
     cuts = ends.groupBy(F.col("source").alias("s")).agg(F.min_by("h", F.struct("miss", "h")).alias("cut"))
@@ -96,7 +96,9 @@ def plan(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, cap: int = 2) -
 
 
 def _ordered_hash(docs: DataFrame) -> Column:
-    return F.xxhash64(docs["doc_id"], docs["text"])
+    """The first HASH_BITS bits of the MD5 of id and text, which SQL engines compute alike."""
+    key = F.concat(F.coalesce(docs["doc_id"].cast("string"), F.lit("")), F.lit(":"), F.coalesce(docs["text"], F.lit("")))
+    return F.conv(F.substring(F.md5(key.cast("binary")), 1, HASH_BITS // 4), 16, 10).cast("long")
 
 
 def _with_mix(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, cap: int = 2) -> DataFrame:
@@ -134,3 +136,31 @@ def op6_mix_sources(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
     out = mix(docs)
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+#: Without histograms: the running sum over all hash values of a source.
+OP6_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+    CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')), 1, 15) AS BIGINT) AS h FROM documents
+), ranked AS (
+  SELECT *, CAST([3, 1, 2][1 + rank % 3] AS DOUBLE) AS weight, 2.0::DOUBLE * source_size AS top
+  FROM (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rank FROM d GROUP BY source)
+), levels AS (
+  SELECT *, (1.5::DOUBLE * (SELECT sum(source_size) FROM ranked) - coalesce(sum(top) OVER (ORDER BY top / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / sum(weight) OVER (ORDER BY top / weight, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM ranked
+), goal AS (
+  SELECT source, source_size,
+    CASE WHEN source_size = 0 THEN 0 ELSE least(top, coalesce((SELECT max(level) FROM levels WHERE level <= top / weight), CAST('inf' AS DOUBLE)) * weight) END AS target FROM levels
+), need AS (
+  SELECT *, CASE WHEN source_size = 0 THEN 0 ELSE floor(target / source_size) END AS copies FROM goal
+), runs AS (
+  SELECT source, h, sum(words) OVER (PARTITION BY source ORDER BY h) AS run FROM (SELECT source, h, sum(size) AS words FROM d GROUP BY source, h)
+  UNION ALL SELECT source, -1, 0 FROM need
+), cuts AS (
+  SELECT source, h AS cut FROM (SELECT r.source, h, row_number() OVER (PARTITION BY r.source ORDER BY abs(run - (target - copies * source_size)), h) AS place
+    FROM runs r JOIN need n ON r.source IS NOT DISTINCT FROM n.source) WHERE place = 1
+)
+SELECT doc_id, size, source_size, target, CAST(size * least(copies + CASE WHEN target > copies * source_size AND h <= cut THEN 1 ELSE 0 END, 2) AS BIGINT) AS taken
+FROM d JOIN need n ON d.source IS NOT DISTINCT FROM n.source JOIN cuts c ON d.source IS NOT DISTINCT FROM c.source
+"""

@@ -247,6 +247,13 @@ def test_guess_cost():
     assert cost("") == 0 and cost("password123") < 5 and cost("qwertyuiop") < 5 and cost("20240101") < 6 and cost("a" * 200) < 20
     assert cost("x7Gq9ZpL2v") > 10 and cost("abcabcabcabc") < cost("axkqpwzmrtyu")
     assert [t[1] for t in secrets.spans("the password is x7Gq9ZpL2v, ok")] == [3] and not secrets.spans("the password is password1234")
+    assert cost("1" * 5000) < 6 and cost("İ12345678") < 6 and cost("x7Gq9ZpL2v" * 3 + "a1B2", 8.0) == 8.0
+    rng = np.random.default_rng(1)
+    for _ in range(200):  # ending early changes no verdict
+        value = "".join(rng.choice(list("pasword12qwe9İ!-ab"), rng.integers(0, 14)))
+        assert cost(value, 8.0) == min(cost(value), 8.0)
+    many = "password=abcdef1 " * 50_000 + "the password is x7Gq9ZpL2v"  # as many spans as values: linear, not quadratic
+    assert collections.Counter(k for _, k, _ in secrets.spans(many)) == {0: 50_000, 3: 1}
     assert not secrets.spans("token: token:abcdefgh")[1:]  # a consumed match hides the next keyword
 
 
