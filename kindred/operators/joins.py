@@ -32,10 +32,20 @@ def block_pairs(vectors: DataFrame, use: Callable[[np.ndarray, np.ndarray, np.nd
     Exhaustive: each block meets each other one once, so the work is quadratic in the table; memory is bounded by
     two blocks. It is the exact yardstick of the candidate joins in lsh, which are the way for large tables.
     """
+    packed, blocks = _packed(vectors)
+    left = packed.withColumn("other", F.explode(F.sequence(F.col("block"), F.lit(blocks - 1).cast("bigint"))))
+    return _each_pair(left, packed, use, schema)
+
+
+def _packed(vectors: DataFrame) -> tuple[DataFrame, int]:
+    """(block, rows) of vectors(rid, embedding) dealt into blocks of about BLOCK_ROWS, and the number of blocks."""
     blocks = max(1, -(-vectors.count() // BLOCK_ROWS))
     dealt = vectors.select(F.pmod(F.xxhash64("rid"), F.lit(blocks)).alias("block"), F.struct("rid", "embedding").alias("row"))
-    packed = dealt.groupBy("block").agg(F.collect_list("row").alias("rows"))
-    left = packed.withColumn("other", F.explode(F.sequence(F.col("block"), F.lit(blocks - 1).cast("bigint"))))
+    return dealt.groupBy("block").agg(F.collect_list("row").alias("rows")), blocks
+
+
+def _each_pair(left: DataFrame, packed: DataFrame, use: Callable, schema: str) -> DataFrame:
+    """use() of each of left(block, rows, other) with the block of packed that it names."""
     pairs = left.join(packed.select(F.col("block").alias("other"), F.col("rows").alias("other_rows")), "other")
 
     def run(batches):
@@ -60,27 +70,63 @@ def cosine_pairs(vectors: DataFrame, over: float) -> DataFrame:
     return block_pairs(vectors, use, "u long, v long, sim double")
 
 
+def cosine_links(vectors: DataFrame, over: float) -> DataFrame:
+    """(u, v, sim), u < v: cosine_pairs() between the first of each class of equal vectors, and each other member's
+    pair with its class's first. All links follow from them, and a large class makes no pairs within itself."""
+    usable = vectors.where(F.exists("embedding", lambda x: x != 0))  # a zero vector has cosine 0
+    firsts, members = classes(usable, ["embedding"])
+    pairs = cosine_pairs(firsts, over)
+    return pairs.unionByName(members.select(F.col("rep").alias("u"), F.col("rid").alias("v"), F.lit(1.0).alias("sim")).where(F.col("sim") > over))
+
+
+def classes(records: DataFrame, same: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The first record of each class of records alike in the columns same (rid, *same), nulls being alike, and the
+    other members (rep, rid, *same)."""
+    firsts = records.groupBy(*same).agg(F.min("rid").alias("rid")).select("rid", *same)
+    of = firsts.select(F.col("rid").alias("rep"), *[F.col(c).alias(f"_{c}") for c in same])
+    alike = F.lit(True)
+    for c in same:
+        alike = alike & records[c].eqNullSafe(of[f"_{c}"])
+    return firsts, records.select("rid", *same).join(of, alike).where("rid <> rep").select("rep", "rid", *same)
+
+
+def _best(ids: np.ndarray, others: np.ndarray, sims: np.ndarray, k: int) -> list[np.ndarray]:
+    """[u, v, sim] of the k most similar others of each of ids, itself left out."""
+    by_id = np.argsort(others, kind="stable")
+    sims = np.where(ids[:, None] == others[None, by_id], -np.inf, sims[:, by_id])
+    order = np.argsort(-sims, axis=1, kind="stable")[:, :k]
+    u = np.repeat(ids, order.shape[1])
+    s = np.take_along_axis(sims, order, axis=1).ravel()
+    keep = s > -np.inf
+    return [u[keep], others[by_id][order].ravel()[keep], s[keep]]
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
+    order = W.partitionBy("u").orderBy(F.col("sim").desc(), "v")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
 def top_k(vectors: DataFrame, k: int) -> DataFrame:
     """(u, v, sim, rank): the k most similar other vectors of each, ties by the smaller v.
 
     Every pair of blocks passes on k candidates a row at most, so ranking sees k times the number of blocks."""
 
-    def best(ids: np.ndarray, others: np.ndarray, sims: np.ndarray, same: bool) -> list[np.ndarray]:
-        by_id = np.argsort(others, kind="stable")
-        sims = np.where(ids[:, None] == others[None, by_id], -np.inf, sims[:, by_id])
-        order = np.argsort(-sims, axis=1, kind="stable")[:, :k]
-        u = np.repeat(ids, order.shape[1])
-        s = np.take_along_axis(sims, order, axis=1).ravel()
-        keep = s > -np.inf
-        return [u[keep], others[by_id][order].ravel()[keep], s[keep]]
-
     def use(u: np.ndarray, v: np.ndarray, sims: np.ndarray, same: bool) -> pd.DataFrame:
-        parts = [best(u, v, sims, same)] + ([] if same else [best(v, u, sims.T, same)])
+        parts = [_best(u, v, sims, k)] + ([] if same else [_best(v, u, sims.T, k)])
         return pd.DataFrame({n: np.concatenate(x) for n, x in zip(("u", "v", "sim"), zip(*parts, strict=True), strict=True)})
 
-    order = W.partitionBy("u").orderBy(F.col("sim").desc(), "v")
-    ranked = block_pairs(vectors, use, "u long, v long, sim double").withColumn("rank", F.row_number().over(order))
-    return ranked.where(F.col("rank") <= k)
+    return _ranked(block_pairs(vectors, use, "u long, v long, sim double"), k)
+
+
+def top_k_of(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+    """top_k() of queries(rid, embedding) only, among all vectors: blocks of queries meet every block of vectors."""
+    (asked, _), (packed, blocks) = _packed(queries), _packed(vectors)
+    left = asked.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))))
+
+    def use(u: np.ndarray, v: np.ndarray, sims: np.ndarray, same: bool) -> pd.DataFrame:
+        return pd.DataFrame(dict(zip(("u", "v", "sim"), _best(u, v, sims, k), strict=True)))
+
+    return _ranked(_each_pair(left, packed, use, "u long, v long, sim double"), k)
 
 
 def jaccard_pairs(records: DataFrame, text: str, at_least: float, by: str | None = None) -> DataFrame:
@@ -88,11 +134,13 @@ def jaccard_pairs(records: DataFrame, text: str, at_least: float, by: str | None
 
     Prefix filtering: with tokens from rare to frequent, two sets that similar share a token among the first
     n - ceil(at_least * n) + 1 of either, so only those are joined, and frequent tokens meet no one. by: a column
-    whose values must be equal.
+    whose values must be equal. Records alike in by and tokens are one class: its first record stands for it in the
+    pairs, and each other one has a pair with the first.
     """
     key = [by] if by else []
-    rows = records.select("rid", *key, T.tokens(F.col(text)).alias("tokens")).where(F.size("tokens") > 0)
-    long = rows.select("rid", *key, F.explode("tokens").alias("token"))
+    rows = records.select("rid", *key, F.array_sort(T.tokens(F.col(text))).alias("tokens")).where(F.size("tokens") > 0)
+    firsts, members = classes(rows.where(F.col(by).isNotNull()) if by else rows, [*key, "tokens"])
+    long = firsts.select("rid", *key, F.explode("tokens").alias("token"))
     ranked = long.join(long.groupBy("token").count(), "token")
     sets = ranked.groupBy("rid", *key).agg(F.transform(F.array_sort(F.collect_list(F.struct("count", "token"))), lambda x: x["token"]).alias("tokens"))
     n = F.size("tokens")
@@ -104,17 +152,25 @@ def jaccard_pairs(records: DataFrame, text: str, at_least: float, by: str | None
     fits = (F.size("a") >= at_least * F.size("b") - 1e-9) & (F.size("b") >= at_least * F.size("a") - 1e-9)
     met = left.join(right, ["token", *key]).where((F.col("u") < F.col("v")) & fits).dropDuplicates(["u", "v"])
     sim = F.size(F.array_intersect("a", "b")) / F.size(F.array_union("a", "b"))
-    return met.select("u", "v", sim.alias("sim")).where(F.col("sim") >= at_least)
+    found = met.select("u", "v", sim.alias("sim")).where(F.col("sim") >= at_least)
+    return found.unionByName(members.select(F.col("rep").alias("u"), F.col("rid").alias("v"), F.lit(1.0).alias("sim")))
 
 
 def attribute_pairs(records: DataFrame, columns: list[str], at_least: float, by: str) -> DataFrame:
-    """(u, v, sim), u < v, of records(rid, ...) in the same block `by` with mean attribute Jaccard of at_least or more."""
-    ready = records.select("rid", F.col(by).alias("_by"), *[T.prepared_attribute(F.col(c)).alias(f"_{i}") for i, c in enumerate(columns)])
+    """(u, v, sim), u < v, of records(rid, ...) in the same block `by` with mean attribute Jaccard of at_least or more.
+
+    Records alike in by and all columns are one class: its first record stands for it in the pairs, and each other one
+    has a pair with the first. Within a block the distinct records are compared exhaustively."""
+    same = list(dict.fromkeys([by, *columns]))
+    firsts, members = classes(records.where(F.col(by).isNotNull()), same)
+    attributes = lambda: [T.prepared_attribute(F.col(c)) for c in columns]
+    itself = members.select(F.col("rep").alias("u"), F.col("rid").alias("v"), T.attribute_similarity(attributes(), attributes()).alias("sim"))
+    ready = firsts.select("rid", F.col(by).alias("_by"), *[a.alias(f"_{i}") for i, a in enumerate(attributes())])
     ready = ready.repartition("_by")  # a shuffle between: else the pairs would prepare their texts again and again
     side = lambda name, p: ready.select(F.col("rid").alias(name), "_by", *[F.col(f"_{i}").alias(f"{p}{i}") for i in range(len(columns))])
     pairs = side("u", "a").join(side("v", "b"), "_by").where("u < v")
     sim = T.attribute_similarity([F.col(f"a{i}") for i in range(len(columns))], [F.col(f"b{i}") for i in range(len(columns))])
-    scored = pairs.select("u", "v", sim.alias("sim"))
+    scored = pairs.select("u", "v", sim.alias("sim")).unionByName(itself)
     return scored.where(F.col("sim") >= at_least)
 
 

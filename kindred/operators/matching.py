@@ -10,14 +10,10 @@ from pyspark.sql import Window as W
 from kindred.operators import graph, joins
 
 
-def instances(top: DataFrame, anchors: DataFrame) -> DataFrame:
-    """(anchor, pos, candidate, sim) of the anchors' candidates, pos from 1, of joins.top_k's result."""
-    rows = top.join(anchors.select(F.col("rid").alias("u")), "u", "left_semi")
-    return rows.select(F.col("u").alias("anchor"), F.col("rank").cast("long").alias("pos"), F.col("v").alias("candidate"), "sim")
-
-
 def instances_of(vectors: DataFrame, anchors: DataFrame, k: int) -> DataFrame:
-    return instances(joins.top_k(vectors, k), anchors)
+    """(anchor, pos, candidate, sim) of the anchors' k candidates, pos from 1; anchors are rows of vectors."""
+    rows = joins.top_k_of(anchors, vectors, k)
+    return rows.select(F.col("u").alias("anchor"), F.col("rank").cast("long").alias("pos"), F.col("v").alias("candidate"), "sim")
 
 
 def select_prompts(rows: DataFrame, records: DataFrame, text: str) -> DataFrame:

@@ -113,10 +113,12 @@ def normalized_text(spark, sf):
 _TOKENS = r"list_distinct(list_filter(string_split_regex(lower({0}), '\s+'), lambda x: x <> ''))"
 
 
-@query(f"""WITH t AS (SELECT p_partkey AS rid, p_brand, {_TOKENS.format("p_name || ' ' || p_type")} AS k FROM part)
+@query(f"""WITH t AS (SELECT p_partkey AS rid, p_brand, {_TOKENS.format("p_name || ' ' || p_type")} AS k FROM part),
+c AS (SELECT *, min(rid) OVER (PARTITION BY p_brand, list_sort(k)) AS rep FROM t)
 SELECT a.rid AS u, b.rid AS v, round(len(list_intersect(a.k, b.k)) / CAST(len(list_distinct(a.k || b.k)) AS DOUBLE), 6) AS sim
-FROM t a JOIN t b ON a.p_brand = b.p_brand AND a.rid < b.rid
-WHERE len(list_intersect(a.k, b.k)) / CAST(len(list_distinct(a.k || b.k)) AS DOUBLE) >= 0.5""")
+FROM c a JOIN c b ON a.p_brand = b.p_brand AND a.rid < b.rid AND a.rid = a.rep AND b.rid = b.rep
+WHERE len(list_intersect(a.k, b.k)) / CAST(len(list_distinct(a.k || b.k)) AS DOUBLE) >= 0.5
+UNION ALL SELECT rep, rid, 1.0 FROM c WHERE rid <> rep AND len(k) > 0 AND p_brand IS NOT NULL""")
 def token_jaccard_pairs(spark, sf):
     parts = _parts(spark, sf).withColumn("text", F.concat_ws(" ", "p_name", "p_type"))
     return _rounded(joins.jaccard_pairs(parts, "text", 0.5, by="p_brand"))
@@ -133,10 +135,11 @@ def char_match_ratios(spark, sf):
     return _rounded(pairs.select("u", "v", T.char_match_ratio(F.col("x"), F.col("y")).alias("ratio")))
 
 
-_ATTRIBUTES = f"""a AS (SELECT p_partkey AS rid, p_brand, {_TOKENS.format('p_name')} AS k1, {_TOKENS.format('p_type')} AS k2, CAST(p_size AS VARCHAR) AS k3 FROM part),
+_ATTRIBUTES = f"""a AS (SELECT p_partkey AS rid, p_brand, {_TOKENS.format('p_name')} AS k1, {_TOKENS.format('p_type')} AS k2, CAST(p_size AS VARCHAR) AS k3,
+  min(p_partkey) OVER (PARTITION BY p_brand, p_name, p_type, p_size) AS rep FROM part),
 ap AS (SELECT x.rid AS u, y.rid AS v, (len(list_intersect(x.k1, y.k1)) / CAST(len(list_distinct(x.k1 || y.k1)) AS DOUBLE)
   + len(list_intersect(x.k2, y.k2)) / CAST(len(list_distinct(x.k2 || y.k2)) AS DOUBLE) + CASE WHEN x.k3 = y.k3 THEN 1.0 ELSE 0.0 END) / 3 AS sim
-  FROM a x JOIN a y ON x.p_brand = y.p_brand AND x.rid < y.rid)"""
+  FROM a x JOIN a y ON x.p_brand = y.p_brand AND x.rid < y.rid AND x.rid = x.rep AND y.rid = y.rep UNION ALL SELECT rep, rid, 1.0 FROM a WHERE rid <> rep)"""
 
 
 @query(f"WITH {_ATTRIBUTES} SELECT u, v, round(sim, 6) AS sim FROM ap WHERE sim >= 0.6")
@@ -164,21 +167,24 @@ def truth_pairs(spark, sf):
     return _table(spark, sf, "embeddings").groupBy("label").agg(n.alias("n_records"), (n * (n - 1) / 2).cast("long").alias("n_pairs"))
 
 
-@query("""WITH RECURSIVE p AS (SELECT DISTINCT l_orderkey AS a, -l_partkey AS b FROM lineitem WHERE l_orderkey % 40 = 0),
+@query("""WITH RECURSIVE p AS (SELECT DISTINCT o_orderkey AS a, -o_custkey AS b FROM orders),
 e AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
 reach(rid, hit) AS (SELECT a, a FROM e UNION SELECT r.rid, e.b FROM reach r JOIN e ON r.hit = e.a)
 SELECT rid, min(hit) AS cluster FROM reach GROUP BY rid""")
 def pair_closure(spark, sf):
-    pairs = _table(spark, sf, "lineitem").where("l_orderkey % 40 = 0").select(F.col("l_orderkey").alias("a"), (-F.col("l_partkey")).alias("b"))
-    return graph.closure(pairs)
+    """Orders and customers (negative ids) that pairs of the two join."""
+    return graph.closure(_table(spark, sf, "orders").select(F.col("o_orderkey").alias("a"), (-F.col("o_custkey")).alias("b")))
 
 
 # Similarity joins and blocks
 
 
-@query(f"WITH {_PAIRS} SELECT u, v, round(sim, 6) AS sim FROM pairs")
+@query(f"""WITH {_PAIRS}, c AS (SELECT vec_id, min(vec_id) OVER (PARTITION BY embedding) AS rep, len(list_filter(embedding, lambda x: x <> 0)) > 0 AS usable FROM embeddings)
+SELECT u, v, round(sim, 6) AS sim FROM pairs JOIN c a ON u = a.vec_id AND u = a.rep JOIN c b ON v = b.vec_id AND v = b.rep
+UNION ALL SELECT rep, vec_id, 1.0 FROM c WHERE vec_id <> rep AND usable""")
 def cosine_pairs(spark, sf):
-    return _rounded(joins.cosine_pairs(_vectors(spark, sf), OVER))
+    """Pairs between the first vectors of all classes of equal ones, and every member's pair with its first."""
+    return _rounded(joins.cosine_links(_vectors(spark, sf), OVER))
 
 
 @query("""WITH s AS (SELECT a.vec_id AS u, b.vec_id AS v, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS sim
@@ -296,7 +302,7 @@ def matching_accuracy(spark, sf):
 
 
 _SWEEP = " UNION ALL ".join(
-    f"""SELECT {t} AS threshold, * FROM (WITH RECURSIVE e AS (SELECT u, v FROM pairs WHERE sim > {t} UNION ALL SELECT v, u FROM pairs WHERE sim > {t}),
+    f"""SELECT CAST({t} AS DOUBLE) AS threshold, * FROM (WITH RECURSIVE e AS (SELECT u, v FROM pairs WHERE sim > {t} UNION ALL SELECT v, u FROM pairs WHERE sim > {t}),
 reach(rid, hit) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.rid, e.v FROM reach r JOIN e ON r.hit = e.u),
 cells AS (SELECT b.cluster AS p, label AS t, count(*) AS n FROM (SELECT rid, min(hit) AS cluster FROM reach GROUP BY rid) b JOIN embeddings ON rid = vec_id GROUP BY 1, 2),
 k AS (SELECT (SELECT sum(n * (n - 1) / 2) FROM cells) AS tp, (SELECT sum(s * (s - 1) / 2) FROM (SELECT sum(n) AS s FROM cells GROUP BY p)) AS sp,
@@ -389,12 +395,12 @@ def guard_regenerated(spark, sf):
 
 def _candidates(spark, sf) -> DataFrame:
     vectors = _vectors(spark, sf)
-    anchors = vectors.where("rid % 7 = 0")
-    return matching.select_best(matching.instances_of(vectors, anchors, 10), OVER)
+    queries = vectors.where("rid % 100 = 0")  # the query set of searches; candidates are all rows
+    return matching.select_best(matching.instances_of(vectors, queries, 10), OVER)
 
 
 _SELECTED = f"""s AS (SELECT a.vec_id AS u, b.vec_id AS v, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS sim
-  FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 7 = 0),
+  FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY u ORDER BY sim DESC, v) AS pos FROM s),
 q AS (SELECT u, v, sim, pos, pos = 1 AND sim > {OVER} AS is_match FROM r WHERE pos <= 10)"""
 
@@ -442,13 +448,10 @@ def token_costs(spark, sf):
     return _rounded(R.token_cost(usage, R.price_table(spark)))
 
 
-_REPLY = "'Groups: [[' || conv_id || ', ' || turn || '],' || chr(10) || '[' || (conv_id + turn) || ',,]] ' || substr(regexp_replace(text, '[^a-z ]', '', 'g'), 1, 20)"
-
-
 @query("SELECT conv_id, turn, 0 AS k, conv_id AS id, 0 AS i FROM conversations UNION ALL SELECT conv_id, turn, 0, turn, 1 FROM conversations UNION ALL SELECT conv_id, turn, 1, conv_id + turn, 0 FROM conversations")
 def parsed_replies(spark, sf):
     """Clusters read from replies that are made of each turn's numbers and words."""
-    noise = F.substr(F.regexp_replace("text", "[^a-z ]", ""), F.lit(1), F.lit(20))
+    noise = F.regexp_replace(F.coalesce("text", F.lit("")), r"[\[\]0-9,]", "")
     c = lambda x: x.cast("string")
     reply = F.concat(F.lit("Groups: [["), c(F.col("conv_id")), F.lit(", "), c(F.col("turn")), F.lit("],\n["), c(F.col("conv_id") + F.col("turn")), F.lit(",,]] "), noise)
     rows = _table(spark, sf, "conversations").select("conv_id", "turn", F.posexplode(R.parsed_clusters(reply)).alias("k", "ids"))
@@ -457,7 +460,7 @@ def parsed_replies(spark, sf):
 
 @query("SELECT conv_id, turn, CAST(turn % 4 + 1 AS INTEGER) AS choice FROM conversations WHERE turn % 4 < 3")
 def parsed_selections(spark, sf):
-    reply = F.concat(F.lit("The answer is ["), (F.col("turn") % 4 + 1).cast("string"), F.lit("]. "), F.substr("text", F.lit(1), F.lit(5)))
+    reply = F.concat(F.lit("The answer is ["), (F.col("turn") % 4 + 1).cast("string"), F.lit("]. "), F.coalesce("text", F.lit("")))
     rows = _table(spark, sf, "conversations").select("conv_id", "turn", F.posexplode(R.selected(reply, F.lit(3))).alias("i", "yes"))
     return rows.where("yes").select("conv_id", "turn", (F.col("i") + 1).alias("choice"))
 
@@ -550,12 +553,13 @@ def task_batches(spark, sf):
     return out
 
 
-@query("""SELECT vec_id AS rid, CASE WHEN vec_id % 5 = 0 THEN 'alone_' || vec_id ELSE CAST(vec_id % 3 AS VARCHAR) END AS cluster FROM embeddings""")
+@query("""WITH l AS (SELECT doc_id, min(quality) AS quality, min(toxic) AS toxic FROM labels GROUP BY doc_id)
+SELECT DISTINCT d.doc_id AS rid, coalesce(CAST(quality AS VARCHAR), 't' || toxic, 'alone_' || d.doc_id) AS cluster FROM documents d LEFT JOIN l ON d.doc_id = l.doc_id""")
 def pooled_predictions(spark, sf):
-    ids = _vectors(spark, sf).select("rid")
-    first = ids.where("rid % 5 <> 0").select(F.lit(1).alias("pos"), "rid", (F.col("rid") % 3).alias("cluster"))
-    again = ids.where("rid % 2 = 0 and rid % 5 <> 0").select(F.lit(2).alias("pos"), "rid", F.lit(9).cast("long").alias("cluster"))
-    return experiments.pooled(ids, first.unionByName(again))
+    """Documents by their quality label, else by the toxic one; those without labels alone."""
+    labels = _table(spark, sf, "labels").groupBy(F.col("doc_id").alias("rid")).agg(F.min("quality").cast("string").alias("q"), F.concat(F.lit("t"), F.min("toxic").cast("string")).alias("t"))
+    said = lambda pos, column: labels.select(F.lit(pos).alias("pos"), "rid", F.col(column).alias("cluster")).where("cluster is not null")
+    return experiments.pooled(_table(spark, sf, "documents").select(F.col("doc_id").alias("rid")), said(1, "q").unionByName(said(2, "t")))
 
 
 @query("""SELECT CAST(label AS BIGINT) AS label, round(avg(vec_id % 10), 6) AS mean, round(stddev_pop(vec_id % 10), 6) AS deviation FROM embeddings GROUP BY 1""")

@@ -109,7 +109,33 @@ def test_jaccard_prefix_filter(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "rid long, text string")
     sets = [set(t.split()) - {"!!"} for t in texts]
     want = {(i, j) for i in range(80) for j in range(i + 1, 80) if len(sets[i] & sets[j]) >= 0.6 * len(sets[i] | sets[j]) - 1e-9}
-    assert {(r.u, r.v) for r in joins.jaccard_pairs(df, "text", 0.6).collect()} == want
+    assert expanded(joins.jaccard_pairs(df, "text", 0.6).collect(), lambda i: frozenset(sets[i])) == want
+
+
+def expanded(pairs, key):
+    """All pairs of records that follow from pairs between classes of equal key and from membership."""
+    members = {}
+    for i in {i for r in pairs for i in (r.u, r.v)}:
+        members.setdefault(key(i), set()).add(i)
+    of = lambda i: members[key(i)]
+    assert all(r.u < r.v and r.u == min(of(r.u)) for r in pairs)  # the first of a class stands for it
+    return {(min(i, j), max(i, j)) for r in pairs for i in of(r.u) for j in of(r.v) if i != j}
+
+
+def test_copies_make_no_pairs_among_themselves(spark):
+    x = np.random.default_rng(2).standard_normal((12, 4))
+    x = np.concatenate([np.zeros((2, 4)), x[[0] * 30], x])
+    df = vectors(spark, x)
+    unit = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+    want = {(i, j) for i in range(len(x)) for j in range(i + 1, len(x)) if unit[i] @ unit[j] > 0.5}
+    got = joins.cosine_links(df, 0.5).collect()
+    assert len(got) < 100 and expanded(got, lambda i: tuple(np.round(x[i], 6))) == want
+    rows = [(i, "b" if i < 40 else None, "red car" if i % 2 else "red bike", "3.14") for i in range(45)]
+    found = joins.attribute_pairs(spark.createDataFrame(rows, "rid long, b string, x string, y string"), ["x", "y"], 0.6, "b").collect()
+    assert len(found) == 39 and expanded(found, lambda i: i % 2) == {(i, j) for i in range(40) for j in range(i + 1, 40)}
+    queries = joins.top_k_of(df.where("rid % 9 = 4"), df, 3).collect()
+    assert sorted(queries) == sorted(joins.top_k(df, 3).where("u % 9 = 4").collect())
+    assert joins.top_k_of(df.where("false"), df, 3).count() == 0 and joins.cosine_links(df.where("false"), 0.5).count() == 0
 
 
 def test_record_sets_cover(spark):
