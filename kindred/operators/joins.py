@@ -15,6 +15,8 @@ from kindred.functions import text as T
 
 #: Vectors per block of the exhaustive joins.
 BLOCK_ROWS = 1024
+#: Parts that a block's attribute comparisons are dealt into.
+PARTS = 16
 
 
 def _matrix(rows: pa.ListScalar) -> tuple[np.ndarray, np.ndarray]:
@@ -166,9 +168,16 @@ def attribute_pairs(records: DataFrame, columns: list[str], at_least: float, by:
     attributes = lambda: [T.prepared_attribute(F.col(c)) for c in columns]
     itself = members.select(F.col("rep").alias("u"), F.col("rid").alias("v"), T.attribute_similarity(attributes(), attributes()).alias("sim"))
     ready = firsts.select("rid", F.col(by).alias("_by"), *[a.alias(f"_{i}") for i, a in enumerate(attributes())])
-    ready = ready.repartition("_by")  # a shuffle between: else the pairs would prepare their texts again and again
-    side = lambda name, p: ready.select(F.col("rid").alias(name), "_by", *[F.col(f"_{i}").alias(f"{p}{i}") for i in range(len(columns))])
-    pairs = side("u", "a").join(side("v", "b"), "_by").where("u < v")
+    # A block is dealt into PARTS tasks. The shuffle keeps its number of partitions, as few bytes make much work here,
+    # and texts are prepared before it, not again for each pair.
+    tasks = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    deal = {"u": F.pmod(F.xxhash64("rid"), F.lit(PARTS)), "v": F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(PARTS - 1).cast("bigint")))}
+    side = lambda name, p: (
+        ready.withColumn("part", deal[name])
+        .repartition(tasks, "_by", "part")
+        .select(F.col("rid").alias(name), "_by", "part", *[F.col(f"_{i}").alias(f"{p}{i}") for i in range(len(columns))])
+    )
+    pairs = side("u", "a").hint("shuffle_merge").join(side("v", "b"), ["_by", "part"]).where("u < v")
     sim = T.attribute_similarity([F.col(f"a{i}") for i in range(len(columns))], [F.col(f"b{i}") for i in range(len(columns))])
     scored = pairs.select("u", "v", sim.alias("sim")).unionByName(itself)
     return scored.where(F.col("sim") >= at_least)
