@@ -4,7 +4,9 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
+from kindred.functions import text as T
 from kindred.operators import blocking, clusterers, clustering, experiments, graph, guard, joins, lsh, matching, merge, metrics, recordsets
 from kindred.plans.resolve import resolve
 
@@ -122,6 +124,21 @@ def expanded(pairs, key):
     return {(min(i, j), max(i, j)) for r in pairs for i in of(r.u) for j in of(r.v) if i != j}
 
 
+def test_attribute_pairs_lose_nothing(spark):
+    rng = np.random.default_rng(4)
+    names = ["red car", "red  bike", "car", "Red", "a b c", "a b d", "", "nan", None]
+    sizes = ["3.14", "3.15", "314", "13.1", "3.1", "3", "x.y z", None]
+    rows = [(i, "b", names[a], sizes[b]) for i, (a, b) in enumerate(sorted({(int(a), int(b)) for a, b in rng.integers(0, [9, 8], (70, 2))}))]
+    df = spark.createDataFrame(rows, "rid long, b string, x string, y string")
+    prepared = df.select("rid", *[T.prepared_attribute(F.col(c)).alias(c) for c in "xy"])
+    u, v = (prepared.select(*[F.col(c).alias(p + c) for c in prepared.columns]) for p in "uv")
+    sim = T.attribute_similarity([F.col("ux"), F.col("uy")], [F.col("vx"), F.col("vy")])
+    every = u.join(v, F.col("urid") < F.col("vrid")).select("urid", "vrid", sim.alias("sim")).collect()
+    for at_least in (0.3, 0.6, 0.75, 1.0):
+        want = {(r.urid, r.vrid, r.sim) for r in every if r.sim >= at_least}
+        assert {tuple(r) for r in joins.attribute_pairs(df, ["x", "y"], at_least, "b").collect()} == want
+
+
 def test_copies_make_no_pairs_among_themselves(spark):
     x = np.random.default_rng(2).standard_normal((12, 4))
     x = np.concatenate([np.zeros((2, 4)), x[[0] * 30], x])
