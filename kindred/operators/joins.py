@@ -32,7 +32,7 @@ def block_pairs(vectors: DataFrame, use: Callable[[np.ndarray, np.ndarray, np.nd
     """use(ids, other ids, cosines, same block) for each pair of blocks of vectors(rid, embedding).
 
     Exhaustive: each block meets each other one once, so the work is quadratic in the table; memory is bounded by
-    two blocks. It is the exact yardstick of the candidate joins in lsh, which are the way for large tables.
+    two blocks. It is the exact yardstick of the candidate joins in lsh.
     """
     packed, blocks = _packed(vectors)
     left = packed.withColumn("other", F.explode(F.sequence(F.col("block"), F.lit(blocks - 1).cast("bigint"))))

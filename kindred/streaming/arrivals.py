@@ -12,16 +12,20 @@ from kindred.functions.vectors import cosine
 from kindred.operators import lsh
 
 
-def buckets(vectors: DataFrame, **how) -> DataFrame:
-    """(table, sig, rid, embedding) of vectors(rid, embedding): the static side, worth keeping bucketed by (table, sig)."""
+def buckets(vectors: DataFrame, over: float | None = None, **how) -> DataFrame:
+    """(table, sig, rid, embedding) of vectors(rid, embedding): the static side, worth keeping bucketed by (table, sig).
+
+    over: the threshold of match_arrivals(), which has its parameters from it."""
+    how = how if over is None else lsh.tuned(over, **how)
     return lsh.signatures(vectors, **how).select(F.posexplode("sigs").alias("table", "sig"), "rid", "embedding")
 
 
 def match_arrivals(stream: DataFrame, known: DataFrame, over: float, **how) -> DataFrame:
     """(u, v, sim) of arrivals u and known records v with a signature in common and a cosine over the threshold.
 
-    Works on streams and tables alike. A pair that meets in several tables is made in the first only, so the stream
+    how: parameters, by default tuned to the threshold. Works on streams and tables alike. A pair that meets in several tables is made in the first only, so the stream
     needs no state."""
+    how = lsh.tuned(over, **how)
     arrived = lsh.signatures(stream, **how)
     signed = arrived.select(F.col("rid").alias("u"), F.col("embedding").alias("x"), F.col("sigs").alias("a"), F.posexplode("sigs").alias("table", "sig"))
     sigs = lsh.signatures(known, **how)

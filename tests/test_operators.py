@@ -232,3 +232,42 @@ def test_reports_by_dataset(spark):
     cache = done.selectExpr("sha2(prompt, 256) as key", "reply")
     answered, rest = matching.with_cache(open_, cache)
     assert [r.reply for r in answered.collect()] == ["yes"] and [r.prompt for r in rest.collect()] == ["q"]
+
+
+def near_threshold(pairs=250, seed=5):
+    """Pairs of 64-dimensional unit vectors with cosines from 0.41 to 0.55."""
+    rng = np.random.default_rng(seed)
+    x, y = rng.standard_normal((2, pairs, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y -= (x * y).sum(axis=1, keepdims=True) * x
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    t = np.linspace(0.41, 0.55, pairs)[:, None]
+    return np.concatenate([x, t * x + np.sqrt(1 - t * t) * y])
+
+
+def test_lsh_recall_at_production_parameters(spark, monkeypatch):
+    from kindred.plans import catalog
+    from kindred.streaming import arrivals
+
+    df = vectors(spark, near_threshold()).cache()
+    want = {(r.u, r.v) for r in joins.cosine_pairs(df, catalog.OVER).collect()}
+    rows = [(r.u, r.v) for r in lsh.lsh_pairs(df, catalog.OVER).collect()]
+    assert len(rows) == len(set(rows)) and set(rows) <= want
+    assert len(want) >= 250 and len(rows) >= 0.9 * len(want)
+    assert len(lsh.lsh_pairs(df, catalog.OVER, **lsh.REFERENCE).collect()) < 0.1 * len(want)
+    monkeypatch.setattr(lsh, "BLOCK_ROWS", 3)  # buckets in many parts give the same pairs
+    assert sorted((r.u, r.v) for r in lsh.lsh_pairs(df, catalog.OVER).collect()) == sorted(rows)
+    new, known = df.where("rid >= 250"), df.where("rid < 250")
+    across = {(v, u) for u, v in want if u < 250 <= v}
+    met = [(r.u, r.v) for r in arrivals.match_arrivals(new, known, catalog.OVER).collect()]
+    assert len(met) == len(set(met)) and set(met) <= across and len(met) >= 0.9 * len(across)
+
+
+def test_lsh_parameters_by_threshold(spark):
+    for over in (-0.5, 0.0, 0.2, 0.4, 0.6, 0.9, 0.99):
+        how = lsh.tuned(over)
+        p = 1 - np.arccos(over) / np.pi
+        assert 1 - (1 - p ** how["bits"]) ** how["tables"] >= 0.9 and how["tables"] <= lsh.MOST_TABLES
+    assert lsh.tuned(0.4, **lsh.REFERENCE) == {"bits": 15, "tables": 8, "seed": 42}
+    df = vectors(spark, [(1, 0), (-1, 0.1), (0, 0), (1, 0)])
+    assert {(r.u, r.v) for r in lsh.lsh_pairs(df, -1.0).collect()} == {(0, 1), (0, 3), (1, 3)}
