@@ -46,12 +46,13 @@ def pack(sizes: list[int], sim: Callable[[tuple[int, int], tuple[int, int]], flo
 def packed_sets(reps: DataFrame, size: int = SET_SIZE, spread: int = SET_SPREAD) -> DataFrame:
     """(set_id, pos, rid) of representatives for the next round; reps: block, set_no, cluster_no, rid, embedding.
 
-    A block with up to `size` representatives is one set; blocks are bounded as in recordsets."""
+    A block with up to `size` representatives is one set. Otherwise pack() takes chunks of `size` sets, each by itself, so
+    a task has the representatives of one chunk at a time, whatever the block's size."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["set_no", "cluster_no"]).reset_index(drop=True)
-        block = rows["block"].iloc[0]
-        if len(rows) <= size:
+        block, chunk = rows["block"].iloc[0], rows["chunk"].iloc[0]
+        if rows["count"].iloc[0] <= size:
             sets = [list(range(len(rows)))]
         else:
             x = np.array(rows["embedding"].tolist(), float)
@@ -59,10 +60,13 @@ def packed_sets(reps: DataFrame, size: int = SET_SIZE, spread: int = SET_SPREAD)
             of_set = [g.index.tolist() for _, g in rows.groupby("set_no", sort=True)]
             sim = lambda p, q: float(x[of_set[p[0]][p[1]]] @ x[of_set[q[0]][q[1]]])
             sets = [[of_set[s][c] for s, c in chosen] for chosen in pack([len(s) for s in of_set], sim, size, spread)]
-        out = [(f"{block}-{k}", pos, rows["rid"][i]) for k, s in enumerate(sets) for pos, i in enumerate(s)]
+        out = [(f"{block}-{chunk}-{k}", pos, rows["rid"][i]) for k, s in enumerate(sets) for pos, i in enumerate(s)]
         return pd.DataFrame(out, columns=["set_id", "pos", "rid"])
 
-    return reps.groupBy("block").applyInPandas(run, "set_id string, pos long, rid long")
+    number = F.row_number().over(W.partitionBy("block").orderBy("set_no"))
+    chunks = reps.select("block", "set_no").distinct().withColumn("chunk", F.floor((number - 1) / size))
+    placed = reps.join(chunks, ["block", "set_no"]).join(reps.groupBy("block").count(), "block")
+    return placed.groupBy("block", "chunk").applyInPandas(run, "set_id string, pos long, rid long")
 
 
 def merged(state: DataFrame, vectors: DataFrame, clusterer, max_rounds: int = MAX_ROUNDS, size: int = SET_SIZE, spread: int = SET_SPREAD) -> tuple[DataFrame, DataFrame]:

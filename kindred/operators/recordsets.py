@@ -8,12 +8,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from kindred.operators import lsh
 from kindred.operators.clustering import choose_k, kmeans
 
 #: Records of a set, and clusters that it should span.
 SET_SIZE, SET_SPREAD = 9, 4
 #: Largest block that a task takes whole: its similarity matrix has the square of it in numbers.
 LARGEST_BLOCK = 5000
+#: Records, about, of the parts that a larger block is dealt into.
+PART_SIZE = 500
 
 
 def chain(ids: list[int], sims: np.ndarray) -> list[int]:
@@ -63,15 +66,14 @@ def next_set(left: list[int], x: np.ndarray, sims: np.ndarray, size: int = SET_S
 def record_sets(vectors: DataFrame, blocks: DataFrame, size: int = SET_SIZE, spread: int = SET_SPREAD) -> DataFrame:
     """(block, set_no, pos, rid): the record sets of each block of blocks(rid, cluster).
 
-    Blocks of more than LARGEST_BLOCK records are an error, not cut short: block them by a higher threshold first."""
+    Blocks of more than LARGEST_BLOCK records are dealt into parts, whose sets the merge joins like those of one part.
+    set_no orders the sets of a block, and counts them from 0 in a block of one part."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        if len(rows) > LARGEST_BLOCK:
-            raise ValueError(f"block {rows['block'].iloc[0]} has {len(rows)} records; {LARGEST_BLOCK} is the most")
         rows = rows.sort_values("rid").reset_index(drop=True)
         x = np.array(rows["embedding"].tolist(), float)
         unit = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-        sims, left, out, n = unit @ unit.T, list(range(len(rows))), [], 0
+        sims, left, out, n = unit @ unit.T, list(range(len(rows))), [], int(rows["part"].iloc[0]) << 16
         while left:
             chosen = next_set(left, x, sims, size, spread)
             out += [(n, pos, rows["rid"][i]) for pos, i in enumerate(chosen)]
@@ -82,10 +84,25 @@ def record_sets(vectors: DataFrame, blocks: DataFrame, size: int = SET_SIZE, spr
     members = blocks.select("rid", F.col("cluster").alias("block")).join(vectors.select("rid", "embedding"), "rid")
     sized = members.join(members.groupBy("block").count(), "block")
     alone = sized.where("count = 1").select("block", F.lit(0).cast("long").alias("set_no"), F.lit(0).cast("long").alias("pos"), "rid")
-    more = sized.where("count > 1").drop("count").groupBy("block").applyInPandas(run, "block long, set_no long, pos long, rid long")
+    whole = sized.where(F.col("count").between(2, LARGEST_BLOCK)).select("block", F.lit(0).cast("long").alias("part"), "rid", "embedding")
+    dealt = parts(sized.where(F.col("count") > LARGEST_BLOCK)).unionByName(whole)
+    more = dealt.groupBy("block", "part").applyInPandas(run, "block long, set_no long, pos long, rid long")
     return alone.unionByName(more)  # blocks of one record need no Python
 
 
+def parts(large: DataFrame) -> DataFrame:
+    """(block, part, rid, embedding) of large(block, rid, embedding, count): parts of up to about PART_SIZE records.
+
+    Records with the same signs of projections, as many as halve the block to PART_SIZE, go together; where they are
+    too many still, as copies are, they are dealt by a hash of their ids."""
+    signs = lsh.signatures(large, bits=lsh.BITS, tables=1).select("rid", F.col("sigs")[0].alias("signs"))
+    bits = F.least(F.lit(lsh.BITS), F.ceil(F.log2(F.col("count") / PART_SIZE)))
+    cells = large.join(signs, "rid").select("block", "rid", "embedding", F.floor(F.col("signs") / F.pow(F.lit(2.0), lsh.BITS - bits)).alias("cell"))
+    number = cells.groupBy("block", "cell").agg(F.ceil(F.count("*") / PART_SIZE).alias("parts"))
+    salt = F.pmod(F.xxhash64("rid"), F.col("parts"))
+    return cells.join(number, ["block", "cell"]).select("block", (F.col("cell") * (1 << 32) + salt).alias("part"), "rid", "embedding")
+
+
 def slices(members: DataFrame, size: int = 10) -> DataFrame:
     """(cluster, set_no, pos, rid): each cluster's records by rid in slices of a fixed size."""
     at = F.row_number().over(W.partitionBy("cluster").orderBy("rid")) - 1

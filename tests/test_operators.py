@@ -271,3 +271,34 @@ def test_lsh_parameters_by_threshold(spark):
     assert lsh.tuned(0.4, **lsh.REFERENCE) == {"bits": 15, "tables": 8, "seed": 42}
     df = vectors(spark, [(1, 0), (-1, 0.1), (0, 0), (1, 0)])
     assert {(r.u, r.v) for r in lsh.lsh_pairs(df, -1.0).collect()} == {(0, 1), (0, 3), (1, 3)}
+
+
+def test_record_sets_of_large_blocks(spark):
+    rng = np.random.default_rng(7)
+    x = rng.standard_normal((5200, 4)) * 0.2 + 1
+    x[:1800] = x[0]  # copies, as many as a third
+    df = vectors(spark, x)
+    blocks = df.select("rid", (F.col("rid") * 0).alias("cluster"))
+    rows = recordsets.record_sets(df, blocks).collect()
+    assert sorted(r.rid for r in rows) == list(range(5200)) and {r.block for r in rows} == {0}
+    sets: dict = {}
+    for r in rows:
+        sets.setdefault(r.set_no, []).append(r.pos)
+    assert all(sorted(p) == list(range(len(p))) and len(p) <= recordsets.SET_SIZE for p in sets.values())
+    assert len(sets) < 5200 / 9 * 1.2
+
+
+def test_packed_sets_by_chunks(spark):
+    rng = np.random.default_rng(8)
+    sizes = rng.integers(1, 4, 31).tolist()
+    x = rng.standard_normal((sum(sizes), 3))
+    at = [(s, c) for s, n in enumerate(sizes) for c in range(n)]
+    rows = [(5, s * 70_000, c, i, x[i].tolist()) for i, (s, c) in enumerate(at)]
+    found = merge.packed_sets(spark.createDataFrame(rows, "block long, set_no long, cluster_no int, rid long, embedding array<double>")).collect()
+    got: dict = {}
+    for r in sorted(found, key=lambda r: r.pos):
+        got.setdefault(r.set_id, []).append(r.rid)
+    unit, number = x / np.linalg.norm(x, axis=1, keepdims=True), {p: i for i, p in enumerate(at)}
+    want = merge.pack(sizes, lambda p, q: float(unit[number[p]] @ unit[number[q]]))
+    assert sorted(got.values()) == sorted([number[p] for p in chosen] for chosen in want)
+    assert max(len({at[i][0] // 9 for i in ids}) for ids in got.values()) == 1
