@@ -1,10 +1,15 @@
 """Main text of web pages: parser events, text-to-tag ratio per line, Gaussian smoothing, threshold clustering.
 
 The standard library's streaming parser turns a page into lines, one per block of text, each with its number of
-characters outside links and of tags since the line before. The ratios of the two are smoothed over neighbouring
-lines of a container, and a threshold between the two clusters of smoothed ratios tells content lines. A region, i.e. the lines of
-one container, is main text if it has content lines; then all its lines are, so short paragraphs and headings stay.
-Elements whose name, role or class says that they aren't article text never become lines.
+characters outside links and of tags since the line before. A region is the lines of one container (a container with a
+single line belongs to the one around it). The ratios of characters to tags are smoothed over a region's lines, and a
+threshold between the two clusters of smoothed ratios tells content lines. A region is main text if it has content
+lines; then all its lines are, so short paragraphs and headings stay. Inside the article, and inside a region that is
+main text, the threshold is `LENIENT` of that: plain lists and tables stay, lists of links go.
+
+Names are a prior. A region whose element, role or class says that it isn't article text is left out, but where such
+an element holds most of the page's characters and the article or first heading, or all that there is, its name is
+overruled by its text. An `article` is taken as such only if it holds most of the unmarked characters.
 """
 
 from __future__ import annotations
@@ -18,35 +23,47 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-#: Fixed: elements whose content is never article text.
+#: Fixed: elements whose content is never shown as text.
 DROPPED = frozenset(
-    "head title script style noscript template iframe object svg canvas nav menu footer aside form button select option "
-    "textarea label fieldset dialog audio video map".split()
+    "head title script style noscript template iframe object svg canvas button select option textarea label audio video map".split()
 )
-#: Fixed: words of class, id or role that mark such an element.
-DROPPED_WORDS = frozenset(
+#: Fixed: elements that by themselves aren't article text; a form may be a wrapper of the whole page.
+MARKED, FORM = frozenset("nav menu footer aside dialog".split()), "form"
+#: Fixed: words of class, id or role that mark a container as such an element.
+MARKED_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored sponsors promo promotion banner cookie cookies "
     "consent gdpr notice notices alert popup modal overlay nav navbar navigation menu menus breadcrumb breadcrumbs sidebar "
     "sidebars aside footer foot masthead topbar toolbar comment comments disqus reply replies respond "
     "related recommended recommendations share sharing social newsletter subscribe subscription signup login "
     "pagination pager complementary contentinfo adsense adbox copyright disclaimer skip".split()
 )
+#: Fixed: whole class, id or role names that mark a paragraph, list item or inline element.
+MARKED_NAMES = frozenset(
+    "ad ads advert adverts advertisement advertising sponsored promo cookie cookies breadcrumb breadcrumbs comment comments "
+    "reply replies newsletter subscribe pagination pager adsense adbox copyright disclaimer navigation contentinfo".split()
+)
 #: Fixed: a `header` in class, id or role is the page's, unless one of these stands beside it.
 TITLED = frozenset("article post entry story content".split())
 HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 #: Fixed: elements that end a line before and after them.
 BLOCKS = frozenset(
-    "address article blockquote body br caption center dd details div dl dt figcaption figure h1 h2 h3 h4 h5 h6 header hgroup "
-    "hr html li main ol p pre section summary table tbody td tfoot th thead tr ul".split()
+    "address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure footer form "
+    "h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 ) | DROPPED
 #: Fixed: elements without an end tag.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Fixed: elements of a page's head; any other ends it, as its end tag may be left out.
 HEAD_PARTS = frozenset("head title base link meta script style noscript template".split())
-#: Containers that make a region; inside ARTICLES only the outermost of them does.
-CONTAINERS, ARTICLES = frozenset("body div section td article main".split()), frozenset(("article", "main"))
+#: Containers that make a region, and those of them that are parts of the text around them.
+LISTS = frozenset("ul ol dl table".split())
+CONTAINERS = frozenset("body div section td article main center fieldset form nav menu footer aside dialog header".split()) | LISTS
+ARTICLES = frozenset(("article", "main"))
+#: Containers whose mark the text may overrule.
+WRAPPERS = frozenset("form div section td center table fieldset".split())
 #: Standard deviation of the smoothing kernel, in lines.
 SIGMA = 1.0
+#: Share of the threshold, and characters a tag at most, that a region within main text has to reach.
+LENIENT, LENIENT_MOST = 0.05, 1.0
 _TOKENS = re.compile(r"[A-Za-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 #: Says that a page part exists, or not, beside the element: has-sidebar, no-comments.
@@ -54,32 +71,34 @@ _BESIDE = re.compile(r"\b(?:has|with|no|without)[-_]\w+", re.IGNORECASE)
 
 
 class _Lines(HTMLParser):
-    """Collects (region, in an article, characters outside links, tags, text, is a heading) for each line."""
+    """Collects lines (node, characters outside links, characters, tags, text, heading tag) and the tree of nodes, i.e.
+    containers, as (parent, tag, marked, in an article)."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[int, bool, int, int, str, bool]] = []
-        self.open: list[tuple[str, bool, int, bool]] = []  # tag, dropped, region, in an article
+        self.lines: list[tuple[int, int, int, int, str, str]] = []
+        self.nodes: list[tuple[int, str, bool, bool]] = [(0, "page", False, False)]
+        self.open: list[tuple[str, bool, int]] = []  # tag, dropped, the node around it
         self.counts: Counter[str] = Counter()  # of open elements, by tag
-        self.dropped, self.region, self.article, self.n_regions = 0, 0, False, 0
+        self.dropped, self.node = 0, 0
         self.text, self.tags, self.links, self.linked = [], 0, 0, 0
 
     def end_line(self) -> None:
         if self.text:
             text = " ".join("".join(self.text).split())
             if text:
-                heading = any(self.counts[h] for h in HEADINGS)
-                self.lines.append((self.region, self.article, max(0, len(text) - self.linked), self.tags, text, heading))
+                heading = next((h for h in HEADINGS if self.counts[h]), "")
+                self.lines.append((self.node, max(0, len(text) - self.linked), len(text), self.tags, text, heading))
                 self.tags = 0
             self.text, self.linked = [], 0
 
     def pop(self, at: int) -> None:
         """Close the elements from position at on."""
-        for tag, dropped, region, article in reversed(self.open[at:]):
+        for tag, dropped, node in reversed(self.open[at:]):
             self.dropped -= dropped
             self.counts[tag] -= 1
             self.links -= tag == "a"
-            self.region, self.article = region, article
+            self.node = node
         del self.open[at:]
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
@@ -99,30 +118,39 @@ class _Lines(HTMLParser):
             self.pop(len(self.open) - 1)
         if tag in VOID:
             return
-        dropped = tag in DROPPED or (tag == "header" and not self.article) or (tag not in ("html", "body", "article", "main") and self.marked(attrs, self.article))
-        dropped = dropped or (tag == "article" and self.article and self.marked(attrs, True))
+        article, nested = self.nodes[self.node][3], bool(attrs) and tag not in ("html", "body")
+        marked = tag in MARKED or tag == FORM or (tag == "header" and not article)
+        marked = marked or (nested and (tag not in ARTICLES or (tag == "article" and article)) and self.marked(tag, attrs, article))
+        dropped = tag in DROPPED or (marked and tag not in BLOCKS) or (nested and self.hidden(attrs))
         if tag not in BLOCKS and tag != "a" and not dropped:
             return  # plain inline markup changes nothing
-        self.open.append((tag, dropped, self.region, self.article))
+        self.open.append((tag, dropped, self.node))
         self.counts[tag] += 1
         self.dropped += dropped
         self.links += tag == "a"
-        if tag in CONTAINERS and not self.article:
-            self.n_regions += 1
-            self.region, self.article = self.n_regions, tag in ARTICLES
+        if (tag in CONTAINERS or marked) and not self.dropped:
+            self.nodes.append((self.node, tag, marked, article or tag in ARTICLES))
+            self.node = len(self.nodes) - 1
 
     @staticmethod
-    def marked(attrs: list, article: bool) -> bool:
-        """Whether class, id or role say that the element isn't article text."""
+    def marked(tag: str, attrs: list, article: bool) -> bool:
+        """Whether class, id or role say that the element isn't article text: by any word of a container's names, by a
+        whole name of another element."""
         for name, value in attrs:
             if name in ("class", "id", "role") and value:
+                if tag not in CONTAINERS:
+                    if not MARKED_NAMES.isdisjoint(value.lower().split()):
+                        return True
+                    continue
                 words = {w.lower() for w in _TOKENS.findall(_CAMEL.sub(" ", _BESIDE.sub("", value)))}
-                if words & DROPPED_WORDS or ("header" in words and not article and not words & TITLED):
+                if words & MARKED_WORDS or ("header" in words and not article and not words & TITLED):
                     return True
-            elif name == "hidden" or (name == "aria-hidden" and value == "true"):
-                return True
         return False
 
+    @staticmethod
+    def hidden(attrs: list) -> bool:
+        return any(name == "hidden" or (name == "aria-hidden" and value == "true") for name, value in attrs)
+
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
 
@@ -168,6 +196,108 @@ def threshold(values: np.ndarray) -> float:
     return float(at)
 
 
+def _left_out(nodes: list, lines: list) -> list[bool]:
+    """For each node whether it or one around it is marked, but for marks that the text overrules."""
+    chars, paragraphs, titled = [0] * len(nodes), [0] * len(nodes), [False] * len(nodes)
+    anchor = next((i for i, x in enumerate(nodes) if x[1] in ARTICLES and not x[2]), None)
+    if anchor is None:
+        anchor = next((x[0] for x in lines if x[5] == "h1"), -1)
+    if anchor >= 0:
+        titled[anchor] = True
+    for x in lines:
+        chars[x[0]] += x[1]
+        paragraphs[x[0]] += 1
+    for i in range(len(nodes) - 1, 0, -1):
+        up = nodes[i][0]
+        chars[up] += chars[i]
+        paragraphs[up] += paragraphs[i]
+        titled[up] = titled[up] or titled[i]
+    free = {i for i, x in enumerate(nodes) if x[2] and x[1] in WRAPPERS and titled[i] and 2 * chars[i] >= chars[0]}
+
+    def states() -> list[bool]:
+        out = [False] * len(nodes)
+        for i in range(1, len(nodes)):
+            out[i] = out[nodes[i][0]] or (nodes[i][2] and i not in free)
+        return out
+
+    out = states()
+    while lines and all(out[x[0]] for x in lines):  # nothing is left: the wrapper with the most text is the page
+        outer = [i for i, x in enumerate(nodes) if x[2] and x[1] in WRAPPERS and i not in free and not out[x[0]] and paragraphs[i] > 1]
+        if not outer:
+            break
+        free.add(max(outer, key=chars.__getitem__))
+        out = states()
+    return out
+
+
+def _regions(nodes: list, lines: list) -> list[int]:
+    """For each line the node of its region: a container that isn't a list and has one line belongs to the one around it."""
+    alone = Counter()
+    for x in lines:
+        alone[x[0]] += 1
+    children = Counter(nodes[i][0] for i in alone if i)
+    of = {}
+    for i in sorted(alone, reverse=True):
+        single = alone[i] == 1 and not children[i] and nodes[i][1] not in LISTS and nodes[i][1] not in ARTICLES
+        of[i] = nodes[i][0] if single else i
+    return [of[x[0]] for x in lines]
+
+
+def selected(nodes: list, lines: list) -> list[bool]:
+    """Which lines are main text."""
+    out = _left_out(nodes, lines)
+    unmarked = [k for k, x in enumerate(lines) if not out[x[0]]]
+    if not unmarked:
+        return [False] * len(lines)
+    inside = [k for k in unmarked if nodes[lines[k][0]][3]]
+    article = inside and 2 * sum(lines[k][1] for k in inside) >= sum(lines[k][1] for k in unmarked)
+    rows = [lines[k] for k in unmarked]
+    region = _regions(nodes, rows)
+    ratios, of = np.array([x[1] / (x[3] + 1) for x in rows]), np.array(region)
+    for r in np.unique(of):  # lines of other containers aren't neighbours
+        ratios[of == r] = smoothed(ratios[of == r])
+    strict = min(threshold(ratios), float(ratios.max()))
+    lenient = min(LENIENT * strict, LENIENT_MOST)
+    best: dict[int, float] = {}
+    size: Counter[int] = Counter()
+    for r, v, x in zip(region, ratios.tolist(), rows, strict=True):
+        best[r] = max(best.get(r, 0.0), v)
+        size[r] += x[1]
+    largest, kept = max(size, key=size.get), set()
+    for r in sorted(best):  # what is around a region comes before it
+        up, within = nodes[r][0], bool(article and nodes[r][3])
+        while not within and up:
+            within, up = up in kept and nodes[up][1] != "body", nodes[up][0]
+        if best[r] >= (lenient if within else strict) or r == largest:
+            kept.add(r)
+    chosen = [False] * len(lines)
+    for k, r, v, x in zip(unmarked, region, ratios.tolist(), rows, strict=True):
+        linked = r != x[0] and 2 * x[1] < x[2] and v < strict  # a container of links that has joined the text around it
+        chosen[k] = r in kept and (not article or nodes[x[0]][3]) and not linked
+    region_of = dict(zip(unmarked, region, strict=True))
+    for k in range(len(lines) - 2, -1, -1):  # headings belong to what follows
+        if lines[k][5] and k in region_of:
+            chosen[k] = chosen[k] or (chosen[k + 1] and not article)
+            if chosen[k] and lines[k][5] != "h1":
+                chosen[k] = _leads(nodes, lines, chosen, k, region_of[k])
+    return chosen
+
+
+def _leads(nodes: list, lines: list, chosen: list[bool], k: int, region: int) -> bool:
+    """Whether heading k leads to chosen text, or to none at all, before the next heading or the end of its region."""
+    some = False
+    for j in range(k + 1, len(lines)):
+        node = lines[j][0]
+        while node and node != region:
+            node = nodes[node][0]
+        if node != region or lines[j][5]:
+            break
+        if chosen[j]:
+            return True
+        some = True
+    return not some
+
+
 def main_text(html: str | None) -> str:
     """Main text of a page, empty for null, empty or textless pages."""
     if not html:
@@ -176,23 +306,7 @@ def main_text(html: str | None) -> str:
     parser.feed(html)
     parser.close()
     parser.end_line()
-    lines = parser.lines
-    if any(x[1] for x in lines):
-        lines = [x for x in lines if x[1]]
-    if not lines:
-        return ""
-    ratios, of = np.array([x[2] / (x[3] + 1) for x in lines]), np.array([x[0] for x in lines])
-    for region in np.unique(of):  # lines of other containers aren't neighbours
-        ratios[of == region] = smoothed(ratios[of == region])
-    content = ratios >= min(threshold(ratios), float(ratios.max()))
-    size: dict[int, int] = {}
-    for x in lines:
-        size[x[0]] = size.get(x[0], 0) + x[2]
-    regions = {x[0] for x, c in zip(lines, content.tolist(), strict=True) if c} | {max(size, key=size.get)}
-    chosen = [x[0] in regions for x in lines]
-    for i in range(len(lines) - 2, -1, -1):  # headings belong to what follows
-        chosen[i] = chosen[i] or (lines[i][5] and chosen[i + 1])
-    return " ".join(x[4] for x, c in zip(lines, chosen, strict=True) if c)
+    return " ".join(x[4] for x, c in zip(parser.lines, selected(parser.nodes, parser.lines), strict=True) if c)
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -200,7 +314,8 @@ def extract(pages: DataFrame) -> DataFrame:
 
     Text of null or empty html is empty. Character references are decoded; white space inside a line becomes one
     blank, lines are joined by one blank in page order. Markup that is cut off or never closed is read as far as it
-    goes. Repeated rows and null ids stay as they are; an empty table gives no rows.
+    goes; a very long page is read whole. Repeated rows and null ids stay as they are; an empty table gives no rows.
+    Other columns are left out, whatever their names.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

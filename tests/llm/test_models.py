@@ -95,6 +95,70 @@ def test_html_without_article():
     assert html_text.main_text(page) == "Story " + ("Long text here. " * 9).strip()
 
 
+LONG = "A long paragraph of text that says quite a lot about things. " * 5
+NAV, LINKS = '<nav><a href="/">home</a> <a href="/x">more</a></nav>', "<ul>" + "".join(f"<li><a href={i}>Story {i}</a></li>" for i in range(6)) + "</ul>"
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [  # a form around the whole page, a layout class with a word of a sidebar, a teaser card beside the body
+        (f"<body><form id=aspnetForm>{NAV}<div id=content><h1>T</h1><p>{LONG}</p><p>Ok.</p></div><div class=footer>foot</div></form>", f"T {LONG}Ok."),
+        (f'<body><div class="layout sidebar-left"><article><h1>T</h1><p>{LONG}</p></article><aside>side</aside></div>', f"T {LONG.strip()}"),
+        (f"<body><article><h3>Teaser</h3><p>Short card.</p></article><div id=content><h1>T</h1><p>{LONG}</p><p>{LONG}</p></div>", f"T {LONG}{LONG.strip()}"),
+        (f'<article><p>{LONG}</p><p class="alert">Mind the gap.</p><p class="share-price">It rose.</p><p class="ad">Buy</p></article>', f"{LONG}Mind the gap. It rose."),
+        (f"<article><p>{LONG}</p><ul><li>Plain</li><li>Two</li></ul><p>End.</p><h3>More Links</h3>{LINKS}</article>", f"{LONG}Plain Two End."),
+        (f'<article><h1>T</h1><p>{LONG[:150]}</p><h2>Comments</h2><div class="comments"><p>{LONG * 3}</p></div></article>', f"T {LONG[:150].strip()}"),
+        (f"<article><h1>T</h1><p>{LONG[:150]}</p></article><section id=comments><article><p>{LONG * 3}</p></article></section>", f"T {LONG[:150].strip()}"),
+        (f"<body>{NAV}" + "".join(f"<div><p>{'w' * n}</p></div>" for n in (900, 400, 880, 350)) + "<div><a href=1>x</a></div>", " ".join("w" * n for n in (900, 400, 880, 350))),
+        ("<div class=ad>Some advert</div><article></article><footer>foot text</footer>", ""),
+    ],
+)
+def test_html_layouts(page, want):
+    assert html_text.main_text(page) == want
+
+
+def made_page(rng):
+    """A page of random layout and its main text: paragraphs of all lengths, lists and a table, amid what isn't the article."""
+    words = lambda n: " ".join(rng.choice(["some", "plain", "words", "of", "a", "story", "told", "here"], n))
+    main, body = ["Title " + words(3)], []
+    body.append(f"<h1>{main[0]}</h1>")
+    for _ in range(int(rng.integers(3, 9))):
+        kind = rng.integers(5)
+        texts = [words(int(rng.integers(2, 9))) for _ in range(3)] if kind > 2 else [words(int(rng.integers(1, 120)))]
+        main += texts
+        body.append("<ul>" + "".join(f"<li>{t}" for t in texts) + "</ul>" if kind == 3 else "<table><tr>" + "".join(f"<td>{t}</td>" for t in texts) + "</tr></table>" if kind == 4 else f"<p>{texts[0]}</p>")
+        body.append(LINKS * int(rng.integers(4) == 0))
+    body.append(f"<p>{LONG}</p>")
+    main.append(LONG.strip())
+    wrap = ["<article>{}</article>", "<main><div>{}</div></main>", "<div id=content>{}</div>", '<div class="col no-sidebar">{}</div>', "<section>{}</section>"][int(rng.integers(5))]
+    comments = f"<div class=comments><p>{words(30)}</p><p>{words(9)}</p></div>"
+    page = NAV + f"<header>{words(4)}</header><div class=ad>{words(12)}</div>" + wrap.format("".join(body)) + comments + f"<aside>{words(9)}</aside><footer>{words(20)}</footer>"
+    return f"<body><form id=f>{page}</form>" if rng.integers(4) == 0 else f"<html><body>{page}", " ".join(main)
+
+
+def test_html_made_pages(monkeypatch):
+    rng = np.random.default_rng(5)
+    pages = [made_page(rng) for _ in range(150)]
+    share = lambda a, b: len(a & b) / len(a)
+    bag = lambda t: {(w, i) for i, w in enumerate(t.split())}
+    found = [html_text.main_text(p) for p, _ in pages]
+    assert np.mean([share(bag(f), bag(m)) for f, (_, m) in zip(found, pages, strict=True)]) > 0.97  # precision, word by word in place
+    assert np.mean([share(bag(m), bag(f)) for f, (_, m) in zip(found, pages, strict=True)]) > 0.97
+    with monkeypatch.context() as m:  # without ratios every region counts as content
+        m.setattr(html_text, "threshold", lambda values: 0.0)
+        assert sum(html_text.main_text(p) != f for f, (p, _) in zip(found, pages, strict=True)) > 50
+    # nothing is cut from a very long page
+    long = "<article>" + "".join(f"<p>{LONG}{i}</p>" for i in range(5000)) + "</article>"
+    assert html_text.main_text(long) == " ".join(f"{LONG}{i}" for i in range(5000))
+
+
+def test_html_tables(spark):
+    schema = "page_id long, url string, html string"
+    assert html_text.extract(spark.createDataFrame([], schema)).count() == 0
+    clash = spark.createDataFrame([(1, "u", f"<p>{LONG}", "x", 9)], schema + ", text string, n_chars int")
+    assert [tuple(r) for r in html_text.extract(clash).collect()] == [(1, "u", LONG.strip(), len(LONG.strip()))]
+
+
 def test_preference_pairs(spark):
     turns = [
         (0, 0, "system", "s"), (0, 1, "user", "hi"), (0, 2, "assistant", "good"),
