@@ -25,6 +25,8 @@ from kindred.llm.common import components, durable
 SHINGLE, SEED, RADIUS = 4, 42, 4
 #: Shards are cut finer (more blocks) until they hold about so many fingerprints on average.
 SHARD_ROWS = 4096
+#: Fingerprints from which on a shard is cut once more, and rows, about, of an Arrow group.
+LARGE_SHARD, GROUP_ROWS = 50_000, 100_000
 
 
 def fingerprint(text: str | None) -> int:
@@ -45,15 +47,17 @@ def fingerprint(text: str | None) -> int:
     return int.from_bytes(np.packbits(2 * count > n, bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint's 64 bits as a signed long."""
+def fingerprints(docs: DataFrame, *keys: str) -> DataFrame:
+    """(keys..., fp) of docs(keys..., text), by default of doc_id: fp is the fingerprint's 64 bits as a signed long."""
+    keys = keys or ("doc_id",)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.fromiter((fingerprint(x.as_py()) for x in b.column(1)), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            fps = np.fromiter((fingerprint(x.as_py()) for x in b.column(len(keys))), np.uint64, b.num_rows)
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keys)], pa.array(fps.view(np.int64))], [*keys, "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long")
+    kinds = ", ".join(f"{k} {docs.schema[k].dataType.simpleString()}" for k in keys)
+    return docs.select(*keys, "text").mapInArrow(run, f"{kinds}, fp long")
 
 
 def popcount(x: np.ndarray) -> np.ndarray:
@@ -178,23 +182,57 @@ def n_blocks(n: int, radius: int = RADIUS) -> int:
     return blocks
 
 
+def block_masks(bits: list[int], blocks: int, agree: int) -> list[int]:
+    """Masks of every choice of `agree` out of so many blocks of the given bit positions."""
+    edge = [len(bits) * i // blocks for i in range(blocks + 1)]
+    mask = [sum(1 << i for i in bits[a:b]) for a, b in zip(edge, edge[1:], strict=False)]
+    return [sum(chosen) for chosen in combinations(mask, agree)]
+
+
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
+def _keys(fp: Column, masks: Column) -> Column:
+    """Array of (choice, bits): the fingerprint's bits under each mask."""
+    return F.transform(masks, lambda m, i: F.struct(i.alias("choice"), fp.bitwiseAND(m).alias("bits")))
+
+
 def shard_keys(fp: Column, blocks: int, radius: int = RADIUS) -> Column:
     """Array of (choice, bits): one for each choice of blocks - radius blocks, with the fingerprint's bits there."""
-    edge = [64 * i // blocks for i in range(blocks + 1)]
-    mask = [((1 << b) - (1 << a)) for a, b in zip(edge, edge[1:], strict=False)]
-    signed = lambda m: m - (1 << 64) if m >> 63 else m
-    chosen = [sum(mask[i] for i in c) for c in combinations(range(blocks), blocks - radius)]
-    assert len(chosen) == comb(blocks, radius)
-    return F.array(*[F.struct(F.lit(i).alias("choice"), fp.bitwiseAND(F.lit(signed(m))).alias("bits")) for i, m in enumerate(chosen)])
+    masks = block_masks(list(range(64)), blocks, blocks - radius)
+    assert len(masks) == comb(blocks, radius)
+    return _keys(fp, F.array(*[F.lit(_signed(m)) for m in masks]))
+
+
+def part_keys(fp: Column, choice: Column, blocks: int, radius: int = RADIUS) -> Column:
+    """shard_keys() within a shard of that choice: pairs within the radius agree on one of radius + 1 blocks of the bits
+    that the shard leaves open, too."""
+    of_choice = []
+    for m in block_masks(list(range(64)), blocks, blocks - radius):
+        rest = [i for i in range(64) if not m >> i & 1]
+        of_choice.append(F.array(*[F.lit(_signed(x)) for x in block_masks(rest, radius + 1, 1)]))
+    return _keys(fp, F.get(F.array(*of_choice), choice))
 
 
 def linked(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(a, b): links between ids of distinct(fp, id) whose components are those of all fingerprints within radius;
-    b is the smallest id of the group that a shard found."""
-    blocks = n_blocks(distinct.count(), radius)
+    b is the smallest id of the group that a shard found.
+
+    A shard of more than LARGE_SHARD fingerprints is cut once more by bits that it leaves open, so that its work is
+    spread; no pair is lost."""
+    n = distinct.count()
+    blocks = n_blocks(n, radius)
     sharded = distinct.select("fp", "id", F.explode(shard_keys(F.col("fp"), blocks, radius)).alias("key")).select("fp", "id", "key.*")
-    # Several shards share a task's Arrow group; what a group must hold is bounded by its own shards.
-    buckets = max(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1) * 4
+    large = durable(sharded.groupBy("choice", "bits").count().where(F.col("count") > LARGE_SHARD).select("choice", "bits", F.lit(True).alias("large")), "simhash-large")
+    if not large.isEmpty():
+        cut = sharded.join(large, ["choice", "bits"], "left")
+        whole = F.array(F.struct(F.lit(-1).alias("choice"), F.lit(0).cast("long").alias("bits")))
+        parts = F.when(F.col("large"), part_keys(F.col("fp"), F.col("choice"), blocks, radius)).otherwise(whole)
+        cut = cut.select("fp", "id", "choice", "bits", F.explode(parts).alias("part"))
+        sharded = cut.select("fp", "id", F.col("choice") * (radius + 2) + F.col("part.choice") + 1, F.col("bits").bitwiseOR(F.col("part.bits"))).toDF("fp", "id", "choice", "bits")
+    # Several shards share a task's Arrow group, of about GROUP_ROWS rows.
+    buckets = max(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), n * comb(blocks, radius) // GROUP_ROWS + 1)
     sharded = sharded.withColumn("bucket", F.pmod(F.xxhash64("choice", "bits"), F.lit(buckets)))
 
     def links(bucket: pd.DataFrame) -> pd.DataFrame:
@@ -203,8 +241,9 @@ def linked(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
         shard = np.cumsum(np.append(False, (bits[1:] != bits[:-1]) | (choice[1:] != choice[:-1])))
         lead = np.arange(len(fp))  # the first position of a group has its smallest id
         sizes = np.bincount(shard)
+        ends = np.cumsum(sizes)
         for s in np.flatnonzero(sizes > SMALL):
-            of = np.flatnonzero(shard == s)
+            of = np.arange(ends[s] - sizes[s], ends[s])
             lead[of] = of[link_shard(fp[of].view(np.uint64), radius)]
         small = np.flatnonzero((sizes[shard] <= SMALL) & (sizes[shard] > 1))
         cuts = np.flatnonzero(np.diff(shard[small])) + 1
@@ -227,7 +266,9 @@ def groups(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
     component_id is the smallest doc_id reachable over links of fingerprints within radius, itself included. Null
     and wordless texts have fingerprint zero and link like any other. Null doc_ids are kept; a component of null
-    ids only has a null component_id. Rows repeated in docs stay repeated; an empty table gives no rows.
+    ids only has a null component_id. Rows that share a doc_id are one document, which links by all their texts. Rows
+    repeated in docs stay repeated; an empty table gives no rows. Texts of any length are taken whole; other columns are
+    left out, whatever their names.
     """
     each = durable(fingerprints(docs), "simhash")
     # A fingerprint is known by its smallest doc_id, so that components are named as asked without another grouping.
@@ -240,12 +281,22 @@ def groups(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Columns of docs; of each group of near-duplicates the rows with the smallest doc_id, once.
-
-    A row whose doc_id is null has no group identity to be compared by and is kept."""
-    leaders = groups(docs.where("doc_id is not null"), radius).where("doc_id = component_id").select("doc_id").distinct()
-    keyed = docs.join(leaders, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
-    return keyed.unionByName(docs.where("doc_id is null"))
+    """Columns of docs; of each group of near-duplicates one row: the least by doc_id, then by a hash of the text.
+
+    Groups are of texts: rows that share a doc_id but not a group of near-duplicates all stay. Rows alike in doc_id and
+    text are one; the least by a hash of the other columns (maps left out) stands for them. Null and wordless texts
+    are a group. A row whose doc_id is null has no identity to be compared by and is kept."""
+    key = F.xxhash64("text")  # tells texts of one doc_id apart
+    known = docs.where("doc_id is not null")
+    each = durable(fingerprints(known.select("doc_id", key.alias("key"), "text"), "doc_id", "key"), "simhash-rows")
+    distinct = durable(each.groupBy(F.col("fp").alias("id")).agg(F.min(F.struct("doc_id", "key")).alias("least")), "simhash-leads")
+    found = components(linked(distinct.select(F.col("id").alias("fp"), "id"), radius))
+    led = distinct.join(found, "id", "left").groupBy(F.coalesce("component", "id").alias("component")).agg(F.min("least").alias("least"))
+    leaders = led.select("least.*")
+    other = [docs[c] for c, k in docs.dtypes if c != "text" and "map<" not in k]
+    rows = known.select("doc_id", key.alias("key"), F.struct(*docs.columns).alias("row"), F.xxhash64(*other).alias("place"))
+    kept = rows.join(leaders, ["doc_id", "key"], "left_semi").groupBy("doc_id", "key").agg(F.min_by("row", "place").alias("row"))
+    return kept.select("row.*").unionByName(docs.where("doc_id is null"))
 
 
 def op3_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:

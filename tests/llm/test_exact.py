@@ -105,6 +105,30 @@ def test_simhash(docs, none):
     assert simhash.groups(none).count() == 0
 
 
+def test_simhash_repeated_ids(spark):
+    rows = [(1, "one text of five words", "x"), (1, "quite another text with seven words", "x"), (1, "one text of five words", "b"), (2, "one text of five words", "x")]
+    rows += [(3, None, "x"), (4, "", "x"), (5, "deep " * 20_000, "x"), (6, "deep " * 20_000, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, fp string")
+    kept = [(r.doc_id, r.text, r.fp) for r in simhash.keep_one(docs).collect()]
+    assert sorted((i, (t or "")[:9]) for i, t, _ in kept) == [(1, "one text "), (1, "quite ano"), (3, ""), (5, "deep deep")]
+    again = [(r.doc_id, r.text, r.fp) for r in simhash.keep_one(docs.repartition(5)).collect()]
+    assert sorted(map(str, again)) == sorted(map(str, kept))  # of rows alike in id and text always the same one
+    assert len({r.component_id for r in simhash.groups(docs).collect()}) == 3  # one document links by all its texts
+    assert simhash.keep_one(docs.where("false")).count() == 0
+
+
+def test_simhash_large_shards(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "LARGE_SHARD", 5)
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 2**63, 12)
+    f = {int(b ^ sum(1 << int(i) for i in rng.choice(63, rng.integers(0, 7), replace=False))) for b in base for _ in range(12)}
+    df = spark.createDataFrame([(x, i) for i, x in enumerate(sorted(f))], "fp long, id long")
+    fps = sorted(f)
+    near = [(i, j) for i in range(len(fps)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 4]
+    links = [(r.a, r.b) for r in simhash.linked(df).collect()]
+    assert near and brute_groups(list(range(len(fps))), links) == brute_groups(list(range(len(fps))), near)
+
+
 @pytest.mark.parametrize("seed", range(25))
 def test_bk_trees(seed):
     rng = np.random.default_rng(seed)
