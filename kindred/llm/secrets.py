@@ -3,14 +3,17 @@
 A value that follows a credential word is cut into the segmentation that an attacker would guess cheapest: dictionary
 words, dates, repeated characters or blocks, keyboard walks, sequences and brute-force spans. The minimum over all
 segmentations is found by dynamic programming over the value's positions; values that would take at least
-GUESS_DIGITS decimal digits of guesses are secrets.
+GUESS_DIGITS decimal digits of guesses are secrets, WORD_DIGITS if they look like plain words. Words are ranked by a
+public vocabulary, whose order is about that of their frequency in many languages, after a few common passwords.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from math import log10
 
 import pyarrow as pa
@@ -33,20 +36,37 @@ _CONTEXT = re.compile(
 )
 #: A context value is a secret from so many decimal digits of guesses on.
 GUESS_DIGITS = 8.0
+#: So many for a value that could be prose: letters, at most the first of them a capital, and hyphens between them.
+WORD_DIGITS = 12.0
+_PROSE = re.compile(r"[^\W\d_][^\W\d_A-Z]*(?:[-'’][^\W\d_A-Z]+)*")
 
-#: Fixed: common password words, most common first; a word's guesses are its place in the list.
+#: Fixed: common passwords, ahead of the vocabulary.
 COMMON = (
     "password", "123456", "qwerty", "admin", "welcome", "letmein", "monkey", "dragon", "login", "abc123", "master", "hello",
     "freedom", "whatever", "trustno1", "shadow", "sunshine", "princess", "football", "baseball", "superman", "batman",
-    "michael", "jordan", "secret", "iloveyou", "starwars", "passw0rd", "pass", "user", "root", "test", "guest", "changeme",
-    "default", "example", "token", "key", "api", "access", "service", "system", "server", "database", "winter", "summer",
-    "spring", "autumn", "january", "february", "march", "april", "june", "july", "august", "september", "october",
-    "november", "december", "monday", "friday", "sunday", "love", "money", "house", "computer", "internet", "company",
-    "public", "private", "the", "and", "for", "with", "your", "this", "that", "from", "none", "null", "true", "false",
-    "value", "string", "required", "optional", "placeholder", "here", "enter", "name", "string", "number", "local", "host",
+    "iloveyou", "starwars", "passw0rd", "pass", "user", "root", "test", "guest", "changeme", "default", "example",
+    "placeholder", "none", "null", "true", "false",
 )
-_RANK = {w: i + 1 for i, w in reversed(list(enumerate(COMMON)))}
-_LONGEST = max(map(len, _RANK))
+#: Letters of the longest word of the vocabulary that is looked up.
+LONGEST = 20
+
+
+@lru_cache(maxsize=2)
+def ranked_words(path: str | None) -> dict[str, int]:
+    """Lower-case word to its rank from 1: COMMON, then the vocabulary's tokens of two or more letters in its order.
+
+    path: a file of base64 tokens and ranks; none for COMMON alone."""
+    out = {w: i + 1 for i, w in enumerate(COMMON)}
+    if path is not None:
+        with open(path, "rb") as f:
+            tokens = sorted((int(r), base64.b64decode(t)) for t, r in map(bytes.split, f))
+        for _, token in tokens:
+            word = token.decode("utf-8", "replace").strip(" ").lower()
+            if 2 <= len(word) <= LONGEST and word.isalpha():
+                out.setdefault(word, len(out) + 1)
+    return out
+
+
 #: Fixed: rows of a keyboard; a walk runs along a row in either direction.
 ROWS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm")
 _PLACE = {c: (r, i) for r, row in enumerate(ROWS) for i, c in enumerate(row)}
@@ -81,12 +101,13 @@ def _alphabet(c: str) -> int:
     return 10 if c.isdigit() else 26 if c.isalpha() and c.isascii() else 33 if c.isascii() else 100
 
 
-def guess_digits(value: str, enough: float = float("inf")) -> float:
-    """Decimal digits of the fewest guesses over all segmentations of value, or enough if it takes more.
+def guess_digits(value: str, enough: float = float("inf"), path: str | None = None) -> float:
+    """Decimal digits of the fewest guesses over all segmentations of value, or enough if it takes more; path: the
+    vocabulary, as in ranked_words().
 
     Prefixes that already take enough aren't followed, so the work on a long value ends after a few spans, or after
     the repeats and walks that make it cheap."""
-    n, low = len(value), value.translate(_LOWER)
+    n, low, ranks = len(value), value.translate(_LOWER), ranked_words(path)
     plain = low.translate(_LEET)
     best = [0.0] + [float("inf")] * n
     last = 0  # no open prefix ends after it
@@ -105,9 +126,9 @@ def guess_digits(value: str, enough: float = float("inf")) -> float:
                     last = max(last, j)
 
         reach(i + 1, log10(_alphabet(value[i])))
-        for j in range(i + 2, min(n, i + _LONGEST) + 1):
+        for j in range(i + 2, min(n, i + LONGEST) + 1):
             for form, extra in ((low, 0.0), (plain, 0.3)):
-                if rank := _RANK.get(form[i:j]):
+                if rank := ranks.get(form[i:j]):
                     upper = value[i:j] != low[i:j]
                     reach(j, log10(rank + 1) + extra + (0.5 if upper else 0.0))
                     break
@@ -139,8 +160,8 @@ def base_spans(text: str, folded: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def guess_spans(text: str, folded: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """(start, kind, end) of context values with a digit and a high guess cost that no base span covers."""
+def guess_spans(text: str, folded: str, base: list[tuple[int, int, int]], path: str | None = None) -> list[tuple[int, int, int]]:
+    """(start, kind, end) of context values with a high guess cost that no base span covers."""
     out, k, covered = [], 0, 0  # covered: the furthest end of the base spans that start at or before a value
     if any(k in folded for k in _CONTEXT_WORDS):
         for m in _CONTEXT.finditer(text):
@@ -149,35 +170,38 @@ def guess_spans(text: str, folded: str, base: list[tuple[int, int, int]]) -> lis
                 b -= 1
             while k < len(base) and base[k][0] <= a:
                 covered, k = max(covered, base[k][2]), k + 1
-            if b - a >= 8 and b > covered and any(c.isdigit() for c in text[a:b]) and guess_digits(text[a:b], GUESS_DIGITS) >= GUESS_DIGITS:
-                out.append((a, 3, b))
+            if b - a >= 8 and b > covered:
+                enough = WORD_DIGITS if _PROSE.fullmatch(text, a, b) else GUESS_DIGITS
+                if guess_digits(text[a:b], enough, path) >= enough:
+                    out.append((a, 3, b))
     return out
 
 
-def spans(text: str | None) -> list[tuple[int, int, int]]:
+def spans(text: str | None, path: str | None = None) -> list[tuple[int, int, int]]:
     """(start, kind, end) of all spans by start, then kind, in code points."""
     text = text or ""
     folded = text.lower()  # only to see which patterns can match at all
     base = base_spans(text, folded)
-    return sorted(base + guess_spans(text, folded, base))
+    return sorted(base + guess_spans(text, folded, base, path))
 
 
 def _digest(found: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in found)
 
 
-def scan(docs: DataFrame) -> DataFrame:
+def scan(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans for every row of docs(doc_id, text).
 
-    Null text counts as empty: no spans, and the digest of an empty string. Every row is scanned by itself, so
-    repeated rows, null ids and empty tables need no care.
+    vocabulary: path of the ranked vocabulary. Null text counts as empty: no spans, and the digest of an empty string.
+    Every row is scanned by itself, so repeated rows, null ids and empty tables need no care; texts of any length are
+    scanned whole, in time that grows with their length. Other columns are left out, whatever their names.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             counts, hashes, all_spans = ([], [], []), [], []
             for x in b.column(1):
-                found = spans(x.as_py())
+                found = spans(x.as_py(), vocabulary)
                 base = [s for s in found if s[1] < 3]
                 for k in range(3):
                     counts[k].append(sum(s[1] == k for s in base))
@@ -191,7 +215,7 @@ def scan(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
-def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
+def redact(docs: DataFrame, mark: str = "[secret]", vocabulary: str | None = None) -> DataFrame:
     """docs with every found span of text replaced by mark (overlapping spans by one), and n_chars, if there, set anew
     for the rows that change. Rows, their order of columns and null texts stay as they are."""
     at = docs.columns.index("text")
@@ -199,7 +223,7 @@ def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
 
     def clean(text: str | None) -> str | None:
         out, end = [], 0
-        for a, _, b in spans(text):
+        for a, _, b in spans(text, vocabulary):
             if a >= end:
                 out += [text[end:a], mark]
             end = max(end, b)
@@ -220,5 +244,8 @@ def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
 
 
 def op10_secret_scans(spark, sf_dir: str) -> DataFrame:
-    """Counts, digest and spans of secrets in every document."""
-    return scan(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    """Counts, digest and spans of secrets in every document, words ranked by the public multilingual vocabulary."""
+    import public_tokenizers
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return scan(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))

@@ -281,6 +281,60 @@ def test_guess_cost():
     assert not secrets.spans("token: token:abcdefgh")[1:]  # a consumed match hides the next keyword
 
 
+VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+
+
+def chunk_digits(chunk, ranks):
+    """Decimal digits of guesses of one chunk as a whole: the cheapest of the patterns that it is an instance of."""
+    size = lambda c: 10 if c.isdigit() else 26 if c.isalpha() and c.isascii() else 33 if c.isascii() else 100
+    low, out = chunk.translate(secrets._LOWER), []
+    if len(chunk) == 1:
+        return np.log10(size(chunk))
+    plain = low.translate(secrets._LEET)
+    if low in ranks or plain in ranks:
+        out.append(np.log10(ranks.get(low, ranks.get(plain)) + 1) + (0.3 if low not in ranks else 0) + (0.5 if low != chunk else 0))
+    if secrets._DATE.fullmatch(chunk):
+        out.append(np.log10(365 * 120))
+    pairs = list(zip(low, low[1:]))
+    if len(chunk) >= 3:
+        for d in (1, -1):
+            if any(all(b in row and a in row and row.index(b) - row.index(a) == d for a, b in pairs) for row in secrets.ROWS):
+                out.append(np.log10(47 * 2 * len(chunk)))
+            if all(ord(b) - ord(a) == d for a, b in pairs) and low.isalnum():
+                out.append(np.log10(60 * 2 * len(chunk)))
+        for n in range(1, len(chunk) // 2 + 1):
+            if len(chunk) % n == 0 and chunk == chunk[:n] * (len(chunk) // n) and not (n > 1 and chunk == chunk[0] * len(chunk)):
+                out.append(np.log10(max(2, len(chunk) // n)) + sum(np.log10(size(c)) for c in chunk[:n]))
+    return min(out, default=np.inf)
+
+
+@pytest.mark.parametrize("path", [None, VOCABULARY])
+def test_guess_cost_is_least_over_all_segmentations(path):
+    ranks, rng = secrets.ranked_words(path), np.random.default_rng(8)
+    pieces = ["password", "qwe", "321", "abab", "aaa", "pass", "p4ss", "House", "x", "!", "7", "zyx", "le", "İ", "12/5/1999", "1999"]
+    for _ in range(60):
+        value = "".join(rng.choice(pieces, rng.integers(1, 6)))[:11]
+        best = np.inf
+        for cuts in range(1 << (len(value) - 1)):  # every segmentation
+            at = [0] + [i + 1 for i in range(len(value) - 1) if cuts >> i & 1] + [len(value)]
+            best = min(best, sum(chunk_digits(value[a:b], ranks) for a, b in zip(at, at[1:])))
+        assert secrets.guess_digits(value, path=path) == pytest.approx(best), value
+
+
+def test_guess_spans_of_letters_and_prose(spark):
+    secret = ["xKqpWzmrTyuB", "KxQvzLmRtWp", "Kx!QvzLmRt@Wp", "qzwvkjxhgfbt", "x7Gq9ZpL2v"]
+    prose = ["incorrect", "something", "case-sensitive", "authentication", "Constantinople", "required.", "password1234", "introduced", "20240101", "qwertyuiop"]
+    rows = [(i, f"Mind that the password is {v}, and no more.") for i, v in enumerate(secret + prose)]
+    rows.append((99, "The passphrase := vKzqXwLpjR and " + "plain words " * 20_000 + "pwd => hQ!zkWv&xTj"))  # a very long text
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: (r.spans, r.n_assign + r.n_access + r.n_hex) for r in secrets.scan(docs, VOCABULARY).collect()}
+    assert [found[i][0] for i in range(len(secret))] == [f"guess:26:{26 + len(v)}" for v in secret]  # the method alone finds these
+    assert all(found[len(secret) + k] == ("", 0) for k in range(len(prose)))
+    assert found[99][0].count("guess") == 2
+    clean = {r.doc_id: r.text for r in secrets.redact(docs, vocabulary=VOCABULARY).collect()}
+    assert all(clean[i] == rows[i][1].replace(v, "[secret]") for i, v in enumerate(secret)) and clean[7] == rows[7][1]
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(4)
     base = rng.standard_normal((40, 16))
