@@ -102,33 +102,32 @@ def _ordered_hash(docs: DataFrame) -> Column:
 
 
 def _with_mix(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, cap: int = 2) -> DataFrame:
-    """docs with a struct `_mix` of size, source_size, target and copies."""
-    by = plan(docs, weights, share, cap).select(F.struct("*").alias("_plan"))
-    rows = docs.withColumns({"_hash": _ordered_hash(docs), "_size": n_words(docs["text"])})
-    rows = rows.join(by, rows["source"].eqNullSafe(by["_plan"]["source"]), "left")
-    more = F.coalesce((F.col("_hash") <= F.col("_plan.cut")).cast("int"), F.lit(0))
-    copies = F.least(F.col("_plan.copies") + more, F.lit(cap)).cast("long")
-    added = F.struct(F.col("_size").alias("size"), "_plan.source_size", "_plan.target", copies.alias("copies"))
-    return rows.select(*docs.columns, added.alias("_mix"))
+    """(row, mix): each row of docs as a struct, so that no column of it can clash, and its size, source_size, target and copies."""
+    by = plan(docs, weights, share, cap).select(F.struct("*").alias("plan"))
+    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), docs["source"], _ordered_hash(docs).alias("hash"), n_words(docs["text"]).alias("size"))
+    rows = rows.join(by, rows["source"].eqNullSafe(by["plan"]["source"]), "left")
+    more = F.coalesce((F.col("hash") <= F.col("plan.cut")).cast("int"), F.lit(0))
+    copies = F.least(F.col("plan.copies") + more, F.lit(cap)).cast("long")
+    return rows.select("row", F.struct("size", "plan.source_size", "plan.target", copies.alias("copies")).alias("mix"))
 
 
 def mix(docs: DataFrame, **how) -> DataFrame:
     """docs with size, source_size, target (its source's) and copies (0 to cap): how often the mix takes each row.
 
     Needs columns doc_id, source, text; other columns pass through unless named like an added one, which is
-    replaced. Null text has size 0; a null source is a source of its own, the last in order. Rows alike in
+    replaced. Null text has size 0; texts of any length are counted whole; a null source is a source of its own, the
+    last in order. Sources are names of collections, a few thousand at most: one task orders them. Rows alike in
     doc_id and text hash alike and are taken together. Sources without words have target 0. An empty table
     gives an empty result. Reruns agree: only the rows decide, not their order or partitioning.
     """
     added = ("size", "source_size", "target", "copies")
-    return _with_mix(docs, **how).select(*[c for c in docs.columns if c not in added], "_mix.*")
+    return _with_mix(docs, **how).select(*[F.col("row").getField(c).alias(c) for c in docs.columns if c not in added], "mix.*")
 
 
 def mixed(docs: DataFrame, **how) -> DataFrame:
     """The mix itself: every row of docs as often as mix() takes it, with the columns of docs."""
     taken = _with_mix(docs, **how)
-    repeat = F.explode(F.array_repeat(F.lit(0), F.col("_mix.copies").cast("int"))).alias("_mix_copy")
-    return taken.select(*docs.columns, repeat).select(*docs.columns)
+    return taken.select("row", F.explode(F.array_repeat(F.lit(0), F.col("mix.copies").cast("int")))).select("row.*")
 
 
 def op6_mix_sources(spark, sf_dir: str) -> DataFrame:

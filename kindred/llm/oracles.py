@@ -5,7 +5,7 @@ from __future__ import annotations
 from kindred.llm.chat import OP9_SQL
 from kindred.llm.embedding_dedup import COSINE
 from kindred.llm.mixing import OP6_SQL
-from kindred.llm.quality import ERROR, GRID, RISK, RULES
+from kindred.llm.quality import ERROR, GRID, RISK, RULES, WEAK_RISK
 
 #: All pairs, which the multi-index finds on these tables without loss.
 OP1_SQL = f"""
@@ -28,6 +28,14 @@ FROM v JOIN least l ON v.vec_id = l.id LEFT JOIN degree d ON v.vec_id = d.u
 _RULES = " UNION ALL ".join(f"SELECT rid, lang, base_failed, doc_id, '{rule}' AS rule, {x} AS x, {of} AS total FROM m" for rule, (x, of) in RULES.items())
 _GRID = ", ".join(f"({i}, CAST({c} AS DOUBLE))" for i, c in enumerate(GRID))
 
+
+
+def _tail(p: float) -> str:
+    """P(Bin(n, p) <= k), 1 where k >= n p."""
+    return f"""CASE WHEN k >= n * {p} THEN 1 ELSE list_sum(list_transform(range(0, CAST(k AS BIGINT) + 1), lambda j:
+    exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({p}) + (n - j) * ln(1 - {p})))) END"""
+
+
 OP5_SQL = rf"""
 WITH d AS (
   SELECT row_number() OVER () AS rid, doc_id, lang, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words,
@@ -45,15 +53,19 @@ WITH d AS (
 ), long AS ({_RULES}),
 good AS (SELECT doc_id FROM labels GROUP BY doc_id HAVING min(quality) = max(quality) AND min(quality) = 1),
 grid(step, cut) AS (VALUES {_GRID}),
-counts AS (
-  SELECT lang, rule, step, cut, count(*) AS n, count(*) FILTER (x > cut * total) AS k
+own AS (
+  SELECT lang, rule, step, count(*) AS n, count(*) FILTER (x > cut * total) AS k
   FROM long, grid WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM good) GROUP BY ALL
-), tails AS (
-  SELECT *, CASE WHEN k >= n * {RISK} THEN 1 ELSE list_sum(list_transform(range(0, k + 1), lambda j:
-      exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({RISK}) + (n - j) * ln(1 - {RISK})))) END
-    <= {ERROR} / ((SELECT count(*) FROM (SELECT DISTINCT lang FROM counts)) * {len(RULES)}) AS ok FROM counts
-), stops AS (SELECT lang, rule, coalesce(min(step) FILTER (NOT ok), {len(GRID)}) AS stop FROM tails GROUP BY lang, rule),
-cuts AS (SELECT lang, rule, cut FROM stops JOIN grid ON step = stop - 1),
+), counts AS (
+  SELECT false AS pooled, * FROM own UNION ALL SELECT true, NULL, rule, step, sum(n), sum(k) FROM own GROUP BY rule, step
+), tails AS (SELECT * REPLACE (CAST(n AS BIGINT) AS n, CAST(k AS BIGINT) AS k), {_tail(RISK)} AS strict_tail, {_tail(WEAK_RISK)} AS weak_tail FROM counts
+), level AS (SELECT {ERROR} / ((2 * (SELECT count(*) FROM (SELECT DISTINCT lang FROM own)) + 1) * {len(RULES)}) AS each
+), walks AS (
+  SELECT pooled, lang, rule, coalesce(min(step) FILTER (strict_tail > each), {len(GRID)}) AS strict, coalesce(min(step) FILTER (weak_tail > each), {len(GRID)}) AS weak
+  FROM tails, level GROUP BY ALL
+), steps AS (
+  SELECT o.lang, o.rule, CASE WHEN o.strict > 0 THEN o.strict ELSE least(o.weak, p.strict) END AS steps FROM walks o JOIN walks p ON o.rule = p.rule AND NOT o.pooled AND p.pooled
+), cuts AS (SELECT lang, rule, cut FROM steps JOIN grid ON step = steps - 1),
 failed AS (
   SELECT DISTINCT rid FROM long JOIN cuts ON long.lang IS NOT DISTINCT FROM cuts.lang AND long.rule = cuts.rule WHERE x > cut * total
 )

@@ -4,8 +4,9 @@ Every rule compares one ratio of a document with a cutoff. Cutoffs are chosen pe
 documents: walking a grid from lenient to strict, a cutoff is accepted while the exact binomial (Clopper-Pearson)
 upper bound of its false rejection rate, i.e. the share of good documents that it would reject, stays within the
 allowed risk; the walk stops at the first cutoff that isn't accepted (fixed-sequence testing, so the grid needs no
-correction), and the error probability is divided by the number of strata and rules (Bonferroni). A stratum with
-too few labels gets no cutoff and rejects nothing.
+correction), and the error probability is divided by the number of walks (Bonferroni). A stratum with too few labels
+for a rule takes the cutoff that all strata together allow, or one less strict, as far as its own labels bound the
+false rejection rate by WEAK_RISK in a walk of their own; with too few for that it rejects nothing by the rule.
 """
 
 from __future__ import annotations
@@ -16,8 +17,9 @@ from pyspark.sql import functions as F
 from kindred.llm.common import SPACE_CLASS, durable, let, words_of
 
 WINDOW = 5
-#: Allowed false rejection rate of one rule in one stratum, and probability that any bound is wrong.
-RISK, ERROR = 0.005, 0.1
+#: Allowed false rejection rate of one rule in one stratum, the one where its labels don't suffice for that and the
+#: cutoff comes from all strata, and the probability that any bound is wrong.
+RISK, WEAK_RISK, ERROR = 0.005, 0.02, 0.1
 #: Fixed: each rule's ratio (numerator, denominator); a document fails where the ratio is over the cutoff.
 RULES = {
     "symbols": ("n_symbols", "word_chars"),
@@ -109,7 +111,7 @@ def binomial_tail(k: Column, n: Column, p: float) -> Column:
     return F.when(k >= n * p, 1.0).otherwise(F.exp(top) * total)
 
 
-def cutoffs(measured: DataFrame, labels: DataFrame, risk: float = RISK, error: float = ERROR) -> DataFrame:
+def cutoffs(measured: DataFrame, labels: DataFrame, risk: float = RISK, error: float = ERROR, weak: float = WEAK_RISK) -> DataFrame:
     """(lang, n_good, cut_<rule>...): one row per stratum with labels; a cutoff is null where none is safe.
 
     labels(doc_id, quality): documents labelled both ways, or null, are left out. Good documents that fail the
@@ -118,30 +120,35 @@ def cutoffs(measured: DataFrame, labels: DataFrame, risk: float = RISK, error: f
     good = measured.where(~F.col("base_failed")).join(agreed.select("doc_id"), "doc_id", "left_semi")
     over = {f"{rule}_{i}": F.count_if(F.col(x) > c * F.col(of)) for rule, (x, of) in RULES.items() for i, c in enumerate(GRID)}
     counts = durable(good.groupBy("lang").agg(F.count("*").alias("n_good"), *[v.alias(k) for k, v in over.items()]), "quality-counts")
-    each = F.lit(float(error)) / (F.greatest(F.lit(1), F.lit(counts.count())) * len(RULES))
+    every = counts.agg(F.lit(None).cast("string").alias("lang"), *[F.sum(c).alias(c) for c in counts.columns[1:]]).withColumn("pooled", F.lit(True))
+    counts_all = counts.withColumn("pooled", F.lit(False)).unionByName(every.where("n_good > 0"))
+    # Walks: of each stratum at both risks, and of all strata together.
+    each = F.lit(float(error)) / ((2 * counts.count() + 1) * len(RULES))
     tried = [
-        F.struct(F.lit(rule).alias("rule"), F.lit(i).alias("step"), F.lit(float(c)).alias("cut"), F.col(f"{rule}_{i}").alias("k"))
+        F.struct(F.lit(rule).alias("rule"), F.lit(i).alias("step"), F.col(f"{rule}_{i}").alias("k"))
         for rule in RULES
-        for i, c in enumerate(GRID)
+        for i in range(len(GRID))
     ]
-    tried = counts.select("lang", "n_good", F.explode(F.array(*tried)).alias("t")).select("lang", "n_good", "t.*")
-    judged = tried.withColumn("ok", binomial_tail(F.col("k"), F.col("n_good"), risk) <= each)
-    by_rule = judged.groupBy("lang", "n_good", "rule").agg(
-        F.min(F.when(~F.col("ok"), F.col("step"))).alias("stop"), F.map_from_entries(F.collect_list(F.struct("step", "cut"))).alias("cuts")
-    )
-    by_rule = by_rule.withColumn("cut", F.element_at("cuts", F.coalesce("stop", F.lit(len(GRID))) - 1))
-    last = [F.max(F.when(F.col("rule") == r, F.col("cut"))).alias(f"cut_{r}") for r in RULES]
-    return durable(by_rule.groupBy("lang", "n_good").agg(*last), "quality-cutoffs")
-
-
-def judge(docs: DataFrame, labels: DataFrame, risk: float = RISK, error: float = ERROR, carry: bool = False) -> DataFrame:
+    tried = counts_all.select("lang", "pooled", "n_good", F.explode(F.array(*tried)).alias("t")).select("lang", "pooled", "n_good", "t.*")
+    stop = lambda p: F.coalesce(F.min(F.when(binomial_tail(F.col("k"), F.col("n_good"), p) > each, F.col("step"))), F.lit(len(GRID)))
+    walked = durable(tried.groupBy("lang", "pooled", "n_good", "rule").agg(stop(risk).alias("strict"), stop(weak).alias("weak")), "quality-walks")
+    together = walked.where("pooled").select("rule", F.col("strict").alias("pooled_strict"))
+    own = walked.where("not pooled").join(F.broadcast(together), "rule")  # a row for each rule
+    steps = F.when(F.col("strict") > 0, F.col("strict")).otherwise(F.least("weak", "pooled_strict"))
+    cut = F.get(F.array(*[F.lit(float(c)) for c in GRID]), steps - 1)
+    last = [F.max(F.when(F.col("rule") == r, cut)).alias(f"cut_{r}") for r in RULES]
+    return durable(own.groupBy("lang", "n_good").agg(*last), "quality-cutoffs")
+
+
+def judge(docs: DataFrame, labels: DataFrame, risk: float = RISK, error: float = ERROR, weak: float = WEAK_RISK, carry: bool = False) -> DataFrame:
     """doc_id, lang, measures, base_failed, kept for every row of docs; carry: and the row itself as struct `row`.
 
     Null text counts as empty and fails the base (under 10 words). A null lang is a stratum of its own; a stratum
-    without labels, like an empty labels table, applies the base rules only. Rows repeated in docs stay repeated.
+    without labels, like an empty labels table, applies the base rules only. Rows repeated in docs stay repeated; texts
+    of any length are measured whole, and an empty table gives no rows.
     """
     measured = durable(measures(docs, carry), "quality-measures")
-    cuts = cutoffs(measured, labels, risk, error).withColumnRenamed("lang", "_stratum").drop("n_good")
+    cuts = cutoffs(measured, labels, risk, error, weak).withColumnRenamed("lang", "_stratum").drop("n_good")
     rows = measured.join(cuts, measured["lang"].eqNullSafe(cuts["_stratum"]), "left")
     fails = F.lit(False)
     for rule, (x, of) in RULES.items():
