@@ -32,6 +32,8 @@ from pyspark.sql import functions as F
 BLOCK_CHARS = 8_000_000
 #: A bucket's task forgets its words after so many, to bound its memory; a word met again is then encoded again.
 WORDS_HELD = 1_000_000
+#: Word buckets at most: a block sends one row to each, so rows grow with the blocks alone.
+MOST_BUCKETS = 2048
 _SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"  # Unicode White_Space
 _WORD = re.compile(f" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]")
 
@@ -104,8 +106,9 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, pa.Array,
 def encode(docs: DataFrame, ranks_path: str, pattern: str, buckets: int | None = None) -> DataFrame:
     """Blocks of encoded texts: (block string, payload binary), to be read by map_encoded().
 
-    docs: doc_id, text. buckets: number of word buckets, by default the number of shuffle partitions."""
-    buckets = buckets or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    docs: doc_id (bigint, else TypeError), text; they are read twice, so they should come from files. buckets: number of
+    word buckets, by default the number of shuffle partitions, MOST_BUCKETS at most."""
+    buckets = min(buckets or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), MOST_BUCKETS)
     docs = docs.select("doc_id", "text")
     if docs.schema["doc_id"].dataType.simpleString() != "bigint":
         raise TypeError("doc_id must be a bigint")
@@ -156,7 +159,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, buckets: int | None =
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.binary())], ["block", "bucket", "payload"])
 
     words = docs.mapInArrow(words_out, "block string, bucket int, payload binary")
-    coded = words.repartition(buckets, "bucket").mapInArrow(encode_words, "block string, bucket int, payload binary")
+    coded = words.repartitionById(buckets, "bucket").mapInArrow(encode_words, "block string, bucket int, payload binary")
     by_block = coded.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("bucket", "payload"))).alias("ids"))
     texts = docs.mapInArrow(skeletons, "block string, payload binary")
     return texts.join(by_block, "block", "left").select("block", "payload", F.col("ids.payload").alias("ids"))
@@ -263,7 +266,8 @@ def digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 for every row of docs: ids of the whole text, and their decoding.
 
     Null and empty texts have no tokens. Null doc_ids and repeated rows stay as they are; an empty table gives no
-    rows. A text longer than a block is a block of its own.
+    rows. A text longer than a block ends a block. doc_id must be a bigint (else TypeError); other columns are left out,
+    whatever their names.
     """
 
     def use(doc_ids: pa.Array, ids: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:

@@ -10,33 +10,39 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def escaped(text: Column) -> Column:
+    """Text in which no mark can be forged: `<|` gets a backslash between its characters; null is empty."""
+    return F.replace(F.coalesce(text, F.lit("")), F.lit("<|"), F.lit("<\\|"))
+
+
+def role_name(role: Column) -> Column:
+    """A role that doesn't end its mark early: escaped, and `|>` gets a backslash too."""
+    return F.replace(escaped(role), F.lit("|>"), F.lit("|\\>"))
+
+
 def rendered(role: Column, text: Column) -> Column:
     """One turn as text: role and text between fixed marks."""
-    return F.concat(F.lit("<|"), F.coalesce(role, F.lit("")), F.lit("|>\n"), F.coalesce(text, F.lit("")), F.lit("<|end|>\n"))
+    return F.concat(F.lit("<|"), role_name(role), F.lit("|>\n"), escaped(text), F.lit("<|end|>\n"))
 
 
 def preference_pairs(turns: DataFrame, pairs: DataFrame) -> DataFrame:
-    """One row per pair: pair_id, n_prefix, prompt, and for side chosen and rejected <side>, <side>_mask.
+    """One row per distinct pair: pair_id, n_prefix, prompt, and for side chosen and rejected <side>, <side>_mask.
 
     turns: conv_id, turn, role, text; pairs: pair_id, chosen_id, rejected_id. The prompt is the longest run of equal
     first turns (role and text, nulls equal) of both, short of the last turn where one conversation is a prefix of
     the other or both are equal, so that a completion exists for whichever has an assistant turn left. <side>_mask
     lists start:end of the assistant turns' texts in the completion (code points, comma-joined). Turns are taken in
     order of turn, then role and text, and numbered anew, so gaps don't matter; turns repeated in all columns are
-    one turn. A missing or null conversation has no turns: no common prefix, an empty completion. Pairs of null ids
-    keep their row.
+    one turn. Marks within texts and roles are escaped, so that no text forges a turn. A missing or null conversation
+    has no turns: no common prefix, an empty completion; turns without a conversation are in no pair. Pairs of null
+    ids keep their row. Texts of any length are whole, other columns are left out, empty tables give no rows.
     """
-    side = lambda name: pairs.select("pair_id", F.lit(name).alias("side"), F.col(f"{name}_id").alias("conv_id"))
-    sides = side("chosen").unionByName(side("rejected"))
-    of_side = turns.select("conv_id", "turn", "role", "text").distinct().join(sides, "conv_id")
-    # One row per pair and side holds that conversation; a conversation is one training example, so it fits a row.
-    item = F.struct("turn", "role", "text")
-    lists = of_side.groupBy("pair_id").agg(
-        F.array_sort(F.collect_list(F.when(F.col("side") == "chosen", item))).alias("chosen"),
-        F.array_sort(F.collect_list(F.when(F.col("side") == "rejected", item))).alias("rejected"),
-    )
+    # One row holds a conversation; a conversation is one training example, so it fits a row.
+    each = turns.where("conv_id is not null").groupBy("conv_id").agg(F.array_sort(F.collect_set(F.struct(F.col("turn").cast("long").alias("turn"), "role", "text"))).alias("list"))
+    side = lambda name: each.select(F.col("conv_id").alias(f"{name}_id"), F.col("list").alias(name))
+    rows = pairs.select("pair_id", "chosen_id", "rejected_id").distinct()
+    rows = rows.join(side("chosen"), "chosen_id", "left").join(side("rejected"), "rejected_id", "left")
     none = F.array().cast("array<struct<turn:bigint,role:string,text:string>>")
-    rows = pairs.select("pair_id").distinct().join(lists, "pair_id", "left")
     rows = rows.select("pair_id", F.coalesce("chosen", none).alias("chosen"), F.coalesce("rejected", none).alias("rejected"))
     shorter = F.least(F.size("chosen"), F.size("rejected"))
     same = F.zip_with(
@@ -54,8 +60,8 @@ def preference_pairs(turns: DataFrame, pairs: DataFrame) -> DataFrame:
         start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("spans"))
 
         def step(acc: Column, t: Column) -> Column:
-            first = acc["at"] + F.length(F.coalesce(t["role"], F.lit(""))) + 5
-            span = F.concat(first.cast("string"), F.lit(":"), (first + F.length(F.coalesce(t["text"], F.lit("")))).cast("string"))
+            first = acc["at"] + F.length(role_name(t["role"])) + 5
+            span = F.concat(first.cast("string"), F.lit(":"), (first + F.length(escaped(t["text"]))).cast("string"))
             spans = F.when(t["role"] == "assistant", F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"])
             return F.struct((acc["at"] + F.length(rendered(t["role"], t["text"]))).cast("int").alias("at"), spans.alias("spans"))
 
@@ -66,19 +72,39 @@ def preference_pairs(turns: DataFrame, pairs: DataFrame) -> DataFrame:
     return rows.select("pair_id", F.col("n_prefix").cast("long").alias("n_prefix"), prompt, *completion("chosen"), *completion("rejected"))
 
 
+def answers_compared(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(turns, pairs): every conversation as chosen, and as rejected the same turns before its last assistant turn with
+    the last assistant text of the next conversation (by id plus one) in its place, or none if there is none."""
+    turns = turns.where("conv_id is not null").select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")
+    last = turns.where("role = 'assistant'").groupBy("conv_id").agg(F.max("turn").alias("last"), F.max_by("text", F.struct("turn", "text")).alias("answer"))
+    other = last.select((F.col("conv_id") - 1).alias("conv_id"), F.col("answer").alias("other"), F.lit(True).alias("found"))
+    ends = last.select("conv_id", "last").join(other, "conv_id", "left")
+    rejected_id = (-1 - F.col("conv_id")).alias("conv_id")  # ids of conversations are 0 or more
+    before = turns.join(ends.select("conv_id", "last"), "conv_id").where("turn < last").select(rejected_id, "turn", "role", "text")
+    answer = ends.where("found").select(rejected_id, F.col("last").alias("turn"), F.lit("assistant").alias("role"), F.col("other").alias("text"))
+    pairs = turns.select(F.col("conv_id").alias("pair_id")).distinct().select("pair_id", F.col("pair_id").alias("chosen_id"), (-1 - F.col("pair_id")).alias("rejected_id"))
+    return turns.unionByName(before).unionByName(answer), pairs
+
+
 def op9_preference_pairs(spark, sf_dir: str) -> DataFrame:
-    """Every conversation with an even id (chosen) paired with the one after it (rejected)."""
-    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
-    ids = turns.select(F.floor(F.col("conv_id") / 2).cast("long").alias("pair_id")).distinct()
-    pairs = ids.select("pair_id", (2 * F.col("pair_id")).alias("chosen_id"), (2 * F.col("pair_id") + 1).alias("rejected_id"))
-    return preference_pairs(turns, pairs)
-
-
-OP9_SQL = """
-WITH t AS (
-  SELECT conv_id // 2 AS pair_id, conv_id % 2 AS side, role, text,
-         row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS n
-  FROM (SELECT DISTINCT conv_id, turn, role, text FROM conversations)
+    """Every conversation (chosen) against the one that ends with the next conversation's last answer (rejected)."""
+    return preference_pairs(*answers_compared(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+
+
+OP9_SQL = r"""
+WITH u AS (
+  SELECT DISTINCT conv_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL
+), ends AS (
+  SELECT conv_id, turn AS last, text AS answer FROM (
+    SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, text DESC NULLS LAST) AS place FROM u WHERE role = 'assistant') WHERE place = 1
+), both_sides AS (
+  SELECT conv_id AS pair_id, 0 AS side, turn, role, text FROM u
+  UNION ALL SELECT u.conv_id, 1, turn, role, text FROM u JOIN ends e ON u.conv_id = e.conv_id AND u.turn < e.last
+  UNION ALL SELECT e.conv_id, 1, e.last, 'assistant', n.answer FROM ends e JOIN ends n ON n.conv_id = e.conv_id + 1
+), t AS (
+  SELECT pair_id, side, role, text, replace(replace(coalesce(role, ''), '<|', '<\|'), '|>', '|\>') AS name, replace(coalesce(text, ''), '<|', '<\|') AS body,
+         row_number() OVER (PARTITION BY pair_id, side ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS n
+  FROM (SELECT DISTINCT * FROM both_sides)
 ), sizes AS (
   SELECT pair_id, count(*) FILTER (side = 0) AS n0, count(*) FILTER (side = 1) AS n1 FROM t GROUP BY 1
 ), differ AS (
@@ -89,8 +115,7 @@ WITH t AS (
   SELECT s.pair_id, CASE WHEN d.n IS NOT NULL THEN d.n - 1 ELSE greatest(least(n0, n1) - 1, 0) END AS n_prefix
   FROM sizes s LEFT JOIN differ d ON s.pair_id = d.pair_id
 ), r AS (
-  SELECT t.*, p.n_prefix, '<|' || coalesce(role, '') || '|>' || chr(10) || coalesce(text, '') || '<|end|>' || chr(10) AS line,
-         length(coalesce(role, '')) + 5 AS lead_in
+  SELECT t.*, p.n_prefix, '<|' || name || '|>' || chr(10) || body || '<|end|>' || chr(10) AS line, length(name) + 5 AS lead_in
   FROM t JOIN prefix p ON t.pair_id = p.pair_id
 ), placed AS (
   SELECT *, coalesce(sum(length(line)) FILTER (n > n_prefix) OVER (
@@ -100,10 +125,10 @@ WITH t AS (
 SELECT pair_id, CAST(any_value(n_prefix) AS BIGINT) AS n_prefix,
   coalesce(string_agg(line, '' ORDER BY n) FILTER (side = 0 AND n <= n_prefix), '') AS prompt,
   coalesce(string_agg(line, '' ORDER BY n) FILTER (side = 0 AND n > n_prefix), '') AS chosen,
-  coalesce(string_agg(CAST(first AS BIGINT) || ':' || CAST(first + length(coalesce(text, '')) AS BIGINT), ',' ORDER BY n)
+  coalesce(string_agg(CAST(first AS BIGINT) || ':' || CAST(first + length(body) AS BIGINT), ',' ORDER BY n)
     FILTER (side = 0 AND n > n_prefix AND role = 'assistant'), '') AS chosen_mask,
   coalesce(string_agg(line, '' ORDER BY n) FILTER (side = 1 AND n > n_prefix), '') AS rejected,
-  coalesce(string_agg(CAST(first AS BIGINT) || ':' || CAST(first + length(coalesce(text, '')) AS BIGINT), ',' ORDER BY n)
+  coalesce(string_agg(CAST(first AS BIGINT) || ':' || CAST(first + length(body) AS BIGINT), ',' ORDER BY n)
     FILTER (side = 1 AND n > n_prefix AND role = 'assistant'), '') AS rejected_mask
 FROM placed GROUP BY pair_id
 """

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from zlib import crc32
 
@@ -16,6 +17,8 @@ from kindred.llm.common import durable
 
 #: Labelled texts that a model is fitted on, of one class and in all: the first of each class in a fixed hash order.
 TRAIN_PER_CLASS, TRAIN_TEXTS = 2000, 8000
+#: Features (distinct buckets, 8 bytes each) of all training texts together that the driver holds at most: 128 MB.
+TRAIN_FEATURES = 16_000_000
 #: Labels that a model can have.
 CLASSES = 1000
 #: Every so many of them are held back to calibrate probabilities and the rejection cutoff.
@@ -48,18 +51,36 @@ def sample(rows: DataFrame, per_class: int = TRAIN_PER_CLASS) -> DataFrame:
     return durable(near.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= per_class).drop("_n"), "sample")
 
 
-def fit(texts: DataFrame, grams: tuple[int, ...], fold: bool) -> tuple[subword.Model, list, list]:
-    """(model, held-back bags, held-back labels) from texts(doc_id, label, text), a bounded sample; bags are made on
-    the executors, and only those, of at most 2 ** BITS buckets each, come to the driver."""
+def fit(texts: DataFrame, grams: tuple[int, ...], fold: bool, most: int | None = None) -> tuple[subword.Model, list, list]:
+    """(model, held-back bags, held-back labels) from texts(doc_id, label, text), a bounded sample.
+
+    Bags are made on the executors from whole texts, at most 2 ** BITS buckets each. Only as many as have `most`
+    (TRAIN_FEATURES) buckets in all come to the driver: of each label the first in the sample's order, one at least."""
     rows = texts.select(F.struct("doc_id", "label").alias("label"), "text")
     kind = rows.schema["label"].dataType.simpleString()
-    bags = rows.mapInArrow(lambda b: subword.bags_of(b, grams, fold), f"label {kind}, found array<int>, share array<float>").toArrow()
-    ids = bags["label"].to_pylist()
-    found = [(np.asarray(f.values), np.asarray(s.values)) for f, s in zip(bags["found"], bags["share"], strict=True)]
-    order = sorted(range(len(ids)), key=lambda i: (crc32(str(ids[i]["doc_id"]).encode()), str(ids[i]["doc_id"]), str(ids[i]["label"])))
+    bags = rows.mapInArrow(lambda b: subword.bags_of(b, grams, fold), f"label {kind}, found array<int>, share array<float>")
+    bags = durable(bags.select("label.doc_id", "label.label", "found", "share"), "bags")
+    sizes = bags.select("doc_id", "label", F.size("found").alias("n")).collect()  # of the sample, TRAIN_TEXTS at most but for repeated rows
+    key = lambda r: (crc32(str(r["doc_id"]).encode()), str(r["doc_id"]), str(r["label"]))
+    room = dict.fromkeys({r["label"] for r in sizes}, (most or TRAIN_FEATURES) // max(1, len({r["label"] for r in sizes})))
+    full, taken = dict(room), set()
+    for r in sorted(sizes, key=key):
+        if r["n"] <= room[r["label"]] or room[r["label"]] == full[r["label"]]:
+            room[r["label"]] -= r["n"]
+            taken.add((r["doc_id"], r["label"]))
+        else:
+            room[r["label"]] = -1  # the order ends here, whatever the sizes of the rest
+    if len(taken) < len({(r["doc_id"], r["label"]) for r in sizes}):
+        chosen = bags.sparkSession.createDataFrame(list(taken), bags.select("doc_id", "label").schema)
+        bags = bags.join(F.broadcast(chosen), ["doc_id", "label"])
+    table = bags.select("doc_id", "label", "found", "share").toArrow()
+    ids = table.select(["doc_id", "label"]).to_pylist()
+    found = [(np.asarray(f.values), np.asarray(s.values)) for f, s in zip(table["found"], table["share"], strict=True)]
+    order = sorted(range(len(ids)), key=lambda i: (*key(ids[i]), found[i][0].tobytes()))
     held = [i for k, i in enumerate(order) if k % HOLD_BACK == HOLD_BACK - 1]
     used = [i for k, i in enumerate(order) if k % HOLD_BACK != HOLD_BACK - 1]
     model = subword.train([found[i] for i in used], [ids[i]["label"] for i in used], grams)
+    model.seen = Counter(ids[i]["label"] for i in used)
     held_bags, held_labels = [found[i] for i in held], [ids[i]["label"] for i in held]
     return (subword.calibrate(model, held_bags, held_labels) if model.classes else model), held_bags, held_labels
 
@@ -68,9 +89,11 @@ def quality_scores(docs: DataFrame, labels: DataFrame, share_good: float | None
     """doc_id, held_out, score, predicted for every row of docs(doc_id, text).
 
     Trained on labels(doc_id, quality) of documents whose crc32 remainder by 4 isn't 2; documents labelled both
-    ways, null labels and null ids train nothing. The sample takes as many of each class, so the logit is moved by
-    the classes' true odds among usable labels. Null and empty texts have the features of an empty text. Without
-    labels of both classes every score is the share of good labels, 0.5 if there are none.
+    ways, null labels and null ids train nothing. The sample has other shares of the classes, so the logit is moved by the
+    classes' true odds among usable labels. Null and empty texts have the features of an empty text. Without
+    labels of both classes every score is the share of good labels, 0.5 if there are none. Texts of any length are
+    scored whole; repeated rows stay repeated, an empty table gives no rows, and other columns are left out, whatever
+    their names.
     """
     usable = labels.where((F.col("quality").isin(0, 1)) & (remainder(F.col("doc_id"), 4) != 2))
     usable = usable.groupBy("doc_id").agg(F.min("quality").alias("label"), F.max("quality").alias("most")).where("label = most").drop("most")
@@ -81,7 +104,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, share_good: float | None
         chosen = sample(usable, per_class)
         texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text")
         model, _, _ = fit(texts, QUALITY_GRAMS, fold=False)
-        shift = np.log(prior / (1 - prior)) - np.log(min(good, per_class) / min(sum(counts.values()) - good, per_class))
+        shift = np.log(prior / (1 - prior)) - np.log(max(model.seen.get(1, 0), 1) / max(model.seen.get(0, 0), 1))
     else:
         model, shift = None, 0.0
 
@@ -118,7 +141,9 @@ def languages(docs: DataFrame, per_class: int = TRAIN_PER_CLASS) -> DataFrame:
 
     Trained on text and lang of documents with a lang whose crc32 remainder by 5 isn't 0 (null ids train nothing).
     lang_pred is `und` with score 0 where text is null or has no letter; accepted is false there and where the
-    score is below the calibrated cutoff. Without training rows everything is `und`.
+    score is below the calibrated cutoff. Without training rows everything is `und`. Texts of any length are read
+    whole; repeated rows stay repeated, an empty table gives no rows, and other columns are left out, whatever their
+    names. More than CLASSES languages are a ValueError: their counts and models would not be bounded.
     """
     letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
     usable = docs.where(F.col("lang").isNotNull() & letter & (remainder(F.col("doc_id"), 5) != 0))

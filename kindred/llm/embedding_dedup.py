@@ -28,6 +28,8 @@ COSINE = 0.98
 REACH = 4.0
 #: Vectors that codebooks are fitted on (the first in a fixed hash order; every vector is indexed).
 SAMPLE = 20_000
+#: Numbers of one dimension's sample that the driver holds in double precision at most: 160 MB.
+SAMPLE_NUMBERS = 20_000_000
 #: Vectors of one label that a cell should hold, and centroids of a half at least and at most.
 CELL_ROWS, CENTROIDS = 32, (4, 256)
 #: A cell's vectors are compared in parts of so many; rows of one Arrow group.
@@ -107,15 +109,11 @@ def fit(classes: DataFrame, cosine: float) -> dict[int, Codebooks]:
     n, labels = classes.agg(F.count("*"), F.countDistinct("label")).first()
     k = int(min(max(sqrt(n / max(labels, 1) / CELL_ROWS), CENTROIDS[0]), CENTROIDS[1]))
     rows = classes.orderBy(F.xxhash64("cls"), "cls").limit(SAMPLE).select("embedding").toArrow()["embedding"].combine_chunks()
-    by_size: dict[int, list] = {}
-    for x in rows.to_pylist():
-        by_size.setdefault(len(x), []).append(x)
+    size = rows.value_lengths().to_numpy(zero_copy_only=False)
     out = {}
-    for d, xs in by_size.items():
-        unit = np.array(xs, np.float64)
-        unit /= np.linalg.norm(unit, axis=1, keepdims=True)
-        if d > 1:
-            out[d] = Codebooks.fit(unit, k, cosine)
+    for d in np.unique(size[size > 1]).tolist():
+        at = np.flatnonzero(size == d)
+        out[d] = Codebooks.fit(_unit(rows.take(pa.array(at[: max(1, SAMPLE_NUMBERS // d)]))), k, cosine)
     return out
 
 
@@ -212,7 +210,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
 
     Only vectors of one label (not null) and one dimension link. Vectors that are null, zero or hold null or
     non-finite components, and rows with a null vec_id, link with nothing: no links, their own component, kept.
-    Rows that are repeated in all three columns count once; an empty table gives no rows.
+    Rows that are repeated in all three columns count once; an empty table gives no rows. Other columns are left out,
+    whatever their names. Links are pairs of vec_ids' vectors: an id that is given to several vectors has a row for each.
     """
     rows = vectors.select("vec_id", "embedding", "label").distinct()
     fit_in = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & usable(F.col("embedding"))

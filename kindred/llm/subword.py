@@ -8,7 +8,7 @@ come from whole Arrow batches with numpy, without a Python loop over words.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -77,13 +77,15 @@ def bag(text: bytes, grams: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Model:
-    """table: bucket by class; a text's logits are scale * (average of its buckets' rows + bias)."""
+    """table: bucket by class; a text's logits are scale * (average of its buckets' rows + bias); seen: training texts of
+    each class."""
 
     classes: list
     table: np.ndarray
     bias: np.ndarray
     grams: tuple[int, ...]
     scale: float = 1.0
+    seen: dict = field(default_factory=dict)
 
     def probabilities(self, logits: np.ndarray) -> np.ndarray:
         z = self.scale * logits
@@ -106,8 +108,14 @@ class Model:
 
 
 def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: list, grams: tuple[int, ...], seed: int = 0) -> Model:
-    """Model by stochastic gradient descent on the softmax loss, one text at a time, with a falling rate."""
+    """Model of the labels, with the output layer folded into the embedding."""
     classes = sorted(set(labels))
+    embedding, output, bias = descend(bags, labels, classes, seed)
+    return Model(classes, np.ascontiguousarray((embedding @ output).T), bias.astype(np.float64), grams)
+
+
+def descend(bags: list[tuple[np.ndarray, np.ndarray]], labels: list, classes: list, seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(embedding, output, bias) by stochastic gradient descent on the softmax loss, one text at a time, with a falling rate."""
     at = {c: i for i, c in enumerate(classes)}
     y = np.array([at[x] for x in labels])
     rng = np.random.default_rng(seed)
@@ -129,7 +137,7 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: list, grams: tuple[
             bias -= rate * p
             # Shares are small numbers: the embedding's rate makes up for the averaging.
             embedding[found] -= (20 * rate) * share[:, None] * back[None]
-    return Model(classes, np.ascontiguousarray((embedding @ output).T), bias.astype(np.float64), grams)
+    return embedding, output, bias
 
 
 def calibrate(model: Model, bags: list[tuple[np.ndarray, np.ndarray]], labels: list) -> Model:

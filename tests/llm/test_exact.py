@@ -63,10 +63,10 @@ def test_bpe_words_cover_random_texts():
 
 def test_bpe_many_blocks(spark, monkeypatch):
     monkeypatch.setattr(bpe, "BLOCK_CHARS", 40)
-    rows = [(i, f"word{i % 7} and more text {i}") for i in range(50)]
+    rows = [(i, f"word{i % 7} and more text {i}") for i in range(50)] + [(90, "longer than a block " * 30), (91, None)]
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
     got = bpe.encoded_rows(spark.createDataFrame(rows, "doc_id long, text string"), path, pattern).collect()
-    assert {r.doc_id: r.ids for r in got} == {i: bpe.encoder(path, pattern)(t) for i, t in rows}
+    assert {r.doc_id: r.ids for r in got} == {i: bpe.encoder(path, pattern)(t or "") for i, t in rows}
 
 
 def brute_fingerprint(t):
@@ -204,6 +204,46 @@ def test_quality_cutoffs_bound_false_rejection(spark):
     assert sum(not kept[i] for i in range(3000)) <= 0.005 * 5 * 3000
 
 
+def test_quality_sql_with_enough_labels(spark, tmp_path):
+    """All kinds of cutoffs against SQL: a stratum's own, a pooled one that few labels bound, and none."""
+    import duckdb
+
+    from kindred.llm.oracles import OP5_SQL
+
+    rng, rows = np.random.default_rng(6), []
+    for i in range(2600):
+        lang = "en" if i < 1500 else "de" if i < 1900 else ["fr", None][i % 2] if i < 2000 else ["en", "de", "fr", None][i % 4]
+        marks = ["#"] * int(rng.integers(0, 2) if i < 2000 else rng.integers(0, 9)) + ["WORD!"] * int(rng.integers(0, 2) if i < 2000 else rng.integers(0, 9))
+        rows.append((i, " ".join(rng.permutation(["plain", "words"] * 8 + [f"w{k}" for k in range(9)] + marks)) + ("\nline\nline" if i % 7 == 0 else ""), lang))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, int(i < 2000)) for i in range(2300)] + [(3, 0), (None, 1), (9, None)], "doc_id long, quality int")
+    for name, df in (("documents", docs), ("labels", labels)):
+        df.write.parquet(f"{tmp_path}/{name}.parquet")
+    con = duckdb.connect()
+    for name in ("documents", "labels"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    got = quality.op5_quality_rules(spark, str(tmp_path))
+    want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({OP5_SQL})").fetchall()
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    cuts = {r.lang: r.asDict() for r in quality.cutoffs(quality.measures(docs), labels).collect()}
+    assert cuts["en"]["cut_symbols"] is not None and cuts["de"]["cut_symbols"] is not None and cuts["fr"]["cut_symbols"] is None
+    assert cuts["de"]["cut_symbols"] >= cuts["en"]["cut_symbols"]
+
+
+def test_very_long_texts_and_clashes(spark):
+    long = "word " * 200_000 + "#"
+    rows = [(1, long, "en", "s", "a", "b", 1), (2, None, None, None, None, None, None), (1, long, "en", "s", "a", "b", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, row string, mix string, fp int")
+    got = {r.doc_id: r for r in quality.judge(docs, spark.createDataFrame([], "doc_id long, quality int"), carry=True).collect()}
+    assert (got[1].n_words, got[1].n_symbols, got[1].n_repeat_words) == (200_001, 1, 200_000)
+    taken = mixing.mix(docs.selectExpr("*", "1 as _hash", "2 as _size", "3 as _plan", "4 as hash", "5 as plan", "6 as `a.b`")).collect()
+    assert [r.size for r in taken if r.doc_id == 1] == [200_001] * 2 and taken[0]["_hash"] == 1 and taken[0]["a.b"] == 6 and taken[0].row in ("a", None)
+    path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    ids = bpe.encoded_rows(docs, path, pattern).collect()
+    assert sorted(map(len, (r.ids for r in ids))) == sorted(len(bpe.encoder(path, pattern)(t or "")) for t in (long, None, long))
+    assert {r.doc_id: r.fingerprint for r in simhash.groups(docs).selectExpr("doc_id", "fp as fingerprint").collect()}[2] == 0
+
+
 def test_mixing(docs, none):
     got = mixing.mix(docs).collect()
     assert len(got) == docs.count()
@@ -356,6 +396,12 @@ def test_embeddings(spark):
     assert embedding_dedup.near_duplicates(df.where("false")).count() == 0
 
 
+def test_embedding_clashes(spark):
+    rows = [(i, [float(i == 0), 1.0, float(i)], 0, "x", 5, [1]) for i in range(3)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int, cls string, rep int, visits array<int>")
+    assert {r.vec_id: r.n_links for r in embedding_dedup.near_duplicates(df).collect()} == {0: 0, 1: 0, 2: 0}
+
+
 def test_embedding_large_cells_split(spark, monkeypatch):
     monkeypatch.setattr(embedding_dedup, "PART", 8)
     rng = np.random.default_rng(9)
