@@ -10,6 +10,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from kindred.llm import bpe, mixing, quality, secrets, simhash
+from kindred.operators.storage import durable
+
+VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,7 +27,7 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, secrets replaced by a mark."""
-    return secrets.redact(docs)
+    return secrets.redact(docs, vocabulary=VOCABULARY)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +37,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token and decoding digests of every row."""
-    return bpe.digests(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return bpe.digests(docs, VOCABULARY, public_tokenizers.PATTERN)
 
 
 STAGES = [
@@ -45,13 +48,17 @@ STAGES = [
     ("byte_bpe", tokens_stage),
 ]
 
-#: SQL has no SimHash, redaction or BPE; tests compare run() with a brute-force version.
+#: SQL has no SimHash, redaction or BPE; a test compares run() with brute force over a small corpus, all stages and columns.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows over sf_dir's documents."""
+    """The last stage's rows over sf_dir's documents. What a stage returns is a table in the shared folder for the next
+    one, as stages read their input several times.
+
+    Null texts are rejected by the quality rules, as all of under ten words are. Columns beside those of documents are
+    kept up to the last stage; rows repeated as a whole are one after near-duplicates. No documents give no rows."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = durable(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
