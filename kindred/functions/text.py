@@ -44,6 +44,13 @@ def prompts(records: DataFrame, members: DataFrame, columns: list[str]) -> DataF
     return lines.groupBy("set_id").agg(F.array_join(F.transform(ordered, lambda x: x["line"]), "\n").alias("prompt"))
 
 
+def batched_prompts(tasks: DataFrame, preamble: str = "") -> DataFrame:
+    """(batch, prompt) of tasks(batch, pos, task, prompt): the tasks' prompts in order of pos, each under its number."""
+    part = F.concat(F.lit("\n### Task T"), F.col("task").cast("string"), F.lit(" ###\n"), F.col("prompt"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("pos", part.alias("part")))), lambda x: x["part"])
+    return tasks.groupBy("batch").agg(F.concat_ws("\n", F.lit(preamble), F.array_join(ordered, "\n")).alias("prompt"))
+
+
 def normalized(text: Column) -> Column:
     """Lower case; punctuation inside words is a blank, other punctuation goes, ends are trimmed."""
     inner = F.regexp_replace(text, f"(?<={WORD}){PUNCTUATION}+(?={WORD})", " ")
@@ -74,16 +81,22 @@ def prepared(text: Column) -> Column:
     )
 
 
-def token_similarity(a: Column, b: Column, numeric_guard: bool = False) -> Column:
-    """Jaccard similarity of both prepared() texts' token sets, -1 where either has none.
+def single_valued(a: Column, b: Column) -> Column:
+    """Whether both prepared() texts are single tokens of which one contains a point."""
+    return a["one"] & b["one"] & (a["point"] | b["point"])
+
+
+def token_similarity(a: Column, b: Column, numeric_guard: bool = False, shared: Column | None = None) -> Column:
+    """Jaccard similarity of both prepared() texts' token sets, -1 where either has none; shared: their number of common
+    tokens, if it is known.
 
     Single tokens of which one contains a point compare by character positions instead; numeric_guard asks that
     both also start with a digit."""
     x, y = a["tokens"], b["tokens"]
-    single = a["one"] & b["one"] & (a["point"] | b["point"])
+    single = single_valued(a, b)
     if numeric_guard:
         single = single & a["digit"] & b["digit"]
-    shared = F.size(F.array_intersect(x, y))
+    shared = F.size(F.array_intersect(x, y)) if shared is None else shared
     overlap = shared / (F.size(x) + F.size(y) - shared)
     return F.when((F.size(x) == 0) | (F.size(y) == 0), -1.0).when(single, char_match_ratio(a["raw"], b["raw"])).otherwise(overlap)
 
@@ -101,10 +114,15 @@ def prepared_attribute(value: Column) -> Column:
 
 def attribute_similarity(left: list[Column], right: list[Column]) -> Column:
     """Mean token similarity over prepared attributes that both records have; 0 if none."""
-    each = [F.when(a.isNotNull() & b.isNotNull(), token_similarity(a, b)) for a, b in zip(left, right, strict=True)]
-    used = F.filter(F.array(*each), lambda x: x.isNotNull() & (x >= 0))
-    total = F.aggregate(used, F.lit(0.0), lambda s, x: s + x)
-    return F.when(F.size(used) == 0, 0.0).otherwise(total / F.size(used))
+    return mean_similarity([F.when(a.isNotNull() & b.isNotNull(), token_similarity(a, b)) for a, b in zip(left, right, strict=True)])
+
+
+def mean_similarity(each: list[Column]) -> Column:
+    """Mean of the similarities that are neither null nor negative; 0 if none. Plain sums, so that code is generated."""
+    n, total = F.lit(0), F.lit(0.0)
+    for x in each:
+        n, total = n + F.when(x >= 0, 1).otherwise(0), total + F.when(x >= 0, x).otherwise(0.0)
+    return F.when(n == 0, 0.0).otherwise(total / n)
 
 
 def normalized_id(value: Column) -> Column:

@@ -39,8 +39,9 @@ def hashed_embedding(tokens: Column, dimension: int = 64) -> Column:
     zero = F.array_repeat(F.lit(0.0), dimension)
 
     def add(vector: Column, token: Column) -> Column:
-        place = F.pmod(F.xxhash64(token), F.lit(dimension))
-        sign = F.when(F.xxhash64(token, F.lit(1)) % 2 == 0, 1.0).otherwise(-1.0)
+        digest = F.md5(token.cast("binary"))  # which SQL engines compute alike
+        place = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % dimension
+        sign = F.when(F.conv(F.substring(digest, 9, 1), 16, 10).cast("int") % 2 == 0, 1.0).otherwise(-1.0)
         return F.transform(vector, lambda x, i: F.when(i == place, x + sign).otherwise(x))
 
     return F.aggregate(tokens, zero, add)

@@ -73,6 +73,11 @@ def threshold(vectors: DataFrame, sigmas: float = 2.5, cap: float = 0.99) -> Dat
     return rows.withColumn("threshold", F.least(F.col("mean") + sigmas * F.col("sigma"), F.lit(float(cap))))
 
 
+def threshold_for(name: str, thresholds: dict[str, float], default: float | None = None) -> float | None:
+    """The threshold of the first key of thresholds that is part of a dataset's name or path, letter case aside."""
+    return next((t for key, t in thresholds.items() if key.lower() in name.lower()), default)
+
+
 def centroid_distances(vectors: DataFrame, members: DataFrame) -> DataFrame:
     """(rid, cluster, distance) to the centroid of the record's cluster, for members(rid, cluster)."""
     joined = vectors.select("rid", "embedding").join(members, "rid")

@@ -120,11 +120,11 @@ def clustered(sets: DataFrame, vectors: DataFrame, clusterer, max_tries: int = M
     return out, log
 
 
-def banded_merge(members: DataFrame, edges: DataFrame, low: float, high: float, vote: Callable[[DataFrame], DataFrame], width: float = 0.02, probes: int = 10, share: float = 0.5) -> DataFrame:
-    """members(rid, cluster) with clusters joined band by band: of the cluster pairs whose linkage lies in a band of
+def banded_merge(members: DataFrame, links: DataFrame, low: float, high: float, vote: Callable[[DataFrame], DataFrame], width: float = 0.02, probes: int = 10, share: float = 0.5) -> DataFrame:
+    """members(rid, cluster) with clusters joined band by band: of the cluster pairs whose linkage (cu, cv, sim) lies in a band of
     [low, high], up to `probes` are put to vote (cells to (cu, cv, yes)), and where the share of yes is reached all
     pairs of the band are joined."""
-    links = durable(joins.linkage(edges, members), "links")
+    links = durable(links, "links")
     votes = vote(joins.band_cells(links, low, high, width, probes))
     bands = joins.band_cells(links, low, high, width)
     accepted = bands.join(votes, ["cu", "cv"]).groupBy("band").agg(F.avg(F.col("yes").cast("int")).alias("share")).where(F.col("share") >= share)

@@ -5,10 +5,13 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kindred.operators import blocking, metrics
+from kindred.operators.ordering import ranked
+
+#: Tasks that are batched together.
+GROUP_TASKS = 1500
 
 
 def audit(records: DataFrame, key: str, truth: DataFrame | None = None) -> DataFrame:
@@ -26,11 +29,12 @@ def audit(records: DataFrame, key: str, truth: DataFrame | None = None) -> DataF
 def blocking_sweep(vectors: DataFrame, truth: DataFrame, thresholds: list[float]) -> DataFrame:
     """One row per threshold: quality of the exact blocks against truth(rid, cluster).
 
-    Pairs over the least threshold are found once; each threshold takes its share of them."""
+    Pairs over the least threshold (under 1) are found once, between the first of equal vectors and from each other one to
+    its first; each threshold takes its share of them."""
     from kindred.operators import graph, joins
     from kindred.operators.storage import durable
 
-    pairs = durable(joins.cosine_pairs(vectors, min(thresholds)), "sweep-pairs")
+    pairs = durable(joins.cosine_links(vectors, min(thresholds)), "sweep-pairs")
     out = None
     for t in sorted(thresholds):
         edges = pairs.where(F.col("sim") > t).select(F.col("u").alias("a"), F.col("v").alias("b"))
@@ -40,12 +44,10 @@ def blocking_sweep(vectors: DataFrame, truth: DataFrame, thresholds: list[float]
     return out
 
 
-def task_similarities(tasks: DataFrame, edges: DataFrame) -> DataFrame:
-    """(a, b, sim), both ways, of tasks(task, rid): greatest similarity over edges(u, v, sim) between their records."""
-    of = lambda end, name: tasks.select(F.col("rid").alias(end), F.col("task").alias(name))
-    met = edges.join(of("u", "a"), "u").join(of("v", "b"), "v").where("a <> b")
-    both = met.select("a", "b", "sim").unionByName(met.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim"))
-    return both.groupBy("a", "b").agg(F.max("sim").alias("sim"))
+def task_similarities(links: DataFrame) -> DataFrame:
+    """(a, b, sim), both ways, of the linkage(cu, cv, sim) between tasks as clusters of records."""
+    met = links.select(F.col("cu").alias("a"), F.col("cv").alias("b"), "sim")
+    return met.unionByName(met.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim"))
 
 
 def batches(tasks: DataFrame, sims: DataFrame, strategy: str, size: int = 3, seed: int = 0) -> DataFrame:
@@ -53,24 +55,25 @@ def batches(tasks: DataFrame, sims: DataFrame, strategy: str, size: int = 3, see
 
     similar / dissimilar: the smallest task left, joined by the task with the greatest / least similarity to any in
     the batch, the smaller id of several. random: the order (7 * seed + 3) mod n onwards, reversed for an even seed.
-    An experiment has a handful of tasks, so one task builds the batches."""
-    ids = tasks.select("task").distinct()
+    The first two take tasks one after the other: more than GROUP_TASKS are dealt by id into groups of so many, each
+    batched by itself, and batches are numbered through."""
+    ids = ranked(tasks.select("task").distinct(), ["task"], "at")
     if strategy == "random":
-        n = F.count("*").over(W.partitionBy())
-        at = F.row_number().over(W.orderBy("task")) - 1
-        turned = F.pmod(at - (7 * seed + 3), n)
-        turned = n - 1 - turned if seed % 2 == 0 else turned
-        rows = ids.withColumn("at", turned)
+        rows = ids.crossJoin(F.broadcast(ids.agg(F.count("*").alias("n"))))  # n is one row
+        turned = F.pmod(F.col("at") - (7 * seed + 3), F.col("n"))
+        rows = rows.select("task", (F.col("n") - 1 - turned if seed % 2 == 0 else turned).alias("at"))
         return rows.select(F.floor(F.col("at") / size).alias("batch"), (F.col("at") % size).cast("long").alias("pos"), "task")
-    sign = {"similar": 1, "dissimilar": -1}[strategy]
-    listed = ids.select(F.lit(0).alias("k"), F.col("task").alias("a"), F.lit(None).cast("long").alias("b"), F.lit(None).cast("double").alias("sim"))
-    rows = listed.unionByName(sims.select(F.lit(0).alias("k"), "a", "b", "sim"))
+    sign, group = {"similar": 1, "dissimilar": -1}[strategy], F.floor(F.col("at") / GROUP_TASKS).alias("k")
+    placed = ids.select(group, "task")
+    listed = placed.select("k", F.col("task").alias("a"), F.lit(None).cast("long").alias("b"), F.lit(None).cast("double").alias("sim"))
+    of = lambda end: placed.select(F.col("task").alias(end), F.col("k").alias(f"k{end}"))
+    within = sims.join(of("a"), "a").join(of("b"), "b").where("ka = kb").select(F.col("ka").alias("k"), "a", "b", "sim")
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         left = sorted(rows.loc[rows["b"].isna(), "a"].astype(int))
         found = rows.dropna(subset=["b"])
         sim = {(int(a), int(b)): s for a, b, s in zip(found["a"], found["b"], found["sim"], strict=True)}
-        out, batch = [], 0
+        out, batch = [], int(rows["k"].iloc[0]) * -(-GROUP_TASKS // size)
         while left:
             members = [left.pop(0)]
             while left and len(members) < size:
@@ -80,7 +83,7 @@ def batches(tasks: DataFrame, sims: DataFrame, strategy: str, size: int = 3, see
             batch += 1
         return pd.DataFrame(out, columns=["batch", "pos", "task"])
 
-    return rows.groupBy("k").applyInPandas(run, "batch long, pos long, task long")
+    return listed.unionByName(within).groupBy("k").applyInPandas(run, "batch long, pos long, task long")
 
 
 def pooled(pool: DataFrame, predictions: DataFrame) -> DataFrame:

@@ -3,20 +3,22 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from kindred.functions import text as T
+from kindred.operators.storage import durable
 
 #: Vectors per block of the exhaustive joins.
 BLOCK_ROWS = 1024
-#: Parts that a block's attribute comparisons are dealt into.
-PARTS = 16
+#: Records of a block, about, of the parts in which attributes are compared by characters.
+PART_ROWS = 1024
 
 
 def _matrix(rows: pa.ListScalar) -> tuple[np.ndarray, np.ndarray]:
@@ -131,56 +133,103 @@ def top_k_of(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     return _ranked(_each_pair(left, packed, use, "u long, v long, sim double"), k)
 
 
+def rare_first(long: DataFrame, *keys: str) -> DataFrame:
+    """(*keys, sets): the tokens of long(*keys, i, token) as an array for each i, map i to tokens, rare ones first."""
+    counted = long.join(long.groupBy("i", "token").count(), ["i", "token"])
+    ordered = counted.groupBy(*keys, "i").agg(F.transform(F.array_sort(F.collect_list(F.struct("count", "token"))), lambda x: x["token"]).alias("tokens"))
+    return ordered.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("i", "tokens"))).alias("sets"))
+
+
+def prefix(tokens: Column, at_least: float) -> Column:
+    """The first n - ceil(at_least * n) + 1 of n tokens, which two sets that similar can't both have without a common one."""
+    n = F.size(tokens)
+    return F.slice(tokens, F.lit(1), (n - F.ceil(F.lit(at_least) * n - 1e-9) + 1).cast("int"))
+
+
+def _fits(a: Column, b: Column, at_least: float) -> Column:
+    """Sets of sizes m <= n reach at_least only if m >= at_least * n."""
+    return (F.size(a) >= at_least * F.size(b) - 1e-9) & (F.size(b) >= at_least * F.size(a) - 1e-9)
+
+
 def jaccard_pairs(records: DataFrame, text: str, at_least: float, by: str | None = None) -> DataFrame:
     """(u, v, sim), u < v, of records(rid, text) whose token sets have a Jaccard similarity of at_least or more.
 
-    Prefix filtering: with tokens from rare to frequent, two sets that similar share a token among the first
-    n - ceil(at_least * n) + 1 of either, so only those are joined, and frequent tokens meet no one. by: a column
-    whose values must be equal. Records alike in by and tokens are one class: its first record stands for it in the
-    pairs, and each other one has a pair with the first.
+    Prefix filtering: with tokens from rare to frequent, only sets with a common token in their prefixes are joined, and
+    frequent tokens meet no one; a pair is made at the first such token only. by: a column whose values must be equal.
+    Records alike in by and tokens are one class: its first record stands for it in the pairs, and each other one has
+    a pair with the first.
     """
     key = [by] if by else []
     rows = records.select("rid", *key, F.array_sort(T.tokens(F.col(text))).alias("tokens")).where(F.size("tokens") > 0)
     firsts, members = classes(rows.where(F.col(by).isNotNull()) if by else rows, [*key, "tokens"])
-    long = firsts.select("rid", *key, F.explode("tokens").alias("token"))
-    ranked = long.join(long.groupBy("token").count(), "token")
-    sets = ranked.groupBy("rid", *key).agg(F.transform(F.array_sort(F.collect_list(F.struct("count", "token"))), lambda x: x["token"]).alias("tokens"))
-    n = F.size("tokens")
-    prefix = F.slice("tokens", F.lit(1), (n - F.ceil(F.lit(at_least) * n - 1e-9) + 1).cast("int"))
-    probes = sets.select("rid", *key, "tokens", F.explode(prefix).alias("token"))
-    left = probes.select(F.col("rid").alias("u"), F.col("tokens").alias("a"), "token", *key)
-    right = probes.select(F.col("rid").alias("v"), F.col("tokens").alias("b"), "token", *key)
-    # Sets of sizes m <= n reach at_least only if m >= at_least * n.
-    fits = (F.size("a") >= at_least * F.size("b") - 1e-9) & (F.size("b") >= at_least * F.size("a") - 1e-9)
-    met = left.join(right, ["token", *key]).where((F.col("u") < F.col("v")) & fits).dropDuplicates(["u", "v"])
-    sim = F.size(F.array_intersect("a", "b")) / F.size(F.array_union("a", "b"))
+    sets = rare_first(firsts.select("rid", *key, F.lit(0).alias("i"), F.explode("tokens").alias("token")), "rid", *key)
+    sets = sets.select("rid", *key, F.col("sets")[0].alias("tokens")).withColumn("prefix", prefix(F.col("tokens"), at_least))
+    probes = sets.select("rid", *key, "tokens", "prefix", F.explode("prefix").alias("token"))
+    left = probes.select(F.col("rid").alias("u"), F.col("tokens").alias("a"), F.col("prefix").alias("p"), "token", *key)
+    right = probes.select(F.col("rid").alias("v"), F.col("tokens").alias("b"), F.col("prefix").alias("q"), "token", *key)
+    first = F.array_intersect("p", "q")[0] == F.col("token")
+    met = left.join(right, ["token", *key]).where((F.col("u") < F.col("v")) & _fits(F.col("a"), F.col("b"), at_least) & first)
+    shared = F.size(F.array_intersect("a", "b"))
+    sim = shared / (F.size("a") + F.size("b") - shared)
     found = met.select("u", "v", sim.alias("sim")).where(F.col("sim") >= at_least)
     return found.unionByName(members.select(F.col("rep").alias("u"), F.col("rid").alias("v"), F.lit(1.0).alias("sim")))
 
 
 def attribute_pairs(records: DataFrame, columns: list[str], at_least: float, by: str) -> DataFrame:
-    """(u, v, sim), u < v, of records(rid, ...) in the same block `by` with mean attribute Jaccard of at_least or more.
-
-    Records alike in by and all columns are one class: its first record stands for it in the pairs, and each other one
-    has a pair with the first. Within a block the distinct records are compared exhaustively."""
-    same = list(dict.fromkeys([by, *columns]))
+    """(u, v, sim), u < v, of records(rid, ...) in the same block `by` with mean attribute Jaccard of at_least (over 0) or more.
+
+    A mean that high needs an attribute that high, so candidates are found for each attribute by prefix filtering; an
+    attribute's values that are compared by characters (single tokens, one with a point) meet by themselves, in parts.
+    A pair is made by its first attribute that reaches at_least. Records alike in by and all columns are one class: its
+    first record stands for it in the pairs, and each other one has a pair with the first."""
+    if at_least <= 0:
+        raise ValueError("at_least must be over 0")
+    same, width = list(dict.fromkeys([by, *columns])), range(len(columns))
     firsts, members = classes(records.where(F.col(by).isNotNull()), same)
     attributes = lambda: [T.prepared_attribute(F.col(c)) for c in columns]
-    itself = members.select(F.col("rep").alias("u"), F.col("rid").alias("v"), T.attribute_similarity(attributes(), attributes()).alias("sim"))
-    ready = firsts.select("rid", F.col(by).alias("_by"), *[a.alias(f"_{i}") for i, a in enumerate(attributes())])
-    # A block is dealt into PARTS tasks. The shuffle keeps its number of partitions, as few bytes make much work here,
-    # and texts are prepared before it, not again for each pair.
-    tasks = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    deal = {"u": F.pmod(F.xxhash64("rid"), F.lit(PARTS)), "v": F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(PARTS - 1).cast("bigint")))}
-    side = lambda name, p: (
-        ready.withColumn("part", deal[name])
-        .repartition(tasks, "_by", "part")
-        .select(F.col("rid").alias(name), "_by", "part", *[F.col(f"_{i}").alias(f"{p}{i}") for i in range(len(columns))])
-    )
-    pairs = side("u", "a").hint("shuffle_merge").join(side("v", "b"), ["_by", "part"]).where("u < v")
-    sim = T.attribute_similarity([F.col(f"a{i}") for i in range(len(columns))], [F.col(f"b{i}") for i in range(len(columns))])
-    scored = pairs.select("u", "v", sim.alias("sim")).unionByName(itself)
-    return scored.where(F.col("sim") >= at_least)
+    itself = members.select(F.col("rep").alias("u"), F.col("rid").alias("v"), T.attribute_similarity(attributes(), attributes()).alias("sim")).where(F.col("sim") >= at_least)
+    # Texts are prepared once, not again for each use of a record.
+    ready = durable(firsts.select("rid", F.col(by).alias("by"), F.array(*attributes()).alias("x")), "attributes")
+    long = ready.select("rid", F.posexplode("x").alias("i", "value")).select("rid", "i", F.explode("value.tokens").alias("token"))
+    keyed = durable(ready.join(rare_first(long, "rid"), "rid"), "attribute-sets")
+    each = F.array(*[F.lit(i) for i in width])
+
+    def side(r: str, x: str, p: str) -> DataFrame:
+        prefixes = F.transform(each, lambda i: F.coalesce(prefix(F.col("sets")[i], at_least), F.array().cast("array<string>")))
+        rows = keyed.select(F.col("rid").alias(r), "by", F.col("x").alias(x), prefixes.alias("prefixes"))
+        rows = rows.select(r, "by", x, F.posexplode("prefixes").alias("i", p))
+        return rows.select(r, "by", x, "i", p, F.explode(p).alias("token"))
+
+    def made(met: DataFrame, by_characters: bool) -> DataFrame:
+        """Of met(u, v, x, y, i) the pairs that attribute i is the first to bring over at_least."""
+        x, y = [F.col("x")[k] for k in width], [F.col("y")[k] for k in width]
+        both = [a.isNotNull() & b.isNotNull() for a, b in zip(x, y, strict=True)]
+        scored = met.where(T.single_valued(F.col("x")[F.col("i")], F.col("y")[F.col("i")]) == F.lit(by_characters))
+        # Common tokens are counted once for each pair: a generator's output isn't computed again where it is used.
+        shared = F.struct(*[F.when(w, F.size(F.array_intersect(a["tokens"], b["tokens"]))).alias(f"s{k}") for k, (w, a, b) in enumerate(zip(both, x, y, strict=True))])
+        scored = scored.select("u", "v", "i", "x", "y", F.explode(F.array(shared)).alias("shared"))
+        found = [F.when(w, T.token_similarity(a, b, shared=F.col(f"shared.s{k}"))) for k, (w, a, b) in enumerate(zip(both, x, y, strict=True))]
+        first = reduce(lambda rest, k: F.when(found[k] >= at_least, k).otherwise(rest), reversed(width), F.lit(-1))
+        return scored.where((first == F.col("i")) & (T.mean_similarity(found) >= at_least)).select("u", "v", T.mean_similarity(found).alias("sim"))
+
+    tasks = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes make much work here
+    on = ["by", "i", "token"]
+    met = side("u", "x", "p").repartition(tasks, *on).hint("shuffle_merge").join(side("v", "y", "q").repartition(tasks, *on), on)
+    sized = _fits(F.col("x")[F.col("i")]["tokens"], F.col("y")[F.col("i")]["tokens"], at_least)
+    tokens = made(met.where((F.col("u") < F.col("v")) & sized & (F.array_intersect("p", "q")[0] == F.col("token"))), False)
+
+    one = ready.select("rid", "by", "x", F.posexplode("x").alias("i", "value")).where("value.one").select("rid", "by", "x", "i", "value.point")
+    pointed = one.where("point").groupBy("by", "i").agg(F.lit(True).alias("some"))
+    one = one.join(pointed, ["by", "i"], "left_semi")
+    number = one.groupBy("by", "i").agg(F.ceil(F.count("*") / PART_ROWS).cast("int").alias("parts"))
+    dealt = one.join(number, ["by", "i"]).withColumn("part", F.pmod(F.xxhash64("rid"), F.col("parts")).cast("int"))
+    left = dealt.where("point").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    left = left.select(F.col("rid").alias("u"), "by", F.col("x"), "i", "part", "other")
+    right = dealt.withColumn("at", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    right = right.select(F.col("rid").alias("v"), "by", F.col("x").alias("y"), "i", F.col("at").alias("part"), F.col("part").alias("other"), "point")
+    apart = left.join(right, ["by", "i", "part", "other"]).where((F.col("u") < F.col("v")) | ((F.col("u") > F.col("v")) & ~F.col("point")))
+    characters = made(apart, True).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "sim")
+    return tokens.unionByName(characters).unionByName(itself)
 
 
 def linkage(edges: DataFrame, members: DataFrame) -> DataFrame:
@@ -191,6 +240,21 @@ def linkage(edges: DataFrame, members: DataFrame) -> DataFrame:
     return pairs.agg(F.greatest(F.lit(0.0), F.max("sim")).alias("sim"))
 
 
+def class_linkage(vectors: DataFrame, over: float, members: DataFrame) -> DataFrame:
+    """linkage() over all pairs of vectors(rid, embedding) with a cosine over the threshold, from the pairs of the first of
+    equal vectors: a class stands in each cluster that has a member of it, so copies make no pairs of records."""
+    usable = vectors.where(F.exists("embedding", lambda x: x != 0))
+    firsts, others = classes(usable, ["embedding"])
+    of = firsts.select(F.col("rid").alias("rep"), "rid").unionByName(others.select("rep", "rid"))
+    held = durable(of.join(members, "rid").select(F.col("rep").alias("rid"), "cluster").distinct(), "class-clusters")
+    between = linkage(cosine_pairs(firsts, over), held)
+    if over >= 1:
+        return between
+    within = held.join(held.select("rid", F.col("cluster").alias("other")), "rid").where("cluster < other")
+    within = within.select(F.col("cluster").alias("cu"), F.col("other").alias("cv"), F.lit(1.0).alias("sim"))
+    return between.unionByName(within).groupBy("cu", "cv").agg(F.max("sim").alias("sim"))
+
+
 def band_cells(links: DataFrame, low: float, high: float, width: float, per_band: int | None = None) -> DataFrame:
     """links(cu, cv, sim) with low <= sim <= high, and their band of the given width from low; per_band: so many of each band."""
     band = F.least(F.floor((F.col("sim") - low) / width), F.lit(int(round((high - low) / width)) - 1))

@@ -9,6 +9,10 @@ from pyspark.sql import Window as W
 
 from kindred.operators import graph, joins
 
+#: Questions that prompts begin with.
+SELECT = "Which of these records is the same thing as the first one? Answer with its number in brackets, or [0].\n"
+MATCH = "Are these the same thing? Answer Yes or No.\n"
+
 
 def instances_of(vectors: DataFrame, anchors: DataFrame, k: int) -> DataFrame:
     """(anchor, pos, candidate, sim) of the anchors' k candidates, pos from 1; anchors are rows of vectors."""
@@ -21,16 +25,15 @@ def select_prompts(rows: DataFrame, records: DataFrame, text: str) -> DataFrame:
     of = lambda key, name: records.select(F.col("rid").alias(key), F.col(text).alias(name))
     listed = rows.join(of("candidate", "text"), "candidate").groupBy("anchor")
     lines = F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: F.concat(F.lit("["), x["pos"].cast("string"), F.lit("] "), x["text"]))
-    ask = "Which of these records is the same thing as the first one? Answer with its number in brackets, or [0].\n"
     out = listed.agg(F.array_join(lines, "\n").alias("lines")).join(of("anchor", "head"), "anchor")
-    return out.select("anchor", F.concat(F.lit(ask), F.lit("First: "), "head", F.lit("\n"), "lines").alias("prompt"))
+    return out.select("anchor", F.concat(F.lit(SELECT), F.lit("First: "), "head", F.lit("\n"), "lines").alias("prompt"))
 
 
 def match_prompts(rows: DataFrame, records: DataFrame, text: str) -> DataFrame:
     """(anchor, candidate, prompt): one yes-or-no question per candidate."""
     of = lambda key, name: records.select(F.col("rid").alias(key), F.col(text).alias(name))
     joined = rows.join(of("anchor", "x"), "anchor").join(of("candidate", "y"), "candidate")
-    return joined.select("anchor", "candidate", F.concat(F.lit("Are these the same thing? Answer Yes or No.\nA: "), "x", F.lit("\nB: "), "y").alias("prompt"))
+    return joined.select("anchor", "candidate", F.concat(F.lit(MATCH), F.lit("A: "), "x", F.lit("\nB: "), "y").alias("prompt"))
 
 
 def select_best(rows: DataFrame, over: float) -> DataFrame:
@@ -77,6 +80,13 @@ def macro_mean(reports: DataFrame) -> DataFrame:
     return reports.agg(*[F.avg(c).alias(c) for c in ("precision", "recall", "f1")])
 
 
+def transitive(pairs: DataFrame, settled: DataFrame) -> DataFrame:
+    """Of pairs(a, b) those that needn't be asked: some i between a and b - 1 has both (a, i) and (i, b) in settled(a, b)."""
+    via = settled.select(F.col("a"), F.col("b").alias("i")).join(settled.select(F.col("a").alias("i"), F.col("b")), "i")
+    known = via.where((F.col("i") > F.col("a")) & (F.col("i") < F.col("b") - 1)).select("a", "b").distinct()
+    return pairs.join(known, ["a", "b"], "left_semi")
+
+
 def with_cache(prompts: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(answered, open) of prompts(prompt, ...): answers found in cache(key, reply) by SHA-256 of the prompt, and the rest."""
     keyed = prompts.withColumn("key", F.sha2("prompt", 256))

@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
-import numpy as np
+from collections import defaultdict
+from heapq import heappop, heappush
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kindred.operators import graph
 from kindred.operators.storage import durable
 
 
-def aligned(pred: DataFrame, truth: DataFrame) -> DataFrame:
-    """(rid, p, t): labels of both as text; a record that one side lacks is a cluster of its own there."""
-    both = pred.select("rid", F.col("cluster").cast("string").alias("p")).join(truth.select("rid", F.col("cluster").cast("string").alias("t")), "rid", "full_outer")
+def aligned(pred: DataFrame, truth: DataFrame, missing: str = "alone") -> DataFrame:
+    """(rid, p, t): labels of both as text; a record that one side lacks is a cluster of its own there (missing="alone")
+    or left out (missing="drop")."""
+    how = {"alone": "full_outer", "drop": "inner"}[missing]
+    both = pred.select("rid", F.col("cluster").cast("string").alias("p")).join(truth.select("rid", F.col("cluster").cast("string").alias("t")), "rid", how)
     alone = F.concat(F.lit("alone_"), F.col("rid").cast("string"))
     return both.select("rid", F.coalesce("p", alone).alias("p"), F.coalesce("t", alone).alias("t"))
 
@@ -129,49 +134,66 @@ def mutual_information(table: DataFrame) -> DataFrame:
     return row.select(F.when(mean == 0, 1.0).otherwise(F.col("mi") / mean).alias("nmi"))
 
 
-def _best_assignment(gain: np.ndarray) -> float:
-    """Greatest total of a one-to-one choice of cells: shortest augmenting paths with potentials, row by row."""
-    if gain.shape[0] > gain.shape[1]:
-        gain = gain.T
-    rows, cols = gain.shape
-    u, v, row_of = np.zeros(rows), np.zeros(cols + 1), np.full(cols + 1, -1)
-    for r in range(rows):
-        row_of[cols], at = r, cols
-        slack, back, done = np.full(cols, np.inf), np.full(cols, -1), np.zeros(cols + 1, bool)
-        while row_of[at] >= 0:
-            done[at] = True
-            open_ = ~done[:cols]
-            cost = -gain[row_of[at]] - u[row_of[at]] - v[:cols]
-            better = open_ & (cost < slack)
-            slack[better], back[better] = cost[better], at
-            nearest = int(np.where(open_, slack, np.inf).argmin())
-            step = slack[nearest]
-            seen = np.flatnonzero(done)
-            u[row_of[seen]] += step
-            v[seen] -= step
-            slack[open_] -= step
-            at = nearest
-        while at != cols:
-            row_of[at] = row_of[back[at]]
-            at = back[at]
-        row_of[cols] = -1
-    return float(sum(gain[row_of[c], c] for c in range(cols) if row_of[c] >= 0))
+def best_matching(cells: dict[int, list[tuple[int, float]]]) -> float:
+    """Greatest total of a one-to-one choice among cells, given as row to (column, gain) with gains of 0 or more: shortest
+    augmenting paths with potentials, row by row, over the given cells only. A row may stay without one."""
+    u: dict[int, float] = {}
+    v: defaultdict[object, float] = defaultdict(float)
+    owner: dict[object, int] = {}
+    column_of: dict[int, object] = {}
+    edges = {r: [*row, ((r,), 0.0)] for r, row in cells.items()}  # (r,): the row's own way out
+    for first in edges:
+        u[first] = min(-gain - v[c] for c, gain in edges[first])
+        dist, back, done, heap = {}, {}, {}, []
+        row, base = first, 0.0
+        while True:
+            for c, gain in edges[row]:
+                d = base - gain - u[row] - v[c]
+                if c not in done and d < dist.get(c, float("inf")):
+                    dist[c], back[c] = d, row
+                    heappush(heap, (d, str(c), c))
+            while True:
+                d, _, c = heappop(heap)
+                if c not in done and d == dist[c]:
+                    break
+            done[c] = d
+            if c not in owner:
+                break
+            row, base = owner[c], d
+        for k, at in done.items():
+            v[k] += at - d
+            if k in owner:
+                u[owner[k]] += d - at
+        u[first] += d
+        while True:
+            row = back[c]
+            owner[c], column_of[row], c = row, c, column_of.get(row)
+            if row == first:
+                break
+    return sum(dict(edges[r])[c] for r, c in column_of.items())
 
 
 def accuracy(table: DataFrame) -> DataFrame:
     """One row: share of records in cells of the best one-to-one matching of predicted and true clusters.
 
-    Cells outside a connected component of the table are 0, so each component is matched by itself; its size, not
-    the table's, bounds a task's memory."""
+    Cells outside a connected component of the table are 0, so each component is matched by itself. With m clusters on
+    its smaller side, a best matching exists among the m largest cells of each of them, as at most m - 1 of those can be
+    taken by others; so a task holds m * m cells at most, however many clusters the other side has."""
     edges = table.select(F.xxhash64(F.lit("p"), "p").alias("a"), F.xxhash64(F.lit("t"), "t").alias("b"), "n")
     roots = graph.components(edges.select("a", "b")).withColumnRenamed("id", "a")
-    grouped = edges.join(roots, "a")
-
-    def match(cells: pd.DataFrame) -> pd.DataFrame:
-        wide = cells.pivot_table(index="a", columns="b", values="n", aggfunc="sum", fill_value=0).to_numpy(float)
-        return pd.DataFrame({"matched": [_best_assignment(wide)]})
-
-    matched = grouped.groupBy("component").applyInPandas(match, "matched double").agg(F.coalesce(F.sum("matched"), F.lit(0.0)).alias("m"))
+    cells = durable(edges.join(roots, "a"), "cells")
+    sides = cells.groupBy("component").agg(F.countDistinct("a").alias("as"), F.countDistinct("b").alias("bs"))
+    sized = cells.join(sides, "component").select("component", "as", "bs", "n", *[F.when(F.col("as") <= F.col("bs"), F.col(x)).otherwise(F.col(y)).alias(z) for x, y, z in (("a", "b", "few"), ("b", "a", "many"))])
+    rank = F.row_number().over(W.partitionBy("few").orderBy(F.col("n").desc(), "many"))
+    largest = sized.withColumn("rank", rank).where(F.col("rank") <= F.least("as", "bs")).select("component", "few", "many", "n")
+
+    def match(rows: pd.DataFrame) -> pd.DataFrame:
+        found: dict[int, list] = {}
+        for few, many, n in zip(rows["few"].tolist(), rows["many"].tolist(), rows["n"].tolist(), strict=True):
+            found.setdefault(few, []).append((many, float(n)))
+        return pd.DataFrame({"matched": [best_matching(found)]})
+
+    matched = largest.groupBy("component").applyInPandas(match, "matched double").agg(F.coalesce(F.sum("matched"), F.lit(0.0)).alias("m"))
     return matched.crossJoin(table.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("all"))).select(_ratio(F.col("m"), F.col("all")).alias("accuracy"))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from kindred.operators import lsh
 from kindred.operators.clustering import choose_k, kmeans
+from kindred.operators.ordering import ranked
 
 #: Records of a set, and clusters that it should span.
 SET_SIZE, SET_SPREAD = 9, 4
@@ -112,10 +113,4 @@ def slices(members: DataFrame, size: int = 10) -> DataFrame:
 def round_robin(members: DataFrame, size: int = 10) -> DataFrame:
     """(set_no, pos, rid): one record of each cluster in turn, by rid, in sets of a fixed size."""
     turn = members.withColumn("turn", F.row_number().over(W.partitionBy("cluster").orderBy("rid")))
-    # One ordered numbering over all records: a range exchange sorts it, offsets come from counts per turn.
-    sizes = turn.groupBy("turn").count()
-    before = W.orderBy("turn").rowsBetween(W.unboundedPreceding, -1)
-    offsets = sizes.withColumn("offset", F.coalesce(F.sum("count").over(before), F.lit(0)))
-    placed = turn.join(offsets.select("turn", "offset"), "turn")
-    at = F.col("offset") + F.row_number().over(W.partitionBy("turn").orderBy("cluster")) - 1
-    return placed.withColumn("at", at).select(F.floor(F.col("at") / size).alias("set_no"), (F.col("at") % size).alias("pos"), "rid")
+    return ranked(turn, ["turn", "cluster"], "at").select(F.floor(F.col("at") / size).alias("set_no"), (F.col("at") % size).alias("pos"), "rid")

@@ -12,6 +12,8 @@ from kindred.functions import replies as R
 from kindred.functions import text as T
 from kindred.functions import vectors as V
 from kindred.operators import blocking, clusterers, clustering, experiments, graph, guard, joins, lsh, matching, merge, metrics, recordsets
+from kindred.operators.ordering import ranked
+from kindred.operators.storage import durable
 from kindred.plans.resolve import resolve
 from kindred.sources import records as S
 
@@ -104,6 +106,13 @@ def set_prompts(spark, sf):
     return T.prompts(parts, members, ["p_name", "p_brand"])
 
 
+@query("""WITH s AS (SELECT p_partkey // 9 AS set_id, string_agg('Record ' || p_partkey || ': ' || concat_ws(',', p_name, p_brand), chr(10) ORDER BY p_partkey) AS prompt FROM part GROUP BY 1)
+SELECT set_id // 3 AS batch, 'Tasks:' || chr(10) || string_agg(chr(10) || '### Task T' || set_id || ' ###' || chr(10) || prompt, chr(10) ORDER BY set_id) AS prompt FROM s GROUP BY 1""")
+def batched_prompts(spark, sf):
+    tasks = set_prompts(spark, sf).select(F.floor(F.col("set_id") / 3).alias("batch"), F.col("set_id").alias("pos"), F.col("set_id").alias("task"), "prompt")
+    return T.batched_prompts(tasks, "Tasks:")
+
+
 @query(r"""SELECT doc_id, lower(trim(regexp_replace(regexp_replace(regexp_replace(text, '([\p{L}\p{N}_])[^\p{L}\p{N}_\s]+([\p{L}\p{N}_])', '\1 \2', 'g'),
   '([\p{L}\p{N}_])[^\p{L}\p{N}_\s]+([\p{L}\p{N}_])', '\1 \2', 'g'), '[^\p{L}\p{N}_\s]', '', 'g'), ' ' || chr(9) || chr(10) || chr(13))) AS text FROM documents""")
 def normalized_text(spark, sf):
@@ -217,6 +226,17 @@ def lsh_pairs(spark, sf):
     return _rounded(lsh.lsh_pairs(_vectors(spark, sf), OVER))
 
 
+@query(f"""WITH {_PAIRS}, c AS (SELECT vec_id, min(vec_id) OVER (PARTITION BY embedding) AS rep FROM embeddings)
+SELECT count(*) AS n_pairs, true AS enough FROM pairs JOIN c a ON u = a.vec_id AND u = a.rep JOIN c b ON v = b.vec_id AND v = b.rep""")
+def lsh_recall(spark, sf):
+    """Pairs of distinct vectors over the threshold, and whether the locality-sensitive join finds nine in ten of them."""
+    firsts = durable(joins.classes(_vectors(spark, sf), ["embedding"])[0], "distinct-vectors")
+    exact = joins.cosine_pairs(firsts, OVER).select("u", "v")
+    found = lsh.lsh_pairs(firsts, OVER).select("u", "v", F.lit(1).alias("found"))
+    row = exact.join(found, ["u", "v"], "left").agg(F.count("*").alias("n_pairs"), F.count("found").alias("n_found"))
+    return row.select("n_pairs", (F.col("n_found") >= lsh.RECALL * F.col("n_pairs")).alias("enough"))
+
+
 @query()
 def lsh_blocks(spark, sf):
     return blocking.lsh_blocks(_vectors(spark, sf), OVER)
@@ -227,7 +247,7 @@ links AS (SELECT least(a.label, b.label) AS cu, greatest(a.label, b.label) AS cv
   FROM pairs JOIN wide a ON u = a.vec_id JOIN wide b ON v = b.vec_id WHERE a.label <> b.label GROUP BY 1, 2)
 SELECT CAST(cu AS BIGINT) AS cu, CAST(cv AS BIGINT) AS cv, round(sim, 6) AS sim FROM links""")
 def cluster_linkage(spark, sf):
-    return _rounded(joins.linkage(joins.cosine_pairs(_vectors(spark, sf), OVER), _truth(spark, sf)))
+    return _rounded(joins.class_linkage(_vectors(spark, sf), OVER, _truth(spark, sf)))
 
 
 @query(f"""WITH {_PAIRS}, links AS (SELECT least(a.label, b.label) AS cu, greatest(a.label, b.label) AS cv, greatest(0, max(sim)) AS sim
@@ -236,7 +256,7 @@ bands AS (SELECT *, least(CAST(floor((sim - 0.4) / 0.02) AS BIGINT), 4) AS band
 SELECT CAST(cu AS BIGINT) AS cu, CAST(cv AS BIGINT) AS cv, round(sim, 6) AS sim, band FROM
 (SELECT *, row_number() OVER (PARTITION BY band ORDER BY cu, cv) AS n FROM bands) WHERE n <= 10""")
 def band_probes(spark, sf):
-    links = joins.linkage(joins.cosine_pairs(_vectors(spark, sf), OVER), _truth(spark, sf))
+    links = joins.class_linkage(_vectors(spark, sf), OVER, _truth(spark, sf))
     return _rounded(joins.band_cells(links, 0.4, 0.5, 0.02, 10))
 
 
@@ -254,6 +274,16 @@ def purity_measures(spark, sf):
     return _rounded(metrics.f_purity(_labels(spark, sf)))
 
 
+@query(f"""WITH RECURSIVE {_BLOCKS}, cells AS (SELECT b.cluster AS p, e.label AS t, count(*) AS n FROM blocks b JOIN embeddings e ON b.rid = e.vec_id WHERE e.vec_id % 7 <> 0 GROUP BY 1, 2),
+r AS (SELECT (SELECT sum(top) / sum(size) FROM (SELECT max(n) AS top, sum(n) AS size FROM cells GROUP BY p)) AS a,
+  (SELECT sum(top) / sum(size) FROM (SELECT max(n) AS top, sum(n) AS size FROM cells GROUP BY t)) AS b)
+SELECT round(a, 6) AS purity, round(b, 6) AS inverse_purity, round(2 * a * b / (a + b), 6) AS f_measure FROM r""")
+def purity_of_known(spark, sf):
+    """Purity over the records that both sides know, where the truth lacks every seventh."""
+    known = _truth(spark, sf).where("rid % 7 <> 0")
+    return _rounded(metrics.f_purity(metrics.contingency(metrics.aligned(_blocks(spark, sf), known, missing="drop"))))
+
+
 @query(f"""WITH RECURSIVE {_TABLE}, r AS (SELECT sum(c.n * c.n / CAST(ps.size AS DOUBLE)) / sum(c.n) AS a, sum(c.n * c.n / CAST(ts.size AS DOUBLE)) / sum(c.n) AS b
 FROM cells c JOIN ps ON c.p = ps.p JOIN ts ON c.t = ts.t)
 SELECT round(a, 6) AS precision, round(b, 6) AS recall, round(2 * a * b / (a + b), 6) AS f1 FROM r""")
@@ -410,6 +440,36 @@ def match_instances(spark, sf):
     return _rounded(_candidates(spark, sf))
 
 
+def _described(spark, sf) -> DataFrame:
+    rows = _table(spark, sf, "embeddings")
+    return rows.select(F.col("vec_id").alias("rid"), F.concat(F.lit("vector "), F.col("vec_id").cast("string"), F.lit(" of "), F.col("label").cast("string")).alias("text"))
+
+
+_TEXTS = "t AS (SELECT vec_id, 'vector ' || vec_id || ' of ' || label AS text FROM embeddings)"
+
+
+@query(f"""WITH {_SELECTED}, {_TEXTS} SELECT u AS anchor, '{matching.SELECT}' || 'First: ' || any_value(a.text) || chr(10)
+  || string_agg('[' || pos || '] ' || b.text, chr(10) ORDER BY pos) AS prompt FROM q JOIN t a ON u = a.vec_id JOIN t b ON v = b.vec_id GROUP BY u""")
+def select_prompts(spark, sf):
+    return matching.select_prompts(_candidates(spark, sf), _described(spark, sf), "text")
+
+
+@query(f"""WITH {_SELECTED}, {_TEXTS} SELECT u AS anchor, v AS candidate, '{matching.MATCH}' || 'A: ' || a.text || chr(10) || 'B: ' || b.text AS prompt
+FROM q JOIN t a ON u = a.vec_id JOIN t b ON v = b.vec_id""")
+def match_prompts(spark, sf):
+    return matching.match_prompts(_candidates(spark, sf), _described(spark, sf), "text")
+
+
+@query("""WITH p AS (SELECT a.vec_id AS a, b.vec_id AS b, a.label <> b.label AS apart FROM embeddings a JOIN embeddings b ON a.vec_id // 9 = b.vec_id // 9 AND a.vec_id < b.vec_id)
+SELECT a, b FROM p WHERE EXISTS (SELECT 1 FROM p x JOIN p y ON x.b = y.a WHERE x.a = p.a AND y.b = p.b AND x.apart AND y.apart AND x.b < p.b - 1)""")
+def transitive_pairs(spark, sf):
+    """Pairs within sets of nine that needn't be asked, once pairs of different labels are settled."""
+    sets = _sets(spark, sf)
+    side = lambda r: sets.select("set_id", F.col("rid").alias(r), F.col("cluster").alias(f"c{r}"))
+    pairs = side("a").join(side("b"), "set_id").where("a < b")
+    return matching.transitive(pairs.select("a", "b"), pairs.where("ca <> cb").select("a", "b"))
+
+
 @query(f"""WITH RECURSIVE {_SELECTED}, e AS (SELECT u, v FROM q WHERE is_match UNION ALL SELECT v, u FROM q WHERE is_match),
 reach(rid, hit) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.rid, e.v FROM reach r JOIN e ON r.hit = e.u)
 SELECT rid, min(hit) AS cluster FROM reach GROUP BY rid""")
@@ -494,6 +554,13 @@ def record_sets(spark, sf):
     return recordsets.record_sets(_vectors(spark, sf), _blocks(spark, sf))
 
 
+@query(f"""WITH RECURSIVE {_BLOCKS} SELECT cluster AS block, count(*) AS n_records, count(*) AS n_distinct, CAST(ceil(count(*) / 9) AS BIGINT) AS n_sets FROM blocks GROUP BY 1""")
+def record_set_sizes(spark, sf):
+    """Each record is in one set of its block, and blocks (of up to 5,000 records) have as few sets of nine as hold them."""
+    sets = record_sets(spark, sf)
+    return sets.groupBy("block").agg(F.count("*").alias("n_records"), F.countDistinct("rid").alias("n_distinct"), F.countDistinct("set_no").alias("n_sets"))
+
+
 @query("""SELECT CAST(label AS BIGINT) AS cluster, (n - 1) // 10 AS set_no, (n - 1) % 10 AS pos, vec_id AS rid
 FROM (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS n FROM embeddings)""")
 def sliced_sets(spark, sf):
@@ -512,6 +579,15 @@ def resolve_oracle(spark, sf):
     return resolve(_vectors(spark, sf), _blocks(spark, sf), clusterers.Oracle(_truth(spark, sf))).members
 
 
+@query("SELECT count(*) AS n_records, count(DISTINCT vec_id) AS n_distinct, 0 AS n_mixed FROM embeddings")
+def resolve_properties(spark, sf):
+    """Every record is in one cluster, and with the labels as oracle no cluster mixes blocks or labels."""
+    rows = durable(resolve_oracle(spark, sf), "resolved-oracle").join(_truth(spark, sf).withColumnRenamed("cluster", "label"), "rid")
+    per = rows.groupBy("cluster").agg(F.count("*").alias("n"), F.countDistinct("block", "label").alias("kinds"))
+    both = per.agg(F.sum("n").alias("n_records"), F.count_if(F.col("kinds") > 1).cast("int").alias("n_mixed"))
+    return both.crossJoin(rows.agg(F.countDistinct("rid").alias("n_distinct"))).select("n_records", "n_distinct", "n_mixed")  # single rows
+
+
 @query()
 def resolve_threshold(spark, sf):
     vectors = _vectors(spark, sf)
@@ -524,28 +600,41 @@ def resolution_report(spark, sf):
     return _rounded(resolve(_vectors(spark, sf), _blocks(spark, sf), clusterers.Oracle(truth)).evaluate(truth))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_PAIRS}, links AS (SELECT least(x, y) AS cu, greatest(x, y) AS cv, max(sim) AS sim
+  FROM (SELECT u - u % 10 AS x, v - v % 10 AS y, sim FROM pairs) WHERE x <> y GROUP BY 1, 2),
+bands AS (SELECT *, least(CAST(floor((sim - 0.4) / 0.02) AS BIGINT), 4) AS band FROM links WHERE sim BETWEEN 0.4 AND 0.5),
+probes AS (SELECT *, row_number() OVER (PARTITION BY band ORDER BY cu, cv) AS n FROM bands),
+accepted AS (SELECT band FROM probes WHERE n <= 10 GROUP BY band HAVING avg(CASE WHEN sim > 0.45 THEN 1 ELSE 0 END) >= 0.5),
+e AS (SELECT cu AS a, cv AS b FROM bands WHERE band IN (SELECT band FROM accepted) UNION ALL SELECT cv, cu FROM bands WHERE band IN (SELECT band FROM accepted)),
+reach(c, hit) AS (SELECT DISTINCT vec_id - vec_id % 10, vec_id - vec_id % 10 FROM embeddings UNION SELECT r.c, e.b FROM reach r JOIN e ON r.hit = e.a),
+least AS (SELECT c, min(hit) AS cluster FROM reach GROUP BY c)
+SELECT vec_id AS rid, cluster FROM embeddings JOIN least ON c = vec_id - vec_id % 10""")
 def banded_merge(spark, sf):
     """Clusters of ten records each joined band by band; two clusters are voted the same over 0.45."""
     members = _table(spark, sf, "embeddings").select(F.col("vec_id").alias("rid"), (F.col("vec_id") - F.col("vec_id") % 10).alias("cluster"))
-    edges = joins.cosine_pairs(_vectors(spark, sf), OVER)
-    return clusterers.banded_merge(members, edges, 0.4, 0.5, lambda cells: cells.select("cu", "cv", (F.col("sim") > 0.45).alias("yes")))
+    links = joins.class_linkage(_vectors(spark, sf), OVER, members)
+    return clusterers.banded_merge(members, links, 0.4, 0.5, lambda cells: cells.select("cu", "cv", (F.col("sim") > 0.45).alias("yes")))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_PAIRS}, l AS (SELECT a.label AS x, b.label AS y FROM pairs JOIN embeddings a ON u = a.vec_id JOIN embeddings b ON v = b.vec_id WHERE sim > 0.45),
+e AS (SELECT x, y FROM l UNION SELECT y, x FROM l),
+reach(c, hit) AS (SELECT DISTINCT label, label FROM embeddings UNION SELECT r.c, e.y FROM reach r JOIN e ON r.hit = e.x),
+least AS (SELECT c, min(hit) AS cluster FROM reach GROUP BY c)
+SELECT vec_id AS rid, CAST(cluster AS BIGINT) AS cluster FROM embeddings JOIN least ON c = label""")
 def merge_by_pairs(spark, sf):
     """The labels' clusters joined along the most similar pairs."""
-    edges = joins.cosine_pairs(_vectors(spark, sf), 0.45).select(F.col("u").alias("a"), F.col("v").alias("b"))
+    edges = joins.cosine_links(_vectors(spark, sf), 0.45).select(F.col("u").alias("a"), F.col("v").alias("b"))
     return merge.merge_by_pairs(_truth(spark, sf), edges)
 
 
 @query()
 def task_batches(spark, sf):
-    """Batches of the nine largest blocks' tasks, similar first."""
+    """Batches of the tasks that blocks of several records are, by each strategy."""
     blocks = _blocks(spark, sf)
-    largest = blocks.groupBy("cluster").count().orderBy(F.col("count").desc(), "cluster").limit(9).select("cluster")
-    tasks = blocks.join(largest, "cluster").select(F.col("cluster").alias("task"), "rid")
-    sims = experiments.task_similarities(tasks, joins.cosine_pairs(_vectors(spark, sf), 0.2))
+    several = blocks.groupBy("cluster").count().where("count > 1").select("cluster")
+    tasks = blocks.join(several, "cluster")
+    sims = durable(experiments.task_similarities(joins.class_linkage(_vectors(spark, sf), 0.2, tasks.select("rid", "cluster"))), "task-similarities")
+    tasks = durable(several.select(F.col("cluster").alias("task")), "tasks")
     out = None
     for strategy in ("similar", "random", "dissimilar"):
         rows = experiments.batches(tasks, sims, strategy, seed=1).withColumn("strategy", F.lit(strategy))
@@ -576,10 +665,12 @@ def first_members(spark, sf):
 @query("""SELECT doc_id AS rid, row_number() OVER (ORDER BY text, doc_id) - 1 AS pos FROM documents""")
 def ranked_records(spark, sf):
     rows = _table(spark, sf, "documents").select(F.col("doc_id").alias("key"), "text")
-    return S.ranked(rows, [F.col("text"), F.col("key")]).select(F.col("key").alias("rid"), F.col("rid").alias("pos"))
+    return ranked(rows, ["text", "key"], "pos").select(F.col("key").alias("rid"), "pos")
 
 
-@query()
+@query(f"""WITH t AS (SELECT p_partkey AS rid, unnest({_TOKENS.format("p_name || ' ' || p_type")}) AS token FROM part),
+d AS (SELECT rid, CAST('0x' || substr(md5(token), 1, 8) AS BIGINT) % 32 AS "at", CASE WHEN CAST('0x' || substr(md5(token), 9, 1) AS INTEGER) % 2 = 0 THEN 1.0 ELSE -1.0 END AS x FROM t)
+SELECT rid, CAST("at" AS INTEGER) AS "at", CAST(sum(x) AS DOUBLE) AS x FROM d GROUP BY rid, "at" HAVING sum(x) <> 0""")
 def hashed_embeddings(spark, sf):
     """Signed hashing vectors of parts' tokens, by dimension."""
     rows = _parts(spark, sf).select("rid", V.hashed_embedding(T.tokens(F.concat_ws(" ", "p_name", "p_type")), 32).alias("e"))

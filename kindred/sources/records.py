@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kindred.functions import text as T
 from kindred.operators import graph
+from kindred.operators.ordering import ranked
 
 #: Encodings of record files: UTF-8 if every line is valid, else MacRoman, in which every byte has a meaning.
 UTF_8, MAC_ROMAN = "UTF-8", "mac_roman"
@@ -50,16 +50,6 @@ def with_rid(rows: DataFrame) -> DataFrame:
     return ranked(rows, order)
 
 
-def ranked(rows: DataFrame, order: list) -> DataFrame:
-    """rows with rid by a global order: a range exchange sorts, and only counts per partition meet in one place."""
-    parts = rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
-    sizes = parts.groupBy("_part").count()
-    before = F.sum("count").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1))
-    offsets = sizes.select("_part", F.coalesce(before, F.lit(0)).alias("_offset"))
-    at = F.row_number().over(W.partitionBy("_part").orderBy(*order)) - 1
-    return parts.withColumn("_at", at).join(offsets, "_part").withColumn("rid", F.col("_offset") + F.col("_at")).drop("_part", "_at", "_offset")
-
-
 def is_int_pair(a, b):
     """Whether both fields are whole numbers."""
     return F.coalesce(F.trim(a).rlike(r"^[+-]?\d+$") & F.trim(b).rlike(r"^[+-]?\d+$"), F.lit(False))

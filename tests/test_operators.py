@@ -53,7 +53,8 @@ def test_assignment(rows, cols, seed):
     gain = np.random.default_rng(seed).integers(0, 6, (rows, cols)).astype(float)
     wide = gain if rows <= cols else gain.T
     best = max(sum(wide[i, c] for i, c in enumerate(p)) for p in permutations(range(wide.shape[1]), wide.shape[0]))
-    assert metrics._best_assignment(gain) == best
+    cells = {i: [(c, g) for c, g in enumerate(row) if g] for i, row in enumerate(gain)}
+    assert metrics.best_matching(cells) == best
 
 
 S = np.array([[1, 0.9, 0.3, 0.2], [0.9, 1, 0.4, 0.1], [0.3, 0.4, 1, 0.8], [0.2, 0.1, 0.8, 1]])
@@ -302,3 +303,92 @@ def test_packed_sets_by_chunks(spark):
     want = merge.pack(sizes, lambda p, q: float(unit[number[p]] @ unit[number[q]]))
     assert sorted(got.values()) == sorted([number[p] for p in chosen] for chosen in want)
     assert max(len({at[i][0] // 9 for i in ids}) for ids in got.values()) == 1
+
+
+def test_accuracy_of_wide_tables(spark):
+    rng = np.random.default_rng(5)
+    for rows, cols in ((3, 40), (40, 3), (12, 12)):
+        gain = rng.integers(0, 5, (rows, cols))
+        cells = [(f"p{i}", f"t{j}", int(n)) for i, row in enumerate(gain) for j, n in enumerate(row) if n]
+        got = metrics.accuracy(spark.createDataFrame(cells, "p string, t string, n long")).first().accuracy
+        every = {i: [(j, float(n)) for j, n in enumerate(row) if n] for i, row in enumerate(gain)}  # without leaving small cells out
+        assert got == pytest.approx(metrics.best_matching(every) / gain.sum())
+    assert metrics.accuracy(spark.createDataFrame([], "p string, t string, n long")).first().accuracy == 0
+
+
+def test_ranked_keeps_every_row(spark):
+    from kindred.operators.ordering import ranked
+
+    wide = F.concat(*[F.sha2((F.col("id") * k).cast("string"), 256) for k in (3, 5, 7, 11)])
+    rows = spark.range(0, 1_000_000, 1, 16).select((F.col("id") % 400_000).alias("key"), wide.alias("text"), F.col("id").alias("rid"))
+    got = ranked(rows, ["key"], "place")
+    n, distinct, least, most = got.agg(F.count("*"), F.countDistinct("place"), F.min("place"), F.max("place")).first()
+    assert (n, distinct, least, most) == (1_000_000, 1_000_000, 0, 999_999)
+    assert got.agg(F.countDistinct("rid")).first()[0] == 1_000_000
+    assert got.where(F.col("key") == 77).agg(F.min("place"), F.max("place")).first() == (77 * 3, 77 * 3 + 2)
+    few = spark.createDataFrame([(1, "b"), (1, "a"), (None, "c"), (1, "a")], "k long, rid string")
+    assert sorted((r.rid, r.k or 0) for r in ranked(few, ["k"]).collect()) == [(0, 0), (1, 1), (2, 1), (3, 1)]  # rid is replaced
+    assert ranked(few.where("false"), ["k"]).count() == 0
+    ties = lambda parts: [(r.t, r.at) for r in ranked(spark.createDataFrame([(1, f"x{i}") for i in range(50)], "k long, t string").repartition(parts), ["k"], "at").orderBy("at").collect()]
+    assert ties(3) == ties(7)
+
+
+def test_class_linkage_is_linkage_of_all_pairs(spark):
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((40, 4))[rng.integers(0, 40, 90)]
+    x[5] = 0
+    df, of = vectors(spark, x), members(spark, [[i for i in range(90) if i % 11 == k] for k in range(11)])
+    for over in (0.5, 0.9):
+        plain = {(r.cu, r.cv): round(r.sim, 9) for r in joins.linkage(joins.cosine_pairs(df, over), of).collect()}
+        assert {(r.cu, r.cv): round(r.sim, 9) for r in joins.class_linkage(df, over, of).collect()} == plain
+
+
+def test_batches_of_many_tasks(spark, monkeypatch):
+    tasks = spark.range(50).select(F.col("id").alias("task"))
+    sims = spark.createDataFrame([(1, 7, 0.9), (7, 1, 0.9), (0, 45, 0.9), (45, 0, 0.9)], "a long, b long, sim double")
+    monkeypatch.setattr(experiments, "GROUP_TASKS", 20)
+    for strategy in ("similar", "dissimilar", "random"):
+        rows = experiments.batches(tasks, sims, strategy, seed=2).collect()
+        assert sorted(r.task for r in rows) == list(range(50)) and max(r.pos for r in rows) == 2
+        assert len({(r.batch, r.pos) for r in rows}) == 50
+    similar = {r.task: r.batch for r in experiments.batches(tasks, sims, "similar").collect()}
+    assert similar[1] == similar[7] and similar[0] != similar[45]
+
+
+def test_small_additions(spark):
+    assert blocking.threshold_for("data/Cora/x.csv", {"song": 0.7, "cora": 0.9}) == 0.9
+    assert blocking.threshold_for("other", {"song": 0.7}) is None
+    known = metrics.aligned(members(spark, [[1, 2]]), members(spark, [[2, 3]]), missing="drop")
+    assert [tuple(r) for r in known.collect()] == [(2, "0", "0")]
+    pairs = spark.createDataFrame([(1, 5), (1, 4), (2, 9)], "a long, b long")
+    settled = spark.createDataFrame([(1, 3), (3, 5), (3, 4), (2, 8), (8, 9)], "a long, b long")
+    assert [tuple(r) for r in matching.transitive(pairs, settled).collect()] == [(1, 5)]  # 3 is next to 4, and 8 next to 9
+
+
+def test_missing_parts_only():
+    """The entry goes on without the training-data parts, but not without a library that they need."""
+    import builtins
+    import importlib
+
+    import __spark_entry__
+
+    real = builtins.__import__
+
+    def without(missing):
+        def load(name, *args, **kw):
+            if name == missing[0] or (name == missing[0].rpartition(".")[0] and missing[0].rpartition(".")[2] in (args[2] or ())):
+                raise ModuleNotFoundError(f"No module named {missing[1]!r}", name=missing[1])
+            return real(name, *args, **kw)
+
+        return load
+
+    try:
+        for name in ("kindred.llm", "corpus_pipeline"):
+            builtins.__import__ = without((name, name))
+            assert "pipeline" not in importlib.reload(__spark_entry__).queries()
+        builtins.__import__ = without(("kindred.llm", "tiktoken"))
+        with pytest.raises(ModuleNotFoundError):
+            importlib.reload(__spark_entry__)
+    finally:
+        builtins.__import__ = real
+        importlib.reload(__spark_entry__)
