@@ -17,8 +17,8 @@ from kindred.llm.common import durable
 
 #: Labelled texts that a model is fitted on, of one class and in all: the first of each class in a fixed hash order.
 TRAIN_PER_CLASS, TRAIN_TEXTS = 2000, 8000
-#: Features (distinct buckets, 8 bytes each) of all training texts together that the driver holds at most: 128 MB.
-TRAIN_FEATURES = 16_000_000
+#: Features (distinct buckets, 8 bytes each) of all training texts together that the driver holds at most: 64 MB.
+TRAIN_FEATURES = 8_000_000
 #: Labels that a model can have.
 CLASSES = 1000
 #: Every so many of them are held back to calibrate probabilities and the rejection cutoff.
