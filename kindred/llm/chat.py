@@ -37,11 +37,22 @@ def preference_pairs(turns: DataFrame, pairs: DataFrame) -> DataFrame:
     has no turns: no common prefix, an empty completion; turns without a conversation are in no pair. Pairs of null
     ids keep their row. Texts of any length are whole, other columns are left out, empty tables give no rows.
     """
-    # One row holds a conversation; a conversation is one training example, so it fits a row.
-    each = turns.where("conv_id is not null").groupBy("conv_id").agg(F.array_sort(F.collect_set(F.struct(F.col("turn").cast("long").alias("turn"), "role", "text"))).alias("list"))
+    each = conversations(turns)
     side = lambda name: each.select(F.col("conv_id").alias(f"{name}_id"), F.col("list").alias(name))
     rows = pairs.select("pair_id", "chosen_id", "rejected_id").distinct()
     rows = rows.join(side("chosen"), "chosen_id", "left").join(side("rejected"), "rejected_id", "left")
+    return formatted(rows.select("pair_id", "chosen", "rejected"))
+
+
+def conversations(turns: DataFrame) -> DataFrame:
+    """(conv_id, list): the distinct turns of each conversation in order. One row holds a conversation: it is one training
+    example, so it fits a row."""
+    item = F.struct(F.col("turn").cast("long").alias("turn"), "role", "text")
+    return turns.where("conv_id is not null").groupBy("conv_id").agg(F.array_sort(F.collect_set(item)).alias("list"))
+
+
+def formatted(rows: DataFrame) -> DataFrame:
+    """preference_pairs() of rows(pair_id, chosen, rejected), arrays of turns (turn, role, text) in order, or null."""
     none = F.array().cast("array<struct<turn:bigint,role:string,text:string>>")
     rows = rows.select("pair_id", F.coalesce("chosen", none).alias("chosen"), F.coalesce("rejected", none).alias("rejected"))
     shorter = F.least(F.size("chosen"), F.size("rejected"))
@@ -72,23 +83,24 @@ def preference_pairs(turns: DataFrame, pairs: DataFrame) -> DataFrame:
     return rows.select("pair_id", F.col("n_prefix").cast("long").alias("n_prefix"), prompt, *completion("chosen"), *completion("rejected"))
 
 
-def answers_compared(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(turns, pairs): every conversation as chosen, and as rejected the same turns before its last assistant turn with
+def answers_compared(turns: DataFrame) -> DataFrame:
+    """(pair_id, chosen, rejected) of every conversation: its turns, and the same turns before its last assistant turn with
     the last assistant text of the next conversation (by id plus one) in its place, or none if there is none."""
-    turns = turns.where("conv_id is not null").select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")
-    last = turns.where("role = 'assistant'").groupBy("conv_id").agg(F.max("turn").alias("last"), F.max_by("text", F.struct("turn", "text")).alias("answer"))
-    other = last.select((F.col("conv_id") - 1).alias("conv_id"), F.col("answer").alias("other"), F.lit(True).alias("found"))
-    ends = last.select("conv_id", "last").join(other, "conv_id", "left")
-    rejected_id = (-1 - F.col("conv_id")).alias("conv_id")  # ids of conversations are 0 or more
-    before = turns.join(ends.select("conv_id", "last"), "conv_id").where("turn < last").select(rejected_id, "turn", "role", "text")
-    answer = ends.where("found").select(rejected_id, F.col("last").alias("turn"), F.lit("assistant").alias("role"), F.col("other").alias("text"))
-    pairs = turns.select(F.col("conv_id").alias("pair_id")).distinct().select("pair_id", F.col("pair_id").alias("chosen_id"), (-1 - F.col("pair_id")).alias("rejected_id"))
-    return turns.unionByName(before).unionByName(answer), pairs
+    each = conversations(turns)
+    # The list's order puts null texts first, so its last assistant turn is the greatest.
+    answer = F.element_at(F.filter("list", lambda t: t["role"] == "assistant"), -1)
+    said = each.withColumn("answer", F.when(F.exists("list", lambda t: t["role"] == "assistant"), answer))
+    other = said.where("answer is not null").select((F.col("conv_id") - 1).alias("conv_id"), F.array(F.col("answer.text")).alias("other"))
+    rows = said.join(other, "conv_id", "left")
+    before = F.filter("list", lambda t: t["turn"] < F.col("answer.turn"))
+    reply = F.transform("other", lambda x: F.struct(F.col("answer.turn").alias("turn"), F.lit("assistant").alias("role"), x.alias("text")))
+    rejected = F.when(F.col("answer").isNotNull(), F.concat(before, F.coalesce(reply, F.array().cast("array<struct<turn:bigint,role:string,text:string>>"))))
+    return rows.select(F.col("conv_id").alias("pair_id"), F.col("list").alias("chosen"), rejected.alias("rejected"))
 
 
 def op9_preference_pairs(spark, sf_dir: str) -> DataFrame:
     """Every conversation (chosen) against the one that ends with the next conversation's last answer (rejected)."""
-    return preference_pairs(*answers_compared(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+    return formatted(answers_compared(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
 
 
 OP9_SQL = r"""

@@ -226,7 +226,7 @@ def test_preference_marks_and_nulls(spark, duck):
         assert (r.prompt + r.chosen).count("<|assistant|>") == r.chosen_mask.count(":")
     duck.execute("CREATE OR REPLACE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
     duck.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", turns)
-    got = chat.preference_pairs(*chat.answers_compared(df))
+    got = chat.formatted(chat.answers_compared(df))
     want = duck.execute(f"SELECT {', '.join(got.columns)} FROM ({chat.OP9_SQL})").fetchall()
     assert sorted(map(tuple, got.collect())) == sorted(want) and any(r[1] for r in want)
 
