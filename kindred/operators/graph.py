@@ -17,8 +17,7 @@ def components(edges: DataFrame) -> DataFrame:
     now = durable(
         edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges"
     )
-    before = None
-    while True:
+    while not _stars(now):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -26,14 +25,18 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b"))
         now = durable(small.where("a <> b").distinct(), "components")
-        state = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if state == before:
-            break
-        before = state
     roots = now.select(F.col("b").alias("id"), F.col("b").alias("component"))
     return now.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(roots).distinct()
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether every vertex of the distinct edges (a, b), b < a, has either one edge to a lesser vertex or none but edges to
+    greater ones. Then each component is a star around its least vertex, and another round would change nothing."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.lit(1).alias("up")), F.struct(F.col("b").alias("id"), F.lit(0).alias("up")))).alias("end"))
+    ups = ends.groupBy("end.id").agg(F.sum("end.up").alias("ups"), F.count("*").alias("n"))
+    return ups.where("ups > 1 or (ups > 0 and ups < n)").isEmpty()
+
+
 def partition(ids: DataFrame, edges: DataFrame) -> DataFrame:
     """(rid, cluster) for all of ids(rid): component of edges(a, b), alone where a record has no edge."""
     found = components(edges).withColumnRenamed("id", "rid")

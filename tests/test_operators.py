@@ -26,6 +26,10 @@ def test_components(spark):
     assert {i: found[i] for i in (1, 2, 3, 7, 8, 9)} == dict.fromkeys((1, 2, 3, 7, 8, 9), 1)
     assert (found[20], found[21], found[5], found[130]) == (20, 20, 5, 100)
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
+    star, path = [(5, i) for i in range(20)], [(100 + i, 101 + i) for i in range(40)]
+    edges = star + path + [(3, 3), (200, 201), (201, 200)]
+    got = {r.id: r.component for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {i: 0 for i in range(20)} | {100 + i: 100 for i in range(41)} | {200: 200, 201: 200}
 
 
 def test_metrics(spark):
