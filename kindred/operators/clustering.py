@@ -1,12 +1,24 @@
-"""k-means and elbow on the small groups of a record table, as grouped Arrow functions."""
+"""k-means and elbow on the groups of a record table: small ones as grouped functions, large ones by rounds of Spark jobs."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from kindred.operators.storage import durable
 
 SEED, STARTS, ROUNDS = 42, 10, 100
+#: Records of the largest group that a task takes whole.
+LARGEST_GROUP = 5000
+#: Records, about, of a large group that its first centers are drawn from, and of the parts that it is dealt into.
+SAMPLE, PART_ROWS = 2000, 1024
+#: Relative fall of the inertia under which a start of a large group has settled.
+SETTLED = 1e-4
 
 
 def kmeans(x: np.ndarray, k: int, seed: int = SEED) -> tuple[np.ndarray, float]:
@@ -15,11 +27,7 @@ def kmeans(x: np.ndarray, k: int, seed: int = SEED) -> tuple[np.ndarray, float]:
         return np.zeros(len(x), np.int64), float(((x - x.mean(axis=0)) ** 2).sum()) if len(x) else 0.0
     rng, best = np.random.default_rng(seed), (None, np.inf)
     for _ in range(STARTS):
-        centers = x[[int(rng.integers(len(x)))]]
-        while len(centers) < k:
-            far = ((x[:, None] - centers[None]) ** 2).sum(axis=2).min(axis=1)
-            weights = far / far.sum() if far.sum() > 0 else None
-            centers = np.vstack([centers, x[int(rng.choice(len(x), p=weights))]])
+        centers = spread_centers(x, k, rng)
         for _ in range(ROUNDS):
             square = ((x[:, None] - centers[None]) ** 2).sum(axis=2)
             of = square.argmin(axis=1)
@@ -34,6 +42,16 @@ def kmeans(x: np.ndarray, k: int, seed: int = SEED) -> tuple[np.ndarray, float]:
     return np.array([number.setdefault(int(c), len(number)) for c in best[0]]), best[1]
 
 
+def spread_centers(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """k of the rows, each drawn by its squared distance to those before it (k-means++)."""
+    centers = x[[int(rng.integers(len(x)))]]
+    while len(centers) < k:
+        far = ((x[:, None] - centers[None]) ** 2).sum(axis=2).min(axis=1)
+        weights = far / far.sum() if far.sum() > 0 else None
+        centers = np.vstack([centers, x[int(rng.choice(len(x), p=weights))]])
+    return centers
+
+
 def elbow(inertias: list[float]) -> int:
     """k (from 1) of the point farthest from the chord of both normalised ends; the first of several."""
     y = np.array(inertias, float)
@@ -56,15 +74,105 @@ def choose_k(x: np.ndarray, most: int) -> int:
     return elbow([kmeans(x, k)[1] for k in range(1, most + 1)])
 
 
-def kmeans_groups(vectors: DataFrame, by: str, most: int = 5) -> DataFrame:
-    """(by, rid, k, cluster) of each group of vectors(by, rid, embedding). A group has to fit a task: for groups of
-    a whole table's size use pyspark.ml's KMeans."""
+def kmeans_groups(vectors: DataFrame, by: str, most: int = 5, largest: int = LARGEST_GROUP) -> DataFrame:
+    """(by, rid, k, cluster) of each group of vectors(by, rid, embedding), a null one included. Up to `largest` records are
+    clustered in a task; a larger group by rounds of jobs, all such groups together, so no task has a group of it whole."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("rid")
         x = np.array(rows["embedding"].tolist(), float)
         k = choose_k(x, most)
-        return pd.DataFrame({by: rows[by], "rid": rows["rid"], "k": k, "cluster": kmeans(x, k)[0]})
+        return pd.DataFrame({"group": rows["group"], "rid": rows["rid"], "k": k, "cluster": kmeans(x, k)[0]})
+
+    groups = durable(vectors.groupBy(by).agg(F.count("*").alias("n"), F.min("rid").alias("group")), "kmeans-groups")
+    rows = vectors.select(F.col(by).alias("_by"), "rid", "embedding")
+    rows = rows.join(groups, F.col("_by").eqNullSafe(F.col(by))).select("group", "n", "rid", "embedding")
+    out = rows.where(F.col("n") <= largest).groupBy("group").applyInPandas(run, "group long, rid long, k long, cluster long")
+    if not groups.where(F.col("n") > largest).isEmpty():
+        out = out.unionByName(large_groups(rows.where(F.col("n") > largest), most))
+    return out.join(groups.select(by, "group"), "group").select(by, "rid", "k", "cluster")
+
+
+def large_groups(rows: DataFrame, most: int) -> DataFrame:
+    """(group, rid, k, cluster) of rows(group, n, rid, embedding) by Lloyd's rounds over all records.
+
+    A round assigns the records of every group to the centers of all k up to `most` and all starts at once; a task passes on
+    one sum for each center of a group. Only the first centers come from a sample, of about SAMPLE records of each group;
+    they are drawn by k-means++. Rounds end when no start's inertia falls by SETTLED, after ROUNDS at most."""
+    runs = [(k, s) for k in range(1, most + 1) for s in range(STARTS)]
+    at = np.concatenate([[0], np.cumsum([k for k, _ in runs])])
+    salt = F.pmod(F.xxhash64("rid"), F.ceil(F.col("n") / PART_ROWS))
+    packed = durable(rows.groupBy("group", salt.alias("part")).agg(F.collect_list("rid").alias("rids"), F.flatten(F.collect_list("embedding")).cast("array<double>").alias("x")), "kmeans-parts")
+
+    def start(sample: pd.DataFrame) -> pd.DataFrame:
+        x, rng = np.array(sample.sort_values("rid")["embedding"].tolist(), float), np.random.default_rng(SEED)
+        centers = np.concatenate([spread_centers(x, k, rng) for k, _ in runs])
+        return pd.DataFrame({"group": sample["group"].iloc[:1], "centers": [centers.ravel()], "inertia": [np.full(len(runs), np.inf)]})
+
+    def squares(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
+        return np.stack([((x - c) ** 2).sum(axis=1) for c in centers], axis=1)
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """For each stretch of parts of one group: sums of each center's records, their numbers, inertias, end to end."""
+        group, total = None, None
+        for b in batches:
+            for i in range(b.num_rows):
+                d = len(b["x"][i]) // len(b["rids"][i])
+                x = np.asarray(b["x"][i].values).reshape(-1, d)
+                far = squares(x, np.asarray(b["centers"][i].values).reshape(-1, d))
+                near = np.zeros(far.shape)
+                for a, z in zip(at, at[1:], strict=False):
+                    near[np.arange(len(x)), a + far[:, a:z].argmin(axis=1)] = 1
+                part = np.concatenate([(near.T @ x).ravel(), near.sum(axis=0), np.add.reduceat((near * far).sum(axis=0), at[:-1])])
+                if group is not None and group != b["group"][i].as_py():
+                    yield pa.RecordBatch.from_pydict({"group": [group], "total": [total]})
+                    total = None
+                group, total = b["group"][i].as_py(), part if total is None else total + part
+        if group is not None:
+            yield pa.RecordBatch.from_pydict({"group": [group], "total": [total]})
+
+    def moved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                total, old = np.asarray(b["total"][i].values), np.asarray(b["centers"][i].values)
+                cut = len(old)
+                count = total[cut : cut + at[-1], None]
+                centers = np.where(count > 0, total[:cut].reshape(at[-1], -1) / np.maximum(count, 1), old.reshape(at[-1], -1))
+                new, before = total[cut + at[-1] :], np.asarray(b["inertia"][i].values)
+                live = bool((new < before - np.where(np.isfinite(before), SETTLED * before, 0)).any())
+                columns = {"group": [b["group"][i].as_py()], "centers": [centers.ravel()], "used": [old], "inertia": [new], "live": [live]}
+                yield pa.RecordBatch.from_pydict(columns)
+
+    first = rows.where(F.pmod(F.xxhash64("rid", F.lit(SEED)), F.col("n")) < SAMPLE)
+    state = durable(first.groupBy("group").applyInPandas(start, "group long, centers array<double>, inertia array<double>"), "kmeans-centers")
+    for _ in range(ROUNDS):
+        long = packed.join(state, "group").select("group", "rids", "x", "centers").mapInArrow(sums, "group long, total array<double>")
+        added = long.select("group", F.posexplode("total").alias("at", "v")).groupBy("group", "at").agg(F.sum("v").alias("v"))
+        total = added.groupBy("group").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "v"))), lambda p: p["v"]).alias("total"))
+        state = total.join(state, "group").select("group", "total", "centers", "inertia")
+        state = durable(state.mapInArrow(moved, "group long, centers array<double>, used array<double>, inertia array<double>, live boolean"), "kmeans-centers")
+        if state.where("live").isEmpty():
+            break
+
+    def choice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                inertia, used = np.asarray(b["inertia"][i].values).reshape(most, STARTS), np.asarray(b["used"][i].values).reshape(at[-1], -1)
+                k = most if most <= 2 else elbow(inertia.min(axis=1).tolist())
+                run = (k - 1) * STARTS + int(inertia[k - 1].argmin())
+                yield pa.RecordBatch.from_pydict({"group": [b["group"][i].as_py()], "k": [k], "centers": [used[at[run] : at[run + 1]].ravel()]})
+
+    def assigned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                rids = b["rids"][i].values
+                x, group, k = np.asarray(b["x"][i].values).reshape(len(rids), -1), b["group"][i].as_py(), b["k"][i].as_py()
+                near = squares(x, np.asarray(b["centers"][i].values).reshape(k, -1)).argmin(axis=1)
+                yield pa.RecordBatch.from_pydict({"group": pa.array([group] * len(rids), pa.int64()), "rid": rids, "k": pa.array([k] * len(rids), pa.int64()), "near": pa.array(near)})
 
-    kind = vectors.schema[by].dataType.simpleString()
-    return vectors.select(by, "rid", "embedding").groupBy(by).applyInPandas(run, f"{by} {kind}, rid long, k long, cluster long")
+    chosen = state.select("group", "used", "inertia").mapInArrow(choice, "group long, k long, centers array<double>")
+    placed = durable(packed.join(chosen, "group").select("group", "rids", "x", "k", "centers").mapInArrow(assigned, "group long, rid long, k long, near long"), "kmeans-placed")
+    # Clusters are numbered by their first record, like those of a small group: a group has `most` at most.
+    number = placed.groupBy("group", "near").agg(F.min("rid").alias("least")).groupBy("group").agg(F.array_sort(F.collect_list(F.struct("least", "near"))).alias("order"))
+    number = number.select("group", F.posexplode("order").alias("cluster", "one")).select("group", F.col("one.near").alias("near"), F.col("cluster").cast("long").alias("cluster"))
+    return placed.join(number, ["group", "near"]).select("group", "rid", "k", "cluster")

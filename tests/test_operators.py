@@ -81,6 +81,19 @@ def test_guard(spark):
     assert not guard.separated(pairs_of(spark, bad)).first().separated
 
 
+def test_large_groups_by_rounds_equal_groups_in_a_task(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for g, (n, k) in enumerate(((300, 3), (200, 2), (5, 1))):
+        centers = rng.normal(size=(k, 4)) * 20
+        rows += [(g if g else None, 1000 * g + i, (centers[i % k] + rng.normal(size=4) * 0.1).tolist()) for i in range(n)]
+    rows += [(7, 9000 + i, [1.0, 2.0, 3.0, 4.0]) for i in range(60)]  # equal ones
+    table = spark.createDataFrame(rows, "label int, rid long, embedding array<double>")
+    got = {largest: sorted(map(str, clustering.kmeans_groups(table, "label", largest=largest).collect())) for largest in (50, 5000)}
+    assert got[50] == got[5000] and len(got[50]) == len(rows)
+    assert clustering.kmeans_groups(table.limit(0), "label").count() == 0
+
+
 def test_sequential_helpers():
     assert recordsets.chain([0, 2, 1, 3], S) == [0, 1, 2, 3]
     assert clustering.elbow([10, 2, 1, 0]) == 2 and clustering.elbow([0, 0]) == 1
