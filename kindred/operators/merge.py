@@ -75,13 +75,13 @@ def merged(state: DataFrame, vectors: DataFrame, clusterer, max_rounds: int = MA
     A round takes every block that still has several clusters and merged something in the round before: its
     clusters' representatives are packed, clustered under the guardrail, and clusters whose representatives fall
     together become one. cluster is a global id, the least rid of the cluster's first set."""
-    live, done, calls = durable(state, "merge-state"), [], []
+    state, calls = durable(state, "merge-state"), []
+    several = state.groupBy("block").agg(F.countDistinct("cluster").alias("n")).where("n > 1").select("block")
+    done = [state.join(several, "block", "left_anti").select("block", "rid", "cluster")]
+    live = durable(state.join(several, "block", "left_semi"), "merge-state")
     for _ in range(max_rounds):
-        several = live.groupBy("block").agg(F.countDistinct("cluster").alias("n")).where("n > 1").select("block")
-        done.append(live.join(several, "block", "left_anti").select("block", "rid", "cluster"))
-        live = durable(live.join(several, "block", "left_semi"), "merge-state")
         if live.isEmpty():
-            return _union(done), _union(calls) if calls else None
+            break
         reps = blocking.representatives(vectors, live.select("rid", "cluster"))
         heads = live.groupBy("block", "set_no", "cluster").agg(F.min("rid").alias("least")).join(reps.withColumnRenamed("rid", "rep"), "cluster")
         order = W.partitionBy("block", "set_no").orderBy("least")
@@ -93,14 +93,15 @@ def merged(state: DataFrame, vectors: DataFrame, clusterer, max_rounds: int = MA
         of_rep = answer.select("set_id", F.col("rid").alias("rep"), F.col("cluster").alias("group")).join(heads.select("block", "rep", "cluster"), "rep")
         least = F.min("cluster").over(W.partitionBy("set_id", "group"))
         joined = durable(of_rep.select("block", F.col("cluster").alias("old"), least.alias("new")), "merged-clusters")
-        moved = joined.where("old <> new").select("block").distinct()
-        renamed = live.join(joined.select(F.col("old").alias("cluster"), "new"), "cluster")
+        changed = joined.groupBy("block").agg(F.bool_or(F.col("old") != F.col("new")).alias("moved"), F.countDistinct("new").alias("n"))
+        again = changed.select("block", (F.col("moved") & (F.col("n") > 1)).alias("again"))
+        renamed = live.select("rid", F.col("cluster").alias("old")).join(joined.join(again, "block"), "old")
         # Every cluster is a set of its own from now on.
-        renamed = durable(renamed.select("block", F.col("new").alias("set_no"), "rid", F.col("new").alias("cluster")), "merge-state")
-        done.append(renamed.join(moved, "block", "left_anti").select("block", "rid", "cluster"))
-        live = durable(renamed.join(moved, "block", "left_semi"), "merge-state")
+        renamed = durable(renamed.select("block", F.col("new").alias("set_no"), "rid", F.col("new").alias("cluster"), "again"), "merge-state")
+        done.append(renamed.where(~F.col("again")).select("block", "rid", "cluster"))
+        live = renamed.where("again").drop("again")
     done.append(live.select("block", "rid", "cluster"))
-    return _union(done), _union(calls)
+    return _union(done), _union(calls) if calls else None
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
