@@ -2,13 +2,14 @@
 
 A clusterer sees the records of one set and groups them. It is called inside Spark tasks, a batch of sets at a time;
 everything around it (missing and foreign ids, the guardrail, the order of another try) is a DataFrame plan over all
-sets of a round at once.
+sets of a round at once. One with ordered = False gives a set the same answer in any order of its records.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from typing import ClassVar
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -27,6 +28,7 @@ class Oracle:
     """Groups records by a known entity: truth(rid, cluster). Records without one are alone. A join, no Python."""
 
     truth: DataFrame
+    ordered: ClassVar[bool] = False
 
     def cluster(self, sets: DataFrame, attempt: int) -> DataFrame:
         known = sets.join(self.truth.select("rid", F.col("cluster").alias("entity")), "rid", "left")
@@ -40,6 +42,7 @@ class Threshold:
 
     vectors: DataFrame
     at_least: float
+    ordered: ClassVar[bool] = False
 
     def cluster(self, sets: DataFrame, attempt: int) -> DataFrame:
         rows = sets.select("set_id", "rid", F.lit(0).alias("cluster"))
@@ -93,18 +96,20 @@ def clustered(sets: DataFrame, vectors: DataFrame, clusterer, max_tries: int = M
     """(sets with cluster, calls): sets(set_id, pos, rid) clustered under the guardrail.
 
     A set whose clustering is rejected is asked again, in a new order, up to max_tries times; the last answer stands
-    whatever it is. Sets of one record aren't asked. calls: (set_id, calls, rejected)."""
+    whatever it is. Sets of one record aren't asked. Where order is nothing to the clusterer, its first answer is that of
+    all tries, which are counted without being made. calls: (set_id, calls, rejected)."""
     sized = sets.join(sets.groupBy("set_id").count(), "set_id")
     alone = sized.where("count = 1").select("set_id", "pos", "rid", F.lit(0).cast("long").alias("cluster"))
     open_ = durable(sized.where("count > 1").drop("count"), "open-sets")
     done, calls = [alone], []
+    ordered = getattr(clusterer, "ordered", True)
     for attempt in range(max_tries + 1):
         answer = durable(numbered(complete(open_, clusterer.cluster(open_, attempt))), "answers")
         judged = durable(guard.intra_inter(guard.set_similarities(answer, vectors)), "judged")
         wrong = guard.offenders(judged)
         rejected = wrong.select("set_id").distinct()
         calls.append(answer.select("set_id").distinct().join(rejected.withColumn("rejected", F.lit(1)), "set_id", "left"))
-        if attempt == max_tries:
+        if attempt == max_tries or not ordered:
             done.append(answer)
             break
         done.append(answer.join(rejected, "set_id", "left_anti"))
@@ -116,6 +121,9 @@ def clustered(sets: DataFrame, vectors: DataFrame, clusterer, max_tries: int = M
         out = out.unionByName(x)
     for x in calls[1:]:
         log = log.unionByName(x)
+    if not ordered:
+        tries = F.when(F.col("rejected") == 1, F.sequence(F.lit(0), F.lit(max_tries))).otherwise(F.array(F.lit(0)))
+        log = log.withColumn("attempt", F.explode(tries)).drop("attempt")
     log = log.groupBy("set_id").agg(F.count("*").alias("calls"), F.coalesce(F.sum("rejected"), F.lit(0)).alias("rejected"))
     return out, log
 

@@ -22,34 +22,46 @@ SETTLED = 1e-4
 
 
 def kmeans(x: np.ndarray, k: int, seed: int = SEED) -> tuple[np.ndarray, float]:
-    """(labels numbered by first appearance, inertia): best of STARTS k-means++ starts; all 0 for fewer than k rows."""
-    if len(x) < k:
-        return np.zeros(len(x), np.int64), float(((x - x.mean(axis=0)) ** 2).sum()) if len(x) else 0.0
-    rng, best = np.random.default_rng(seed), (None, np.inf)
-    for _ in range(STARTS):
-        centers = spread_centers(x, k, rng)
-        for _ in range(ROUNDS):
-            square = ((x[:, None] - centers[None]) ** 2).sum(axis=2)
-            of = square.argmin(axis=1)
-            new = np.array([x[of == j].mean(axis=0) if (of == j).any() else centers[j] for j in range(k)])
-            if np.allclose(new, centers, atol=1e-12):
-                break
-            centers = new
-        inertia = float(square.min(axis=1).sum())
-        if inertia < best[1] - 1e-12:
-            best = (of, inertia)
+    """(labels numbered by first appearance, inertia): best of STARTS k-means++ starts; all 0 for fewer than k rows.
+
+    A round moves all starts that haven't settled by two matrix products; x is centered first, for precision."""
+    if not len(x):
+        return np.zeros(0, np.int64), 0.0
+    x = x - x.mean(axis=0)
+    length = (x * x).sum(axis=1)
+    if k == 1 or len(x) < k:
+        return np.zeros(len(x), np.int64), float(length.sum())
+    rng = np.random.default_rng(seed)
+    centers = np.stack([spread_centers(x, k, rng) for _ in range(STARTS)])
+    labels, inertia, live = np.zeros((STARTS, len(x)), np.int64), np.full(STARTS, np.inf), np.arange(STARTS)
+    for _ in range(ROUNDS):
+        old = centers[live]
+        square = length[:, None, None] - 2 * (x @ old.reshape(-1, x.shape[1]).T).reshape(len(x), -1, k) + (old * old).sum(axis=2)
+        of = square.argmin(axis=2)
+        labels[live], inertia[live] = of.T, np.maximum(square.min(axis=2), 0).sum(axis=0)
+        member = (of[:, :, None] == np.arange(k)).astype(float)
+        count = member.sum(axis=0)[:, :, None]
+        sums = (member.reshape(len(x), -1).T @ x).reshape(old.shape)
+        centers[live] = np.where(count > 0, sums / np.maximum(count, 1), old)
+        live = live[~np.isclose(centers[live], old, atol=1e-12).all(axis=(1, 2))]
+        if not len(live):
+            break
+    best = 0
+    for s in range(1, STARTS):
+        if inertia[s] < inertia[best] - 1e-12:
+            best = s
     number: dict[int, int] = {}
-    return np.array([number.setdefault(int(c), len(number)) for c in best[0]]), best[1]
+    return np.array([number.setdefault(int(c), len(number)) for c in labels[best]]), float(inertia[best])
 
 
 def spread_centers(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
     """k of the rows, each drawn by its squared distance to those before it (k-means++)."""
-    centers = x[[int(rng.integers(len(x)))]]
-    while len(centers) < k:
-        far = ((x[:, None] - centers[None]) ** 2).sum(axis=2).min(axis=1)
+    chosen, far = [int(rng.integers(len(x)))], np.full(len(x), np.inf)
+    while len(chosen) < k:
+        far = np.minimum(far, ((x - x[chosen[-1]]) ** 2).sum(axis=1))
         weights = far / far.sum() if far.sum() > 0 else None
-        centers = np.vstack([centers, x[int(rng.choice(len(x), p=weights))]])
-    return centers
+        chosen.append(int(rng.choice(len(x), p=weights)))
+    return x[chosen]
 
 
 def elbow(inertias: list[float]) -> int:
@@ -66,12 +78,18 @@ def elbow(inertias: list[float]) -> int:
 
 def choose_k(x: np.ndarray, most: int) -> int:
     """Number of clusters by the elbow, up to most."""
+    return elbow_kmeans(x, most)[0]
+
+
+def elbow_kmeans(x: np.ndarray, most: int) -> tuple[int, np.ndarray]:
+    """(k, labels) of k-means with as many clusters as the elbow asks for, up to most."""
     most = min(most, len(x))
-    if len(x) < 2:
-        return 1
-    if most <= 2:
-        return most
-    return elbow([kmeans(x, k)[1] for k in range(1, most + 1)])
+    if len(x) < 2 or most <= 2:
+        k = 1 if len(x) < 2 else most
+        return k, kmeans(x, k)[0]
+    runs = [kmeans(x, k) for k in range(1, most + 1)]
+    k = elbow([inertia for _, inertia in runs])
+    return k, runs[k - 1][0]
 
 
 def kmeans_groups(vectors: DataFrame, by: str, most: int = 5, largest: int = LARGEST_GROUP) -> DataFrame:
@@ -81,8 +99,8 @@ def kmeans_groups(vectors: DataFrame, by: str, most: int = 5, largest: int = LAR
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("rid")
         x = np.array(rows["embedding"].tolist(), float)
-        k = choose_k(x, most)
-        return pd.DataFrame({"group": rows["group"], "rid": rows["rid"], "k": k, "cluster": kmeans(x, k)[0]})
+        k, labels = elbow_kmeans(x, most)
+        return pd.DataFrame({"group": rows["group"], "rid": rows["rid"], "k": k, "cluster": labels})
 
     groups = durable(vectors.groupBy(by).agg(F.count("*").alias("n"), F.min("rid").alias("group")), "kmeans-groups")
     rows = vectors.select(F.col(by).alias("_by"), "rid", "embedding")

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kindred.operators import lsh
-from kindred.operators.clustering import choose_k, kmeans
+from kindred.operators.clustering import elbow_kmeans
 from kindred.operators.ordering import ranked
 
 #: Records of a set, and clusters that it should span.
@@ -39,7 +39,7 @@ def next_set(left: list[int], x: np.ndarray, sims: np.ndarray, size: int = SET_S
     up so that clusters stay even, chained by similarity. A remainder of up to size records is the last set."""
     if len(left) <= size:
         return chain(left, sims)
-    labels = kmeans(x[left], choose_k(x[left], min(spread, len(left))))[0]
+    labels = elbow_kmeans(x[left], min(spread, len(left)))[1]
     quota, chosen = max(1, size // spread), []
     for label in range(labels.max() + 1):  # labels are numbered by first appearance
         members = [left[i] for i in np.flatnonzero(labels == label)]

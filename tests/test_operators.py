@@ -199,6 +199,32 @@ def test_clustered_completes_and_retries(spark):
     assert clusterers.clustered(sets, df, bad)[1].first().asDict() == {"set_id": "s", "calls": 3, "rejected": 3}
 
 
+def test_clustered_counts_tries_that_cannot_differ(spark):
+    df = vectors(spark, [(1, 0), (1, 0.1), (0, 1), (0.1, 1), (1, 0), (0, 1)])
+    truth = spark.createDataFrame([(0, 0), (1, 1), (2, 0), (3, 1), (4, 0), (5, 1)], "rid long, cluster long")
+    sets = spark.createDataFrame([("s", i, i) for i in range(4)] + [("t", 0, 4), ("t", 1, 5)], "set_id string, pos long, rid long")
+    asked = clusterers.Oracle(truth)
+    asked.ordered = True
+    results = []
+    for clusterer in (clusterers.Oracle(truth), asked):
+        out, log = clusterers.clustered(sets, df, clusterer)
+        groups = {}
+        for r in out.collect():
+            groups.setdefault((r.set_id, r.cluster), []).append(r.rid)
+        results.append((sorted(map(sorted, groups.values())), sorted(map(tuple, log.select("set_id", "calls", "rejected").collect()))))
+    assert results[0] == results[1] == ([[0, 2], [1, 3], [4], [5]], [("s", 3, 3), ("t", 1, 0)])
+
+
+def test_kmeans_of_copies_and_separate_groups():
+    x = np.repeat(np.array([[0.0, 1.0], [5.0, 1.0], [0.0, 9.0]]), 6, axis=0)
+    k, labels = clustering.elbow_kmeans(x, 5)
+    assert k == 2 and labels.tolist() == [0] * 12 + [1] * 6  # the third cluster saves less than the second
+    assert clustering.kmeans(x, 3)[0].tolist() == [0] * 6 + [1] * 6 + [2] * 6
+    assert clustering.elbow_kmeans(x[:6], 4)[0] == 1  # copies of one vector
+    labels, inertia = clustering.kmeans(x + 1e6, 3)  # far from the origin
+    assert len(set(labels.tolist())) == 3 and inertia < 1e-9
+
+
 def test_resolution(spark):
     rng = np.random.default_rng(2)
     centers = rng.standard_normal((6, 8))
