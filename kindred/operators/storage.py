@@ -18,11 +18,25 @@ def shared_dir(spark: SparkSession) -> str:
     return os.path.join("/tmp/checkpoints", "kindred")
 
 
-def durable(df: DataFrame, label: str) -> DataFrame:
+def durable(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: cuts lineage and survives lost executors.
 
-    The files stay until the folder is cleaned; they lie under the application's id."""
+    by: a column with few values that gets a folder for each, so that a filter on it reads no others. The files lie
+    under the application's id until release() or until the folder is cleaned."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    writer = df.write.option("compression", "zstd")
+    (writer.partitionBy(by) if by else writer).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path).select(*[f"`{c}`" for c in df.columns])
+    out._durable_path = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete the files of tables that durable() returned, once nothing reads them any more; others are left alone."""
+    for table in tables:
+        if path := getattr(table, "_durable_path", None):
+            spark = table.sparkSession
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+            table._durable_path = None
