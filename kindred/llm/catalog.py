@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from kindred.llm import bpe, chat, classifiers, embedding_dedup, html_text, mixing, oracles, quality, secrets, simhash
+from kindred.llm import bpe, chat, classifiers, embedding_dedup, html_text, line_dedup, mixing, oracles, quality, secrets, simhash
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_language_id": classifiers.op8_language_id,
         "op9_preference_pairs": chat.op9_preference_pairs,
         "op10_secret_scans": secrets.op10_secret_scans,
+        "op13_line_dedup": line_dedup.op13_line_dedup,
     }
 
 

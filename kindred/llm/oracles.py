@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from kindred.llm.chat import OP9_SQL
 from kindred.llm.embedding_dedup import COSINE
+from kindred.llm.line_dedup import OP13_SQL
 from kindred.llm.mixing import OP6_SQL
 from kindred.llm.quality import ERROR, GRID, RISK, RULES, WEAK_RISK
 
@@ -73,4 +74,4 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   NOT base_failed AND rid NOT IN (SELECT rid FROM failed) AS kept FROM m
 """
 
-SQL = {"op1_embedding_near_dedup": OP1_SQL, "op5_quality_rules": OP5_SQL, "op6_mix_sources": OP6_SQL, "op9_preference_pairs": OP9_SQL}
+SQL = {"op1_embedding_near_dedup": OP1_SQL, "op5_quality_rules": OP5_SQL, "op6_mix_sources": OP6_SQL, "op9_preference_pairs": OP9_SQL, "op13_line_dedup": OP13_SQL}
