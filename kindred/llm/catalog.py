@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from kindred.llm import bpe, chat, classifiers, embedding_dedup, html_text, line_dedup, mixing, oracles, quality, secrets, simhash
+from kindred.llm import bpe, chat, classifiers, embedding_dedup, hard_negatives, html_text, line_dedup, mixing, oracles, quality, secrets, simhash, vector_codes
 
 
 def queries() -> dict:
@@ -17,6 +17,8 @@ def queries() -> dict:
         "op8_language_id": classifiers.op8_language_id,
         "op9_preference_pairs": chat.op9_preference_pairs,
         "op10_secret_scans": secrets.op10_secret_scans,
+        "op11_hard_negatives": hard_negatives.op11_hard_negatives,
+        "op12_vector_codes": vector_codes.op12_vector_codes,
         "op13_line_dedup": line_dedup.op13_line_dedup,
     }
 

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from kindred.llm.chat import OP9_SQL
 from kindred.llm.embedding_dedup import COSINE
+from kindred.llm.hard_negatives import OP11_SQL
 from kindred.llm.line_dedup import OP13_SQL
 from kindred.llm.mixing import OP6_SQL
 from kindred.llm.quality import ERROR, GRID, RISK, RULES, WEAK_RISK
+from kindred.llm.vector_codes import OP12_SQL
 
 #: All pairs, which the multi-index finds on these tables without loss.
 OP1_SQL = f"""
@@ -74,4 +76,4 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   NOT base_failed AND rid NOT IN (SELECT rid FROM failed) AS kept FROM m
 """
 
-SQL = {"op1_embedding_near_dedup": OP1_SQL, "op5_quality_rules": OP5_SQL, "op6_mix_sources": OP6_SQL, "op9_preference_pairs": OP9_SQL, "op13_line_dedup": OP13_SQL}
+SQL = {"op1_embedding_near_dedup": OP1_SQL, "op5_quality_rules": OP5_SQL, "op6_mix_sources": OP6_SQL, "op9_preference_pairs": OP9_SQL, "op11_hard_negatives": OP11_SQL, "op12_vector_codes": OP12_SQL, "op13_line_dedup": OP13_SQL}
