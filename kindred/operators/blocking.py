@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kindred.functions.vectors import centroids, euclidean
-from kindred.operators import graph, joins, lsh
+from kindred.operators import graph, joins, lsh, sphere
 
 
 def _blocks(vectors: DataFrame, over: float, pairs: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -28,8 +28,9 @@ def _blocks(vectors: DataFrame, over: float, pairs: Callable[[DataFrame], DataFr
 
 
 def exact_blocks(vectors: DataFrame, over: float) -> DataFrame:
-    """(rid, cluster) by components of all pairs with a cosine over the threshold; alone where there is none."""
-    return _blocks(vectors, over, lambda distinct: joins.cosine_pairs(distinct, over))
+    """(rid, cluster) by components of all pairs with a cosine over the threshold; alone where there is none. From a
+    threshold of 0 on, bounds leave pairs out that can't be over it (see sphere)."""
+    return _blocks(vectors, over, lambda distinct: sphere.pairs(distinct, over) if over >= 0 else joins.cosine_pairs(distinct, over))
 
 
 def lsh_blocks(vectors: DataFrame, over: float, **how) -> DataFrame:

@@ -7,8 +7,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kindred.operators import blocking, metrics
+from kindred.operators import blocking, graph, joins, metrics
 from kindred.operators.ordering import ranked
+from kindred.operators.storage import durable
 
 #: Tasks that are batched together.
 GROUP_TASKS = 1500
@@ -30,18 +31,16 @@ def blocking_sweep(vectors: DataFrame, truth: DataFrame, thresholds: list[float]
     """One row per threshold: quality of the exact blocks against truth(rid, cluster).
 
     Pairs over the least threshold (under 1) are found once, between the first of equal vectors and from each other one to
-    its first; each threshold takes its share of them."""
-    from kindred.operators import graph, joins
-    from kindred.operators.storage import durable
-
-    pairs = durable(joins.cosine_links(vectors, min(thresholds)), "sweep-pairs")
-    out = None
-    for t in sorted(thresholds):
-        edges = pairs.where(F.col("sim") > t).select(F.col("u").alias("a"), F.col("v").alias("b"))
-        blocks = graph.partition(vectors, edges)
-        row = metrics.block_quality(metrics.contingency(metrics.aligned(blocks, truth))).withColumn("threshold", F.lit(float(t)))
-        out = row if out is None else out.unionByName(row)
-    return out
+    its first. The blocks at every threshold follow from one maximum spanning forest of those pairs."""
+    pairs = joins.cosine_links(vectors, min(thresholds)).select(F.col("u").alias("a"), F.col("v").alias("b"), "sim")
+    blocks = durable(graph.partitions_over(vectors, graph.spanning_forest(pairs), thresholds), "sweep-blocks")
+    # A record that the blocks or the truth lack is alone there, at every threshold.
+    steps = blocks.sparkSession.createDataFrame([(float(t),) for t in sorted(set(thresholds))], "threshold double")
+    known = truth.select("rid", F.col("cluster").cast("string").alias("t"))
+    labels = blocks.select("threshold", "rid", F.col("cluster").cast("string").alias("p")).join(known.crossJoin(F.broadcast(steps)), ["threshold", "rid"], "full_outer")
+    alone = F.concat(F.lit("alone_"), F.col("rid").cast("string"))
+    table = labels.groupBy("threshold", F.coalesce("p", alone).alias("p"), F.coalesce("t", alone).alias("t")).agg(F.count("*").alias("n"))
+    return metrics.block_quality(table, "threshold")
 
 
 def task_similarities(links: DataFrame) -> DataFrame:

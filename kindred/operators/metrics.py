@@ -73,15 +73,17 @@ def cluster_purity(table: DataFrame, tolerance: int = 1) -> DataFrame:
     )
 
 
-def pair_counts(table: DataFrame) -> DataFrame:
-    """One row (tp, fp, fn, tn, n) of record pairs."""
-    total = lambda df, name: df.agg(F.coalesce(F.sum(_pairs(F.col("n"))), F.lit(0.0)).alias(name))
-    sums = lambda by: table.groupBy(by).agg(F.sum("n").alias("n"))
-    row = total(table, "tp").crossJoin(total(sums("p"), "sp")).crossJoin(total(sums("t"), "st"))  # single rows
-    row = row.crossJoin(table.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")))
+def pair_counts(table: DataFrame, *by: str) -> DataFrame:
+    """One row (tp, fp, fn, tn, n) of record pairs, or one (by..., tp, ...) for each value of columns of the table."""
+    total = lambda df, name: df.groupBy(*by).agg(F.coalesce(F.sum(_pairs(F.col("n"))), F.lit(0.0)).alias(name))
+    sums = lambda side: table.groupBy(*by, side).agg(F.sum("n").alias("n"))
+    row = table.groupBy(*by).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+    for one in (total(table, "tp"), total(sums("p"), "sp"), total(sums("t"), "st")):
+        row = row.join(one, list(by)) if by else row.crossJoin(one)  # single rows
     whole = _pairs(F.col("n"))
     as_long = lambda c: c.cast("long")
     return row.select(
+        *by,
         as_long(F.col("tp")).alias("tp"),
         as_long(F.col("sp") - F.col("tp")).alias("fp"),
         as_long(F.col("st") - F.col("tp")).alias("fn"),
@@ -98,11 +100,13 @@ def pairwise(table: DataFrame) -> DataFrame:
     return c.withColumn("f1", f_measure(F.col("precision"), F.col("recall")))
 
 
-def block_quality(table: DataFrame) -> DataFrame:
-    """One row for blocks as p: pair completeness, pair quality, their F1, and the share of pairs that blocking spares."""
-    c = pair_counts(table)
+def block_quality(table: DataFrame, *by: str) -> DataFrame:
+    """One row for blocks as p, or one for each value of columns of the table: pair completeness, pair quality, their F1,
+    and the share of pairs that blocking spares."""
+    c = pair_counts(table, *by)
     whole = _pairs(F.col("n"))
     c = c.select(
+        *by,
         _ratio(F.col("tp"), F.col("tp") + F.col("fn")).alias("completeness"),
         _ratio(F.col("tp"), F.col("tp") + F.col("fp")).alias("quality"),
         F.when(whole == 0, 0.0).otherwise(1 - (F.col("tp") + F.col("fp")) / whole).alias("reduction"),

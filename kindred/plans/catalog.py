@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from kindred.functions import replies as R
 from kindred.functions import text as T
 from kindred.functions import vectors as V
-from kindred.operators import blocking, clusterers, clustering, experiments, graph, guard, joins, lsh, matching, merge, metrics, recordsets
+from kindred.operators import blocking, clusterers, clustering, experiments, graph, guard, joins, lsh, matching, merge, metrics, recordsets, sphere
 from kindred.operators.ordering import ranked
 from kindred.operators.storage import durable
 from kindred.plans.resolve import resolve
@@ -19,6 +19,8 @@ from kindred.sources import records as S
 
 #: Cosine over which records share a block in the queries.
 OVER = 0.4
+#: Cosine of near copies, and the thresholds that a sweep tries.
+NEAR, SWEEP = 0.8, (0.4, 0.42, 0.45, 0.5, 0.55, 0.6, 0.7, 0.8, 0.9)
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
@@ -201,7 +203,7 @@ def cosine_pairs(spark, sf):
 r AS (SELECT *, row_number() OVER (PARTITION BY u ORDER BY sim DESC, v) AS rank FROM s)
 SELECT u, v, round(sim, 6) AS sim, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 10""")
 def topk_candidates(spark, sf):
-    return _rounded(joins.top_k(_vectors(spark, sf), 10))
+    return _rounded(sphere.top_k(_vectors(spark, sf), 10))
 
 
 @query("""WITH s AS (SELECT list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS sim FROM embeddings a, embeddings b)
@@ -215,6 +217,14 @@ def blocks_exact(spark, sf):
     return _blocks(spark, sf)
 
 
+@query(f"""WITH {_PAIRS.replace(f"> {OVER}", f"> {NEAR}")}, c AS (SELECT vec_id, min(vec_id) OVER (PARTITION BY embedding) AS rep FROM embeddings)
+SELECT u, v, round(sim, 6) AS sim FROM pairs JOIN c a ON u = a.vec_id AND u = a.rep JOIN c b ON v = b.vec_id AND v = b.rep""")
+def near_pairs(spark, sf):
+    """Pairs of distinct vectors at a threshold where bounds spare nearly all cosines."""
+    firsts, _ = joins.classes(_vectors(spark, sf), ["embedding"])
+    return _rounded(sphere.pairs(firsts, NEAR))
+
+
 @query(f"WITH RECURSIVE {_BLOCKS} SELECT size, count(*) AS n_blocks FROM (SELECT count(*) AS size FROM blocks GROUP BY cluster) GROUP BY size")
 def block_sizes(spark, sf):
     return _blocks(spark, sf).groupBy("cluster").agg(F.count("*").alias("size")).groupBy("size").agg(F.count("*").alias("n_blocks"))
@@ -339,13 +349,13 @@ k AS (SELECT (SELECT sum(n * (n - 1) / 2) FROM cells) AS tp, (SELECT sum(s * (s
 (SELECT sum(s * (s - 1) / 2) FROM (SELECT sum(n) AS s FROM cells GROUP BY t)) AS st, (SELECT sum(n) FROM cells) AS n),
 r AS (SELECT tp / st AS a, CASE WHEN sp = 0 THEN 0 ELSE tp / sp END AS b, 1 - sp / (n * (n - 1) / 2) AS c FROM k)
 SELECT round(a, 6) AS completeness, round(b, 6) AS quality, round(c, 6) AS reduction, round(CASE WHEN a + b = 0 THEN 0 ELSE 2 * a * b / (a + b) END, 6) AS f1 FROM r)"""
-    for t in (0.4, 0.42, 0.45)
+    for t in SWEEP
 )
 
 
 @query(f"WITH {_PAIRS} {_SWEEP}")
 def blocking_sweep(spark, sf):
-    return _rounded(experiments.blocking_sweep(_vectors(spark, sf), _truth(spark, sf), [0.4, 0.42, 0.45]))
+    return _rounded(experiments.blocking_sweep(_vectors(spark, sf), _truth(spark, sf), list(SWEEP)))
 
 
 # Centroids, representatives, guardrail
