@@ -1,7 +1,11 @@
-"""Vector arithmetic as Column expressions, in double precision."""
+"""Vector arithmetic as Column expressions, in double precision, and vectors of texts."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,3 +57,19 @@ def centroids(vectors: DataFrame, *keys: str) -> DataFrame:
     means = long.groupBy(*keys, "at").agg(F.avg(F.col("x").cast("double")).alias("x"))
     ordered = F.array_sort(F.collect_list(F.struct("at", "x")))
     return means.groupBy(*keys).agg(F.transform(ordered, lambda p: p["x"]).alias("centroid"))
+
+
+def embedded(texts: DataFrame, load: Callable[[], Callable[[list[str]], np.ndarray]], batch: int = 256) -> DataFrame:
+    """(rid, embedding) of texts(rid, text) by a model: load() makes it, once in each task, and it turns a list of texts into a
+    matrix with a row for each. A null text counts as empty."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = None
+        for b in batches:
+            for at in range(0, b.num_rows, batch):
+                part = b.slice(at, batch)
+                model = model or load()
+                x = np.asarray(model([t or "" for t in part.column(1).to_pylist()]), np.float64)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(x.tolist(), pa.list_(pa.float64()))], ["rid", "embedding"])
+
+    return texts.select(F.col("rid").cast("long").alias("rid"), "text").mapInArrow(run, "rid long, embedding array<double>")
