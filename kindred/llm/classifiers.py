@@ -35,11 +35,12 @@ def remainder(doc_id: Column, modulus: int) -> Column:
 
 def sample(rows: DataFrame, per_class: int = TRAIN_PER_CLASS) -> DataFrame:
     """The first per_class rows of each label of rows(doc_id, label), fewer if all labels together would have more
-    than TRAIN_TEXTS, in a fixed hash order of doc_id, as a table in the shared folder. It has at most
-    max(TRAIN_TEXTS, CLASSES) rows of an id and a label, so it is small enough to broadcast.
+    than TRAIN_TEXTS, in a fixed hash order of doc_id, as a table in the shared folder. A row that is repeated counts
+    once, so it has at most max(TRAIN_TEXTS, CLASSES) rows, each another id and label, and is small enough to broadcast.
 
     Rows whose hash is beyond twice the expected place of the last one taken are left out before ranking, so a
     frequent label doesn't meet in one task."""
+    rows = rows.select("doc_id", "label").distinct()
     counts = rows.groupBy("label").count().limit(CLASSES + 1).collect()
     if len(counts) > CLASSES:
         raise ValueError(f"more than {CLASSES} labels")
@@ -52,15 +53,16 @@ def sample(rows: DataFrame, per_class: int = TRAIN_PER_CLASS) -> DataFrame:
 
 
 def fit(texts: DataFrame, grams: tuple[int, ...], fold: bool, most: int | None = None) -> tuple[subword.Model, list, list]:
-    """(model, held-back bags, held-back labels) from texts(doc_id, label, text), a bounded sample.
+    """(model, held-back bags, held-back labels) from texts(doc_id, label, text) of a bounded sample of ids and labels.
 
-    Bags are made on the executors from whole texts, at most 2 ** BITS buckets each. Only as many as have `most`
+    An id that stands there several times with a label gives one of its texts, the first by hash. Bags are made on the executors from whole texts, at most 2 ** BITS buckets each. Only as many as have `most`
     (TRAIN_FEATURES) buckets in all come to the driver: of each label the first in the sample's order, one at least."""
-    rows = texts.select(F.struct("doc_id", "label").alias("label"), "text")
+    one = texts.groupBy("doc_id", "label").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    rows = one.select(F.struct("doc_id", "label").alias("label"), "text")
     kind = rows.schema["label"].dataType.simpleString()
     bags = rows.mapInArrow(lambda b: subword.bags_of(b, grams, fold), f"label {kind}, found array<int>, share array<float>")
     bags = durable(bags.select("label.doc_id", "label.label", "found", "share"), "bags")
-    sizes = bags.select("doc_id", "label", F.size("found").alias("n")).collect()  # of the sample, TRAIN_TEXTS at most but for repeated rows
+    sizes = bags.select("doc_id", "label", F.size("found").alias("n")).collect()  # a row for each of the sample
     key = lambda r: (crc32(str(r["doc_id"]).encode()), str(r["doc_id"]), str(r["label"]))
     room = dict.fromkeys({r["label"] for r in sizes}, (most or TRAIN_FEATURES) // max(1, len({r["label"] for r in sizes})))
     full, taken = dict(room), set()
@@ -148,7 +150,7 @@ def languages(docs: DataFrame, per_class: int = TRAIN_PER_CLASS) -> DataFrame:
     letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
     usable = docs.where(F.col("lang").isNotNull() & letter & (remainder(F.col("doc_id"), 5) != 0))
     chosen = sample(usable.select("doc_id", F.col("lang").alias("label")), per_class)
-    texts = docs.select("doc_id", "text", F.col("lang").alias("_lang")).join(F.broadcast(chosen.distinct()), "doc_id").where("_lang = label")
+    texts = docs.select("doc_id", "text", F.col("lang").alias("_lang")).join(F.broadcast(chosen), "doc_id").where("_lang = label")
     model, held_bags, held_labels = fit(texts.select("doc_id", "label", "text"), LANGUAGE_GRAMS, fold=True)
     cutoff = rejection_cutoff(model, held_bags, held_labels)
 

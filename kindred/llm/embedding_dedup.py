@@ -174,11 +174,14 @@ def links(index: DataFrame, books: dict[int, Codebooks], cosine: float) -> DataF
     visits = index.select("*", F.explode("visits").alias("cell")).drop("visits").join(big, ["label", "cell"], "left")
     # Every vector asks in each part of a cell; a member of a large cell is indexed in one part only, and the
     # askers are dealt out too, so a group holds PART members at most.
+    # A vector makes 2 x parts rows of a cell at most: what it asks in each part, and itself as a member of its own.
     parts = F.coalesce("parts", F.lit(1))
-    deal = F.explode(F.flatten(F.transform(F.sequence(F.lit(0), parts - 1), lambda i: F.transform(F.sequence(F.lit(0), parts - 1), lambda j: F.struct(i.alias("i"), j.alias("j"))))))
-    mine = lambda salt: F.pmod(F.xxhash64("cls", F.lit(salt)), parts)
-    dealt = visits.withColumn("parts", parts).withColumn("deal", deal)
-    rows = dealt.withColumn("indexed", (F.col("own") == F.col("cell")) & (F.col("deal.i") == mine(1))).withColumn("asks", F.col("deal.j") == mine(2)).where("indexed or asks")
+    each, mine = F.sequence(F.lit(0), parts - 1), lambda salt: F.pmod(F.xxhash64("cls", F.lit(salt)), parts).cast("int")
+    asking = F.transform(each, lambda i: F.struct(i.alias("i"), mine(2).alias("j")))
+    member = F.when(F.col("own") == F.col("cell"), F.transform(each, lambda j: F.struct(mine(1).alias("i"), j.alias("j"))))
+    deal = F.explode(F.array_distinct(F.concat(asking, F.coalesce(member, F.slice(asking, 1, 0))))).alias("deal")
+    dealt = visits.withColumn("parts", parts).select("*", deal)
+    rows = dealt.withColumn("indexed", (F.col("own") == F.col("cell")) & (F.col("deal.i") == mine(1))).withColumn("asks", F.col("deal.j") == mine(2))
     total = index.agg(F.sum(F.size("visits"))).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total / GROUP_ROWS))
     rows = rows.withColumn("is_own", F.col("own") == F.col("cell")).withColumn("bucket", F.pmod(F.xxhash64("label", "cell", "deal"), F.lit(buckets)))

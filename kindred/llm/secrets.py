@@ -29,9 +29,10 @@ _HEX = re.compile("[0-9a-f]{24,}")  # a maximal run, as [0-9a-f]+ would find it
 #: Fixed: words that announce a credential, with what may stand between them and the value.
 _CONTEXT_WORDS = ("password", "passwd", "passphrase", "passcode", "pwd", "secret", "token", "apikey", "api_key", "api key", "api-key",
                   "access key", "access_key", "credential", "auth_key", "private_key")
+#: A value ends at its closing quote, or without quotes at white space, a quote, a bracket, comma or semicolon.
 _CONTEXT = re.compile(
     r"""(?<![A-Za-z])(?:password|passwd|passphrase|passcode|pwd|secret|token|api[_\x20-]?key|access[_\x20]key|credentials?|auth_key|private_key)["']?"""
-    r"""(?:\x20*(?::=|=>|->|[:=])\x20*|\x20+(?:is|was|are)\x20+)["'`]?([^\s"'`<>,;]{8,})""",
+    r"""(?:\x20*(?::=|=>|->|[:=])\x20*|\x20+(?:is|was|are)\x20+)(?:"([^\s"]+)"|'([^\s']+)'|`([^\s`]+)`|["'`]?([^\s"'`<>,;]+))""",
     re.ASCII | re.IGNORECASE,
 )
 #: A context value is a secret from so many decimal digits of guesses on.
@@ -165,12 +166,12 @@ def guess_spans(text: str, folded: str, base: list[tuple[int, int, int]], path:
     out, k, covered = [], 0, 0  # covered: the furthest end of the base spans that start at or before a value
     if any(k in folded for k in _CONTEXT_WORDS):
         for m in _CONTEXT.finditer(text):
-            a, b = m.start(1), m.end(1)
-            while b > a and text[b - 1] in ".:!?)":
+            a, b = m.span(m.lastindex)
+            while m.lastindex == 4 and b > a and text[b - 1] in ".:!?)":  # of the sentence, not of the value
                 b -= 1
             while k < len(base) and base[k][0] <= a:
                 covered, k = max(covered, base[k][2]), k + 1
-            if b - a >= 8 and b > covered:
+            if b > max(a, covered):
                 enough = WORD_DIGITS if _PROSE.fullmatch(text, a, b) else GUESS_DIGITS
                 if guess_digits(text[a:b], enough, path) >= enough:
                     out.append((a, 3, b))

@@ -396,6 +396,38 @@ def test_embeddings(spark):
     assert embedding_dedup.near_duplicates(df.where("false")).count() == 0
 
 
+def test_short_and_quoted_values_are_scored():
+    found = lambda t: [t[a:b] for a, k, b in secrets.spans(t, VOCABULARY) if k == 3]
+    assert found("pwd: K7$xQ9z") == ["K7$xQ9z"] and found("pwd: K$xQ9z") == ["K$xQ9z"]  # 7 and 6 characters, over 10^8 guesses
+    assert found("pwd: kx7qz9") == [] and found("pwd: table7") == [] and found("the secret is out") == []  # under it
+    assert found("pwd='a,K7xQ9zPq8r'") == ["a,K7xQ9zPq8r"] and found('passcode = "q;8Zk(v!2Lm."') == ["q;8Zk(v!2Lm."]
+    assert found("pwd=`r<T9>x_Q2z`.") == ["r<T9>x_Q2z"] and found("pwd='K7xQ9zPq8r never closed") == ["K7xQ9zPq8r"]
+    assert found("pwd: a,K7xQ9zPq8r") == []  # without quotes a value ends at the comma
+    assert found("password = 'a,K7xQ9zPq8r' and pwd=''") == ["a,K7xQ9zPq8r"] and found("pwd: ?!") == []
+
+
+def test_a_dense_cell_is_dealt_in_twice_its_parts(spark, monkeypatch):
+    """Members of one cell: what each asks of every part and what it is a member for, no more rows than that."""
+    monkeypatch.setattr(embedding_dedup, "PART", 10)
+    rng = np.random.default_rng(0)
+    index = spark.createDataFrame([(i, i, 1, 0, 7, [7, 8], rng.normal(size=4).tolist()) for i in range(1000)], "cls long, rep long, m long, label int, own int, visits array<int>, embedding array<float>")
+    seen = {}
+
+    def grouped(self, *keys):
+        seen.setdefault("rows", self)
+        return plain(self, *keys)
+
+    kind = type(index)
+    plain = kind.groupBy
+    monkeypatch.setattr(kind, "groupBy", lambda self, *k: grouped(self, *k) if k == ("bucket",) else plain(self, *k))
+    embedding_dedup.links(index, {}, 0.98)
+    rows = seen["rows"]
+    assert rows.count() <= 1000 * (2 * 100 + 1)
+    assert rows.where("cell = 7 and asks").count() == 1000 * 100 and rows.where("cell = 7 and indexed").count() == 1000 * 100
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "flatten" not in plan
+
+
 def test_embedding_clashes(spark):
     rows = [(i, [float(i == 0), 1.0, float(i)], 0, "x", 5, [1]) for i in range(3)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int, cls string, rep int, visits array<int>")

@@ -1,9 +1,13 @@
 """Learned and heuristic operators: held-out accuracy, planted pages, formatting."""
 
+import html
+import re
 import zlib
 
+
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from kindred.llm import chat, classifiers, html_text, subword
 
@@ -82,6 +86,19 @@ def test_training_features_are_bounded(corpus):
     assert sum(one.seen.values()) == 3
 
 
+def test_a_labelled_row_that_stands_ten_thousand_times_trains_once(corpus, spark):
+    few = corpus.where("doc_id between 1 and 120").select("doc_id", "text", "lang")
+    odd = spark.createDataFrame([(9001, "die keit sch ung", "de")], few.schema).crossJoin(spark.range(10_000).select(F.lit(0).alias("_"))).drop("_")
+    many = few.unionByName(odd).unionByName(spark.createDataFrame([(9001, "another text of that id", "de")], few.schema))
+    chosen = classifiers.sample(many.select("doc_id", F.col("lang").alias("label")), 1000)
+    assert chosen.count() == 121 and chosen.where("doc_id = 9001").count() == 1
+    texts = many.withColumnRenamed("lang", "label")
+    model, bags, _ = classifiers.fit(texts, (2, 3), fold=True)
+    assert sum(model.seen.values()) + len(bags) == 121
+    got = classifiers.languages(many).where("doc_id = 9001").groupBy("lang_pred", "score").count().collect()
+    assert sum(r["count"] for r in got) == 10_001
+
+
 def test_folded_output_is_plain_average():
     rng = np.random.default_rng(2)
     texts = [text(rng, lang).encode() for lang in ("en", "de", "fr") for _ in range(20)] + [b"", b"x" * 3_000_000]
@@ -144,6 +161,16 @@ NAV, LINKS = '<nav><a href="/">home</a> <a href="/x">more</a></nav>', "<ul>" + "
         (f"<article><h1>T</h1><p>{LONG[:150]}</p></article><section id=comments><article><p>{LONG * 3}</p></article></section>", f"T {LONG[:150].strip()}"),
         (f"<body>{NAV}" + "".join(f"<div><p>{'w' * n}</p></div>" for n in (900, 400, 880, 350)) + "<div><a href=1>x</a></div>", " ".join("w" * n for n in (900, 400, 880, 350))),
         ("<div class=ad>Some advert</div><article></article><footer>foot text</footer>", ""),
+        # nothing of an article is lost for being short or linked: table, list, references, a linked sentence, chapters with odd classes
+        (f"<article><p>{LONG}</p><table>{'<tr>' + '<td>7</td>' * 4 + '</tr>'}</table><p>{LONG}</p></article>", f"{LONG}7 7 7 7 {LONG.strip()}"),
+        (f"<article><p>{LONG}</p><ul><li>a</li><li>b</li><li>c</li></ul><p>{LONG}</p></article>", f"{LONG}a b c {LONG.strip()}"),
+        (f"<article><p>{LONG}</p><h2>References</h2><ol><li><a href=/a>One</a></li><li><a href=/b>Two</a></li></ol></article>", f"{LONG}References One Two"),
+        (f"<article><p>{LONG}</p><h2>Read on</h2><ul><li><a href=https://x.org/a>One</a></li><li><a href=//y.org>Two</a></li></ul></article>", f"{LONG}Read on One Two"),
+        (f"<article><p>{LONG}</p><div><a href=/x>A whole sentence is a link.</a></div><p>End.</p></article>", f"{LONG}A whole sentence is a link. End."),
+        (f'<article><p>{LONG}</p><section class="related-work"><h2>Related work</h2><p>Some.</p></section><div class="social-history"><p>More.</p></div></article>', f"{LONG}Related work Some. More."),
+        (f'<article><p>{LONG}</p><section class="related-posts"><p><a href=/1>One</a></p><p><a href=/2>Two</a></p></section></article>', LONG.strip()),
+        (f"<body><div><p>{LONG}</p><p>{LONG}</p></div><div><p>Short.</p><p>Too.</p></div><div><p>{LONG}</p><p>{LONG}</p></div><div><p>Foot.</p><p>Us.</p></div>", f"{LONG}{LONG}Short. Too. {LONG}{LONG.strip()}"),
+        (f'<body><div class="top nav"><p>Home</p><p>More</p></div><div><p>{LONG}</p><p>Ok.</p></div><div class=footer><p>A line about us</p><p>and our friends.</p></div>', f"{LONG}Ok."),
     ],
 )
 def test_html_layouts(page, want):
@@ -185,6 +212,29 @@ def test_html_made_pages(monkeypatch):
     assert html_text.main_text(long) == " ".join(f"{LONG}{i}" for i in range(5000))
 
 
+def plain_article(page):
+    """Text of the only article of a page whose markup has no other parts in it, by substitution of tags."""
+    inner = page.split("<article>", 1)[1].split("</article>", 1)[0]
+    inner = re.sub(r"</?(?:p|h1|ul|li|br|div)[^>]*>", " ", inner)
+    return " ".join(html.unescape(re.sub(r"<[^>]*>", "", inner)).split())
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_html_of_the_given_pages(spark, sf, monkeypatch):
+    pages = spark.read.parquet(f"/root/testdata/{sf}/pages.parquet").collect()
+    want = [plain_article(p.html) for p in pages]
+    assert [html_text.main_text(p.html) for p in pages] == want
+    # the ratios alone: no element or class has a meaning
+    for name in ("MARKED", "MARKED_WORDS", "HINT_WORDS", "FRAME_WORDS", "FRAMES", "ARTICLES", "MARKED_NAMES"):
+        monkeypatch.setattr(html_text, name, frozenset())
+    alone = sum(html_text.main_text(p.html) == w for p, w in zip(pages, want, strict=True))
+    with monkeypatch.context() as m:
+        m.setattr(html_text, "threshold", lambda values: 0.0)
+        without = sum(html_text.main_text(p.html) == w for p, w in zip(pages, want, strict=True))
+    print(sf, len(pages), alone, without)
+    assert alone > 0.5 * len(pages) > without
+
+
 def test_html_tables(spark):
     schema = "page_id long, url string, html string"
     assert html_text.extract(spark.createDataFrame([], schema)).count() == 0
