@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from kindred.llm import bpe, mixing, quality, secrets, simhash
-from kindred.operators.storage import durable
+from kindred.operators.storage import durable, release
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -60,5 +60,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept up to the last stage; rows repeated as a whole are one after near-duplicates. No documents give no rows."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = durable(stage(spark, docs, sf_dir), name)
+        before, docs = docs, durable(stage(spark, docs, sf_dir), name)
+        release(before)  # nothing reads an earlier stage's table again
     return STAGES[-1][1](spark, docs, sf_dir)

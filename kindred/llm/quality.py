@@ -62,7 +62,7 @@ def measures(docs: DataFrame, carry: bool = False) -> DataFrame:
     """docs(doc_id, text, lang) to doc_id, lang and the counts that rules and base use; null text has no words.
 
     carry: with the whole row of docs as struct `row`."""
-    row = [F.struct(*[docs[c] for c in docs.columns]).alias("row")] if carry else []
+    row = [F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row")] if carry else []
     text = F.coalesce(F.col("text"), F.lit(""))
     marks = F.regexp_replace(text, r"[^\p{Lu}!#*$%&|<>]+", "")  # one pass over the text; what it leaves is short
     lined = lambda ls: F.struct(F.size(ls).alias("n"), (F.size(ls) - F.size(F.array_distinct(ls))).alias("dup"))
@@ -157,7 +157,8 @@ def judge(docs: DataFrame, labels: DataFrame, risk: float = RISK, error: float =
 
 
 def passing(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
-    """Rows and columns of docs that the rules keep."""
+    """Rows and columns of docs that the rules keep. Extra columns may have any names but those of doc_id, text and lang in
+    other letter case, which Spark can't tell apart unless spark.sql.caseSensitive is set."""
     return judge(docs, labels, carry=True, **how).where("kept").select("row.*")
 
 

@@ -18,6 +18,7 @@ from math import log10
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Kinds in the order in which spans with the same start are listed.
 KINDS = ("assign", "access", "hex", "guess")
@@ -218,7 +219,8 @@ def scan(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
 
 def redact(docs: DataFrame, mark: str = "[secret]", vocabulary: str | None = None) -> DataFrame:
     """docs with every found span of text replaced by mark (overlapping spans by one), and n_chars, if there, set anew
-    for the rows that change. Rows, their order of columns and null texts stay as they are."""
+    for the rows that change. Rows, their order of columns and null texts stay as they are, whatever the other columns'
+    names."""
     at = docs.columns.index("text")
     n_chars = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
@@ -241,7 +243,10 @@ def redact(docs: DataFrame, mark: str = "[secret]", vocabulary: str | None = Non
                 columns[n_chars] = pa.array(sizes, b.schema.field(n_chars).type)
             yield pa.RecordBatch.from_arrays(columns, schema=b.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    # Columns go by number meanwhile: a name may hold a dot.
+    numbered = docs.select(*[docs[f"`{c}`"].alias(f"c{i}") for i, c in enumerate(docs.columns)])
+    out = numbered.mapInArrow(run, numbered.schema)
+    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def op10_secret_scans(spark, sf_dir: str) -> DataFrame:

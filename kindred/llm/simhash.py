@@ -293,8 +293,8 @@ def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     found = components(linked(distinct.select(F.col("id").alias("fp"), "id"), radius))
     led = distinct.join(found, "id", "left").groupBy(F.coalesce("component", "id").alias("component")).agg(F.min("least").alias("least"))
     leaders = led.select("least.*")
-    other = [docs[c] for c, k in docs.dtypes if c != "text" and "map<" not in k]
-    rows = known.select("doc_id", key.alias("key"), F.struct(*docs.columns).alias("row"), F.xxhash64(*other).alias("place"))
+    other = [docs[f"`{c}`"] for c, k in docs.dtypes if c != "text" and "map<" not in k]
+    rows = known.select("doc_id", key.alias("key"), F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), F.xxhash64(*other).alias("place"))
     kept = rows.join(leaders, ["doc_id", "key"], "left_semi").groupBy("doc_id", "key").agg(F.min_by("row", "place").alias("row"))
     return kept.select("row.*").unionByName(docs.where("doc_id is null"))
 

@@ -131,3 +131,13 @@ def test_registered():
     names = __spark_entry__.queries()
     assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
     assert set(__spark_entry__.oracle_sql()) <= set(names)
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(40).selectExpr("*", "doc_id as `a.b`", "text as `row`", "1 as `c0`", "named_struct('x', doc_id) as `key`", "'q' as `kept.by`")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before, docs = docs, stage(spark, docs, SF)
+        assert docs.columns == before.columns, name
+        rows = docs.collect()
+        assert rows and all(r["a.b"] == r.doc_id == r.key.x and r["kept.by"] == "q" for r in rows)
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == len(rows)
