@@ -43,6 +43,15 @@ def pack(sizes: list[int], sim: Callable[[tuple[int, int], tuple[int, int]], flo
     return out
 
 
+def packed(set_nos: list[int], embeddings: list, size: int = SET_SIZE, spread: int = SET_SPREAD) -> list[list[int]]:
+    """pack() of representatives in order of (set, cluster), as their positions."""
+    x = np.array(embeddings, float)
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+    of_set = [[i for i, s in enumerate(set_nos) if s == n] for n in dict.fromkeys(set_nos)]
+    sim = lambda p, q: float(x[of_set[p[0]][p[1]]] @ x[of_set[q[0]][q[1]]])
+    return [[of_set[s][c] for s, c in chosen] for chosen in pack([len(s) for s in of_set], sim, size, spread)]
+
+
 def packed_sets(reps: DataFrame, size: int = SET_SIZE, spread: int = SET_SPREAD) -> DataFrame:
     """(set_id, pos, rid) of representatives for the next round; reps: block, set_no, cluster_no, rid, embedding.
 
@@ -52,14 +61,8 @@ def packed_sets(reps: DataFrame, size: int = SET_SIZE, spread: int = SET_SPREAD)
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["set_no", "cluster_no"]).reset_index(drop=True)
         block, chunk = rows["block"].iloc[0], rows["chunk"].iloc[0]
-        if rows["count"].iloc[0] <= size:
-            sets = [list(range(len(rows)))]
-        else:
-            x = np.array(rows["embedding"].tolist(), float)
-            x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-            of_set = [g.index.tolist() for _, g in rows.groupby("set_no", sort=True)]
-            sim = lambda p, q: float(x[of_set[p[0]][p[1]]] @ x[of_set[q[0]][q[1]]])
-            sets = [[of_set[s][c] for s, c in chosen] for chosen in pack([len(s) for s in of_set], sim, size, spread)]
+        whole = rows["count"].iloc[0] <= size
+        sets = [list(range(len(rows)))] if whole else packed(rows["set_no"].tolist(), rows["embedding"].tolist(), size, spread)
         out = [(f"{block}-{chunk}-{k}", pos, rows["rid"][i]) for k, s in enumerate(sets) for pos, i in enumerate(s)]
         return pd.DataFrame(out, columns=["set_id", "pos", "rid"])
 

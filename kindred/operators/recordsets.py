@@ -64,6 +64,26 @@ def next_set(left: list[int], x: np.ndarray, sims: np.ndarray, size: int = SET_S
     return chain(chosen, sims)
 
 
+def sets_of(rids: list[int], embeddings: list, size: int = SET_SIZE, spread: int = SET_SPREAD) -> list[list[int]]:
+    """The record sets of one part of a block, given its records in order of rid."""
+    x = np.array(embeddings, float)
+    unit = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+    sims, left, out = unit @ unit.T, list(range(len(rids))), []
+    while left:
+        chosen = next_set(left, x, sims, size, spread)
+        out.append([rids[i] for i in chosen])
+        left = [i for i in left if i not in set(chosen)]
+    return out
+
+
+def dealt(vectors: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(block, part, rid, embedding) of blocks(rid, cluster): a block of up to LARGEST_BLOCK records is one part."""
+    members = blocks.select("rid", F.col("cluster").alias("block")).join(vectors.select("rid", "embedding"), "rid")
+    sized = members.join(members.groupBy("block").count(), "block")
+    whole = sized.where(F.col("count") <= LARGEST_BLOCK).select("block", F.lit(0).cast("long").alias("part"), "rid", "embedding")
+    return parts(sized.where(F.col("count") > LARGEST_BLOCK)).unionByName(whole)
+
+
 def record_sets(vectors: DataFrame, blocks: DataFrame, size: int = SET_SIZE, spread: int = SET_SPREAD) -> DataFrame:
     """(block, set_no, pos, rid): the record sets of each block of blocks(rid, cluster).
 
@@ -71,24 +91,17 @@ def record_sets(vectors: DataFrame, blocks: DataFrame, size: int = SET_SIZE, spr
     set_no orders the sets of a block, and counts them from 0 in a block of one part."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("rid").reset_index(drop=True)
-        x = np.array(rows["embedding"].tolist(), float)
-        unit = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-        sims, left, out, n = unit @ unit.T, list(range(len(rows))), [], int(rows["part"].iloc[0]) << 16
-        while left:
-            chosen = next_set(left, x, sims, size, spread)
-            out += [(n, pos, rows["rid"][i]) for pos, i in enumerate(chosen)]
-            left, n = [i for i in left if i not in set(chosen)], n + 1
-        frame = pd.DataFrame(out, columns=["set_no", "pos", "rid"])
-        return frame.assign(block=rows["block"].iloc[0])[["block", "set_no", "pos", "rid"]]
-
-    members = blocks.select("rid", F.col("cluster").alias("block")).join(vectors.select("rid", "embedding"), "rid")
-    sized = members.join(members.groupBy("block").count(), "block")
-    alone = sized.where("count = 1").select("block", F.lit(0).cast("long").alias("set_no"), F.lit(0).cast("long").alias("pos"), "rid")
-    whole = sized.where(F.col("count").between(2, LARGEST_BLOCK)).select("block", F.lit(0).cast("long").alias("part"), "rid", "embedding")
-    dealt = parts(sized.where(F.col("count") > LARGEST_BLOCK)).unionByName(whole)
-    more = dealt.groupBy("block", "part").applyInPandas(run, "block long, set_no long, pos long, rid long")
-    return alone.unionByName(more)  # blocks of one record need no Python
+        rows = rows.sort_values("rid")
+        found = sets_of(rows["rid"].tolist(), rows["embedding"].tolist(), size, spread)
+        first = int(rows["part"].iloc[0]) << 16
+        out = [(first + n, pos, rid) for n, chosen in enumerate(found) for pos, rid in enumerate(chosen)]
+        return pd.DataFrame(out, columns=["set_no", "pos", "rid"]).assign(block=rows["block"].iloc[0])[["block", "set_no", "pos", "rid"]]
+
+    members = blocks.select("rid", F.col("cluster").alias("block")).join(vectors.select("rid"), "rid")
+    lone = members.groupBy("block").agg(F.count("*").alias("n"), F.min("rid").alias("rid")).where("n = 1").select("block", F.lit(0).cast("long").alias("set_no"), F.lit(0).cast("long").alias("pos"), "rid")
+    several = blocks.join(lone.select(F.col("block").alias("cluster")), "cluster", "left_anti")
+    more = dealt(vectors, several).groupBy("block", "part").applyInPandas(run, "block long, set_no long, pos long, rid long")
+    return lone.unionByName(more)  # blocks of one record need no Python
 
 
 def parts(large: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,8 +14,10 @@ from kindred.functions import text as T
 from kindred.functions import vectors as V
 from kindred.operators import asking, blocking, clusterers, clustering, experiments, graph, guard, joins, lsh, matching, merge, metrics, recordsets, sphere
 from kindred.operators.ordering import ranked
-from kindred.operators.storage import durable
+from kindred.operators.storage import durable, shared_dir
+from kindred.plans import tables
 from kindred.plans.resolve import resolve
+from kindred.sources import formats
 from kindred.sources import records as S
 
 #: Cosine over which records share a block in the queries.
@@ -611,13 +614,34 @@ def record_sets(spark, sf):
     return recordsets.record_sets(_vectors(spark, sf), _blocks(spark, sf))
 
 
-@query(f"""WITH RECURSIVE {_BLOCKS} SELECT cluster AS block, count(*) AS n_records, count(*) AS n_distinct, CAST(ceil(count(*) / 9) AS BIGINT) AS n_sets FROM blocks GROUP BY 1""")
+_SET_SIZES = f"""WITH RECURSIVE {_BLOCKS} SELECT cluster AS block, count(*) AS n_records, count(*) AS n_distinct, CAST(ceil(count(*) / 9) AS BIGINT) AS n_sets FROM blocks GROUP BY 1"""
+
+
+@query(_SET_SIZES)
 def record_set_sizes(spark, sf):
     """Each record is in one set of its block, and blocks (of up to 5,000 records) have as few sets of nine as hold them."""
     sets = record_sets(spark, sf)
     return sets.groupBy("block").agg(F.count("*").alias("n_records"), F.countDistinct("rid").alias("n_distinct"), F.countDistinct("set_no").alias("n_sets"))
 
 
+@query(_SET_SIZES)
+def sql_record_sets(spark, sf):
+    """record_set_sizes by the SQL table function."""
+    tables.register(spark)
+    recordsets.dealt(_vectors(spark, sf), _blocks(spark, sf)).createOrReplaceTempView("kindred_dealt")
+    return spark.sql("""SELECT block, count(*) AS n_records, count(DISTINCT rid) AS n_distinct, count(DISTINCT set_no) AS n_sets
+        FROM record_sets(TABLE(kindred_dealt)) GROUP BY block""")
+
+
+@query("SELECT vec_id AS rid, min(vec_id) OVER (PARTITION BY label) AS cluster FROM embeddings WHERE label IS NOT NULL")
+def cluster_files(spark, sf):
+    """A partition written and read as lines of ids in the format `clusters`."""
+    path = f"{shared_dir(spark).rstrip('/')}/{spark.sparkContext.applicationId}/cluster-lines-{uuid.uuid4().hex}"
+    formats.save_clusters(_truth(spark, sf).where("cluster IS NOT NULL"), path)
+    lines = spark.read.format("clusters").load(path)
+    return lines.join(lines.groupBy("file", "line").agg(F.min("rid").alias("cluster")), ["file", "line"]).select("rid", "cluster")
+
+
 @query("""SELECT CAST(label AS BIGINT) AS cluster, (n - 1) // 10 AS set_no, (n - 1) % 10 AS pos, vec_id AS rid
 FROM (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS n FROM embeddings)""")
 def sliced_sets(spark, sf):
@@ -636,13 +660,15 @@ def resolve_oracle(spark, sf):
     return resolve(_vectors(spark, sf), _blocks(spark, sf), clusterers.Oracle(_truth(spark, sf))).members
 
 
-@query("SELECT count(*) AS n_records, count(DISTINCT vec_id) AS n_distinct, 0 AS n_mixed FROM embeddings")
+@query(f"""WITH RECURSIVE {_BLOCKS} SELECT count(*) AS n_records, count(DISTINCT rid) AS n_distinct, 0 AS n_mixed, count(DISTINCT (b.cluster, label)) AS n_clusters
+FROM blocks b JOIN embeddings e ON b.rid = e.vec_id""")
 def resolve_properties(spark, sf):
-    """Every record is in one cluster, and with the labels as oracle no cluster mixes blocks or labels."""
+    """Every record is in one cluster, and with the labels as oracle no cluster mixes blocks or labels; on the tables that SQL
+    checks, all records of a block and label come together."""
     rows = durable(resolve_oracle(spark, sf), "resolved-oracle").join(_truth(spark, sf).withColumnRenamed("cluster", "label"), "rid")
     per = rows.groupBy("cluster").agg(F.count("*").alias("n"), F.countDistinct("block", "label").alias("kinds"))
-    both = per.agg(F.sum("n").alias("n_records"), F.count_if(F.col("kinds") > 1).cast("int").alias("n_mixed"))
-    return both.crossJoin(rows.agg(F.countDistinct("rid").alias("n_distinct"))).select("n_records", "n_distinct", "n_mixed")  # single rows
+    both = per.agg(F.sum("n").alias("n_records"), F.count_if(F.col("kinds") > 1).cast("int").alias("n_mixed"), F.count("*").alias("n_clusters"))
+    return both.crossJoin(rows.agg(F.countDistinct("rid").alias("n_distinct"))).select("n_records", "n_distinct", "n_mixed", "n_clusters")  # single rows
 
 
 @query()

@@ -10,7 +10,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 SF = "/root/testdata/sf0.001"
 #: Slow even on small tables; each is made of operators that other queries here or test_operators compare.
-SLOW = {"resolve_properties", "blocking_sweep", "jaccard_blocks", "record_set_sizes", "block_sizes", "contingency", "purity_measures", "bcubed", "cluster_purity", "adjusted_rand"}
+SLOW = {"resolve_properties", "sql_record_sets", "blocking_sweep", "jaccard_blocks", "record_set_sizes", "block_sizes", "contingency", "purity_measures", "bcubed", "cluster_purity", "adjusted_rand"}
 
 
 def names():
