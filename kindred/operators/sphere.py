@@ -141,12 +141,13 @@ def _compared(x: np.ndarray, y: np.ndarray, over: float, head: int) -> tuple[np.
     """(rows of x, rows of y, cosines) over the threshold, and how many cosines were computed in full; x and y are rotated."""
     d = x.shape[1]
     if head == d:
-        sims = x @ y.T
+        sims = np.minimum(x @ y.T, 1.0)  # rounding takes none over 1
         i, j = np.nonzero(sims > over)
         return i, j, sims[i, j], sims.size
     rest = [np.linalg.norm(z[:, head:], axis=1) for z in (x, y)]
     i, j = np.nonzero(x[:, :head] @ y[:, :head].T + rest[0][:, None] * rest[1][None, :] > over - SLACK)
     sims = np.concatenate([(x[a] * y[b]).sum(axis=1) for a, b in zip(np.array_split(i, max(1, len(i) // 100_000)), np.array_split(j, max(1, len(j) // 100_000)), strict=True)])
+    sims = np.minimum(sims, 1.0)
     found = sims > over
     return i[found], j[found], sims[found], len(i)
 
