@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,9 +14,6 @@ from kindred.operators import blocking, graph, joins, metrics
 from kindred.operators.ordering import ranked
 from kindred.operators.storage import durable
 
-#: Tasks that are batched together.
-GROUP_TASKS = 1500
-
 
 def audit(records: DataFrame, key: str, truth: DataFrame | None = None) -> DataFrame:
     """One row on records' natural key: n, least, greatest, distinct, contiguous (0 to n - 1 once each), and with
@@ -49,40 +49,90 @@ def task_similarities(links: DataFrame) -> DataFrame:
     return met.unionByName(met.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim"))
 
 
+class TaskPool:
+    """Tasks 0 to n - 1 in order of id, not all taken yet, and what is known of their similarities.
+
+    near[m] lists (task, similarity to m). A batch costs the entries of its members, whatever number of tasks is left."""
+
+    def __init__(self, n: int, a: np.ndarray, b: np.ndarray, sim: np.ndarray):
+        order = np.argsort(b, kind="stable")
+        self.n, self.a, self.sim, self.start = n, a[order], sim[order], np.searchsorted(b[order], np.arange(n + 1))
+        self.after = np.arange(n + 1)  # a task that is left points to itself, another one further on; n: none
+
+    def left_from(self, at: int) -> int:
+        """The first task left from at on; n without one."""
+        end = at
+        while self.after[end] != end:
+            end = self.after[end]
+        while self.after[at] != end:
+            self.after[at], at = end, self.after[at]
+        return int(end)
+
+    def take(self, task: int) -> int:
+        self.after[task] = task + 1
+        return task
+
+    def next_of(self, members: list[int], sign: int) -> int:
+        """The task left with the greatest sign * (greatest similarity to a member, 0 where none is known), the first of several."""
+        known: dict[int, list[float]] = {}
+        for m in members:
+            for t, s in zip(self.a[self.start[m] : self.start[m + 1]].tolist(), self.sim[self.start[m] : self.start[m + 1]].tolist(), strict=True):
+                if self.after[t] == t:
+                    known.setdefault(t, []).append(s)
+        value = {t: sign * max(s + [0.0] * (len(s) < len(members))) for t, s in known.items()}
+        best = min(((-v, t) for t, v in value.items()), default=(0.0, self.n))
+        if best[0] < 0:
+            return best[1]
+        plain = self.left_from(0)  # the first one that counts as 0: unknown to all members, or known and 0
+        while plain < self.n and value.get(plain, 0.0) != 0:
+            plain = self.left_from(plain + 1)
+        return plain if plain < self.n else best[1]
+
+
 def batches(tasks: DataFrame, sims: DataFrame, strategy: str, size: int = 3, seed: int = 0) -> DataFrame:
     """(batch, pos, task) of the distinct tasks, in batches of `size`.
 
     similar / dissimilar: the smallest task left, joined by the task with the greatest / least similarity to any in
     the batch, the smaller id of several. random: the order (7 * seed + 3) mod n onwards, reversed for an even seed.
-    The first two take tasks one after the other: more than GROUP_TASKS are dealt by id into groups of so many, each
-    batched by itself, and batches are numbered through."""
-    ids = ranked(tasks.select("task").distinct(), ["task"], "at")
+    sims(a, b, sim): similarity of task a to member b; of a repeated one the greatest counts, a missing one is 0, those of a
+    task to itself and null ones are left out. The first two strategies choose each batch from what all batches before it
+    left, so one task goes through ids and similarities (24 bytes each) in order; its time grows with their number only."""
+    ids = ranked(tasks.where("task IS NOT NULL").select("task").distinct(), ["task"], "at")
     if strategy == "random":
         rows = ids.crossJoin(F.broadcast(ids.agg(F.count("*").alias("n"))))  # n is one row
         turned = F.pmod(F.col("at") - (7 * seed + 3), F.col("n"))
         rows = rows.select("task", (F.col("n") - 1 - turned if seed % 2 == 0 else turned).alias("at"))
         return rows.select(F.floor(F.col("at") / size).alias("batch"), (F.col("at") % size).cast("long").alias("pos"), "task")
-    sign, group = {"similar": 1, "dissimilar": -1}[strategy], F.floor(F.col("at") / GROUP_TASKS).alias("k")
-    placed = ids.select(group, "task")
-    listed = placed.select("k", F.col("task").alias("a"), F.lit(None).cast("long").alias("b"), F.lit(None).cast("double").alias("sim"))
-    of = lambda end: placed.select(F.col("task").alias(end), F.col("k").alias(f"k{end}"))
-    within = sims.join(of("a"), "a").join(of("b"), "b").where("ka = kb").select(F.col("ka").alias("k"), "a", "b", "sim")
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        left = sorted(rows.loc[rows["b"].isna(), "a"].astype(int))
-        found = rows.dropna(subset=["b"])
-        sim = {(int(a), int(b)): s for a, b, s in zip(found["a"], found["b"], found["sim"], strict=True)}
-        out, batch = [], int(rows["k"].iloc[0]) * -(-GROUP_TASKS // size)
-        while left:
-            members = [left.pop(0)]
-            while left and len(members) < size:
-                near = [sign * max(sim.get((t, m), 0.0) for m in members) for t in left]
-                members.append(left.pop(int(np.argmax(near))))
+    sign = {"similar": 1, "dissimilar": -1}[strategy]
+    placed = durable(ids.select("at", "task"), "tasks-in-order")
+    of = lambda end: placed.select(F.col("task").alias(end), F.col("at").alias(f"at_{end}"))
+    met = sims.where("a <> b AND sim IS NOT NULL").join(of("a"), "a").join(of("b"), "b")
+    met = met.groupBy(F.col("at_a").alias("a"), F.col("at_b").alias("b")).agg(F.max("sim").cast("double").alias("sim"))
+    listed = placed.select(F.col("at").alias("a"), F.lit(None).cast("long").alias("b"), F.lit(None).cast("double").alias("sim"))
+
+    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        columns: list[list[np.ndarray]] = [[], [], []]
+        n = 0
+        for rows in found:
+            known = rows.filter(pc.is_valid(rows["b"]))
+            n += rows.num_rows - known.num_rows
+            for kept, c in zip(columns, ("a", "b", "sim"), strict=True):
+                kept.append(known[c].to_numpy())
+        pool = TaskPool(n, *[np.concatenate(c) if c else np.zeros(0, k) for c, k in zip(columns, (np.int64, np.int64, float), strict=True)])
+        out: list[tuple[int, int, int]] = []
+        first, batch = pool.left_from(0), 0
+        while first < n:
+            members = [pool.take(first)]
+            while len(members) < size and (chosen := pool.next_of(members, sign)) < n:
+                members.append(pool.take(chosen))
             out += [(batch, pos, t) for pos, t in enumerate(members)]
-            batch += 1
-        return pd.DataFrame(out, columns=["batch", "pos", "task"])
+            first, batch = pool.left_from(0), batch + 1
+            if len(out) > 50_000 or first == n:
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*out, strict=True)], ["batch", "pos", "at"])
+                out = []
 
-    return listed.unionByName(within).groupBy("k").applyInPandas(run, "batch long, pos long, task long")
+    chosen = listed.unionByName(met).repartition(1).mapInArrow(run, "batch long, pos long, at long")
+    return chosen.join(placed, "at").select("batch", "pos", "task")
 
 
 def pooled(pool: DataFrame, predictions: DataFrame) -> DataFrame:

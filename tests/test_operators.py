@@ -386,16 +386,40 @@ def test_class_linkage_is_linkage_of_all_pairs(spark):
         assert {(r.cu, r.cv): round(r.sim, 9) for r in joins.class_linkage(df, over, of).collect()} == plain
 
 
-def test_batches_of_many_tasks(spark, monkeypatch):
-    tasks = spark.range(50).select(F.col("id").alias("task"))
-    sims = spark.createDataFrame([(1, 7, 0.9), (7, 1, 0.9), (0, 45, 0.9), (45, 0, 0.9)], "a long, b long, sim double")
-    monkeypatch.setattr(experiments, "GROUP_TASKS", 20)
-    for strategy in ("similar", "dissimilar", "random"):
-        rows = experiments.batches(tasks, sims, strategy, seed=2).collect()
-        assert sorted(r.task for r in rows) == list(range(50)) and max(r.pos for r in rows) == 2
-        assert len({(r.batch, r.pos) for r in rows}) == 50
-    similar = {r.task: r.batch for r in experiments.batches(tasks, sims, "similar").collect()}
-    assert similar[1] == similar[7] and similar[0] != similar[45]
+def plain_batches(n, sim, sign, size=3):
+    """Batches of tasks 0 to n - 1 as the definition says, all tasks left looked at each time."""
+    table = np.full((n, n), np.nan)
+    for (a, b), s in sim.items():
+        table[a, b] = s
+    table, left, out = np.nan_to_num(table), np.arange(n), []
+    while len(left):
+        members, left = [int(left[0])], left[1:]
+        while len(left) and len(members) < size:
+            at = int((sign * table[np.ix_(left, members)].max(axis=1)).argmax())
+            members.append(int(left[at]))
+            left = np.delete(left, at)
+        out.append(members)
+    return out
+
+
+def test_batches_of_many_tasks_equal_the_plain_greedy(spark):
+    rng = np.random.default_rng(8)
+    for n, edges in ((1, 0), (7, 0), (40, 900), (60, 100), (5000, 20000)):
+        sim = {}
+        for a, b in rng.integers(0, n, (edges, 2)).tolist():
+            if a != b:
+                sim[a, b] = sim[b, a] = round(float(rng.uniform(-0.3, 1)), 1)  # ties, zeros and negative ones
+        rows = [(3 * a + 5, 3 * b + 5, s) for (a, b), s in sim.items()] + [(5, 5, 1.0), (5, 999999, 1.0)]
+        sims = spark.createDataFrame(rows + [(8, 5, None)] * (n == 7), "a long, b long, sim double")
+        tasks = spark.range(n).select((3 * F.col("id") + 5).alias("task"))
+        for strategy, sign in (("similar", 1), ("dissimilar", -1)):
+            got = {}
+            for r in experiments.batches(tasks.union(tasks), sims, strategy).collect():
+                got.setdefault(r.batch, {})[r.pos] = (r.task - 5) // 3
+            assert [[m[p] for p in sorted(m)] for _, m in sorted(got.items())] == plain_batches(n, sim, sign)
+        rows = experiments.batches(tasks, sims, "random", seed=2).collect()
+        assert sorted(r.task for r in rows) == [3 * i + 5 for i in range(n)] and len({(r.batch, r.pos) for r in rows}) == n
+    assert experiments.batches(tasks.limit(0), sims, "similar").count() == 0
 
 
 def test_small_additions(spark):
