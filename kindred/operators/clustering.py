@@ -10,15 +10,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kindred.operators.storage import durable
+from kindred.operators.storage import durable, release
 
 SEED, STARTS, ROUNDS = 42, 10, 100
 #: Records of the largest group that a task takes whole.
 LARGEST_GROUP = 5000
-#: Records, about, of a large group that its first centers are drawn from, and of the parts that it is dealt into.
+#: Records, about, of a group that its first centers are drawn from, and of the parts that a large group is dealt into.
 SAMPLE, PART_ROWS = 2000, 1024
-#: Relative fall of the inertia under which a start of a large group has settled.
-SETTLED = 1e-4
+#: Relative fall of the inertia under which a start of a group has settled, and by which starts differ.
+SETTLED, ALIKE = 1e-4, 1e-9
 
 
 def kmeans(x: np.ndarray, k: int, seed: int = SEED) -> tuple[np.ndarray, float]:
@@ -92,19 +92,79 @@ def elbow_kmeans(x: np.ndarray, most: int) -> tuple[int, np.ndarray]:
     return k, runs[k - 1][0]
 
 
+def runs_of(most: int) -> tuple[list[int], np.ndarray]:
+    """Numbers of clusters of all runs, STARTS for each k from 1 to most, and where the centers of each run begin."""
+    ks = [k for k in range(1, most + 1) for _ in range(STARTS)]
+    return ks, np.concatenate([[0], np.cumsum(ks)])
+
+
+def first_centers(x: np.ndarray, ks: list[int]) -> np.ndarray:
+    """Centers of all runs, end to end, drawn from x."""
+    rng = np.random.default_rng(SEED)
+    return np.concatenate([spread_centers(x, k, rng) for k in ks])
+
+
+def squares(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
+    return np.stack([((x - c) ** 2).sum(axis=1) for c in centers], axis=1)
+
+
+def lloyd_sums(x: np.ndarray, centers: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Sums of each center's records, their numbers, and each run's inertia, end to end."""
+    far = squares(x, centers)
+    near = np.zeros(far.shape)
+    for a, z in zip(at, at[1:], strict=False):
+        near[np.arange(len(x)), a + far[:, a:z].argmin(axis=1)] = 1
+    return np.concatenate([(near.T @ x).ravel(), near.sum(axis=0), np.add.reduceat((near * far).sum(axis=0), at[:-1])])
+
+
+def lloyd_move(total: np.ndarray, centers: np.ndarray, before: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(centers, inertia, live runs) after a round. A run that has settled keeps its centers; so does a center without records."""
+    cut = centers.size
+    count, inertia = total[cut : cut + at[-1], None], total[cut + at[-1] :]
+    live = inertia < np.where(np.isfinite(before), before * (1 - SETTLED), np.inf)
+    moves = np.repeat(live, np.diff(at))[:, None] & (count > 0)
+    return np.where(moves, total[:cut].reshape(centers.shape) / np.maximum(count, 1), centers), inertia, live
+
+
+def chosen_run(inertia: np.ndarray, most: int) -> tuple[int, int]:
+    """(k, run): as many clusters as the elbow asks for, most if that is 1 or 2, by the first start as good as the best."""
+    table = inertia.reshape(most, STARTS)
+    k = most if most <= 2 else elbow(table.min(axis=1).tolist())
+    return k, (k - 1) * STARTS + int(np.flatnonzero(table[k - 1] <= table[k - 1].min() * (1 + ALIKE) + 1e-12)[0])
+
+
+def whole_group(x: np.ndarray, drawn: np.ndarray, most: int) -> tuple[int, np.ndarray]:
+    """(k, labels numbered by first appearance) of a group that one task takes whole; first centers are of the rows drawn."""
+    most = min(most, len(x))
+    ks, at = runs_of(most)
+    centers, inertia = first_centers(x[drawn] if drawn.any() else x, ks), np.full(len(ks), np.inf)
+    for _ in range(ROUNDS):
+        used = centers
+        centers, inertia, live = lloyd_move(lloyd_sums(x, used, at), used, inertia, at)
+        if not live.any():
+            break
+    k, run = chosen_run(inertia, most)
+    number: dict[int, int] = {}
+    return k, np.array([number.setdefault(c, len(number)) for c in squares(x, used[at[run] : at[run + 1]]).argmin(axis=1).tolist()], np.int64)
+
+
 def kmeans_groups(vectors: DataFrame, by: str, most: int = 5, largest: int = LARGEST_GROUP) -> DataFrame:
-    """(by, rid, k, cluster) of each group of vectors(by, rid, embedding), a null one included. Up to `largest` records are
-    clustered in a task; a larger group by rounds of jobs, all such groups together, so no task has a group of it whole."""
+    """(by, rid, k, cluster) of each group of vectors(by, rid, embedding), a null one included.
+
+    Clusters are the same whatever the size of a group: first centers are drawn by k-means++ from the records whose hash
+    is below SAMPLE of the group's number, and each start moves over all records until its inertia falls by less than
+    SETTLED. Up to `largest` records a task does so for a whole group; larger ones take rounds of jobs, all such groups
+    together, so no task has a group of them whole."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("rid")
-        x = np.array(rows["embedding"].tolist(), float)
-        k, labels = elbow_kmeans(x, most)
+        k, labels = whole_group(np.array(rows["embedding"].tolist(), float), rows["drawn"].to_numpy(), most)
         return pd.DataFrame({"group": rows["group"], "rid": rows["rid"], "k": k, "cluster": labels})
 
     groups = durable(vectors.groupBy(by).agg(F.count("*").alias("n"), F.min("rid").alias("group")), "kmeans-groups")
     rows = vectors.select(F.col(by).alias("_by"), "rid", "embedding")
-    rows = rows.join(groups, F.col("_by").eqNullSafe(F.col(by))).select("group", "n", "rid", "embedding")
+    drawn = F.pmod(F.xxhash64("rid", F.lit(SEED)), F.col("n")) < SAMPLE
+    rows = rows.join(groups, F.col("_by").eqNullSafe(F.col(by))).select("group", "n", "rid", "embedding", drawn.alias("drawn"))
     out = rows.where(F.col("n") <= largest).groupBy("group").applyInPandas(run, "group long, rid long, k long, cluster long")
     if not groups.where(F.col("n") > largest).isEmpty():
         out = out.unionByName(large_groups(rows.where(F.col("n") > largest), most))
@@ -112,36 +172,26 @@ def kmeans_groups(vectors: DataFrame, by: str, most: int = 5, largest: int = LAR
 
 
 def large_groups(rows: DataFrame, most: int) -> DataFrame:
-    """(group, rid, k, cluster) of rows(group, n, rid, embedding) by Lloyd's rounds over all records.
+    """(group, rid, k, cluster) of rows(group, n, rid, embedding, drawn) by Lloyd's rounds over all records.
 
     A round assigns the records of every group to the centers of all k up to `most` and all starts at once; a task passes on
-    one sum for each center of a group. Only the first centers come from a sample, of about SAMPLE records of each group;
-    they are drawn by k-means++. Rounds end when no start's inertia falls by SETTLED, after ROUNDS at most."""
-    runs = [(k, s) for k in range(1, most + 1) for s in range(STARTS)]
-    at = np.concatenate([[0], np.cumsum([k for k, _ in runs])])
+    one sum for each center of a group. Only the first centers come from the rows drawn. Rounds end when no start of any
+    group is live, after ROUNDS at most; a group must have `most` records."""
+    ks, at = runs_of(most)
     salt = F.pmod(F.xxhash64("rid"), F.ceil(F.col("n") / PART_ROWS))
     packed = durable(rows.groupBy("group", salt.alias("part")).agg(F.collect_list("rid").alias("rids"), F.flatten(F.collect_list("embedding")).cast("array<double>").alias("x")), "kmeans-parts")
 
     def start(sample: pd.DataFrame) -> pd.DataFrame:
-        x, rng = np.array(sample.sort_values("rid")["embedding"].tolist(), float), np.random.default_rng(SEED)
-        centers = np.concatenate([spread_centers(x, k, rng) for k, _ in runs])
-        return pd.DataFrame({"group": sample["group"].iloc[:1], "centers": [centers.ravel()], "inertia": [np.full(len(runs), np.inf)]})
-
-    def squares(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
-        return np.stack([((x - c) ** 2).sum(axis=1) for c in centers], axis=1)
+        x = np.array(sample.sort_values("rid")["embedding"].tolist(), float)
+        return pd.DataFrame({"group": sample["group"].iloc[:1], "centers": [first_centers(x, ks).ravel()], "inertia": [np.full(len(ks), np.inf)]})
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """For each stretch of parts of one group: sums of each center's records, their numbers, inertias, end to end."""
+        """For each stretch of parts of one group: its lloyd_sums."""
         group, total = None, None
         for b in batches:
             for i in range(b.num_rows):
                 d = len(b["x"][i]) // len(b["rids"][i])
-                x = np.asarray(b["x"][i].values).reshape(-1, d)
-                far = squares(x, np.asarray(b["centers"][i].values).reshape(-1, d))
-                near = np.zeros(far.shape)
-                for a, z in zip(at, at[1:], strict=False):
-                    near[np.arange(len(x)), a + far[:, a:z].argmin(axis=1)] = 1
-                part = np.concatenate([(near.T @ x).ravel(), near.sum(axis=0), np.add.reduceat((near * far).sum(axis=0), at[:-1])])
+                part = lloyd_sums(np.asarray(b["x"][i].values).reshape(-1, d), np.asarray(b["centers"][i].values).reshape(-1, d), at)
                 if group is not None and group != b["group"][i].as_py():
                     yield pa.RecordBatch.from_pydict({"group": [group], "total": [total]})
                     total = None
@@ -152,32 +202,27 @@ def large_groups(rows: DataFrame, most: int) -> DataFrame:
     def moved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
-                total, old = np.asarray(b["total"][i].values), np.asarray(b["centers"][i].values)
-                cut = len(old)
-                count = total[cut : cut + at[-1], None]
-                centers = np.where(count > 0, total[:cut].reshape(at[-1], -1) / np.maximum(count, 1), old.reshape(at[-1], -1))
-                new, before = total[cut + at[-1] :], np.asarray(b["inertia"][i].values)
-                live = bool((new < before - np.where(np.isfinite(before), SETTLED * before, 0)).any())
-                columns = {"group": [b["group"][i].as_py()], "centers": [centers.ravel()], "used": [old], "inertia": [new], "live": [live]}
+                old = np.asarray(b["centers"][i].values)
+                new, inertia, live = lloyd_move(np.asarray(b["total"][i].values), old.reshape(at[-1], -1), np.asarray(b["inertia"][i].values), at)
+                columns = {"group": [b["group"][i].as_py()], "centers": [new.ravel()], "used": [old], "inertia": [inertia], "live": [bool(live.any())]}
                 yield pa.RecordBatch.from_pydict(columns)
 
-    first = rows.where(F.pmod(F.xxhash64("rid", F.lit(SEED)), F.col("n")) < SAMPLE)
-    state = durable(first.groupBy("group").applyInPandas(start, "group long, centers array<double>, inertia array<double>"), "kmeans-centers")
+    state = durable(rows.where("drawn").groupBy("group").applyInPandas(start, "group long, centers array<double>, inertia array<double>"), "kmeans-centers")
     for _ in range(ROUNDS):
         long = packed.join(state, "group").select("group", "rids", "x", "centers").mapInArrow(sums, "group long, total array<double>")
         added = long.select("group", F.posexplode("total").alias("at", "v")).groupBy("group", "at").agg(F.sum("v").alias("v"))
         total = added.groupBy("group").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "v"))), lambda p: p["v"]).alias("total"))
-        state = total.join(state, "group").select("group", "total", "centers", "inertia")
-        state = durable(state.mapInArrow(moved, "group long, centers array<double>, used array<double>, inertia array<double>, live boolean"), "kmeans-centers")
+        before, both = state, total.join(state, "group").select("group", "total", "centers", "inertia")
+        state = durable(both.mapInArrow(moved, "group long, centers array<double>, used array<double>, inertia array<double>, live boolean"), "kmeans-centers")
+        release(before)
         if state.where("live").isEmpty():
             break
 
     def choice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
-                inertia, used = np.asarray(b["inertia"][i].values).reshape(most, STARTS), np.asarray(b["used"][i].values).reshape(at[-1], -1)
-                k = most if most <= 2 else elbow(inertia.min(axis=1).tolist())
-                run = (k - 1) * STARTS + int(inertia[k - 1].argmin())
+                k, run = chosen_run(np.asarray(b["inertia"][i].values), most)
+                used = np.asarray(b["used"][i].values).reshape(at[-1], -1)
                 yield pa.RecordBatch.from_pydict({"group": [b["group"][i].as_py()], "k": [k], "centers": [used[at[run] : at[run + 1]].ravel()]})
 
     def assigned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

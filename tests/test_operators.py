@@ -88,9 +88,14 @@ def test_large_groups_by_rounds_equal_groups_in_a_task(spark):
         centers = rng.normal(size=(k, 4)) * 20
         rows += [(g if g else None, 1000 * g + i, (centers[i % k] + rng.normal(size=4) * 0.1).tolist()) for i in range(n)]
     rows += [(7, 9000 + i, [1.0, 2.0, 3.0, 4.0]) for i in range(60)]  # equal ones
+    # Groups that overlap, up to no structure at all, and one that is drawn from in part
+    rows += [(8, 20000 + i, (rng.normal(size=4) + (i % 4) * 0.8).tolist()) for i in range(400)]
+    rows += [(9, 30000 + i, rng.uniform(size=4).tolist()) for i in range(3000)]
     table = spark.createDataFrame(rows, "label int, rid long, embedding array<double>")
     got = {largest: sorted(map(str, clustering.kmeans_groups(table, "label", largest=largest).collect())) for largest in (50, 5000)}
     assert got[50] == got[5000] and len(got[50]) == len(rows)
+    plain = clustering.elbow_kmeans(np.array([r[2] for r in rows[:300]]), 5)  # to the last move, from other starts
+    assert [(r.k, r.cluster) for r in clustering.kmeans_groups(table.where("label is null"), "label").orderBy("rid").collect()] == [(plain[0], c) for c in plain[1].tolist()]
     assert clustering.kmeans_groups(table.limit(0), "label").count() == 0
 
 
