@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -19,9 +21,12 @@ from kindred.plans import tables
 from kindred.plans.resolve import resolve
 from kindred.sources import formats
 from kindred.sources import records as S
+from kindred.streaming import arrivals
 
 #: Cosine over which records share a block in the queries.
 OVER = 0.4
+#: Cosine of near copies, where the locality-sensitive join meets few other pairs.
+CLOSE = 0.8
 #: Cosine of parts with nearly the same tokens, and the thresholds that a sweep tries.
 NEAR, SWEEP = 0.79, (0.4, 0.42, 0.45, 0.5, 0.55, 0.6, 0.7, 0.8, 0.9)
 Query = Callable[[SparkSession, str], DataFrame]
@@ -175,10 +180,15 @@ def dataset_audit(spark, sf):
     return experiments.audit(_table(spark, sf, "embeddings"), "vec_id", _truth(spark, sf))
 
 
-@query("SELECT label, count(*) AS n_records, CAST(count(*) * (count(*) - 1) / 2 AS BIGINT) AS n_pairs FROM embeddings GROUP BY label")
+@query("SELECT min(vec_id) AS cluster, count(*) AS n_records, CAST(count(*) * (count(*) - 1) / 2 AS BIGINT) AS n_pairs FROM embeddings WHERE label IS NOT NULL GROUP BY label")
 def truth_pairs(spark, sf):
+    """Clusters of a truth file of pairs, written from the labels (each record with its label's first one) and closed by its reader."""
+    path = f"{shared_dir(spark).rstrip('/')}/{spark.sparkContext.applicationId}/truth-pairs-{uuid.uuid4().hex}"
+    truth = _truth(spark, sf).where("cluster IS NOT NULL")
+    firsts = truth.groupBy("cluster").agg(F.min("rid").alias("first"))
+    truth.join(firsts, "cluster").select("rid", "first").write.option("header", True).csv(path)
     n = F.count("*")
-    return _table(spark, sf, "embeddings").groupBy("label").agg(n.alias("n_records"), (n * (n - 1) / 2).cast("long").alias("n_pairs"))
+    return S.read_truth_pairs(spark, path).groupBy("cluster").agg(n.alias("n_records"), (n * (n - 1) / 2).cast("long").alias("n_pairs"))
 
 
 @query("""WITH RECURSIVE p AS (SELECT DISTINCT o_orderkey AS a, -o_custkey AS b FROM orders),
@@ -242,6 +252,24 @@ def lsh_recall(spark, sf):
     return row.select("n_pairs", (F.col("n_found") >= lsh.RECALL * F.col("n_pairs")).alias("enough"))
 
 
+_CLOSE = f"""c AS (SELECT vec_id AS rid, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+close AS (SELECT a.rid AS u, b.rid AS v, round(list_cosine_similarity(a.e, b.e), 6) AS sim FROM c a JOIN c b ON a.rid <> b.rid WHERE list_cosine_similarity(a.e, b.e) > {CLOSE})"""
+
+
+@query(f"WITH {_CLOSE} SELECT * FROM close WHERE u < v")
+def lsh_close_pairs(spark, sf):
+    """The locality-sensitive join at a threshold that it is made for, against all pairs."""
+    return _rounded(lsh.lsh_pairs(_vectors(spark, sf), CLOSE))
+
+
+@query(f"WITH {_CLOSE} SELECT * FROM close WHERE u % 100 = 0 AND v % 100 <> 0")
+def arrival_pairs(spark, sf):
+    """Vectors whose number is divisible by 100 matched, as arrivals, against the stored buckets of all others."""
+    vectors = _vectors(spark, sf)
+    stored = arrivals.store_buckets(vectors.where("rid % 100 <> 0"), CLOSE)
+    return _rounded(arrivals.match_arrivals(vectors.where("rid % 100 = 0"), spark.table(stored), CLOSE))
+
+
 @query()
 def lsh_blocks(spark, sf):
     return blocking.lsh_blocks(_vectors(spark, sf), OVER)
@@ -446,11 +474,12 @@ def match_instances(spark, sf):
 
 
 def _described(spark, sf) -> DataFrame:
-    rows = _table(spark, sf, "embeddings")
-    return rows.select(F.col("vec_id").alias("rid"), F.concat(F.lit("vector "), F.col("vec_id").cast("string"), F.lit(" of "), F.col("label").cast("string")).alias("text"))
+    """Vectors with the whole text of the document of the same number; empty without one."""
+    docs = _table(spark, sf, "documents").select(F.col("doc_id").alias("rid"), "text")
+    return _vectors(spark, sf).select("rid").join(docs, "rid", "left").select("rid", F.coalesce("text", F.lit("")).alias("text"))
 
 
-_TEXTS = "t AS (SELECT vec_id, 'vector ' || vec_id || ' of ' || label AS text FROM embeddings)"
+_TEXTS = "t AS (SELECT vec_id, coalesce(text, '') AS text FROM embeddings LEFT JOIN documents ON vec_id = doc_id)"
 
 
 @query(f"""WITH {_SELECTED}, {_TEXTS} SELECT u AS anchor, '{matching.SELECT}' || 'First: ' || any_value(a.text) || chr(10)
@@ -503,31 +532,44 @@ def pointwise_matches(spark, sf):
 _COSTS = " UNION ALL ".join(f"SELECT '{m}' AS model, {p} AS prompt, {c} AS completion" for m, p, c in R.PRICES)
 
 
-@query(f"""WITH prices AS ({_COSTS}), u AS (SELECT CASE WHEN doc_id % 3 = 0 THEN 'gpt-4o' WHEN doc_id % 3 = 1 THEN 'gpt-4o-mini' ELSE 'gpt-4' END AS model, n_chars // 4 AS i, n_chars // 40 AS o FROM documents)
-SELECT model, CAST(sum(i) AS BIGINT) AS in_tokens, CAST(sum(o) AS BIGINT) AS out_tokens, round(any_value(prompt) * sum(i) / 1e6 + any_value(completion) * sum(o) / 1e6, 6) AS cost
-FROM u JOIN prices USING (model) GROUP BY model""")
+@query(f"""WITH prices AS ({_COSTS}), w AS (SELECT role, len(regexp_extract_all(text, '[^ \\n\\t]+')) AS words FROM conversations),
+u AS (SELECT CAST(coalesce(sum(words) FILTER (role = 'user'), 0) AS BIGINT) AS i, CAST(coalesce(sum(words) FILTER (role = 'assistant'), 0) AS BIGINT) AS o FROM w)
+SELECT model, i AS in_tokens, o AS out_tokens, round((prompt * i + completion * o) / 1e6, 6) AS cost FROM u, prices""")
 def token_costs(spark, sf):
-    docs = _table(spark, sf, "documents")
-    model = F.when(F.col("doc_id") % 3 == 0, "gpt-4o").when(F.col("doc_id") % 3 == 1, "gpt-4o-mini").otherwise("gpt-4")
-    usage = docs.groupBy(model.alias("model")).agg(F.sum(F.floor(F.col("n_chars") / 4)).alias("in_tokens"), F.sum(F.floor(F.col("n_chars") / 40)).alias("out_tokens"))
-    return _rounded(R.token_cost(usage, R.price_table(spark)))
+    """What all conversations would cost with each model of the price list, words of users' turns in and of answers out."""
+    turns = _table(spark, sf, "conversations").select("role", F.size(F.regexp_extract_all("text", F.lit("[^ \\n\\t]+"), F.lit(0))).alias("words"))
+    said = lambda role: F.coalesce(F.sum(F.when(F.col("role") == role, F.col("words"))), F.lit(0))
+    usage = turns.agg(said("user").alias("in_tokens"), said("assistant").alias("out_tokens"))  # one row
+    prices = R.price_table(spark)
+    return _rounded(R.token_cost(prices.select("model").crossJoin(F.broadcast(usage)), prices))
+
+
+_BARE = r"regexp_replace(regexp_replace(regexp_replace({0}, '[^0-9\[\],]', '', 'g'), ',+', ',', 'g'), ',\]', ']', 'g')"
 
 
-@query("SELECT conv_id, turn, 0 AS k, conv_id AS id, 0 AS i FROM conversations UNION ALL SELECT conv_id, turn, 0, turn, 1 FROM conversations UNION ALL SELECT conv_id, turn, 1, conv_id + turn, 0 FROM conversations")
+@query(rf"""WITH s AS (SELECT 'page' AS kind, page_id AS key, '[[' || replace(html, '<', '], [') || ']]' AS reply FROM pages
+UNION ALL SELECT 'document', doc_id, '[[' || replace(text, '. ', '], [') || ']]' FROM documents),
+b AS (SELECT kind, key, regexp_extract_all({_BARE.format("reply")}, '\[([^\[\]]*)\]', 1) AS groups FROM s),
+n AS (SELECT kind, key, list_filter(list_transform(groups, lambda g: list_filter(list_transform(string_split(g, ','), lambda x: CASE WHEN length(x) BETWEEN 1 AND 18 THEN TRY_CAST(x AS BIGINT) END),
+  lambda x: x IS NOT NULL)), lambda g: len(g) > 0) AS found FROM b),
+k AS (SELECT kind, key, unnest(found) AS ids, generate_subscripts(found, 1) - 1 AS k FROM n)
+SELECT kind, key, k, generate_subscripts(ids, 1) - 1 AS i, unnest(ids) AS id FROM k""")
 def parsed_replies(spark, sf):
-    """Clusters read from replies that are made of each turn's numbers and words."""
-    noise = F.regexp_replace(F.coalesce("text", F.lit("")), r"[\[\]0-9,]", "")
-    c = lambda x: x.cast("string")
-    reply = F.concat(F.lit("Groups: [["), c(F.col("conv_id")), F.lit(", "), c(F.col("turn")), F.lit("],\n["), c(F.col("conv_id") + F.col("turn")), F.lit(",,]] "), noise)
-    rows = _table(spark, sf, "conversations").select("conv_id", "turn", F.posexplode(R.parsed_clusters(reply)).alias("k", "ids"))
-    return rows.select("conv_id", "turn", "k", F.posexplode("ids").alias("i", "id"))
+    """Groups of numbers read from whole texts as replies: sentences of documents and elements of pages stand in brackets."""
+    said = lambda table, kind, key, text, at: _table(spark, sf, table).select(
+        F.lit(kind).alias("kind"), F.col(key).alias("key"), F.concat(F.lit("[["), F.replace(F.col(text), F.lit(at), F.lit("], [")), F.lit("]]")).alias("reply"))
+    replies = said("pages", "page", "page_id", "html", "<").unionByName(said("documents", "document", "doc_id", "text", ". "))
+    groups = replies.select("kind", "key", F.posexplode(R.parsed_clusters(F.col("reply"))).alias("k", "ids"))
+    return groups.select("kind", "key", "k", F.posexplode("ids").alias("i", "id"))
 
 
-@query("SELECT conv_id, turn, CAST(turn % 4 + 1 AS INTEGER) AS choice FROM conversations WHERE turn % 4 < 3")
+@query(r"""WITH r AS (SELECT doc_id, '[' || regexp_replace(regexp_replace(text, '[.,;:!?()+-]', '', 'g'), '[ \n]+', '] [', 'g') || ']' AS reply FROM documents),
+k AS (SELECT doc_id, TRY_CAST(nullif(regexp_extract(reply, '\[([0-9]+)\]', 1), '') AS INTEGER) AS choice FROM r) SELECT doc_id, choice FROM k WHERE choice BETWEEN 1 AND 20""")
 def parsed_selections(spark, sf):
-    reply = F.concat(F.lit("The answer is ["), (F.col("turn") % 4 + 1).cast("string"), F.lit("]. "), F.coalesce("text", F.lit("")))
-    rows = _table(spark, sf, "conversations").select("conv_id", "turn", F.posexplode(R.selected(reply, F.lit(3))).alias("i", "yes"))
-    return rows.where("yes").select("conv_id", "turn", (F.col("i") + 1).alias("choice"))
+    """The candidate of twenty that a document names first, if its words were put in brackets."""
+    words = F.regexp_replace(F.regexp_replace("text", "[.,;:!?()+-]", ""), r"[ \n]+", "] [")
+    rows = _table(spark, sf, "documents").select("doc_id", F.posexplode(R.selected(F.concat(F.lit("["), words, F.lit("]")), F.lit(20))).alias("i", "yes"))
+    return rows.where("yes").select("doc_id", (F.col("i") + 1).alias("choice"))
 
 
 @query("""SELECT conv_id, turn, CASE WHEN contains(lower(text), 'yes') THEN 1 WHEN contains(lower(text), 'no') THEN -1 ELSE 0 END AS answer FROM conversations""")
@@ -535,14 +577,29 @@ def yes_no_replies(spark, sf):
     return _table(spark, sf, "conversations").select("conv_id", "turn", R.yes_no(F.col("text")).alias("answer"))
 
 
-@query("SELECT conv_id, count(*) AS n_tasks, CAST(sum(turn) AS BIGINT) AS total FROM conversations GROUP BY conv_id")
+@query("""WITH p AS (SELECT p_partkey // 9 AS task, p_partkey AS rid, p_brand AS word FROM part),
+g AS (SELECT task, word, row_number() OVER (PARTITION BY task ORDER BY min(rid)) - 1 AS cluster FROM p GROUP BY 1, 2)
+SELECT p.task, p.rid, cluster FROM p JOIN g ON p.task = g.task AND p.word = g.word""")
 def parsed_batches(spark, sf):
-    """Replies with one JSON object of tasks for each conversation, read back."""
-    entry = F.concat(F.lit('"T'), F.col("turn").cast("string"), F.lit('": [['), F.col("turn").cast("string"), F.lit("]]"))
-    reply = F.concat(F.lit("Here it is: {"), F.array_join(F.array_sort(F.collect_list(entry)), ", "), F.lit("} Done."))
-    rows = _table(spark, sf, "conversations").groupBy("conv_id").agg(reply.alias("reply"))
-    tasks = rows.select("conv_id", F.explode(R.parsed_batch(F.col("reply"))).alias("task", "clusters"))
-    return tasks.groupBy("conv_id").agg(F.count("*").alias("n_tasks"), F.sum(F.col("clusters")[0][0]).alias("total"))
+    """Clusters of parts read from one reply for three tasks; a stand-in for a model answers the batched prompts as they are."""
+
+    def answers(prompts: pd.Series) -> pd.Series:
+        def answer(prompt: str) -> str:
+            tasks: dict[str, dict[str, list[int]]] = {}
+            for line in prompt.split("\n"):
+                if line.startswith("### Task "):
+                    groups = tasks.setdefault(line.split(" ")[2], {})
+                elif line.startswith("Record "):
+                    number, _, rest = line[len("Record "):].partition(": ")
+                    groups.setdefault(rest.rsplit(",", 1)[-1], []).append(int(number))
+            return "Here it is:\n" + json.dumps({t: list(g.values()) for t, g in tasks.items()}, indent=1) + "\nDone."
+
+        return prompts.map(answer)
+
+    replies = batched_prompts(spark, sf).select(F.pandas_udf(answers, "string")("prompt").alias("reply"))
+    tasks = replies.select(F.explode(R.parsed_batch(F.col("reply"))).alias("task", "clusters"))
+    groups = tasks.select(F.substring("task", 2, 20).cast("long").alias("task"), F.posexplode("clusters").alias("cluster", "ids"))
+    return groups.select("task", F.explode("ids").alias("rid"), "cluster")
 
 
 def _answered_by_last_word(prompt: str) -> asking.Reply:
@@ -734,10 +791,10 @@ def pooled_predictions(spark, sf):
     return experiments.pooled(_table(spark, sf, "documents").select(F.col("doc_id").alias("rid")), said(1, "q").unionByName(said(2, "t")))
 
 
-@query("""SELECT CAST(label AS BIGINT) AS label, round(avg(vec_id % 10), 6) AS mean, round(stddev_pop(vec_id % 10), 6) AS deviation FROM embeddings GROUP BY 1""")
+@query(f"""WITH {_SELECTED} SELECT pos, round(avg(sim), 6) AS mean, round(stddev_pop(sim), 6) AS deviation FROM q GROUP BY pos""")
 def repeated_runs(spark, sf):
-    rows = _truth(spark, sf).select(F.col("cluster").alias("label"), (F.col("rid") % 10).cast("double").alias("value"))
-    return _rounded(experiments.repeats(rows, "label", "value"))
+    """Mean and deviation of the similarity at each place of the candidate lists, a list being a run."""
+    return _rounded(experiments.repeats(_candidates(spark, sf), "pos", "sim"))
 
 
 @query("SELECT CAST(label AS BIGINT) AS cluster, min(vec_id) AS rid FROM embeddings GROUP BY 1")
@@ -773,7 +830,8 @@ def near_pairs(spark, sf):
     return _rounded(sphere.pairs(firsts, NEAR))
 
 
-@query("""SELECT label, round(stddev_pop(n) / avg(n), 6) AS variation FROM (SELECT label, vec_id % 4 AS k, count(*) AS n FROM embeddings GROUP BY 1, 2) GROUP BY 1""")
+@query("""SELECT source, round(stddev_pop(n) / avg(n), 6) AS variation FROM (SELECT source, lang, count(*) AS n FROM documents GROUP BY 1, 2) GROUP BY 1""")
 def count_variation(spark, sf):
-    counts = _table(spark, sf, "embeddings").groupBy("label", F.col("vec_id") % 4).count()
-    return _rounded(counts.groupBy("label").agg(F.collect_list("count").alias("c")).select("label", V.variation(F.col("c")).alias("variation")))
+    """How unevenly the languages of each source's documents are spread."""
+    counts = _table(spark, sf, "documents").groupBy("source", "lang").count()
+    return _rounded(counts.groupBy("source").agg(F.collect_list("count").alias("c")).select("source", V.variation(F.col("c")).alias("variation")))

@@ -308,7 +308,7 @@ def test_lsh_recall_at_production_parameters(spark, monkeypatch):
     assert sorted((r.u, r.v) for r in lsh.lsh_pairs(df, catalog.OVER).collect()) == sorted(rows)
     new, known = df.where("rid >= 250"), df.where("rid < 250")
     across = {(v, u) for u, v in want if u < 250 <= v}
-    met = [(r.u, r.v) for r in arrivals.match_arrivals(new, known, catalog.OVER).collect()]
+    met = [(r.u, r.v) for r in arrivals.match_arrivals(new, arrivals.buckets(known, catalog.OVER), catalog.OVER).collect()]
     assert len(met) == len(set(met)) and set(met) <= across and len(met) >= 0.9 * len(across)
 
 

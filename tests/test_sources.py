@@ -42,16 +42,23 @@ def test_small_readers_and_sink(spark, tmp_path):
 
 
 def test_stream_of_arrivals(spark, tmp_path):
-    known = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "rid long, embedding array<double>")
-    new = spark.createDataFrame([(10, [1.0, 0.01]), (11, [-1.0, 0.0])], "rid long, embedding array<double>")
+    known = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [0.0, 0.0])], "rid long, embedding array<double>")
+    new = spark.createDataFrame([(10, [1.0, 0.01]), (11, [-1.0, 0.0]), (12, [0.0, 0.0]), (1, [1.0, 0.0])], "rid long, embedding array<double>")
     new.write.parquet(str(tmp_path / "in"))
+    stored = spark.table(arrivals.store_buckets(known, 0.9, bits=3))
     stream = spark.readStream.schema(new.schema).parquet(str(tmp_path / "in"))
-    q = arrivals.match_arrivals(stream, known, 0.9, bits=3).writeStream.format("memory").queryName("arrived").start()
+    q = arrivals.match_arrivals(stream, stored, 0.9, bits=3).writeStream.format("memory").queryName("arrived").start()
     q.processAllAvailable()
     q.stop()
     assert {(r.u, r.v) for r in spark.table("arrived").collect()} == {(10, 1)}
-    assert arrivals.match_arrivals(new, known, 0.9, bits=3).count() == 1
-    assert arrivals.buckets(known, bits=3).count() == 2 * lsh.TABLES
+    assert arrivals.match_arrivals(new, stored, 0.9, bits=3).count() == 1
+    assert stored.count() == 3 * lsh.TABLES and arrivals.match_arrivals(new.limit(0), stored, 0.9, bits=3).count() == 0
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:  # the known side is read as it lies
+        plan = arrivals.match_arrivals(new, stored, 0.9, bits=3)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange hashpartitioning") == 1
 
 
 def test_shared_dir_must_be_set_on_a_cluster():
