@@ -25,8 +25,6 @@ from kindred.streaming import arrivals
 
 #: Cosine over which records share a block in the queries.
 OVER = 0.4
-#: Cosine of near copies, where the locality-sensitive join meets few other pairs.
-CLOSE = 0.8
 #: Cosine of parts with nearly the same tokens, and the thresholds that a sweep tries.
 NEAR, SWEEP = 0.79, (0.4, 0.42, 0.45, 0.5, 0.55, 0.6, 0.7, 0.8, 0.9)
 Query = Callable[[SparkSession, str], DataFrame]
@@ -252,24 +250,6 @@ def lsh_recall(spark, sf):
     return row.select("n_pairs", (F.col("n_found") >= lsh.RECALL * F.col("n_pairs")).alias("enough"))
 
 
-_CLOSE = f"""c AS (SELECT vec_id AS rid, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
-close AS (SELECT a.rid AS u, b.rid AS v, round(list_cosine_similarity(a.e, b.e), 6) AS sim FROM c a JOIN c b ON a.rid <> b.rid WHERE list_cosine_similarity(a.e, b.e) > {CLOSE})"""
-
-
-@query(f"WITH {_CLOSE} SELECT * FROM close WHERE u < v")
-def lsh_close_pairs(spark, sf):
-    """The locality-sensitive join at a threshold that it is made for, against all pairs."""
-    return _rounded(lsh.lsh_pairs(_vectors(spark, sf), CLOSE))
-
-
-@query(f"WITH {_CLOSE} SELECT * FROM close WHERE u % 100 = 0 AND v % 100 <> 0")
-def arrival_pairs(spark, sf):
-    """Vectors whose number is divisible by 100 matched, as arrivals, against the stored buckets of all others."""
-    vectors = _vectors(spark, sf)
-    stored = arrivals.store_buckets(vectors.where("rid % 100 <> 0"), CLOSE)
-    return _rounded(arrivals.match_arrivals(vectors.where("rid % 100 = 0"), spark.table(stored), CLOSE))
-
-
 @query()
 def lsh_blocks(spark, sf):
     return blocking.lsh_blocks(_vectors(spark, sf), OVER)
@@ -817,17 +797,49 @@ def hashed_embeddings(spark, sf):
     return rows.select("rid", F.posexplode("e").alias("at", "x")).where("x <> 0")
 
 
-@query(f"""WITH t AS (SELECT p_partkey AS rid, unnest({_TOKENS.format("p_name || ' ' || p_type")}) AS token FROM part),
+_NEAR_PAIRS = f"""t AS (SELECT p_partkey AS rid, unnest({_TOKENS.format("p_name || ' ' || p_type")}) AS token FROM part),
 d AS (SELECT rid, CAST('0x' || substr(md5(token), 1, 8) AS BIGINT) % 32 AS pos, sum(CASE WHEN CAST('0x' || substr(md5(token), 9, 1) AS INTEGER) % 2 = 0 THEN 1.0 ELSE -1.0 END) AS x FROM t GROUP BY 1, 2),
 v AS (SELECT rid, list(pos ORDER BY pos) AS places, list(x ORDER BY pos) AS xs, sqrt(sum(x * x)) AS length FROM d WHERE x <> 0 GROUP BY rid),
 f AS (SELECT min(rid) AS rid, any_value(length) AS length FROM v GROUP BY places, xs),
-s AS (SELECT a.rid AS u, b.rid AS v, sum(a.x * b.x) AS dot FROM d a JOIN d b ON a.pos = b.pos AND a.rid < b.rid GROUP BY 1, 2)
-SELECT u, v, round(dot / (a.length * b.length), 6) AS sim FROM s JOIN f a ON u = a.rid JOIN f b ON v = b.rid WHERE dot / (a.length * b.length) > {NEAR}""")
+s AS (SELECT a.rid AS u, b.rid AS v, sum(a.x * b.x) AS dot FROM d a JOIN d b ON a.pos = b.pos AND a.rid < b.rid GROUP BY 1, 2),
+near AS (SELECT u, v, round(dot / (a.length * b.length), 6) AS sim FROM s JOIN f a ON u = a.rid JOIN f b ON v = b.rid WHERE dot / (a.length * b.length) > {NEAR})"""
+
+
+def _part_vectors(spark, sf) -> DataFrame:
+    """The first of parts with equal token vectors."""
+    rows = _parts(spark, sf).select("rid", V.hashed_embedding(T.tokens(F.concat_ws(" ", "p_name", "p_type")), 32).alias("embedding"))
+    return joins.classes(durable(rows, "part-vectors"), ["embedding"])[0]
+
+
+@query(f"WITH {_NEAR_PAIRS} SELECT * FROM near")
 def near_pairs(spark, sf):
     """Pairs of distinct token vectors of parts, at a threshold where bounds spare most cosines."""
-    rows = _parts(spark, sf).select("rid", V.hashed_embedding(T.tokens(F.concat_ws(" ", "p_name", "p_type")), 32).alias("embedding"))
-    firsts, _ = joins.classes(durable(rows, "part-vectors"), ["embedding"])
-    return _rounded(sphere.pairs(firsts, NEAR))
+    return _rounded(sphere.pairs(_part_vectors(spark, sf), NEAR))
+
+
+def _recall(exact: DataFrame, found: DataFrame) -> DataFrame:
+    """One row: exact pairs, whether nine in ten of them are found, and pairs found that aren't exact ones."""
+    both = exact.select("u", "v", F.lit(1).alias("is")).join(found.select("u", "v", F.lit(1).alias("met")), ["u", "v"], "full_outer")
+    row = both.agg(F.count("is").alias("n_pairs"), F.count_if(F.expr("is = 1 AND met = 1")).alias("n_met"), F.count_if(F.expr("is IS NULL")).alias("n_wrong"))
+    return row.select("n_pairs", (F.col("n_met") >= lsh.RECALL * F.col("n_pairs")).alias("enough"), "n_wrong")
+
+
+@query(f"WITH {_NEAR_PAIRS} SELECT count(*) AS n_pairs, true AS enough, 0 AS n_wrong FROM near")
+def lsh_near_recall(spark, sf):
+    """The locality-sensitive join of parts' token vectors, at a threshold that it is made for, against the exact pairs."""
+    firsts = durable(_part_vectors(spark, sf), "distinct-parts")
+    return _recall(sphere.pairs(firsts, NEAR), lsh.lsh_pairs(firsts, NEAR))
+
+
+@query(f"""WITH {_NEAR_PAIRS}, met AS (SELECT u, v FROM near UNION ALL SELECT v, u FROM near)
+SELECT count(*) AS n_pairs, true AS enough, 0 AS n_wrong FROM met WHERE u % 100 = 0 AND v % 100 <> 0""")
+def arrival_recall(spark, sf):
+    """Parts whose number is divisible by 100 matched, as arrivals, against the stored buckets of all others."""
+    firsts = durable(_part_vectors(spark, sf), "distinct-parts")
+    stored = arrivals.store_buckets(firsts.where("rid % 100 <> 0"), NEAR)
+    near = durable(sphere.pairs(firsts, NEAR).select("u", "v"), "near-parts")
+    exact = near.unionByName(near.select(F.col("v").alias("u"), F.col("u").alias("v"))).where("u % 100 = 0 AND v % 100 <> 0")
+    return _recall(exact, arrivals.match_arrivals(firsts.where("rid % 100 = 0"), spark.table(stored), NEAR))
 
 
 @query("""SELECT source, round(stddev_pop(n) / avg(n), 6) AS variation FROM (SELECT source, lang, count(*) AS n FROM documents GROUP BY 1, 2) GROUP BY 1""")
