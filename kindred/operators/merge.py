@@ -53,7 +53,8 @@ def packed(set_nos: list[int], embeddings: list, size: int = SET_SIZE, spread: i
 
 
 def packed_sets(reps: DataFrame, size: int = SET_SIZE, spread: int = SET_SPREAD) -> DataFrame:
-    """(set_id, pos, rid) of representatives for the next round; reps: block, set_no, cluster_no, rid, embedding.
+    """(set_id, pos, rid, chunk, nth) of representatives for the next round, (chunk, nth) being the set's order in its block;
+    reps: block, set_no, cluster_no, rid, embedding.
 
     A block with up to `size` representatives is one set. Otherwise pack() takes chunks of `size` sets, each by itself, so
     a task has the representatives of one chunk at a time, whatever the block's size."""
@@ -63,21 +64,23 @@ def packed_sets(reps: DataFrame, size: int = SET_SIZE, spread: int = SET_SPREAD)
         block, chunk = rows["block"].iloc[0], rows["chunk"].iloc[0]
         whole = rows["count"].iloc[0] <= size
         sets = [list(range(len(rows)))] if whole else packed(rows["set_no"].tolist(), rows["embedding"].tolist(), size, spread)
-        out = [(f"{block}-{chunk}-{k}", pos, rows["rid"][i]) for k, s in enumerate(sets) for pos, i in enumerate(s)]
-        return pd.DataFrame(out, columns=["set_id", "pos", "rid"])
+        out = [(f"{block}-{chunk}-{k}", pos, rows["rid"][i], chunk, k) for k, s in enumerate(sets) for pos, i in enumerate(s)]
+        return pd.DataFrame(out, columns=["set_id", "pos", "rid", "chunk", "nth"])
 
     number = F.row_number().over(W.partitionBy("block").orderBy("set_no"))
     chunks = reps.select("block", "set_no").distinct().withColumn("chunk", F.floor((number - 1) / size))
     placed = reps.join(chunks, ["block", "set_no"]).join(reps.groupBy("block").count(), "block")
-    return placed.groupBy("block", "chunk").applyInPandas(run, "set_id string, pos long, rid long")
+    return placed.groupBy("block", "chunk").applyInPandas(run, "set_id string, pos long, rid long, chunk long, nth long")
 
 
 def merged(state: DataFrame, vectors: DataFrame, clusterer, max_rounds: int = MAX_ROUNDS, size: int = SET_SIZE, spread: int = SET_SPREAD) -> tuple[DataFrame, DataFrame]:
-    """(members(block, rid, cluster), calls): clusters of state(block, set_no, rid, cluster) joined across sets.
+    """(members(block, rid, cluster), calls): clusters of state(block, set_no, place, rid, cluster) joined across sets.
 
     A round takes every block that still has several clusters and merged something in the round before: its
     clusters' representatives are packed, clustered under the guardrail, and clusters whose representatives fall
-    together become one. cluster is a global id, the least rid of the cluster's first set."""
+    together become one. Sets follow by set_no, and clusters of a set by place, that of their first record; after a round
+    every cluster is a set of its own, in the order in which packing put the first of its representatives. cluster is a global
+    id, the least of those joined."""
     state, calls = durable(state, "merge-state"), []
     several = state.groupBy("block").agg(F.countDistinct("cluster").alias("n")).where("n > 1").select("block")
     done = [state.join(several, "block", "left_anti").select("block", "rid", "cluster")]
@@ -86,21 +89,23 @@ def merged(state: DataFrame, vectors: DataFrame, clusterer, max_rounds: int = MA
         if live.isEmpty():
             break
         reps = blocking.representatives(vectors, live.select("rid", "cluster"))
-        heads = live.groupBy("block", "set_no", "cluster").agg(F.min("rid").alias("least")).join(reps.withColumnRenamed("rid", "rep"), "cluster")
-        order = W.partitionBy("block", "set_no").orderBy("least")
+        heads = live.groupBy("block", "set_no", "cluster").agg(F.min("place").alias("place")).join(reps.withColumnRenamed("rid", "rep"), "cluster")
+        order = W.partitionBy("block", "set_no").orderBy("place", "cluster")
         heads = heads.withColumn("cluster_no", F.row_number().over(order)).join(vectors.select(F.col("rid").alias("rep"), "embedding"), "rep")
         heads = durable(heads, "representatives")
         sets = packed_sets(heads.select("block", "set_no", "cluster_no", F.col("rep").alias("rid"), "embedding"), size, spread)
-        answer, log = clusterers.clustered(durable(sets, "packed-sets"), vectors, clusterer)
+        sets = durable(sets, "packed-sets")
+        answer, log = clusterers.clustered(sets.select("set_id", "pos", "rid"), vectors, clusterer)
         calls.append(log)
-        of_rep = answer.select("set_id", F.col("rid").alias("rep"), F.col("cluster").alias("group")).join(heads.select("block", "rep", "cluster"), "rep")
-        least = F.min("cluster").over(W.partitionBy("set_id", "group"))
-        joined = durable(of_rep.select("block", F.col("cluster").alias("old"), least.alias("new")), "merged-clusters")
+        of_rep = answer.select("set_id", F.col("rid").alias("rep"), F.col("cluster").alias("group"))
+        of_rep = of_rep.join(sets.withColumnRenamed("rid", "rep"), ["set_id", "rep"]).join(heads.select("block", "rep", "cluster"), "rep")
+        group = W.partitionBy("set_id", "group")
+        order = F.shiftleft("chunk", 32) + F.shiftleft("nth", 16) + F.min("pos").over(group)
+        joined = durable(of_rep.select("block", F.col("cluster").alias("old"), F.min("cluster").over(group).alias("new"), order.alias("order")), "merged-clusters")
         changed = joined.groupBy("block").agg(F.bool_or(F.col("old") != F.col("new")).alias("moved"), F.countDistinct("new").alias("n"))
         again = changed.select("block", (F.col("moved") & (F.col("n") > 1)).alias("again"))
         renamed = live.select("rid", F.col("cluster").alias("old")).join(joined.join(again, "block"), "old")
-        # Every cluster is a set of its own from now on.
-        renamed = durable(renamed.select("block", F.col("new").alias("set_no"), "rid", F.col("new").alias("cluster"), "again"), "merge-state")
+        renamed = durable(renamed.select("block", F.col("order").alias("set_no"), F.lit(0).cast("long").alias("place"), "rid", F.col("new").alias("cluster"), "again"), "merge-state")
         done.append(renamed.where(~F.col("again")).select("block", "rid", "cluster"))
         live = renamed.where("again").drop("again")
     done.append(live.select("block", "rid", "cluster"))

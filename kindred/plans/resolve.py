@@ -43,9 +43,9 @@ def resolve(vectors: DataFrame, blocks: DataFrame, clusterer, settings: Settings
     sets = recordsets.record_sets(vectors, blocks, settings.set_size, settings.set_spread)
     sets = durable(sets.withColumn("set_id", F.concat_ws("-", "block", "set_no")), "record-sets")
     answer, log = clusterers.clustered(sets.select("set_id", "pos", "rid"), vectors, clusterer, settings.max_tries)
-    named = answer.join(sets.select("set_id", "rid", "block", "set_no"), ["set_id", "rid"])
-    least = named.groupBy("set_id", "cluster").agg(F.min("rid").alias("least"))
-    state = named.join(least, ["set_id", "cluster"]).select("block", "set_no", "rid", F.col("least").alias("cluster"))
+    named = answer.select("set_id", "rid", "cluster").join(sets.select("set_id", "rid", "block", "set_no", "pos"), ["set_id", "rid"])
+    least = named.groupBy("set_id", "cluster").agg(F.min("rid").alias("least"), F.min("pos").alias("place"))
+    state = named.join(least, ["set_id", "cluster"]).select("block", "set_no", "place", "rid", F.col("least").alias("cluster"))
     members, merge_log = merge.merged(state, vectors, clusterer, settings.max_rounds, settings.set_size, settings.set_spread)
     calls = log.withColumn("stage", F.lit("sets"))
     if merge_log is not None:

@@ -248,6 +248,54 @@ def test_resolution(spark):
     assert by_threshold.select("cluster").distinct().count() >= 6
 
 
+def plain_merge(sets, entity, x, rounds=20, size=9):
+    """Partition by the merge loop as it is defined: round by round over lists, sets in packing order, an oracle as clusterer."""
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+
+    def grouped(clusters, reps):
+        found = {}
+        for c, r in zip(clusters, reps, strict=True):
+            found.setdefault(entity[r], []).extend(c)
+        return list(found.values())
+
+    def middle(cluster):
+        far = np.linalg.norm(x[cluster] - x[cluster].mean(axis=0), axis=1)
+        return min(zip(np.round(far, 9), cluster, strict=True))[1]
+
+    state = [grouped([[r] for r in s], s) for s in sets]
+    for _ in range(rounds):
+        clusters = [c for s in state for c in s]
+        reps = [[middle(c) for c in s] for s in state]
+        if len(clusters) <= size:
+            packed = [[(k, i) for k, s in enumerate(state) for i in range(len(s))]]
+        else:
+            packed = merge.pack([len(s) for s in state], lambda p, q: float(unit[reps[p[0]][p[1]]] @ unit[reps[q[0]][q[1]]]))
+        after = [[c] for chosen in packed for c in grouped([state[k][i] for k, i in chosen], [reps[k][i] for k, i in chosen])]
+        if len(after) == len(clusters):
+            break
+        state = after
+    return sorted(sorted(c) for s in state for c in s)
+
+
+def test_merge_equals_the_plain_loop(spark):
+    rng = np.random.default_rng(11)
+    x = rng.standard_normal((80, 6))
+    of = [0] * 50 + [1] * 20 + [2] * 7 + [3, 4, 5]  # blocks
+    entity = [int(e) for e in rng.integers(0, 12, 80)]  # members that aren't alike
+    df = vectors(spark, x).cache()
+    blocks = spark.createDataFrame(list(enumerate(of)), "rid long, cluster long")
+    done = resolve(df, blocks, clusterers.Oracle(spark.createDataFrame(list(enumerate(entity)), "rid long, cluster long")))
+    got, sets, want = {}, {}, []
+    for r in done.members.collect():
+        got.setdefault((r.block, r.cluster), []).append(r.rid)
+    for r in recordsets.record_sets(df, blocks).orderBy("block", "set_no", "pos").collect():
+        sets.setdefault(r.block, {}).setdefault(r.set_no, []).append(r.rid)
+    for block in sets.values():
+        want += plain_merge(list(block.values()), entity, x)
+    assert sorted(map(sorted, got.values())) == sorted(want)
+    assert 12 < len(want) < 70  # some is merged, and not all that could be
+
+
 def test_batches(spark):
     tasks = spark.createDataFrame([(t, t) for t in range(5)], "task long, rid long")
     sims = spark.createDataFrame([(a, b, 1.0 / (1 + abs(a - b))) for a in range(5) for b in range(5) if a != b], "a long, b long, sim double")
