@@ -656,7 +656,7 @@ _SET_SIZES = f"""WITH RECURSIVE {_BLOCKS} SELECT cluster AS block, count(*) AS n
 
 @query(_SET_SIZES)
 def record_set_sizes(spark, sf):
-    """Each record is in one set of its block, and blocks (of up to 5,000 records) have as few sets of nine as hold them."""
+    """Each record is in one set of its block, and blocks have as few sets of nine as hold them."""
     sets = record_sets(spark, sf)
     return sets.groupBy("block").agg(F.count("*").alias("n_records"), F.countDistinct("rid").alias("n_distinct"), F.countDistinct("set_no").alias("n_sets"))
 

@@ -5,8 +5,8 @@ register(spark) makes record_sets and pack_sets known:
     SELECT * FROM record_sets(TABLE(dealt))
     SELECT * FROM pack_sets(TABLE(representatives))
 
-`dealt` has block, part, rid, embedding (recordsets.dealt); `representatives` has block, set_no, cluster_no, rid, embedding. The
-functions ask for a partition of each (block, part), or block, and for its order themselves; a second argument is the
+`dealt` has block, rid, draw, embedding (recordsets.dealt); `representatives` has block, set_no, cluster_no, rid, embedding. The
+functions ask for a partition of each block and for its order themselves, and a task holds a block; a second argument is the
 size of a set."""
 
 from __future__ import annotations
@@ -35,11 +35,11 @@ def _analysed(table: AnalyzeArgument, needed: tuple, names: tuple, by: tuple, or
 
 @udtf
 class RecordSets:
-    """(block, set_no, pos, rid) of each part of a block."""
+    """(block, set_no, pos, rid) of each block."""
 
     @staticmethod
     def analyze(table: AnalyzeArgument, size: AnalyzeArgument = None) -> AnalyzeResult:
-        return _analysed(table, ("block", "part", "rid", "embedding"), ("block", "set_no", "pos", "rid"), ("block", "part"), ("rid",))
+        return _analysed(table, ("block", "rid", "draw", "embedding"), ("block", "set_no", "pos", "rid"), ("block",), ("rid",))
 
     def __init__(self):
         self.rows, self.size = [], SET_SIZE
@@ -50,11 +50,11 @@ class RecordSets:
 
     def terminate(self) -> Iterator[tuple]:
         if self.rows:
-            first = self.rows[0]
-            found = sets_of([r["rid"] for r in self.rows], [r["embedding"] for r in self.rows], self.size, min(SET_SPREAD, self.size))
+            columns = [[r[c] for r in self.rows] for c in ("rid", "draw", "embedding")]
+            found = sets_of(*columns, self.size, min(SET_SPREAD, self.size))
             for n, chosen in enumerate(found):
                 for pos, rid in enumerate(chosen):
-                    yield first["block"], (first["part"] << 16) + n, pos, rid
+                    yield self.rows[0]["block"], n, pos, rid
 
 
 @udtf

@@ -100,7 +100,7 @@ def test_large_groups_by_rounds_equal_groups_in_a_task(spark):
 
 
 def test_sequential_helpers():
-    assert recordsets.chain([0, 2, 1, 3], S) == [0, 1, 2, 3]
+    assert recordsets.chain(np.linalg.cholesky(S)[[0, 2, 1, 3]]) == [0, 2, 1, 3] and recordsets.chain(np.zeros((0, 2))) == []
     assert clustering.elbow([10, 2, 1, 0]) == 2 and clustering.elbow([0, 0]) == 1
     assert clustering.choose_k(np.zeros((1, 2)), 4) == 1
     assert merge.pack([2, 3], lambda a, b: 0.0) == [[(0, 0), (1, 0)], [(0, 1), (1, 1)], [(1, 2)]]
@@ -370,19 +370,72 @@ def test_lsh_parameters_by_threshold(spark):
     assert {(r.u, r.v) for r in lsh.lsh_pairs(df, -1.0).collect()} == {(0, 1), (0, 3), (1, 3)}
 
 
+def plain_record_sets(x, draws, size=9, spread=4):
+    """Record sets of one block, straight from their definition: lists, no queues."""
+    unit = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+    left, out = list(range(len(x))), []
+    spent, of, far = 1.0, {}, {}
+    while left:
+        if len(left) <= size:
+            chosen = list(left)
+        else:
+            if spent >= 0.5:
+                labels = clustering.whole_group(x[left], np.array([draws[i] % len(left) < clustering.SAMPLE for i in left]), spread)[1]
+                of, held = dict(zip(left, labels.tolist(), strict=True)), len(left)
+                means = {n: x[[i for i in left if of[i] == n]].mean(axis=0) for n in set(of.values())}
+                far = {i: round(float(np.linalg.norm(x[i] - means[of[i]])), 9) for i in left}
+            chosen = []
+            for n in sorted(means):
+                members = [i for i in left if of[i] == n]
+                if len(members) >= size // spread:
+                    best = members if len(members) == size // spread else sorted(members, key=lambda i: (far[i], i))
+                    chosen += best[: size // spread][: size - len(chosen)]
+            while len(chosen) < size:
+                def uneven(i):
+                    counts = np.array([sum(of[j] == n for j in [*chosen, i]) for n in {of[j] for j in [*chosen, i]}], float)
+                    return counts.std() / counts.mean()
+                chosen.append(min((i for i in left if i not in chosen), key=uneven))
+            spent = 1 - (len(left) - len(chosen)) / held
+        order, more = chosen[:1], chosen[1:]
+        while more:
+            order.append(more.pop(int(np.argmax([unit[order[-1]] @ unit[i] for i in more]))))
+        out.append(order)
+        left = [i for i in left if i not in chosen]
+    return out
+
+
+def test_record_sets_are_the_same_in_a_task_and_by_jobs_and_plain(spark):
+    rng = np.random.default_rng(7)
+    sizes = [170, 61, 40, 12, 1]
+    x = np.concatenate([rng.standard_normal((n, 4)) + 3 * (np.arange(n) % 3)[:, None] for n in sizes])
+    x[100:130] = x[100]  # copies
+    of = [b for b, n in enumerate(sizes) for _ in range(n)]
+    df = vectors(spark, x).cache()
+    blocks = spark.createDataFrame(list(enumerate(of)), "rid long, cluster long")
+    draws = {r.rid: r.draw for r in recordsets.dealt(df, blocks).collect()}
+    want, start = [], 0
+    for b, n in enumerate(sizes):
+        for k, s in enumerate(plain_record_sets(x[start : start + n], [draws[start + i] for i in range(n)])):
+            want += [(b, k, pos, start + i) for pos, i in enumerate(s)]
+        start += n
+    for largest in (30, recordsets.LARGEST_BLOCK):
+        assert sorted(map(tuple, recordsets.record_sets(df, blocks, largest=largest).collect())) == sorted(want)
+    assert recordsets.record_sets(df, blocks.limit(0)).count() == 0
+
+
 def test_record_sets_of_large_blocks(spark):
     rng = np.random.default_rng(7)
     x = rng.standard_normal((5200, 4)) * 0.2 + 1
     x[:1800] = x[0]  # copies, as many as a third
-    df = vectors(spark, x)
+    df = vectors(spark, x).cache()
     blocks = df.select("rid", (F.col("rid") * 0).alias("cluster"))
-    rows = recordsets.record_sets(df, blocks).collect()
-    assert sorted(r.rid for r in rows) == list(range(5200)) and {r.block for r in rows} == {0}
+    whole = sorted(map(tuple, recordsets.record_sets(df, blocks).collect()))
+    assert sorted(r[3] for r in whole) == list(range(5200)) and {r[0] for r in whole} == {0}
     sets: dict = {}
-    for r in rows:
-        sets.setdefault(r.set_no, []).append(r.pos)
-    assert all(sorted(p) == list(range(len(p))) and len(p) <= recordsets.SET_SIZE for p in sets.values())
-    assert len(sets) < 5200 / 9 * 1.2
+    for _, n, pos, _ in whole:
+        sets.setdefault(n, []).append(pos)
+    assert sorted(map(len, sets.values())) == [7] + [9] * 577 and all(sorted(p) == list(range(len(p))) for p in sets.values())
+    assert sorted(map(tuple, recordsets.record_sets(df, blocks, largest=2000).collect())) == whole
 
 
 def test_packed_sets_by_chunks(spark):
