@@ -96,20 +96,21 @@ def clustered(sets: DataFrame, vectors: DataFrame, clusterer, max_tries: int = M
     """(sets with cluster, calls): sets(set_id, pos, rid) clustered under the guardrail.
 
     A set whose clustering is rejected is asked again, in a new order, up to max_tries times; the last answer stands
-    whatever it is. Sets of one record aren't asked. Where order is nothing to the clusterer, its first answer is that of
+    whatever it is; sets is read several times. Sets of one record aren't asked. Where order is nothing to the clusterer, its first answer is that of
     all tries, which are counted without being made. calls: (set_id, calls, rejected)."""
-    sized = sets.join(sets.groupBy("set_id").count(), "set_id")
+    sized = sets.withColumn("count", F.count("*").over(W.partitionBy("set_id")))  # a set has few records
     alone = sized.where("count = 1").select("set_id", "pos", "rid", F.lit(0).cast("long").alias("cluster"))
-    open_ = durable(sized.where("count > 1").drop("count"), "open-sets")
+    open_ = sized.where("count > 1").drop("count")
     done, calls = [alone], []
     ordered = getattr(clusterer, "ordered", True)
     for attempt in range(max_tries + 1):
         answer = durable(numbered(complete(open_, clusterer.cluster(open_, attempt))), "answers")
-        judged = durable(guard.intra_inter(guard.set_similarities(answer, vectors)), "judged")
-        wrong = guard.offenders(judged)
+        judged = guard.intra_inter(guard.set_similarities(answer, vectors))
+        last = attempt == max_tries or not ordered
+        wrong = guard.offenders(judged if last else durable(judged, "judged"))  # the last ones are read by the count of calls only
         rejected = wrong.select("set_id").distinct()
         calls.append(answer.select("set_id").distinct().join(rejected.withColumn("rejected", F.lit(1)), "set_id", "left"))
-        if attempt == max_tries or not ordered:
+        if last:
             done.append(answer)
             break
         done.append(answer.join(rejected, "set_id", "left_anti"))

@@ -15,6 +15,8 @@ from kindred.operators.recordsets import SET_SIZE, SET_SPREAD
 from kindred.operators.storage import durable
 
 MAX_ROUNDS = 20
+#: Bits of a set's number within its run, and sets of a run before the first round; later runs are chunks of packing.
+RUN, RUN_SETS = 32, 1024
 
 
 def pack(sizes: list[int], sim: Callable[[tuple[int, int], tuple[int, int]], float], size: int = SET_SIZE, spread: int = SET_SPREAD) -> list[list[tuple[int, int]]]:
@@ -56,7 +58,8 @@ def packed_sets(reps: DataFrame, size: int = SET_SIZE, spread: int = SET_SPREAD)
     """(set_id, pos, rid, chunk, nth) of representatives for the next round, (chunk, nth) being the set's order in its block;
     reps: block, set_no, cluster_no, rid, embedding.
 
-    A block with up to `size` representatives is one set. Otherwise pack() takes chunks of `size` sets, each by itself, so
+    Sets are numbered within runs, which set_no has above its RUN lowest bits, and only the runs' counts of a block meet in one
+    place. A block with up to `size` representatives is one set. Otherwise pack() takes chunks of `size` sets, each by itself, so
     a task has the representatives of one chunk at a time, whatever the block's size."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
@@ -67,8 +70,11 @@ def packed_sets(reps: DataFrame, size: int = SET_SIZE, spread: int = SET_SPREAD)
         out = [(f"{block}-{chunk}-{k}", pos, rows["rid"][i], chunk, k) for k, s in enumerate(sets) for pos, i in enumerate(s)]
         return pd.DataFrame(out, columns=["set_id", "pos", "rid", "chunk", "nth"])
 
-    number = F.row_number().over(W.partitionBy("block").orderBy("set_no"))
-    chunks = reps.select("block", "set_no").distinct().withColumn("chunk", F.floor((number - 1) / size))
+    sets = reps.select("block", "set_no").distinct().withColumn("run", F.shiftright("set_no", RUN))
+    before = F.sum("count").over(W.partitionBy("block").orderBy("run").rowsBetween(W.unboundedPreceding, -1))
+    runs = sets.groupBy("block", "run").count().select("block", "run", F.coalesce(before, F.lit(0)).alias("before"))
+    within = sets.withColumn("within", F.row_number().over(W.partitionBy("block", "run").orderBy("set_no")) - 1)
+    chunks = within.join(runs, ["block", "run"]).select("block", "set_no", F.floor((F.col("before") + F.col("within")) / size).alias("chunk"))
     placed = reps.join(chunks, ["block", "set_no"]).join(reps.groupBy("block").count(), "block")
     return placed.groupBy("block", "chunk").applyInPandas(run, "set_id string, pos long, rid long, chunk long, nth long")
 
@@ -80,16 +86,18 @@ def merged(state: DataFrame, vectors: DataFrame, clusterer, max_rounds: int = MA
     clusters' representatives are packed, clustered under the guardrail, and clusters whose representatives fall
     together become one. Sets follow by set_no, and clusters of a set by place, that of their first record; after a round
     every cluster is a set of its own, in the order in which packing put the first of its representatives. cluster is a global
-    id, the least of those joined."""
+    id, the least of those joined. A representative is looked for again only if its cluster has grown."""
     state, calls = durable(state, "merge-state"), []
     several = state.groupBy("block").agg(F.countDistinct("cluster").alias("n")).where("n > 1").select("block")
     done = [state.join(several, "block", "left_anti").select("block", "rid", "cluster")]
-    live = durable(state.join(several, "block", "left_semi"), "merge-state")
+    live = state.join(several, "block", "left_semi").withColumn("rep", F.lit(None).cast("long"))
+    live = durable(live.withColumn("set_no", F.shiftleft(F.floor(F.col("set_no") / RUN_SETS), RUN) + F.col("set_no") % RUN_SETS), "merge-state")
     for _ in range(max_rounds):
         if live.isEmpty():
             break
-        reps = blocking.representatives(vectors, live.select("rid", "cluster"))
-        heads = live.groupBy("block", "set_no", "cluster").agg(F.min("place").alias("place")).join(reps.withColumnRenamed("rid", "rep"), "cluster")
+        found = blocking.representatives(vectors, live.where("rep IS NULL").select("rid", "cluster")).withColumnRenamed("rid", "found")
+        heads = live.groupBy("block", "set_no", "cluster").agg(F.min("place").alias("place"), F.min("rep").alias("rep")).join(found, "cluster", "left")
+        heads = heads.withColumn("rep", F.coalesce("rep", "found")).drop("found")
         order = W.partitionBy("block", "set_no").orderBy("place", "cluster")
         heads = heads.withColumn("cluster_no", F.row_number().over(order)).join(vectors.select(F.col("rid").alias("rep"), "embedding"), "rep")
         heads = durable(heads, "representatives")
@@ -100,12 +108,13 @@ def merged(state: DataFrame, vectors: DataFrame, clusterer, max_rounds: int = MA
         of_rep = answer.select("set_id", F.col("rid").alias("rep"), F.col("cluster").alias("group"))
         of_rep = of_rep.join(sets.withColumnRenamed("rid", "rep"), ["set_id", "rep"]).join(heads.select("block", "rep", "cluster"), "rep")
         group = W.partitionBy("set_id", "group")
-        order = F.shiftleft("chunk", 32) + F.shiftleft("nth", 16) + F.min("pos").over(group)
-        joined = durable(of_rep.select("block", F.col("cluster").alias("old"), F.min("cluster").over(group).alias("new"), order.alias("order")), "merged-clusters")
+        order = F.shiftleft("chunk", RUN) + F.shiftleft("nth", 16) + F.min("pos").over(group)
+        rep = F.when(F.count("*").over(group) == 1, F.col("rep"))  # that of a cluster which stays as it is
+        joined = durable(of_rep.select("block", F.col("cluster").alias("old"), F.min("cluster").over(group).alias("new"), order.alias("order"), rep.alias("rep")), "merged-clusters")
         changed = joined.groupBy("block").agg(F.bool_or(F.col("old") != F.col("new")).alias("moved"), F.countDistinct("new").alias("n"))
         again = changed.select("block", (F.col("moved") & (F.col("n") > 1)).alias("again"))
         renamed = live.select("rid", F.col("cluster").alias("old")).join(joined.join(again, "block"), "old")
-        renamed = durable(renamed.select("block", F.col("order").alias("set_no"), F.lit(0).cast("long").alias("place"), "rid", F.col("new").alias("cluster"), "again"), "merge-state")
+        renamed = durable(renamed.select("block", F.col("order").alias("set_no"), F.lit(0).cast("long").alias("place"), "rid", F.col("new").alias("cluster"), "rep", "again"), "merge-state")
         done.append(renamed.where(~F.col("again")).select("block", "rid", "cluster"))
         live = renamed.where("again").drop("again")
     done.append(live.select("block", "rid", "cluster"))
