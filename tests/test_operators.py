@@ -443,7 +443,7 @@ def test_packed_sets_by_chunks(spark):
     sizes = rng.integers(1, 4, 31).tolist()
     x = rng.standard_normal((sum(sizes), 3))
     at = [(s, c) for s, n in enumerate(sizes) for c in range(n)]
-    rows = [(5, s * 70_000, c, i, x[i].tolist()) for i, (s, c) in enumerate(at)]
+    rows = [(5, s << 31, c, i, x[i].tolist()) for i, (s, c) in enumerate(at)]  # runs of two sets
     found = merge.packed_sets(spark.createDataFrame(rows, "block long, set_no long, cluster_no int, rid long, embedding array<double>")).collect()
     got: dict = {}
     for r in sorted(found, key=lambda r: r.pos):
