@@ -98,3 +98,11 @@ def test_sweep_counts_records_that_one_side_lacks(spark):
     rows = {r.threshold: r for r in experiments.blocking_sweep(df, truth, [0.6, 0.9]).collect()}
     assert rows[0.9].completeness == 0.5 and rows[0.9].quality == 0.5 and rows[0.6].quality == 0.1
     assert round(rows[0.6].reduction, 9) == round(1 - 10 / 15, 9)
+
+
+def test_attribute_pairs_prepare_no_copy(spark):
+    """The similarity of a class's other members to its first is that of the class: no text of theirs is prepared."""
+    rows = [(i, "b", f"name {i % 3}", None if i % 3 else "3.5") for i in range(12)]
+    found = joins.attribute_pairs(spark.createDataFrame(rows, "rid long, by string, n string, x string"), ["n", "x"], 0.6, by="by")
+    assert "regexp_replace" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.u, r.v, r.sim) for r in found.where("sim = 1").collect()) == sorted((i % 3, i, 1.0) for i in range(3, 12))
