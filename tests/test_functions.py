@@ -61,3 +61,18 @@ def test_replies(spark):
     assert one(spark, c=R.parsed_batch(F.lit('so: {"T1": [[1, 2]], "T2": [[3]]} ok'))).c == {"T1": [[1, 2]], "T2": [[3]]}
     assert [one(spark, c=R.yes_no(F.lit(x))).c for x in ("Yes.", "no", "?")] == [1, -1, 0]
     assert one(spark, c=R.yes_no(F.lit("no"), F.lit(0.0))).c == -1.0
+
+
+def test_hashed_embedding_hashes_a_token_once(spark):
+    """The loop over dimensions holds no digest, and vectors are those of the definition."""
+    import hashlib
+
+    df = spark.createDataFrame([(["red", "ring", "bolt", "ring"],), ([],)], "t array<string>")
+    found = df.select(V.hashed_embedding(F.col("t"), 8).alias("e"))
+    loop = found._jdf.queryExecution().analyzed().toString().split("array_repeat")[-1].split("\n")[0]
+    assert "CASE WHEN" in loop and "md5" not in loop
+    want = [0.0] * 8
+    for t in ["red", "ring", "bolt", "ring"]:
+        digest = hashlib.md5(t.encode()).hexdigest()
+        want[int(digest[:8], 16) % 8] += 1 if int(digest[8], 16) % 2 == 0 else -1
+    assert [r.e for r in found.collect()] == [want, [0.0] * 8]
