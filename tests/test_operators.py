@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from kindred.functions import text as T
 from kindred.operators import blocking, clusterers, clustering, experiments, graph, guard, joins, lsh, matching, merge, metrics, recordsets
-from kindred.plans.resolve import resolve
+from kindred.plans.resolve import Settings, resolve
 
 
 def members(spark, clusters):
@@ -296,6 +296,25 @@ def test_merge_equals_the_plain_loop(spark):
     assert 12 < len(want) < 70  # some is merged, and not all that could be
 
 
+@pytest.mark.parametrize("all_pairs", [128, 10])
+def test_a_complete_merge_joins_all_of_an_entity(spark, monkeypatch, all_pairs):
+    """With unlike members rounds of packing end early; all that is left meets, in sets of pairs or dealt by hashes before."""
+    monkeypatch.setattr(merge, "ALL_PAIRS", all_pairs)
+    rng = np.random.default_rng(11)
+    of = [0] * 150 + [1] * 20 + [2] * 7 + [3, 4, 5]  # blocks
+    entity = [int(e) for e in rng.integers(0, 12, len(of))]
+    df = vectors(spark, rng.standard_normal((len(of), 6))).cache()
+    blocks = spark.createDataFrame(list(enumerate(of)), "rid long, cluster long")
+    truth = clusterers.Oracle(spark.createDataFrame(list(enumerate(entity)), "rid long, cluster long"))
+    got, want = {}, {}
+    done = resolve(df, blocks, truth, Settings(complete=True))
+    for r in done.members.collect():
+        got.setdefault((r.block, r.cluster), []).append(r.rid)
+        want.setdefault((of[r.rid], entity[r.rid]), []).append(r.rid)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+    assert all(c == min(rids) for (_, c), rids in got.items()) and done.statistics().first().sets > 20
+
+
 def test_batches(spark):
     tasks = spark.createDataFrame([(t, t) for t in range(5)], "task long, rid long")
     sims = spark.createDataFrame([(a, b, 1.0 / (1 + abs(a - b))) for a in range(5) for b in range(5) if a != b], "a long, b long, sim double")
