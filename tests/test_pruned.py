@@ -5,7 +5,7 @@ import itertools
 import numpy as np
 import pytest
 
-from kindred.operators import experiments, graph, joins, sphere
+from kindred.operators import blocking, connected, experiments, graph, joins, sphere
 
 
 def vectors(spark, x):
@@ -106,3 +106,38 @@ def test_attribute_pairs_prepare_no_copy(spark):
     found = joins.attribute_pairs(spark.createDataFrame(rows, "rid long, by string, n string, x string"), ["n", "x"], 0.6, by="by")
     assert "regexp_replace" not in found._jdf.queryExecution().optimizedPlan().toString()
     assert sorted((r.u, r.v, r.sim) for r in found.where("sim = 1").collect()) == sorted((i % 3, i, 1.0) for i in range(3, 12))
+
+
+@pytest.mark.parametrize("over", [0.3, 0.6, 0.95])
+def test_blocks_without_pairs(spark, monkeypatch, over):
+    """A forest of few edges has the components of all pairs, with and without a large one, and in many small blocks."""
+    monkeypatch.setattr(joins, "BLOCK_ROWS", 12)
+    x = np.random.default_rng(4).standard_normal((180, 5))
+    x[7] = 0
+    df = vectors(spark, x)
+    unit = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+    root = np.arange(len(x))
+    i, j = np.nonzero(np.triu(unit @ unit.T, 1) > over)
+    connected.joined(root, i, j)
+    assert {r.rid: r.cluster for r in blocking.exact_blocks(df, over).collect()} == dict(enumerate(root.tolist()))
+    if over == 0.3:  # before, an edge for each pair
+        assert connected.forest(df, over).count() < 5 * len(x) < len(i)
+    assert connected.forest(df.where("false"), over).count() == 0
+
+
+def test_class_linkage_passes_on_pairs_of_clusters(spark, monkeypatch):
+    """Clusters' linkage by brute force, in many blocks, a copy in two clusters; no pair of records is shuffled."""
+    monkeypatch.setattr(joins, "BLOCK_ROWS", 12)
+    rng = np.random.default_rng(9)
+    x, of = rng.standard_normal((120, 4)), np.minimum(rng.integers(0, 9, 120), 4)  # cluster 4 is the largest
+    x = x.astype(np.float32).astype(float)
+    x[3], of[3], of[5] = x[5], 0, 1
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = {}
+    for i, j in zip(*np.nonzero(unit @ unit.T > 0.2), strict=True):
+        if of[i] < of[j]:
+            want[int(of[i]), int(of[j])] = max(want.get((int(of[i]), int(of[j])), 0.0), float((unit @ unit.T)[i, j]))
+    members = spark.createDataFrame([(i, int(c)) for i, c in enumerate(of)], "rid long, cluster long")
+    found = joins.class_linkage(vectors(spark, x), 0.2, members)
+    assert {(r.cu, r.cv): round(r.sim, 6) for r in found.collect()} == {k: round(s, 6) for k, s in want.items()}
+    assert "u#" not in found._jdf.queryExecution().optimizedPlan().toString().replace("cu#", "")  # before, a row for each pair of records
