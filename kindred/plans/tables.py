@@ -11,8 +11,10 @@ size of a set."""
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
+import numpy as np
 from pyspark.sql import Row, SparkSession
 from pyspark.sql.functions import AnalyzeArgument, AnalyzeResult, OrderingColumn, PartitioningColumn, udtf
 from pyspark.sql.types import LongType, StructType
@@ -42,19 +44,22 @@ class RecordSets:
         return _analysed(table, ("block", "rid", "draw", "embedding"), ("block", "set_no", "pos", "rid"), ("block",), ("rid",))
 
     def __init__(self):
-        self.rows, self.size = [], SET_SIZE
+        # Plain numbers: lists of Python's would take several times the memory of the vectors.
+        self.block, self.rids, self.draws, self.numbers, self.size = None, array("q"), array("q"), array("d"), SET_SIZE
 
     def eval(self, row: Row, size: int = SET_SIZE) -> None:
-        self.rows.append(row)
-        self.size = size
+        self.block, self.size = row["block"], size
+        self.rids.append(row["rid"])
+        self.draws.append(row["draw"])
+        self.numbers.extend(row["embedding"])
 
     def terminate(self) -> Iterator[tuple]:
-        if self.rows:
-            columns = [[r[c] for r in self.rows] for c in ("rid", "draw", "embedding")]
-            found = sets_of(*columns, self.size, min(SET_SPREAD, self.size))
+        if self.rids:
+            x = np.frombuffer(self.numbers).reshape(len(self.rids), -1)
+            found = sets_of(self.rids, self.draws, x, self.size, min(SET_SPREAD, self.size))
             for n, chosen in enumerate(found):
                 for pos, rid in enumerate(chosen):
-                    yield self.rows[0]["block"], n, pos, rid
+                    yield self.block, n, pos, rid
 
 
 @udtf
