@@ -10,8 +10,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kindred.operators.joins import BLOCK_ROWS
+from kindred.operators.joins import TILE
 
+#: Vectors of a signature that are compared in one task as they are; more are dealt into parts, each sent once for every other.
+BLOCK_ROWS = 8192
 BITS, TABLES, SEED = 15, 8, 42
 #: The reference's parameters, made for near copies: at a cosine of 0.4 they find about one pair in a hundred.
 REFERENCE = {"bits": BITS, "tables": TABLES}
@@ -88,14 +90,16 @@ def lsh_pairs(vectors: DataFrame, over: float, **how) -> DataFrame:
                 some = length > 0  # a zero vector has no cosine
                 x = x / np.where(some, length, 1)[:, None]
                 left, right = np.flatnonzero(some & (part == i)), np.flatnonzero(some & (part == j))
-                sims = x[left] @ x[right].T
-                r, c = np.nonzero(sims > over)
-                a, z, sims = left[r], right[c], sims[r, c]
-                keep = ids[a] < ids[z] if i == j else ids[a] != ids[z]
-                a, z, sims = a[keep], z[keep], sims[keep]
-                new = ~(before[a] == before[z]).any(axis=1)
-                u, v = ids[a[new]], ids[z[new]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v)), pa.array(sims[new])], ["u", "v", "sim"])
+                step = max(1, TILE // max(1, len(right)))
+                for at in range(0, len(left), step):
+                    sims = x[left[at : at + step]] @ x[right].T
+                    r, c = np.nonzero(sims > over)
+                    a, z, sims = left[at + r], right[c], sims[r, c]
+                    keep = ids[a] < ids[z] if i == j else ids[a] != ids[z]
+                    a, z, sims = a[keep], z[keep], sims[keep]
+                    new = ~(before[a] == before[z]).any(axis=1)
+                    u, v = ids[a[new]], ids[z[new]]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v)), pa.array(sims[new])], ["u", "v", "sim"])
 
     several = packed.where(F.size("rows") > 1).select("table", "i", "j", "rows")
     return several.mapInArrow(run, "u long, v long, sim double")

@@ -26,7 +26,9 @@ from pyspark.sql import Window as W
 from kindred.operators.ordering import ranked
 from kindred.operators.storage import durable
 
-#: Vectors of a page, intervals of the directory at most, right-hand intervals that one task takes for a page of the top-k search.
+#: Vectors of a page, of a large table's page at most, and pages of a table before these grow: each page is sent once for each other.
+MOST_PAGE, PAGES = 8192, 24
+#: Vectors of a page at least, intervals of the directory at most, right-hand intervals that one task takes for a page of the top-k search.
 PAGE, INTERVALS, CHUNK = 2048, 4096, 64
 #: Vectors that pivots and the rotation are fitted on, numbers that the driver holds of them at most, least and most pivots.
 SAMPLE, SAMPLE_NUMBERS, PIVOTS = 10_000, 5_000_000, (8, 64)
@@ -87,7 +89,8 @@ def build(vectors: DataFrame) -> tuple[DataFrame, Sphere]:
         return keyed.select(F.lit(0).cast("long").alias("page"), F.lit(0).cast("long").alias("interval"), F.array(F.struct("rid", "embedding")).alias("rows")), Sphere(*(np.zeros((0, 0)),) * 6)
     x = _unit(sample.slice(0, max(1, SAMPLE_NUMBERS // max(1, len(sample[0])))))
     values, rotation = np.linalg.eigh(x.T @ x / len(x))
-    pages = -(-n // PAGE)
+    page = max(PAGE, min(MOST_PAGE, n // PAGES))
+    pages = -(-n // page)
     pivots = spread_pivots(x, min(max(2 * pages, PIVOTS[0]), PIVOTS[1]))
     shares = np.maximum(values[::-1], 0) / max(values.sum(), 1e-300)
     sphere = Sphere(pivots, rotation[:, ::-1].copy(), shares)
@@ -102,7 +105,7 @@ def build(vectors: DataFrame) -> tuple[DataFrame, Sphere]:
     span = -(-pages // INTERVALS)
     # Neither pages nor intervals reach over from one pivot to the next.
     most = PIVOTS[1]
-    keys = [F.expr(f"(at div {PAGE}) * {most} + pivot").alias("page"), F.expr(f"(at div {PAGE * span}) * {most} + pivot").alias("interval")]
+    keys = [F.expr(f"(at div {page}) * {most} + pivot").alias("page"), F.expr(f"(at div {page * span}) * {most} + pivot").alias("interval")]
     packed = placed.groupBy(*keys).agg(F.collect_list(F.struct("rid", "embedding")).alias("rows"))
     packed = durable(packed, "sphere-pages")
 

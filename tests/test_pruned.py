@@ -5,7 +5,7 @@ import itertools
 import numpy as np
 import pytest
 
-from kindred.operators import blocking, connected, experiments, graph, joins, sphere
+from kindred.operators import blocking, connected, experiments, graph, guard, joins, lsh, sphere
 
 
 def vectors(spark, x):
@@ -141,3 +141,21 @@ def test_class_linkage_passes_on_pairs_of_clusters(spark, monkeypatch):
     found = joins.class_linkage(vectors(spark, x), 0.2, members)
     assert {(r.cu, r.cv): round(r.sim, 6) for r in found.collect()} == {k: round(s, 6) for k, s in want.items()}
     assert "u#" not in found._jdf.queryExecution().optimizedPlan().toString().replace("cu#", "")  # before, a row for each pair of records
+
+
+def test_large_tables_send_a_vector_to_few_others(spark):
+    """How often a vector is sent doesn't grow with the table as long as blocks fit a task: before, once for each 1,024 vectors."""
+    assert joins.blocks_for(200_000, 64) == joins.blocks_for(20_000, 64) == 16 and joins.blocks_for(5_000, 64) == 5
+    assert joins.blocks_for(2_000_000, 64) == 123 and joins.blocks_for(20_000, 4096) == 41  # what one task holds is bounded
+    assert lsh.BLOCK_ROWS > 600_000 / 2**7  # vectors of a signature of 7 bits
+
+
+def test_a_pair_of_a_set_is_compared_once(spark):
+    sets = spark.createDataFrame([(0, r, r % 2) for r in range(4)], "set_id long, rid long, cluster long")
+    x = np.random.default_rng(1).standard_normal((4, 3))
+    x[3] = 0
+    found = guard.set_similarities(sets, vectors(spark, x))
+    assert "(u#" in (plan := found._jdf.queryExecution().optimizedPlan().toString()) and " < v#" in plan
+    got = {(r.u, r.v): (r.cu, r.cv, r.sim) for r in found.collect()}
+    assert len(got) == 12 and all((cu, cv) == (u % 2, v % 2) and sim == got[v, u][2] for (u, v), (cu, cv, sim) in got.items())
+    assert got[0, 3][2] is None and abs(got[0, 1][2] - x[0] @ x[1] / np.linalg.norm(x[0]) / np.linalg.norm(x[1])) < 1e-6
