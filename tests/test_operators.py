@@ -457,6 +457,31 @@ def test_record_sets_of_large_blocks(spark):
     assert sorted(map(tuple, recordsets.record_sets(df, blocks, largest=2000).collect())) == whole
 
 
+def test_settled_starts_are_compared_no_more(monkeypatch):
+    rng = np.random.default_rng(5)
+    x, drawn, compared, plain = rng.standard_normal((3000, 6)), np.arange(3000) < 2000, [], clustering.squares
+    ks, at = clustering.runs_of(4)
+    centers, before, used = clustering.first_centers(x[drawn], ks), np.full(len(ks), np.inf), None
+    for rounds in range(1, clustering.ROUNDS + 1):  # all starts in every round
+        used, far, inertia, moved = centers, plain(x, centers), [], centers.copy()
+        for a, z in zip(at, at[1:], strict=False):
+            of = far[:, a:z].argmin(axis=1)
+            inertia.append(far[np.arange(len(x)), a + of].sum())
+            for c in set(of.tolist()):
+                moved[a + c] = x[of == c].mean(axis=0)
+        live = np.array(inertia) < np.where(np.isfinite(before), before * (1 - clustering.SETTLED), np.inf)
+        centers, before = np.where(np.repeat(live, np.diff(at))[:, None], moved, used), np.array(inertia)
+        if not live.any():
+            break
+    k, run = clustering.chosen_run(before, 4)
+    near, number = plain(x, used[at[run] : at[run + 1]]).argmin(axis=1), {}
+    monkeypatch.setattr(clustering, "squares", lambda x, centers: compared.append(len(centers)) or plain(x, centers))
+    got = clustering.whole_group(x, drawn, 4)
+    assert got[0] == k and got[1].tolist() == [number.setdefault(c, len(number)) for c in near.tolist()]
+    assert compared[0] == at[-1] and compared == sorted(compared[:-1], reverse=True) + compared[-1:]
+    assert len(compared) == rounds + 1 and sum(compared[:-1]) < 0.8 * rounds * at[-1]
+
+
 def test_packed_sets_by_chunks(spark):
     rng = np.random.default_rng(8)
     sizes = rng.integers(1, 4, 31).tolist()
