@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from kindred.functions import text as T
 from kindred.operators import blocking, clusterers, clustering, experiments, graph, guard, joins, lsh, matching, merge, metrics, recordsets
+from kindred.operators.storage import durable
 from kindred.plans.resolve import Settings, resolve
 
 
@@ -457,6 +458,22 @@ def test_record_sets_of_large_blocks(spark):
     assert sorted(map(tuple, recordsets.record_sets(df, blocks, largest=2000).collect())) == whole
 
 
+def test_record_sets_read_the_blocks_once_and_write_what_is_left_once_a_round(spark, monkeypatch):
+    x = np.random.default_rng(3).standard_normal((130, 4))
+    df, seen, labels = vectors(spark, x).cache(), spark.sparkContext.accumulator(0), []
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    blocks = df.selectExpr("rid", "CAST(rid >= 120 AS LONG) AS cluster").mapInArrow(counted, "rid long, cluster long")
+    monkeypatch.setattr(recordsets, "durable", lambda rows, label: labels.append(label) or durable(rows, label))
+    assert recordsets.record_sets(df, blocks, largest=30).count() == 130
+    assert seen.value == 130
+    assert labels.count("picked-sets") == 2 and labels.count("large-blocks") == 3  # 120, 57 and 21 records of the large block
+
+
 def test_settled_starts_are_compared_no_more(monkeypatch):
     rng = np.random.default_rng(5)
     x, drawn, compared, plain = rng.standard_normal((3000, 6)), np.arange(3000) < 2000, [], clustering.squares
