@@ -167,8 +167,9 @@ def _scanned(visits: DataFrame, pages: DataFrame, exact_in_doubles: bool, anchor
     parts = max(1, -(-anchors // ANCHORS))
     asking = visits.groupBy("interval", "pivot", F.size("v").alias("d"), F.pmod(F.xxhash64("anchor_id"), F.lit(parts)).alias("part"))
     asking = asking.agg(F.collect_list(F.struct("anchor_id", "label", "v", "wants")).alias("asking")).drop("part")
-    # An interval's pages and the blocks of anchors that visit it meet by its key.
-    units = pages.drop("page").join(asking, ["interval", "pivot", "d"]).select("rows", "asking")
+    # An interval's pages and the blocks of anchors that visit it meet by its key, in a shuffle always: a file of visits has an
+    # anchor's vector many times and is a hundredth of what its rows take in memory, so by its size it would be broadcast.
+    units = pages.drop("page").hint("merge").join(asking, ["interval", "pivot", "d"]).select("rows", "asking")
     kind = np.float64 if exact_in_doubles else np.int64
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,8 +198,9 @@ def first_in_windows(asked: DataFrame, pages: DataFrame, directory: Directory, s
     first k other vectors of the same label, or of different ones, whose score lies in it."""
     order = W.partitionBy("anchor_id", "key").orderBy(F.col("score").desc(), "vec_id")
     anchors, since, found = asked.count(), 0.0, None
+    tasks = max(1, -(-anchors // ANCHORS))  # the file of all that ask is small; what a task makes of it isn't
     for until in EXPANSION:
-        visits = durable(_visits(asked, directory, since, until), "visits")
+        visits = durable(_visits(asked.repartition(tasks, "anchor_id"), directory, since, until), "visits")
         if visits.isEmpty():
             since = until
             continue

@@ -190,6 +190,22 @@ def test_hard_negatives_scan_few_annuli_where_vectors_cluster(spark, monkeypatch
     assert first_search < 0.5 * pieces * prepared.where("vec_id % 100 = 0").count()
 
 
+def test_hard_negatives_broadcast_no_visits(spark, monkeypatch):
+    """A file of visits repeats each anchor's vector, so its size says little of its rows: they are shuffled, and come from several tasks."""
+    monkeypatch.setattr(hard_negatives, "PAGE", 16)
+    monkeypatch.setattr(hard_negatives, "ANCHORS", 4)
+    seen = {}
+    for name in ("_visits", "_scanned"):
+        monkeypatch.setattr(hard_negatives, name, lambda *a, of=getattr(hard_negatives, name), to=seen.setdefault(name, []): to.append((a, of(*a))) or to[-1][1])
+    df = spark.createDataFrame([(*r, "c", 0) for r in vector_rows(seed=5)], VECTOR_SCHEMA)
+    assert hard_negatives.mine(df, every=20).count() > 0
+    for _, found in seen["_scanned"]:
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    for (asked, *_), _ in seen["_visits"]:
+        assert asked.rdd.getNumPartitions() == -(-asked.count() // 4) > 1
+
+
 @pytest.mark.parametrize("name", ["op11_hard_negatives", "op12_vector_codes", "op13_line_dedup"])
 def test_queries_equal_their_sql(spark, name):
     from kindred.llm import catalog
