@@ -47,6 +47,21 @@ def test_metrics(spark):
     assert row(metrics.block_quality) == pytest.approx({"completeness": 0.25, "quality": 0.5, "reduction": 0.8, "f1": 1 / 3})
 
 
+def test_metrics_of_many_records(spark):
+    """Numbers of pairs fit 64 bits, their products don't."""
+    cells = [(str(p), str(t), 300_000 if p == t else 20_000) for p in range(10) for t in range(10)]
+    table = spark.createDataFrame(cells, "p string, t string, n long")
+    pairs = lambda n: n * (n - 1) // 2
+    tp, side, whole = sum(pairs(n) for *_, n in cells), 10 * pairs(480_000), pairs(4_800_000)
+    expected = side * side / whole
+    assert metrics.adjusted_rand(table).first()["ari"] == pytest.approx((tp - expected) / (side - expected), abs=1e-9)
+    pair = metrics.pairwise(table).first()
+    assert [pair[k] for k in ("tp", "fp", "fn", "tn")] == [tp, side - tp, side - tp, whole - 2 * side + tp]
+    row = metrics.report(spark.range(600_000).selectExpr("id AS rid", "id % 2 AS cluster"), spark.range(600_000).selectExpr("id AS rid", "id % 10 AS cluster")).first()
+    assert (row["purity"], row["inverse_purity"], row["accuracy"], row["bcubed_recall"]) == pytest.approx((0.2, 1.0, 0.2, 1.0))
+    assert 0 < row["ari"] < 1
+
+
 def test_missing_records_are_alone(spark):
     labels = metrics.aligned(members(spark, [[1, 2]]), members(spark, [[2, 3]]))
     assert {(r.rid, r.p, r.t) for r in labels.collect()} == {(1, "0", "alone_1"), (2, "0", "0"), (3, "alone_3", "0")}
